@@ -119,3 +119,15 @@ JOINED = (
 
 def trips_sql(seconds: int = 120) -> str:
     return TRIPS.format(us=seconds * 1000000)
+
+
+def solid_trips(spark: SparkSession, sf_dir: str, seconds: int = 120) -> DataFrame:
+    """Trips whose readings are nearly complete, as fault windows need."""
+    t = trips(spark, sf_dir, seconds)
+    return t.withColumn("speed_kmh", F.coalesce("speed_kmh", F.lit(50.0))).withColumn(
+        "engine_load_pct", F.expr("CASE WHEN event_id % 997 = 0 THEN NULL ELSE LEAST(engine_load_raw, CAST(100 AS DOUBLE)) END"))
+
+
+def solid_sql(seconds: int = 120) -> str:
+    return (trips_sql(seconds) + ", solid AS (SELECT * REPLACE (COALESCE(speed_kmh, 50.0::DOUBLE) AS speed_kmh, "
+            "CASE WHEN event_id % 997 = 0 THEN NULL ELSE LEAST(engine_load_raw, 100.0::DOUBLE) END AS engine_load_pct) FROM trips)")

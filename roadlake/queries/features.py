@@ -143,11 +143,11 @@ QUERIES = {
                             f"WITH {TR} SELECT vehicle_id, trip, event_id, ROUND((EPOCH_US(time) - MIN(EPOCH_US(time)) OVER (PARTITION BY vehicle_id, trip)) / 1000000.0::DOUBLE, 6) AS seconds_since_start FROM trips"),
     "drop_null_features": (nulls_dropped, f"WITH {TR} SELECT vehicle_id, trip, event_id FROM trips WHERE speed_kmh IS NOT NULL AND engine_load_pct IS NOT NULL"),
     "trail": (lambda s, d: ft.trail(fx.telemetry(s, d), ["vehicle_id"], 20, 700).select("vehicle_id", "event_id", "accel_x", "accel_y"),
-              f"""WITH RECURSIVE {fx.TEL}, p AS (SELECT *, EPOCH_US(time) AS us FROM tel WHERE accel_x IS NOT NULL AND accel_y IS NOT NULL),
-      nx AS (SELECT a.vehicle_id, a.event_id, MIN((b.us, b.event_id)) AS nxt FROM p a JOIN p b ON a.vehicle_id = b.vehicle_id AND b.us >= a.us + 700000 AND b.us < a.us + 60000000 GROUP BY 1, 2),
-      k AS (SELECT vehicle_id, (ARG_MIN(event_id, (us, event_id))) AS event_id, 0 AS i FROM p GROUP BY 1
-        UNION ALL SELECT k.vehicle_id, nx.nxt[2] AS event_id, i + 1 FROM k JOIN nx USING (vehicle_id, event_id)),
-      r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY i DESC) AS rn FROM k) SELECT r.vehicle_id, r.event_id, accel_x, accel_y FROM r JOIN p USING (event_id) WHERE rn <= 20"""),
+              f"""WITH RECURSIVE {fx.TEL}, p AS MATERIALIZED (SELECT *, EPOCH_US(time) AS us, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY time, event_id) AS pos FROM tel WHERE accel_x IS NOT NULL AND accel_y IS NOT NULL),
+      nx AS (SELECT a.vehicle_id, a.pos, b.pos AS nxt FROM (SELECT vehicle_id, pos, us + 700000 AS need FROM p) a ASOF LEFT JOIN p b ON a.vehicle_id = b.vehicle_id AND a.need <= b.us),
+      nl AS MATERIALIZED (SELECT vehicle_id, LIST(nxt ORDER BY pos) AS jump FROM nx GROUP BY 1),
+      k AS (SELECT vehicle_id, 1::BIGINT AS pos, 0 AS i FROM nl UNION ALL SELECT k.vehicle_id, jump[pos], i + 1 FROM k JOIN nl USING (vehicle_id) WHERE jump[pos] IS NOT NULL),
+      r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY i DESC) AS rn FROM k) SELECT vehicle_id, event_id, accel_x, accel_y FROM r JOIN p USING (vehicle_id, pos) WHERE rn <= 20"""),
     "keep_supported": (lambda s, d: cl.keep_supported(raw_pool(s, d), "user_id", "engine_load_pct").select("user_id", "event_id"),
                        f"WITH {RAW} SELECT user_id, event_id FROM raw WHERE user_id NOT IN (SELECT user_id FROM bad)"),
     "with_engine_type": (lambda s, d: cl.with_engine_type(raw_pool(s, d), static(s, d), "user_id").select("user_id", "event_id", "engine_type"),
