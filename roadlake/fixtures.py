@@ -81,30 +81,31 @@ def trips(spark: SparkSession, sf_dir: str, seconds: int = 120) -> DataFrame:
     return telemetry(spark, sf_dir).withColumn("trip", F.floor(us / F.lit(seconds * 1000000)).cast("int"))
 
 
+# Stop-and-go drive of the mount log: 15 s standing, 25 s uneven speeding up, 20 s
+# uneven braking; shared text of both engines ({p} = seconds into the minute).
+_MOUNT_V = ("CASE WHEN {p} < 15 THEN CAST(0 AS DOUBLE) WHEN {p} < 40 THEN ({p} - 15) * CAST(1.6 AS DOUBLE) + ABS({p} % 6 - 3) * CAST(1.5 AS DOUBLE) "
+            "ELSE (60 - {p}) * CAST(2 AS DOUBLE) + ABS({p} % 4 - 2) END")
+_MOUNT_A = ("CASE WHEN {p} < 15 THEN CAST(0 AS DOUBLE) WHEN {p} < 40 THEN (CAST(1.6 AS DOUBLE) + CASE WHEN {p} % 6 < 3 THEN CAST(-1.5 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END) / CAST(3.6 AS DOUBLE) "
+            "ELSE (-2 + CASE WHEN {p} % 4 < 2 THEN -1 ELSE 1 END) / CAST(3.6 AS DOUBLE) END")
+_MOUNT_STEPS = [
+    "SELECT vehicle_id, event_id, time, CAST({us} % 60000000 AS DOUBLE) / 1000000 AS p, RADIANS(vehicle_id * CAST(45 AS DOUBLE) - 150) AS head, RADIANS(CAST(20 AS DOUBLE) + vehicle_id) AS tip, "
+    "COALESCE(accel_y, CAST(0 AS DOUBLE)) / 200 AS nx, accel_x / 300 AS ny FROM tel",
+    "SELECT *, CAST(FLOOR(" + _MOUNT_V.format(p="p") + ") AS DOUBLE) AS speed_kmh, " + _MOUNT_A.format(p="p") + " AS a FROM m0",
+    "SELECT vehicle_id, event_id, time, speed_kmh, COS(tip) * (COS(head) * a + nx) + SIN(tip) * CAST(9.81 AS DOUBLE) AS ax, SIN(head) * a + ny AS ay, "
+    "COS(tip) * CAST(9.81 AS DOUBLE) - SIN(tip) * (COS(head) * a + nx) AS az FROM m1",
+]
+
+
 def mount_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw sensor samples of a tilted, turned mount on a stop-and-go drive.
+    """Raw sensor samples of a tipped, turned mount on a stop-and-go drive.
 
-    Sample times come from ``events``; speed is a 60 s saw of standing, speeding
-    up and braking in whole km/h, and the axes carry that motion turned by a
-    heading of the vehicle and tipped about y, plus the event's own noise.
+    Sample times and noise come from ``events``; the axes carry the drive's
+    acceleration turned by a heading of the vehicle and tipped about y.
     """
-    base = telemetry(spark, sf_dir).select("vehicle_id", "event_id", "time", "accel_x", "accel_y")
-    phase = (F.pmod(F.unix_micros("time"), F.lit(60000000)) / 1e6).alias("p")
-    b = base.withColumn("p", phase)
-    v = F.when(F.col("p") < 15, 0.0).when(F.col("p") < 40, (F.col("p") - 15) * F.lit(1.6) + 3 * F.sin(F.col("p"))).otherwise(
-        (60 - F.col("p")) * F.lit(2.0))
-    a = F.when(F.col("p") < 15, 0.0).when(F.col("p") < 40, (1.6 + 3 * F.cos(F.col("p"))) / 3.6).otherwise(-2.0 / 3.6)
-    b = b.withColumn("speed_kmh", F.floor(F.greatest(v, F.lit(0.0))).cast("double")).withColumn("_a", a)
-    head = F.radians(F.col("vehicle_id") * 45.0 - 150.0)
-    fx = F.cos(head) * F.col("_a") + F.col("accel_y") / 200
-    fy = F.sin(head) * F.col("_a") + F.col("accel_x") / 300
-    tip = F.radians(F.lit(20.0) + F.col("vehicle_id"))
-    return b.select(
-        "vehicle_id", "event_id", "time", "speed_kmh",
-        (F.cos(tip) * fx + F.sin(tip) * F.lit(9.81)).alias("ax"),
-        fy.alias("ay"),
-        (F.cos(tip) * F.lit(9.81) - F.sin(tip) * fx).alias("az"),
-    ).fillna({"ax": 0.0, "ay": 0.0, "az": 9.81})
+    d = telemetry(spark, sf_dir)
+    for name, step in zip(("tel", "m0", "m1"), _MOUNT_STEPS):
+        d = spark.sql(step.format(us="UNIX_MICROS(time)").replace(f"FROM {name}", "FROM {src}"), src=d)
+    return d
 
 
 TEL = "tel AS (SELECT " + ", ".join(f"{_duck(e)} AS {n}" for n, e in _TELEMETRY_COLUMNS.items()) + " FROM events)"
@@ -117,6 +118,9 @@ JOINED = (
 )
 
 
+MOUNT = TEL + "".join(f", {n} AS MATERIALIZED ({t.format(us='EPOCH_US(time)')})" for n, t in zip(("m0", "m1", "ml"), _MOUNT_STEPS))
+
+
 def trips_sql(seconds: int = 120) -> str:
     return TRIPS.format(us=seconds * 1000000)
 
