@@ -89,7 +89,7 @@ _MOUNT_A = ("CASE WHEN {p} < 15 THEN CAST(0 AS DOUBLE) WHEN {p} < 40 THEN (CAST(
             "ELSE (-2 + CASE WHEN {p} % 4 < 2 THEN -1 ELSE 1 END) / CAST(3.6 AS DOUBLE) END")
 _MOUNT_STEPS = [
     "SELECT vehicle_id, event_id, time, CAST({us} % 60000000 AS DOUBLE) / 1000000 AS p, RADIANS(vehicle_id * CAST(45 AS DOUBLE) - 150) AS head, RADIANS(CAST(20 AS DOUBLE) + vehicle_id) AS tip, "
-    "COALESCE(accel_y, CAST(0 AS DOUBLE)) / 200 AS nx, accel_x / 300 AS ny FROM tel",
+    "COALESCE(accel_y, CAST(0 AS DOUBLE)) / 20 AS nx, accel_x / 10 AS ny FROM tel",
     "SELECT *, CAST(FLOOR(" + _MOUNT_V.format(p="p") + ") AS DOUBLE) AS speed_kmh, " + _MOUNT_A.format(p="p") + " AS a FROM m0",
     "SELECT vehicle_id, event_id, time, speed_kmh, COS(tip) * (COS(head) * a + nx) + SIN(tip) * CAST(9.81 AS DOUBLE) AS ax, SIN(head) * a + ny AS ay, "
     "COS(tip) * CAST(9.81 AS DOUBLE) - SIN(tip) * (COS(head) * a + nx) AS az FROM m1",
