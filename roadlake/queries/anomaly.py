@@ -179,7 +179,7 @@ def sealed_windows(spark, d):
 def session(spark, d):
     m = fo.Forest(probe_nodes(POOL), POOL)
     out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 30, now=fx.NOW)
-    return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", "speed_kmh", "score", "is_anomalous"))
+    return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", "speed_kmh", F.round("score", 9).alias("score"), "is_anomalous"))
 
 
 _RS = _RNG.format(w=29).replace("PARTITION BY vehicle_id, trip ", "")
@@ -225,7 +225,7 @@ def many(spark, d):
     nodes = spark.createDataFrame(pd.concat([nodes.assign(vehicle_id=v) for v in range(8)]))
     nodes = nodes.select(F.col("vehicle_id").cast("int").alias("vehicle_id"), *[F.col(n).cast(t).alias(n) for n, t in fo.NODE_FIELDS])
     p = pool(spark, d).dropna(subset=POOL).select("vehicle_id", "event_id", *POOL)
-    return rounded(fo.score_many(p, nodes, POOL, ["vehicle_id"], slice_rows=400).select("vehicle_id", "event_id", "score"))
+    return rounded(fo.score_many(p, nodes, POOL, ["vehicle_id"], slice_rows=400).select("vehicle_id", "event_id", F.round("score", 9).alias("score")))
 
 
 QUERIES = {
