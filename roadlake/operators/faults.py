@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadlake.operators import quality as q
 from roadlake.plans import segmented as sg
 from roadlake.plans.selection import percentiles
+from roadlake.session import materialize
 
 WINDOW_S = 30
 STD_MULTIPLES = (0.5, 1.0, 2.0, 3.0, 5.0, 8.0)
@@ -127,6 +128,7 @@ def _actual_fpr(scored: DataFrame, th: DataFrame) -> DataFrame:
 def row_tradeoff(scored: DataFrame, paired: DataFrame, candidates: Sequence[float] = CAR_CANDIDATES, faults: Sequence[str] = tuple(CAR_FAULTS)) -> DataFrame:
     """Threshold candidates with their real false-positive rate and the
     share of fault rows each detects."""
+    scored = materialize(scored.select("score"), "scores")  # read three times below
     th = thresholds(scored, candidates)
     det = paired.select("fault", "injected_score").crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[
         (F.avg(F.when(F.col("fault") == f, (F.col("injected_score") < F.col("threshold")).cast("double"))) * 100).alias(f"{f}_detection_pct") for f in faults])
@@ -153,7 +155,7 @@ def std_sweep(windows: DataFrame, scored: DataFrame, score: Scorer, train: DataF
     col = POOL_FAULTS[fault]
     std = q.feature_std(train, [col]).select(F.col(f"{col}_std").alias("_sd"))
     named = {f"detect_rate_at_{int(round(f * 100))}pct_fpr": f for f in fprs}
-    p = percentiles(scored, "score", list(fprs))
+    p = percentiles(materialize(scored.select("score"), "scores"), "score", list(fprs))
     lim = p.agg(*[F.max(F.when(F.col("p") == F.lit(float(f)), F.col("value"))).alias(f"_t_{n}") for n, f in named.items()])
     d = windows.crossJoin(F.broadcast(std)).withColumn("std_multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples])))
     d = d.withColumn("magnitude", F.col("std_multiple") * F.col("_sd")).withColumn(col, F.col(col) + F.col("magnitude"))
@@ -166,6 +168,7 @@ def window_tradeoff(windows: DataFrame, scored: DataFrame, score: Scorer, train:
                     candidates: Sequence[float] = POOL_CANDIDATES) -> DataFrame:
     """Candidates with real FPR and per-window detection of each fault."""
     faults = std_faults(train, multiple)
+    scored = materialize(scored.select("score"), "scores")
     th = thresholds(scored, candidates)
     low = score(inject(windows, faults)).groupBy(*wkeys, "fault").agg(F.min("score").alias("_low"))
     det = low.crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[

@@ -32,8 +32,8 @@ def with_halo(df: DataFrame, time: str, segment_s: float, back_s: float) -> Data
 def segment_bounds(df: DataFrame, keys: Sequence[str], time: str, segment_s: float) -> DataFrame:
     """Start and end of the whole trip, one row per (trip, segment with rows)."""
     per = df.groupBy(*keys, sg.time_segment(time, segment_s).alias(sg.SEG)).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
-    whole = per.groupBy(*keys).agg(F.min("_a").alias("trip_start"), F.max("_b").alias("trip_end"))
-    return per.select(*keys, sg.SEG).join(whole, list(keys))
+    whole = Window.partitionBy(*keys)  # over segments, not rows
+    return per.select(*keys, sg.SEG, F.min("_a").over(whole).alias("trip_start"), F.max("_b").over(whole).alias("trip_end"))
 
 
 def rolling_median_dev(df: DataFrame, cols: Sequence[str], window_s: float = 60, keys: Sequence[str] = TRIP, time: str = "time",
@@ -134,37 +134,32 @@ def trail(df: DataFrame, keys: Sequence[str], n: int = 20, min_ms: int = 80, tim
     """The last ``n`` points at least ``min_ms`` apart, per key.
 
     A point further than ``min_ms`` from the one before it is always kept, so
-    thinning restarts there and the runs between such points are independent.
-    Only runs near the end matter: the last ``n`` restarts alone give ``n`` kept
-    points, so older runs are dropped before any thinning.
+    thinning may start there: from the ``n``-th last such point on there are at
+    least ``n`` kept ones.  Only that tail is walked, as a sorted stream that
+    remembers one time.
     """
-    keys = list(keys)
-    gap = min_ms * 1000
+    keys, gap = list(keys), min_ms * 1000
     d = df.where(F.col("accel_x").isNotNull() & F.col("accel_y").isNotNull())
-    d = sg.with_segment(d, time, segment_s)
-    d = sg.lag_rows(d, keys, [time, tie], {"_p": F.unix_micros(time)})
-    d = d.withColumn("_new", (F.col("_p").isNull() | (F.unix_micros(time) - F.col("_p") >= gap)).cast("long"))
-    d = sg.running_sum(d, keys, [time, tie], {"_run": F.col("_new")})
-    top = d.groupBy(*keys).agg(F.max("_run").alias("_top"))
-    d = d.join(top, keys).where(F.col("_run") > F.col("_top") - n)
-    schema = T.StructType([f for f in d.schema.fields if f.name in df.columns])
+    us = F.unix_micros(time)
+    a = sg.lag_time(sg.with_segment(d.select(*keys, time, tie), time, segment_s), keys, time, tie)
+    a = a.where(F.col("_p").isNull() | (us - F.col("_p") >= gap))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
+    a = a.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)
+    tail = d.join(a.groupBy(*keys).agg(F.min(time).alias("_from")), keys).where(F.col(time) >= F.col("_from")).drop("_from")
+    tail = tail.withColumn("_us", us)
+    schema = tail.schema
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, kept = None, None
+        key, kept = None, None
         for pdf in batches:
-            us = pdf[time].astype("int64").to_numpy() // 1000
-            who = list(zip(*[pdf[k] for k in [*keys, "_run"]]))
             keep = []
-            for i, t in enumerate(us):
-                if who[i] != run:
-                    run, kept = who[i], None
+            for who, t in zip(pdf[keys].itertuples(index=False, name=None), pdf["_us"]):
+                if who != key:
+                    key, kept = who, None
                 hit = kept is None or t - kept >= gap
                 keep.append(hit)
                 kept = t if hit else kept
-            yield pdf.loc[keep, schema.names]
+            yield pdf[keep]
 
-    d = d.withColumn(time, F.col(time).cast("timestamp_ntz")).repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", time, tie)
-    ntz = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == time else f.dataType) for f in schema.fields])
-    d = d.mapInPandas(thin, ntz).withColumn(time, F.col(time).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
-    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    d = tail.repartition(*keys).sortWithinPartitions(*keys, time, tie).mapInPandas(thin, schema).drop("_us")
+    return d.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")

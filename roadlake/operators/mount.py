@@ -41,10 +41,11 @@ def speed_accel(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", t
 
 def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30) -> DataFrame:
     """Every row with ``mark``: 'fresh' (an accepted speed change, with
-    ``ref_accel``), 'anchor' (a change after a plateau, only re-anchors) or null."""
+    ``ref_accel``), 'anchor' (a change after a plateau, only re-anchors) or null;
+    ``interval_us`` is the time of the mark that opened the row's interval."""
     keys = list(keys)
     src = df.select(*keys, F.unix_micros(time).alias("us"), F.col(tie).alias("rid"), F.col("speed_kmh").cast("double").alias("v"))
-    out = T.StructType([src.schema[k] for k in keys] + [T.StructField("rid", T.LongType()), T.StructField("mark", T.StringType()), T.StructField("ref_accel", T.DoubleType())])
+    out = T.StructType([src.schema[k] for k in keys] + [T.StructField("rid", T.LongType()), T.StructField("mark", T.StringType()), T.StructField("ref_accel", T.DoubleType()), T.StructField("interval_us", T.LongType())])
 
     def fold(pdf: pd.DataFrame, state: str | None, start: int, end: int):
         us, v = pdf["us"].to_numpy(dtype=np.int64), pdf["v"].to_numpy(dtype=float)
@@ -62,7 +63,7 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
                 before = f"{at}|{speed}"
             elif us[i] < start and state is not None:
                 continue
-            mark, ref = None, None
+            mark, ref, since = None, None, at
             if ok[i] and v[i] != speed:
                 dt = (us[i] - at) / 1e6
                 if dt >= MAX_REF_S:
@@ -71,22 +72,20 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
                     mark, ref = "fresh", (v[i] - speed) / 3.6 / dt
                     at, speed = int(us[i]), float(v[i])
             if us[i] >= start:
-                rows.append((int(pdf["rid"].iloc[i]), mark, ref))
+                rows.append((int(pdf["rid"].iloc[i]), mark, ref, since))
         after = f"{at}|{speed}"
-        return pd.DataFrame(rows, columns=["rid", "mark", "ref_accel"]), before or after, after
+        return pd.DataFrame(rows, columns=["rid", "mark", "ref_accel", "interval_us"]), before or after, after
 
     marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s)
     return df.join(marks.withColumnRenamed("rid", tie), [*keys, tie])
 
 
-def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
     """On a fresh row ``ax/ay/az`` become their mean over the interval since
     the last fresh or anchor row; other rows keep their own values."""
-    d = sg.running_sum(sg.with_segment(fresh, time, segment_s), keys, [time, tie], {"_n": F.col("mark").isNotNull().cast("long")})
-    d = d.withColumn("_iv", F.col("_n") - F.col("mark").isNotNull().cast("long"))
     axes = ["ax", "ay", "az"]
-    m = d.groupBy(*keys, "_iv").agg(*[F.avg(c).alias(f"_m_{c}") for c in axes])
-    d = d.join(m, [*keys, "_iv"])
+    m = fresh.groupBy(*keys, "interval_us").agg(*[F.avg(c).alias(f"_m_{c}") for c in axes], F.max("mark").alias("_end")).where(F.col("_end") == "fresh")
+    d = fresh.join(m, [*keys, "interval_us"], "left")
     pick = [F.when(F.col("mark") == "fresh", F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in axes]
     return d.select(*[c for c in fresh.columns if c not in axes], *pick)
 
@@ -94,7 +93,8 @@ def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE, time: str = "ti
 def gravity_blocks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", n: int = N_STATIONARY, segment_s: float = 60) -> DataFrame:
     """Mean gravity of every full block of ``n`` consecutive standing samples."""
     standing = F.coalesce(F.col("speed_kmh") < STATIONARY_KMH, F.lit(False))
-    d = q.run_position(df, keys, standing, time, tie, segment_s).where("state")
+    slim = df.select(*keys, time, tie, "ax", "ay", "az", standing.alias("_st"))
+    d = q.run_position(slim, keys, F.col("_st"), time, tie, segment_s).where("state")
     d = d.groupBy(*keys, "run_id", F.floor(F.col("run_pos") / n).alias("block")).agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.struct(time, tie)).alias("_e"), F.avg("ax").alias("gx"), F.avg("ay").alias("gy"), F.avg("az").alias("gz"))
     return d.where(F.col("_n") == n).select(*keys, F.col(f"_e.{time}").alias(time), F.col(f"_e.{tie}").alias(tie), "gx", "gy", "gz")
@@ -176,7 +176,7 @@ def _heading(d: DataFrame, angle: str, corr: str) -> DataFrame:
 
 def axis_lock(stats: DataFrame, keys: Sequence[str] = NODE, need: int = 3) -> DataFrame:
     """Determined windows with their streak of equal choices and ``locked``."""
-    d = stats.where(F.col("axis") != "undetermined")
+    d = materialize(stats.where(F.col("axis") != "undetermined"), "windows")
     d = d.withColumn("_t", F.timestamp_micros("window_id"))
     state = F.concat_ws("/", "axis", F.col("forward_sign").cast("string"))
     d = q.run_position(d, keys, state, "_t", "window_id", 86400)
@@ -187,7 +187,7 @@ def pooled_heading(stats: DataFrame, keys: Sequence[str] = NODE, min_windows: in
     """Heading from all windows so far, and whether it may lock there: enough
     windows, well correlated, and the last three estimates close together."""
     keys = list(keys)
-    d = stats.select(*keys, "window_id", "cov_xr", "cov_yr", "sxx", "syy", "sxy", "srr").withColumn("_t", F.timestamp_micros("window_id"))
+    d = materialize(stats, "windows").select(*keys, "window_id", "cov_xr", "cov_yr", "sxx", "syy", "sxy", "srr").withColumn("_t", F.timestamp_micros("window_id"))
     sums = ["cov_xr", "cov_yr", "sxx", "syy", "sxy", "srr"]
     d = sg.running_sum(sg.with_segment(d, "_t", segment_s), keys, ["window_id"], {**{f"_p_{c}": F.col(c) for c in sums}, "n_windows": F.lit(1)})
     d = _heading(d.select(*keys, "window_id", "_t", "n_windows", *[F.col(f"_p_{c}").alias(c) for c in sums]), "pooled_deg", "pooled_corr")
@@ -280,7 +280,7 @@ class StageMachine:
 
 def calibration_events(log: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", n: int = N_STATIONARY) -> DataFrame:
     """C1 + C5 + C6: the reduced events of each node, in the machine's terms."""
-    ticks = interval_means(fresh_samples(log, keys, time, tie), keys, time, tie)
+    ticks = materialize(interval_means(fresh_samples(log, keys, time, tie), keys), "ticks")
     g = gravity_blocks(ticks, keys, time, tie, n).select(*keys, time, tie, F.lit(0).alias("kind"), F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("gz").alias("z"), F.lit(0.0).alias("ref"))
     f = ticks.where(F.col("mark") == "fresh").select(*keys, time, tie, F.lit(1).alias("kind"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"), F.col("ref_accel").alias("ref"))
     return g.unionByName(f).withColumn("us", F.unix_micros(time))

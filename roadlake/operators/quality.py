@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlake.plans import segmented as sg
 from roadlake.plans.selection import percentile_columns, percentiles
+from roadlake.session import materialize
 
 CORE_PIDS = ["rpm", "speed_kmh", "coolant_temp_c", "engine_load_pct"]
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
@@ -47,7 +48,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def gaps(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """Seconds to the previous row of the key (``gap_s``), first rows left out."""
-    d = sg.lag_rows(sg.with_segment(df.select(*keys, time, tie), time, segment_s), keys, [time, tie], {"_p": F.unix_micros(time)})
+    d = sg.lag_time(sg.with_segment(df.select(*keys, time, tie), time, segment_s), keys, time, tie)
     d = d.where(F.col("_p").isNotNull())
     return d.select(*keys, time, tie, ((F.unix_micros(time) - F.col("_p")) / 1e6).alias("gap_s"))
 
@@ -62,7 +63,7 @@ def completeness_gap(df: DataFrame, keys: Sequence[str], pids: Sequence[str] = C
                      time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """Completeness against the median interval, and connection-loss events."""
     keys = list(keys)
-    g = gaps(df, keys, time, tie, segment_s)
+    g = materialize(gaps(df, keys, time, tie, segment_s).select(*keys, "gap_s"), "gaps")  # read three times
     med = percentile_columns(g, "gap_s", {"expected_interval_s": 0.5}, keys)
     tot = df.groupBy(*keys).agg(
         ((F.max(F.unix_micros(time)) - F.min(F.unix_micros(time))) / 1e6).alias("duration_s"), *[F.count(p).alias(f"_n_{p}") for p in pids])
@@ -94,9 +95,10 @@ def missing_runs(df: DataFrame, keys: Sequence[str], min_len: int = 2, time: str
     present seconds, so no missing second is ever written out."""
     keys = list(keys)
     sec = df.select(*keys, F.timestamp_seconds(F.floor(F.unix_micros(time) / 1000000)).alias("sec")).distinct()
-    d = sg.lag_rows(sg.with_segment(sec, "sec", segment_s), keys, ["sec"], {"_p": F.col("sec")})
-    n = F.unix_seconds("sec") - F.unix_seconds("_p") - 1
-    return d.where(n >= min_len).select(*keys, F.timestamp_seconds(F.unix_seconds("_p") + 1).alias("run_start"), n.alias("run_len"))
+    d = sg.lag_time(sg.with_segment(sec, "sec", segment_s), keys, "sec", "sec")
+    before = F.floor(F.col("_p") / 1000000)
+    n = F.unix_seconds("sec") - before - 1
+    return d.where(n >= min_len).select(*keys, F.timestamp_seconds(before + 1).alias("run_start"), n.alias("run_len"))
 
 
 def missing_summary(df: DataFrame, keys: Sequence[str], min_len: int = 2, time: str = "time") -> DataFrame:
@@ -189,32 +191,24 @@ def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str
 
 
 def stretches(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
-    """Runs of one state: its value, length in seconds and rows (W5 folded)."""
-    d = sg.run_ids(sg.with_segment(df, time, segment_s).withColumn("_st", state), keys, [time, tie], F.col("_st"))
+    """Runs of one state: its value, start, length in seconds and rows (W5 folded)."""
+    keys = list(keys)
+    d = sg.runs(sg.with_segment(df.select(*keys, time, tie, state.alias("_st")), time, segment_s), keys, [time, tie], F.col("_st"))
+    us = F.unix_micros(time)
     return d.groupBy(*keys, "run_id").agg(
-        F.first("_st").alias("state"), F.min(time).alias("run_start"), F.count(F.lit(1)).alias("n_rows"),
-        ((F.max(F.unix_micros(time)) - F.min(F.unix_micros(time))) / 1e6).alias("length_s"))
+        F.max("state").alias("state"), F.min(time).alias("run_start"), F.count(F.lit(1)).alias("n_rows"), ((F.max(us) - F.min(us)) / 1e6).alias("length_s"))
 
 
 def stretch_stats(df: DataFrame, keys: Sequence[str], on: Column, short_s: float = 10, long_s: float = 60, **kw) -> DataFrame:
     """Distribution of engine-on stretch lengths."""
-    s = stretches(df, keys, on, **kw).where("state")
+    s = materialize(stretches(df, keys, on, **kw).where("state").select("length_s"), "stretches")
     shares = s.agg((F.avg((F.col("length_s") < short_s).cast("double"))).alias("share_short"), F.count_if(F.col("length_s") >= long_s).alias("n_long"))
     return describe(s, ["length_s"]).drop("column").crossJoin(F.broadcast(shares))
 
 
 def run_position(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
-    """0-based position of a row inside its run.
-
-    The position is the row's index in the key less the index of the run's first
-    row, so a run that covers the whole key is still spread over segments.
-    """
-    d = sg.with_segment(df, time, segment_s).withColumn("_st", state)
-    d = sg.run_ids(d, keys, [time, tie], F.col("_st"))
-    d = sg.row_index(d, keys, [time, tie], "_i")
-    start = d.groupBy(*keys, "run_id").agg(F.min("_i").alias("_i0"))
-    d = d.join(start, [*keys, "run_id"])
-    return d.select(*df.columns, F.col("_st").alias("state"), "run_id", (F.col("_i") - F.col("_i0")).alias("run_pos"))
+    """Rows with the state, number and 0-based position of their run."""
+    return sg.runs(sg.with_segment(df, time, segment_s), keys, [time, tie], state).drop(sg.SEG)
 
 
 def flag_by_run_age(df: DataFrame, flag: str, split_at: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.plans import segmented as sg
@@ -64,23 +64,27 @@ def feed_health(df: DataFrame, keys: list[str], arrival: str, sent: str, n: int
                 segment_s: float = 60) -> DataFrame:
     """Mean interval of the last ``n`` messages and latency, per message.
 
-    The interval needs the arrival ``n - 1`` messages back; the position in the
-    key is exact across segments, and the earlier arrival is found by joining
-    positions, so no key is windowed as a whole.
+    The arrival ``n - 1`` messages back lies in the row's own segment or among
+    the last ``n - 1`` arrivals before it, which a segment gets from at most as
+    many earlier segments.
     """
-    d = sg.row_index(sg.with_segment(df, arrival, segment_s), keys, [arrival, tie], "_i").drop(sg.SEG)
-    back = d.select(*keys, (F.col("_i") + (n - 1)).alias("_j"), F.unix_micros(arrival).alias("_then"))
-    first = df.groupBy(*keys).agg(F.min(arrival).alias("_first"))
-    span = F.least(F.col("_i"), F.lit(n - 1))
-    now = F.unix_micros(arrival)
-    d = d.withColumn("_j", F.col("_i"))
-    d = d.join(back, [*keys, "_j"], "left").join(first, keys)
-    then = F.coalesce("_then", F.unix_micros("_first"))
-    return d.select(
-        *df.columns,
-        F.when(span >= 1, (now - then) / 1000.0 / span).alias("avg_interval_ms"),
-        ((now - F.unix_micros(sent)) / 1000.0).alias("latency_ms"),
-    )
+    keep, us = n - 1, F.unix_micros(arrival)
+    d = sg.with_segment(df, arrival, segment_s)
+    here = Window.partitionBy(*keys, sg.SEG).orderBy(arrival, tie)
+    back = Window.partitionBy(*keys, sg.SEG).orderBy(F.desc("_us"))
+    slim = d.select(*keys, sg.SEG, us.alias("_us"))
+    last = slim.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= keep).groupBy(*keys, sg.SEG).agg(F.array_sort(F.collect_list("_us")).alias("_l"))
+    before = Window.partitionBy(*keys).orderBy(sg.SEG).rowsBetween(-keep, -1)
+    past = F.flatten(F.collect_list("_l").over(before))
+    carry = last.select(*keys, sg.SEG, F.when(F.size(past) > keep, F.slice(past, -keep, keep)).otherwise(past).alias("_past"))
+    d = d.select("*", (F.row_number().over(here) - 1).alias("_i"), F.lag(us, keep).over(here).alias("_then"), F.min(us).over(here).alias("_first"))
+    d = d.join(carry, [*keys, sg.SEG], "left")
+    have = F.coalesce(F.size("_past"), F.lit(0))
+    miss = F.lit(keep) - F.col("_i")  # how many of the earlier arrivals must come from before
+    used = F.least(miss, have)
+    then = F.when(F.col("_then").isNotNull(), F.col("_then")).when(used > 0, F.get("_past", have - used)).otherwise(F.col("_first"))
+    span = F.when(F.col("_then").isNotNull(), F.lit(keep)).otherwise(F.col("_i") + F.greatest(used, F.lit(0)))
+    return d.select(*df.columns, F.when(span >= 1, (us - then) / 1000.0 / span).alias("avg_interval_ms"), ((us - F.unix_micros(sent)) / 1000.0).alias("latency_ms"))
 
 
 def last_message_age(df: DataFrame, keys: list[str], now: dt.datetime, arrival: str = "time") -> DataFrame:

@@ -22,6 +22,7 @@ from roadlake.session import materialize
 def holdout_report(scored: DataFrame, by: str = "condition", ps: Sequence[float] = (0.01, 0.05, 0.10, 0.50, 0.90)) -> DataFrame:
     """Rows, share flagged at the automatic threshold (score < 0) and score
     percentiles of each condition."""
+    scored = materialize(scored.select(by, "score"), "scores")
     base = scored.where("score IS NOT NULL").groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), (F.avg((F.col("score") < 0).cast("double")) * 100).alias("flag_pct"))
     p = percentiles(scored, "score", ps, [by]).groupBy(by).agg(*[
         F.max(F.when(F.col("p") == F.lit(float(x)), F.col("value"))).alias(f"p{int(round(x * 100)):02d}") for x in ps])

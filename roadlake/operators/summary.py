@@ -40,7 +40,7 @@ def with_dt(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "
             segment_s: float = SEGMENT_S) -> DataFrame:
     """Adds ``dt_s``."""
     d = sg.with_segment(df, time, segment_s)
-    d = sg.lag_rows(d, keys, [time, tie], {"_pt": F.unix_micros(time)})
+    d = sg.lag_time(d, keys, time, tie, "_pt")
     return d.select(*df.columns, gap_seconds(F.unix_micros(time), F.col("_pt"), max_gap).alias("dt_s"))
 
 

@@ -62,14 +62,14 @@ def lag_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Map
     return out.select(*df.columns, *[prev[n].alias(n) for n in cols])
 
 
-def lead_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
-    """Values of the next row of the key (null for its last row)."""
-    payload = F.struct(*[e.alias(n) for n, e in cols.items()])
-    first = df.groupBy(*keys, SEG).agg(F.min_by(payload, F.struct(*order)).alias("_first"))
-    carry = first.select(*keys, SEG, F.lead("_first").over(_across(keys)).alias("_carry"))
-    out = df.withColumn("_next", F.lead(payload).over(_local(keys, order))).join(carry, [*keys, SEG], "left")
-    nxt = F.coalesce("_next", "_carry")
-    return out.select(*df.columns, *[nxt[n].alias(n) for n in cols])
+def lag_time(df: DataFrame, keys: Sequence[str], time: str, tie: str, name: str = "_p") -> DataFrame:
+    """Epoch microseconds of the previous row of the key.  The latest time of a
+    segment is a plain maximum, so the border table is a hash aggregate."""
+    us = F.unix_micros(time)
+    last = df.groupBy(*keys, SEG).agg(F.max(us).alias("_last"))
+    carry = last.select(*keys, SEG, F.lag("_last").over(_across(keys)).alias("_carry"))
+    out = df.withColumn("_prev", F.lag(us).over(_local(keys, [time, tie]))).join(carry, [*keys, SEG], "left")
+    return out.select(*df.columns, F.coalesce("_prev", "_carry").alias(name))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Mapping[str, Column]) -> DataFrame:
@@ -93,13 +93,41 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return out.select(*df.columns, (F.col("_rn") - 1 + F.col("_c")).cast("long").alias(name), *extra)
 
 
-def run_ids(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, name: str = "run_id") -> DataFrame:
-    """Number of state changes so far: 1 for the first run of the key."""
-    d = df.withColumn("_state", state)
-    d = lag_rows(d, keys, order, {"_before": F.struct(F.col("_state").alias("s"))})
-    changed = (F.col("_before").isNull() | ~F.col("_before.s").eqNullSafe(F.col("_state"))).cast("long")
-    d = running_sum(d.withColumn("_chg", changed), keys, order, {name: F.col("_chg")})
-    return d.select(*df.columns, name)
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column) -> DataFrame:
+    """Runs of equal state (W5): adds ``state``, ``run_id`` (1, 2, ... in the key)
+    and ``run_pos`` (0-based position in the run).
+
+    The border table is built from the state alone: how often it changes in a
+    segment, its first and last value, the rows after the last change.  A run may
+    cover any number of segments.
+    """
+    keys = list(keys)
+    slim = df.select(*keys, SEG, *order, state.alias("state"))
+    here = _local(keys, order)
+    changed = lambda d: (~F.col("state").eqNullSafe(F.lag("state").over(here)) & (F.row_number().over(here) > 1)).cast("long")
+    m = slim.withColumn("_chg", changed(slim)).withColumn("_rn", F.row_number().over(here))
+    # order columns decide first and last; row numbers do it with a plain maximum
+    m = m.groupBy(*keys, SEG).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_chg").alias("_k"), F.max(F.when(F.col("_chg") == 1, F.col("_rn"))).alias("_lastchg"),
+        F.max_by(F.struct("state"), "_rn").alias("_last"), F.min_by(F.struct("state"), "_rn").alias("_first"))
+    w = _across(keys)
+    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_pl", F.lag("_last").over(w))
+    m = m.withColumn("_brk", (F.col("_pl").isNull() | ~F.col("_first.state").eqNullSafe(F.col("_pl.state"))).cast("long"))
+    m = m.withColumn("_base", F.coalesce(F.sum(F.col("_k") + F.col("_brk")).over(past), F.lit(0)) + F.col("_brk"))
+    m = m.withColumn("_g", F.sum(F.when((F.col("_k") > 0) | (F.col("_brk") == 1), 1).otherwise(0)).over(upto))
+    tail = F.when(F.col("_k") > 0, F.col("_n") - F.col("_lastchg") + 1).otherwise(F.col("_n"))
+    inside = Window.partitionBy(*keys, "_g").orderBy(SEG).rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_open", F.sum(tail).over(inside))
+    carry = m.select(*keys, SEG, "_base", F.when(F.col("_brk") == 1, 0).otherwise(F.lag("_open").over(w)).alias("_before"))
+
+    d = df.withColumn("state", state)
+    d = d.withColumn("_chg", changed(d)).withColumn("_rn", F.row_number().over(here))
+    sofar = here.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", F.sum("_chg").over(sofar).alias("_k"), F.max(F.when(F.col("_chg") == 1, F.col("_rn"))).over(sofar).alias("_start"))
+    d = d.join(carry, [*keys, SEG], "left")
+    pos = F.when(F.col("_start").isNotNull(), F.col("_rn") - F.col("_start")).otherwise(F.col("_rn") - 1 + F.col("_before"))
+    return d.select(*[c for c in df.columns if c != "state"], "state", (F.col("_base") + F.col("_k")).cast("long").alias("run_id"), pos.cast("long").alias("run_pos"))
 
 
 def rising_edge(df: DataFrame, keys: Sequence[str], order: Sequence[str], mask: Column, name: str = "edge") -> DataFrame:

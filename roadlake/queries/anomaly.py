@@ -15,6 +15,7 @@ from roadlake.operators import features as ft
 from roadlake.operators import forest as fo
 from roadlake.operators import studies as st
 from roadlake.queries.base import rounded
+from roadlake.session import materialize
 
 N_PROBE, DEPTH = 8, 3
 # Centre and spread of each feature, for the rule-made forest.
@@ -63,7 +64,7 @@ def u():
 
 
 def pool(spark, d, w=30):
-    return ft.population_features(fx.solid_trips(spark, d), w).drop("rpm")
+    return materialize(ft.population_features(fx.solid_trips(spark, d), w).drop("rpm"), "features")
 
 
 _RNG = "(PARTITION BY vehicle_id, trip ORDER BY time RANGE BETWEEN INTERVAL '{w}.999999' SECOND PRECEDING AND CURRENT ROW)"
@@ -79,7 +80,7 @@ def _pool_sql(w=30):
 def car(spark, d):
     t = fx.solid_trips(spark, d, 240)
     f = ft.single_car_features(t, 60)[0]
-    return ft.resample_last(f, CAR, required=CAR)
+    return materialize(ft.resample_last(f, CAR, required=CAR), "features")
 
 
 _R60 = _RNG.format(w=59)
@@ -105,24 +106,31 @@ def car_val(spark, d):
     return car(spark, d).where("vehicle_id % 2 = 1")
 
 
-def car_windows(spark, d):
-    return fa.row_windows(car_val(spark, d), u=u())
+def car_windows(spark, d, val=None):
+    return fa.row_windows(val if val is not None else car_val(spark, d), u=u())
 
 
-def pool_part(spark, d, par):
-    return pool(spark, d).where(f"vehicle_id % 2 = {par}")
+def halves(spark, d):
+    """(train, validation) by vehicle parity, of one stored feature table."""
+    p = pool(spark, d)
+    return p.where("vehicle_id % 2 = 0"), p.where("vehicle_id % 2 = 1")
+
+
+def windows_of(part):
+    return fa.time_windows(part, n_trips=12, u=u(), order=u())
 
 
-def pool_windows(spark, d, par=1):
-    return fa.time_windows(pool_part(spark, d, par), n_trips=12, u=u(), order=u())
+def pool_windows(spark, d):
+    return windows_of(halves(spark, d)[1])
 
 
-def paired(spark, d):
-    return fa.paired_scores(car_windows(spark, d), scorer(CAR), fa.CAR_FAULTS)
+def paired(spark, d, val=None):
+    return fa.paired_scores(car_windows(spark, d, val), scorer(CAR), fa.CAR_FAULTS)
 
 
 def tradeoff(spark, d):
-    return fa.row_tradeoff(scorer(CAR)(car_val(spark, d)), paired(spark, d))
+    val = car_val(spark, d)
+    return fa.row_tradeoff(scorer(CAR)(val), paired(spark, d, val))
 
 
 _CAND = "(SELECT UNNEST([0.5::DOUBLE, 1, 2, 5, 10]) AS c)"
@@ -134,7 +142,7 @@ _TRADE = CAR_WIN + _INJ + f""", th AS (SELECT c AS target_fpr_pct, (SELECT QUANT
 
 def dense(spark, d):
     o = F.expr("((vehicle_id * 31 + trip * 17 + chunk * 5) * 7919) % 10007")
-    return fa.dense_windows(pool_part(spark, d, 1), max_per_trip=2, order=o)
+    return fa.dense_windows(halves(spark, d)[1], max_per_trip=2, order=o)
 
 
 _DENSE = """, db AS (SELECT vehicle_id, trip, MIN(EPOCH_US(time)) AS a, (MAX(EPOCH_US(time)) - MIN(EPOCH_US(time))) // 30000000 AS nc FROM ps WHERE vehicle_id % 2 = 1 GROUP BY 1, 2),
@@ -144,8 +152,8 @@ _DENSE = """, db AS (SELECT vehicle_id, trip, MIN(EPOCH_US(time)) AS a, (MAX(EPO
 
 
 def sweep(spark, d):
-    s = scorer(POOL)
-    return fa.std_sweep(pool_windows(spark, d), s(pool_part(spark, d, 1)), s, pool_part(spark, d, 0), "load_spike")
+    s, (train, val) = scorer(POOL), halves(spark, d)
+    return fa.std_sweep(windows_of(val), s(val), s, train, "load_spike")
 
 
 _SWEEP = POOL_SQL + TW1 + _SD + f""", lim AS (SELECT QUANTILE_CONT(score, [0.02, 0.05, 0.1]) AS q FROM ps WHERE vehicle_id % 2 = 1),
@@ -156,8 +164,8 @@ _SWEEP = POOL_SQL + TW1 + _SD + f""", lim AS (SELECT QUANTILE_CONT(score, [0.02,
 
 
 def wtrade(spark, d):
-    s = scorer(POOL)
-    return fa.window_tradeoff(pool_windows(spark, d), s(pool_part(spark, d, 1)), s, pool_part(spark, d, 0), 5.0)
+    s, (train, val) = scorer(POOL), halves(spark, d)
+    return fa.window_tradeoff(windows_of(val), s(val), s, train, 5.0)
 
 
 _PINJ = f""", px AS (SELECT tw.* REPLACE (engine_load_pct_dev + CASE fault WHEN 'load_spike' THEN 5 * l ELSE 0 END AS engine_load_pct_dev, rpm_dev + CASE fault WHEN 'rpm_decorrelation' THEN 5 * r ELSE 0 END AS rpm_dev), fault
@@ -168,12 +176,13 @@ _WTRADE = POOL_SQL + TW1 + _SD + _PINJ + """, th AS (SELECT UNNEST([0.5::DOUBLE,
 
 
 def sealed_rows(spark, d):
-    return rounded(fa.sealed_evaluation(car_val(spark, d), scorer(CAR), 0.02, car_windows(spark, d), fa.CAR_FAULTS, confirm_sealed=True))
+    val = car_val(spark, d)
+    return rounded(fa.sealed_evaluation(val, scorer(CAR), 0.02, car_windows(spark, d, val), fa.CAR_FAULTS, confirm_sealed=True))
 
 
 def sealed_windows(spark, d):
-    faults = fa.std_faults(pool_part(spark, d, 0), 5.0)
-    return rounded(fa.sealed_evaluation(pool_part(spark, d, 1), scorer(POOL), 0.0, pool_windows(spark, d), faults, True, TK))
+    train, val = halves(spark, d)
+    return rounded(fa.sealed_evaluation(val, scorer(POOL), 0.0, windows_of(val), fa.std_faults(train, 5.0), True, TK))
 
 
 def session(spark, d):

@@ -10,6 +10,7 @@ from roadlake.operators import quality as q
 from roadlake.plans import segmented as sg
 from roadlake.plans.selection import percentile_columns, percentiles
 from roadlake.queries.base import joined, rounded
+from roadlake.session import materialize
 
 V = ["vehicle_id"]
 _ON = "rpm > 0"
@@ -34,7 +35,7 @@ def line(spark, d):
 
 
 def gap_pct(spark, d):
-    g = percentile_columns(q.gaps(tel(spark, d), V), "gap_s", {"p50": .5, "p75": .75, "p90": .9, "p95": .95, "p99": .99})
+    g = percentile_columns(materialize(q.gaps(tel(spark, d), V), "gaps"), "gap_s", {"p50": .5, "p75": .75, "p90": .9, "p95": .95, "p99": .99})
     return rounded(g)
 
 
@@ -60,7 +61,7 @@ def plaus(spark, d):
 
 def run_ids(spark, d):
     t = sg.with_segment(tel(spark, d), "time", 60)
-    return sg.run_ids(t, V, ["time", "event_id"], F.expr(_ON)).select("vehicle_id", "event_id", "run_id")
+    return sg.runs(t, V, ["time", "event_id"], F.expr(_ON)).select("vehicle_id", "event_id", "run_id")
 
 
 def run_age(spark, d):

@@ -27,8 +27,8 @@ _IMU = T.StructType([T.StructField("us", _L), T.StructField("rid", _L), *[T.Stru
 
 
 def _tuples(pdf: pd.DataFrame, schema: T.StructType) -> list[tuple]:
-    rows = pdf[schema.names].astype(object)
-    return [tuple(None if pd.isna(v) else (int(v) if n in ("us", "rid") else float(v)) for n, v in zip(schema.names, r)) for r in rows.itertuples(index=False)]
+    part = pdf[schema.names]
+    return list(part.astype(object).where(part.notna(), None).itertuples(index=False, name=None))
 
 
 class PairingProcessor(StatefulProcessor):

@@ -63,9 +63,8 @@ class DeviationProcessor(StatefulProcessor):
             yield pd.DataFrame()
 
     def _tuples(self, pdf: pd.DataFrame) -> list[tuple]:
-        rows = pdf[self.schema.names].astype(object)
-        whole = {"us", "event_id"}
-        return [tuple(None if pd.isna(v) else (int(v) if n in whole else float(v)) for n, v in zip(self.schema.names, r)) for r in rows.itertuples(index=False)]
+        part = pdf[self.schema.names]
+        return list(part.astype(object).where(part.notna(), None).itertuples(index=False, name=None))
 
     def close(self) -> None:
         pass
