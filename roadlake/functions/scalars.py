@@ -89,6 +89,6 @@ def session_label(name: str = "name", started: str = "started_at", ended: str =
     return F.concat(title, F.lit(" · "), F.date_format(_c(started), "MMM d, HH:mm"), live)
 
 
-def half_even(c: Column, digits: int) -> Column:
-    """Rounding with ties to the even digit."""
-    return F.bround(c, digits)
+def new_id() -> Column:
+    """A random 32-digit hex id."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))

@@ -57,37 +57,53 @@ def compare_populations(populations: dict[str, DataFrame], col: str, lo: float,
     return q.histogram(allp, col, lo, hi, bins, ["population"])
 
 
+def _volume_stages(pool: DataFrame, key: str, trip: str, time: str, window_s: float, max_per_trip: int, row_key: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored stages of the study: trip roles, features with roles, fault windows
+    of the held-out trips."""
+    tk = [key, trip]
+    roles = materialize(sp.hold_out_last(q.trip_bounds(pool, tk, time), key, trip), "roles")
+    fx = ft.population_features(pool, window_s, tk, time=time)
+    fx = materialize(fx.join(roles.where("role <> 'rejected'").select(*tk, "role"), tk), "features")
+    test = fx.where("role = 'test'").select(*tk, time, *row_key, *fa.POOL_FEATURES)
+    wins = fa.dense_windows(test, fa.POOL_FEATURES, tk, time, max_per_trip).withColumn("window_id", F.xxhash64(trip, "chunk"))
+    return roles, fx, materialize(wins, "windows")
+
+
+def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id", trip: str = "trip", time: str = "time", max_windows_per_trip: int = 5,
+                 min_windows: int = 15, row_key: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Vehicles the sweep leaves out, with the reason."""
+    roles, _, wins = _volume_stages(pool, key, trip, time, window_s, max_windows_per_trip, row_key)
+    n_win = wins.groupBy(key).agg(F.count_distinct("window_id").alias("n_windows"))
+    few = F.concat(F.lit("only "), F.coalesce("n_windows", F.lit(0)).cast("string"), F.lit(" fault windows"))
+    rejected = roles.where("role = 'rejected'").select(key).distinct().select(key, F.lit("too few trips to hold any out").alias("reason"))
+    tested = roles.where("role = 'test'").select(key).distinct().join(n_win, key, "left").where(F.coalesce("n_windows", F.lit(0)) < min_windows)
+    return rejected.unionByName(tested.select(key, few.alias("reason")))
+
+
 def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 30), window_s: float = 30, powertrain: str = "ICE", key: str = "vehicle_id",
                  trip: str = "trip", time: str = "time", n_trees: int = fo.N_TREES, max_windows_per_trip: int = 5, min_windows: int = 15,
-                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",)) -> tuple[DataFrame, DataFrame]:
+                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",)) -> DataFrame:
     """For every vehicle and training step, an own model and its detection
-    rates on the vehicle's held-out trips; and the reasons of what was skipped.
+    rates on the vehicle's held-out trips.
 
     One job over all vehicles.  Features are computed once per trip (they are
     causal and per trip, so a step's features are those of its trips), steps
     multiply rows only after that, and models are keyed (vehicle, step).
     """
     feats, tk, mk = fa.POOL_FEATURES, [key, trip], [key, "day_cutoff"]
-    bounds = q.trip_bounds(pool, tk, time)
-    roles = materialize(sp.hold_out_last(bounds, key, trip), "roles")
-    fx = ft.population_features(pool, window_s, tk, time=time)
-    fx = materialize(fx.join(roles.select(*tk, "role", "start_time", "first_time"), tk).where("role <> 'rejected'"), "features")
-
-    test = fx.where("role = 'test'").select(*tk, time, *row_key, *feats)
-    wins = fa.dense_windows(test, feats, tk, time, max_windows_per_trip)
-    wins = wins.withColumn("window_id", F.xxhash64(trip, "chunk"))
-    n_win = wins.groupBy(key).agg(F.count_distinct("window_id").alias("n_windows"))
-    ready = n_win.where(F.col("n_windows") >= min_windows).select(key)
+    roles, fx, wins = _volume_stages(pool, key, trip, time, window_s, max_windows_per_trip, row_key)
+    ready = wins.groupBy(key).agg(F.count_distinct("window_id").alias("_w")).where(F.col("_w") >= min_windows).select(key)
 
-    train_trips = sp.volume_steps(roles.where("role = 'train'"), day_cutoffs)
-    n_trips = train_trips.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_trips"), (
+    steps = sp.volume_steps(roles.where("role = 'train'").join(ready, key, "left_semi"), day_cutoffs)
+    n_trips = steps.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_trips"), (
         (F.max(F.unix_micros("start_time")) - F.min(F.unix_micros("first_time"))) / 86400e6).alias("_span"))
-    train = fx.where("role = 'train'").dropna(subset=feats).join(train_trips.select(*tk, "day_cutoff"), tk).join(ready, key, "left_semi")
+    train = fx.where("role = 'train'").dropna(subset=feats).join(steps.select(*tk, "day_cutoff"), tk)
     sizes = train.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_rows"), *[F.stddev_samp(c).alias(f"_sd_{c}") for c in fa.POOL_FAULTS.values()])
     sizes = materialize(sizes.where(F.col("n_train_rows") >= min_rows).join(n_trips, mk), "sizes")
     nodes = materialize(fo.fit_forests(train.join(sizes.select(*mk), mk, "left_semi"), feats, mk, row_key, n_trees), "forests")
 
-    scored = fo.score_many(test.dropna(subset=feats).join(sizes.select(*mk), key), nodes, feats, mk)
+    test = fx.where("role = 'test'").dropna(subset=feats).select(key, *row_key, *feats)
+    scored = fo.score_many(test.join(sizes.select(*mk), key), nodes, feats, mk)
     lim = percentiles(materialize(scored.select(*mk, "score"), "scores"), "score", list(fa.REFERENCE_FPR), mk)
     named = {f"detect_rate_at_{int(round(f * 100))}pct_fpr": f for f in fa.REFERENCE_FPR}
     lim = lim.groupBy(*mk).agg(*[F.max(F.when(F.col("p") == F.lit(float(f)), F.col("value"))).alias(f"_t_{n}") for n, f in named.items()])
@@ -100,13 +116,8 @@ def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 3
     for f, c in fa.POOL_FAULTS.items():
         hit = hit.withColumn(c, F.when(F.col("fault_type") == f, F.col(c) + F.col("magnitude")).otherwise(F.col(c)))
     case = [*mk, "fault_type", "std_multiple", "magnitude"]
-    hit = fo.score_many(hit.select(*case, "window_id", *row_key, *feats), nodes, feats, mk).join(lim, mk)
-    per = hit.groupBy(*case, "window_id").agg(*[F.max((F.col("score") < F.col(f"_t_{n}")).cast("double")).alias(n) for n in named])
+    low = fo.score_many(hit.select(*case, "window_id", *row_key, *feats), nodes, feats, mk).groupBy(*case, "window_id").agg(F.min("score").alias("_low"))
+    per = low.join(lim, mk).select(*case, *[(F.col("_low") < F.col(f"_t_{n}")).cast("double").alias(n) for n in named])
     res = per.groupBy(*case).agg(F.count(F.lit(1)).alias("n_windows"), *[F.avg(n).alias(n) for n in named]).join(sizes, mk)
-    res = res.select("std_multiple", "magnitude", "n_windows", *named, F.col(key).alias("vehicle_id"), F.lit(powertrain).alias("powertrain"), "day_cutoff",
-                     "n_train_trips", "n_train_rows", F.bround("_span", 2).alias("actual_train_span_days"), "fault_type")
-
-    few = F.concat(F.lit("only "), F.coalesce("n_windows", F.lit(0)).cast("string"), F.lit(" fault windows"))
-    rejected = roles.where("role = 'rejected'").select(key).distinct().select(key, F.lit("too few trips to hold any out").alias("reason"))
-    tested = roles.where("role = 'test'").select(key).distinct().join(n_win, key, "left").where(F.coalesce("n_windows", F.lit(0)) < min_windows)
-    return res, rejected.unionByName(tested.select(key, few.alias("reason")))
+    return res.select("std_multiple", "magnitude", "n_windows", *named, F.col(key).alias("vehicle_id"), F.lit(powertrain).alias("powertrain"), "day_cutoff",
+                      "n_train_trips", "n_train_rows", F.bround("_span", 2).alias("actual_train_span_days"), "fault_type")

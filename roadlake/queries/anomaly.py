@@ -221,10 +221,6 @@ def fitted_nodes(spark, d):
 
 
 def volume(spark, d):
-    return _volume(spark, d)[0]
-
-
-def _volume(spark, d):
     t = fx.solid_trips(spark, d, 60)
     return st.volume_sweep(t, [s / 86400 for s in (130, 250, 400)], 15, n_trees=20, min_windows=3)
 
@@ -266,5 +262,5 @@ QUERIES = {
     "fit_forest_scores": (fitted, None),
     "fit_forests_per_vehicle": (fitted_nodes, None),
     "volume_sweep": (volume, None),
-    "volume_sweep_skips": (lambda s, d: _volume(s, d)[1], None),
+    "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=3), None),
 }

@@ -159,7 +159,7 @@ QUERIES = {
     "clean_pool": (clean, f"""WITH {RAW}, {STATIC} SELECT user_id, event_id, MAKE_TIMESTAMP(EPOCH_US(TIMESTAMP '2017-11-01') + ROUND((day_num - 1) * 86400000000.0::DOUBLE)::BIGINT + ROUND(offset_ms * 1000.0::DOUBLE)::BIGINT) AS time,
       speed_kmh, rpm, CASE WHEN engine_load_pct BETWEEN 0 AND 100 THEN engine_load_pct END AS engine_load_pct, engine_type FROM raw JOIN st USING (user_id)
       WHERE engine_type IN ('ICE', 'HEV') AND user_id NOT IN (SELECT user_id FROM bad)"""),
-    "parse_trip_names": (named, f"WITH {_NAMED} SELECT doc_id, source_file, date, condition FROM nf"),
+    "parse_trip_names": (lambda s, d: named(s, d).withColumn("date", F.col("date").cast("string")), f"WITH {_NAMED} SELECT doc_id, source_file, CAST(date AS VARCHAR) AS date, condition FROM nf"),
     "split_conditions": (conditions, f"WITH {_NAMED} SELECT doc_id, CASE WHEN condition IN ('normal', 'free_flow', 'traffic_jam') THEN 'pool' ELSE 'special' END AS part FROM nf"),
     "fix_double_encoding": (mojibake, "SELECT doc_id, CONCAT(SPLIT_PART(text, ' ', 1), ' [°C]') AS header FROM documents"),
     "explode_pids": (pids, f"WITH {fx.TEL} SELECT event_id, 'Engine RPM' AS pid, rpm AS value, 'rpm' AS unit FROM tel UNION ALL SELECT event_id, '0D', speed_kmh, 'km/h' FROM tel UNION ALL SELECT event_id, '04', engine_load_pct, '' FROM tel"),

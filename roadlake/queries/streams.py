@@ -74,7 +74,7 @@ def _message_files(spark, d, clean=True):
 
 def merge_stream(spark, d):
     obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, _message_files(spark, d), 1)))
-    out = run.drain_to_parquet(pairing.stored(pairing.merge_stream(obd, imu)), "merged")
+    out = run.drain_to_parquet(pairing.stored(pairing.merge_stream(obd, imu)), "merged", partition=("date",))
     return out.where("node_id <> '-1'").select(F.col("node_id").cast("int").alias("vehicle_id"), "time", *PIDS, *ACCELS)
 
 

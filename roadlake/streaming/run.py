@@ -15,12 +15,12 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
-def drain_to_parquet(stream: DataFrame, label: str, checkpoint: str | None = None) -> DataFrame:
+def drain_to_parquet(stream: DataFrame, label: str, checkpoint: str | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
     """Process what is available now into a Parquet table and read it back."""
     spark = stream.sparkSession
     path = workspace(spark, label)
-    q = (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or workspace(spark, label + "-ckpt"))
-         .outputMode("append").trigger(availableNow=True).start(path))
+    w = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or workspace(spark, label + "-ckpt"))
+    q = (w.partitionBy(*partition) if partition else w).outputMode("append").trigger(availableNow=True).start(path)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

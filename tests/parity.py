@@ -44,6 +44,15 @@ def table(cols, rows):
     return sorted(cols), sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+def family(t: str) -> str:
+    t = t.lower()
+    for name, words in (("time", ("timestamp",)), ("date", ("date",)), ("float", ("double", "float")), ("int", ("bigint", "int", "integer", "smallint", "tinyint")),
+                        ("text", ("string", "varchar")), ("bool", ("boolean",))):
+        if any(t == w or t.startswith(w) for w in words):
+            return name
+    return t
+
+
 def compare(spark, name, fn, sql, sf_dir, con=None):
     con = con or duck(sf_dir)
     df = fn(spark, sf_dir)
@@ -52,6 +61,10 @@ def compare(spark, name, fn, sql, sf_dir, con=None):
     dc, dr = table([d[0] for d in res.description], res.fetchall())
     if sc != dc:
         return f"{name}: columns {sc} vs {dc}"
+    kinds = {d[0]: family(str(d[1])) for d in res.description}
+    odd = [(n, t, kinds[n]) for n, t in df.dtypes if family(t) != kinds[n]]
+    if odd:
+        return f"{name}: types {odd}"
     if len(sr) != len(dr):
         return f"{name}: {len(sr)} rows vs {len(dr)}"
     bad = [(a, b) for a, b in zip(sr, dr) if a != b]
