@@ -132,7 +132,7 @@ def row_tradeoff(scored: DataFrame, paired: DataFrame, candidates: Sequence[floa
     th = thresholds(scored, candidates)
     det = paired.select("fault", "injected_score").crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[
         (F.avg(F.when(F.col("fault") == f, (F.col("injected_score") < F.col("threshold")).cast("double"))) * 100).alias(f"{f}_detection_pct") for f in faults])
-    return _actual_fpr(scored, th).join(det, "target_fpr_pct")
+    return _actual_fpr(scored, th).join(det, "target_fpr_pct", "left")
 
 
 def choose(table: DataFrame, target: float = 2.0, features: Sequence[str] = CAR_FEATURES) -> DataFrame:
@@ -173,7 +173,7 @@ def window_tradeoff(windows: DataFrame, scored: DataFrame, score: Scorer, train:
     low = score(inject(windows, faults)).groupBy(*wkeys, "fault").agg(F.min("score").alias("_low"))
     det = low.crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[
         F.avg(F.when(F.col("fault") == f, (F.col("_low") < F.col("threshold")).cast("double"))).alias(f"{f}_detect_rate") for f in faults])
-    return _actual_fpr(scored, th).withColumnRenamed("actual_fpr_pct", "actual_val_fpr_pct").join(det, "target_fpr_pct")
+    return _actual_fpr(scored, th).withColumnRenamed("actual_fpr_pct", "actual_val_fpr_pct").join(det, "target_fpr_pct", "left")
 
 
 def sealed_evaluation(test: DataFrame, score: Scorer, threshold: float, windows: DataFrame, faults: dict[str, tuple[str, Column | float]], confirm_sealed: bool = False,

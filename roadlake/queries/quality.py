@@ -36,7 +36,7 @@ def line(spark, d):
 
 def gap_pct(spark, d):
     g = percentile_columns(materialize(q.gaps(tel(spark, d), V), "gaps"), "gap_s", {"p50": .5, "p75": .75, "p90": .9, "p95": .95, "p99": .99})
-    return rounded(g)
+    return rounded(g, 9)  # interpolated microseconds end within nine digits, so no ties
 
 
 def pct_by_vehicle(spark, d):
@@ -106,7 +106,7 @@ QUERIES = {
     "corr_matrix": (lambda s, d: rounded(q.corr_matrix(tel(s, d), _COLS)), f"WITH {fx.TEL} " + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, ROUND(CORR({a}, {b}), 6) AS r FROM tel" for a in _COLS for b in _COLS)),
     "gap_counts": (lambda s, d: q.gap_counts(tel(s, d), V).withColumnRenamed("count", "n"), f"{_GAPS} SELECT FLOOR(gap_s * 100) / 100::DOUBLE AS gap_s, COUNT(*) AS n FROM g WHERE gap_s IS NOT NULL GROUP BY 1"),
-    "gap_quantiles": (gap_pct, f"{_GAPS} SELECT " + ", ".join(f"ROUND(QUANTILE_CONT(gap_s, {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM g"),
+    "gap_quantiles": (gap_pct, f"{_GAPS} SELECT " + ", ".join(f"ROUND(QUANTILE_CONT(gap_s, {p / 100}), 9) AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM g"),
     "score_percentiles": (lambda s, d: rounded(percentiles(tel(s, d), "rpm", _SCORES)), f"WITH {fx.TEL} " + " UNION ALL ".join(
         f"SELECT {p}::DOUBLE AS p, ROUND(QUANTILE_CONT(rpm, {p}), 6) AS value FROM tel" for p in _SCORES)),
     "score_percentiles_by_vehicle": (pct_by_vehicle, f"WITH {fx.TEL} " + " UNION ALL ".join(
@@ -120,13 +120,13 @@ QUERIES = {
         _state("driving", "NOT (speed_kmh = 0) AND NOT (rpm = 0)")])),
     "plausibility": (plaus, f"WITH {fx.TEL}, r AS (SELECT vehicle_id, 100 * AVG(({_FLAG})::INT) AS p FROM tel GROUP BY 1) SELECT vehicle_id, ROUND(p, 6) AS flag_pct, "
                      "CASE WHEN p <= 20 THEN 'plausible' ELSE 'elevated' END AS verdict FROM r"),
-    "completeness_gap": (lambda s, d: rounded(q.completeness_gap(tel(s, d), V)), _GAPS + """, m AS (SELECT vehicle_id, MEDIAN(gap_s) AS e FROM g GROUP BY 1),
+    "completeness_gap": (lambda s, d: rounded(q.completeness_gap(tel(s, d), V), 7), _GAPS + """, m AS (SELECT vehicle_id, MEDIAN(gap_s) AS e FROM g GROUP BY 1),
       l AS (SELECT vehicle_id, COUNT(*) FILTER (gap_s > 3 * e) AS loss_events, COALESCE(SUM(CASE WHEN gap_s > 3 * e THEN gap_s - e END), 0) AS lost_s FROM g JOIN m USING (vehicle_id) GROUP BY 1),
       t AS (SELECT vehicle_id, (EPOCH_US(MAX(time)) - EPOCH_US(MIN(time))) / 1000000.0::DOUBLE AS dur, COUNT(rpm) AS n1, COUNT(speed_kmh) AS n2, COUNT(coolant_temp_c) AS n3, COUNT(engine_load_pct) AS n4 FROM tel GROUP BY 1),
       x AS (SELECT *, dur / e AS ec, ROUND_EVEN(100 * n1 / (dur / e), 1) AS p1, ROUND_EVEN(100 * n2 / (dur / e), 1) AS p2, ROUND_EVEN(100 * n3 / (dur / e), 1) AS p3, ROUND_EVEN(100 * n4 / (dur / e), 1) AS p4
         FROM t JOIN m USING (vehicle_id) JOIN l USING (vehicle_id))
-      SELECT vehicle_id, ROUND(e, 6) AS expected_interval_s, ROUND(dur, 6) AS duration_s, ROUND(ec, 6) AS expected_count, loss_events, ROUND(lost_s, 6) AS lost_s, ROUND(100 * lost_s / dur, 6) AS lost_pct,
-        p1 AS rpm_pct, p2 AS speed_kmh_pct, p3 AS coolant_temp_c_pct, p4 AS engine_load_pct_pct, ROUND((p1 + p2 + p3 + p4) / 4, 6) AS overall_pct FROM x"""),
+      SELECT vehicle_id, ROUND(e, 7) AS expected_interval_s, ROUND(dur, 7) AS duration_s, ROUND(ec, 7) AS expected_count, loss_events, ROUND(lost_s, 7) AS lost_s, ROUND(100 * lost_s / dur, 7) AS lost_pct,
+        p1 AS rpm_pct, p2 AS speed_kmh_pct, p3 AS coolant_temp_c_pct, p4 AS engine_load_pct_pct, ROUND((p1 + p2 + p3 + p4) / 4, 7) AS overall_pct FROM x"""),
     "completeness_per_second": (lambda s, d: rounded(q.completeness_per_second(tel(s, d), V)), f"""WITH {fx.TEL}, s AS (SELECT *, DATE_TRUNC('second', time) AS sec FROM tel),
       t AS (SELECT vehicle_id, (EPOCH_US(MAX(time)) - EPOCH_US(MIN(time))) // 1000000 + 1 AS e, COUNT(DISTINCT CASE WHEN rpm IS NOT NULL THEN sec END) AS n1, COUNT(DISTINCT CASE WHEN speed_kmh IS NOT NULL THEN sec END) AS n2,
         COUNT(DISTINCT CASE WHEN coolant_temp_c IS NOT NULL THEN sec END) AS n3, COUNT(DISTINCT CASE WHEN engine_load_pct IS NOT NULL THEN sec END) AS n4 FROM s GROUP BY 1),

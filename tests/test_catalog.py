@@ -9,6 +9,9 @@ from roadlake.queries import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CATALOG = catalog()
+CHECKED = sorted(n for n, q in CATALOG.items() if q[1])
+if os.environ.get("TEST_FULL") != "1":
+    CHECKED = CHECKED[::3]  # TEST_FULL=1 runs them all
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +19,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in CATALOG.items() if q[1]))
+@pytest.mark.parametrize("name", CHECKED)
 def test_matches_sql(spark, con, name):
     fn, sql = CATALOG[name]
     verdict = compare(spark, name, fn, sql, SF_DIR, con)
