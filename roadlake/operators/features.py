@@ -141,7 +141,7 @@ def trail(df: DataFrame, keys: Sequence[str], n: int = 20, min_ms: int = 80, tim
     keys, gap = list(keys), min_ms * 1000
     d = df.where(F.col("accel_x").isNotNull() & F.col("accel_y").isNotNull())
     us = F.unix_micros(time)
-    a = sg.lag_time(sg.with_segment(d.select(*keys, time, tie), time, segment_s), keys, time, tie)
+    a = sg.lag_time(sg.with_segment(d.select(*keys, time, tie), time, segment_s, keys), keys, time, tie)
     a = a.where(F.col("_p").isNull() | (us - F.col("_p") >= gap))
     newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
     a = a.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)

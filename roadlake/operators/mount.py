@@ -33,7 +33,7 @@ NODE = ("vehicle_id",)
 
 def speed_accel(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """C4: backward-difference acceleration from speed; 0 for the first sample."""
-    d = sg.lag_rows(sg.with_segment(df, time, segment_s), keys, [time, tie], {"_pv": F.col("speed_kmh"), "_pt": F.unix_micros(time)})
+    d = sg.lag_rows(sg.with_segment(df, time, segment_s, keys), keys, [time, tie], {"_pv": F.col("speed_kmh"), "_pt": F.unix_micros(time)})
     dt = (F.unix_micros(time) - F.col("_pt")) / 1e6
     acc = F.when(dt > 1e-3, (F.col("speed_kmh") - F.col("_pv")) / 3.6 / dt).otherwise(0.0)
     return d.select(*df.columns, acc.alias("ref_accel"))

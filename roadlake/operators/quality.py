@@ -48,7 +48,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def gaps(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """Seconds to the previous row of the key (``gap_s``), first rows left out."""
-    d = sg.lag_time(sg.with_segment(df.select(*keys, time, tie), time, segment_s), keys, time, tie)
+    d = sg.lag_time(sg.with_segment(df.select(*keys, time, tie), time, segment_s, keys), keys, time, tie)
     d = d.where(F.col("_p").isNotNull())
     return d.select(*keys, time, tie, ((F.unix_micros(time) - F.col("_p")) / 1e6).alias("gap_s"))
 
@@ -95,7 +95,7 @@ def missing_runs(df: DataFrame, keys: Sequence[str], min_len: int = 2, time: str
     present seconds, so no missing second is ever written out."""
     keys = list(keys)
     sec = df.select(*keys, F.timestamp_seconds(F.floor(F.unix_micros(time) / 1000000)).alias("sec")).distinct()
-    d = sg.lag_time(sg.with_segment(sec, "sec", segment_s), keys, "sec", "sec")
+    d = sg.lag_time(sg.with_segment(sec, "sec", segment_s, keys), keys, "sec", "sec")
     before = F.floor(F.col("_p") / 1000000)
     n = F.unix_seconds("sec") - before - 1
     return d.where(n >= min_len).select(*keys, F.timestamp_seconds(before + 1).alias("run_start"), n.alias("run_len"))
@@ -183,7 +183,7 @@ def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x"))
     vc = long.select("_x.column", "_x.v").where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     top = vc.groupBy("column").agg((F.max("n") / F.sum("n")).alias("top_share"))
-    d = sg.lag_rows(sg.with_segment(df, time, segment_s), keys, [time, tie], {f"_p_{c}": F.col(c) for c in cols})
+    d = sg.lag_rows(sg.with_segment(df, time, segment_s, keys), keys, [time, tie], {f"_p_{c}": F.col(c) for c in cols})
     both = lambda c: F.col(c).isNotNull() & F.col(f"_p_{c}").isNotNull()
     one = d.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(F.when(both(c), (F.col(c) != F.col(f"_p_{c}")).cast("double"))).alias("change_share"))
                           for c in cols]).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.column", "_c.change_share")
@@ -193,7 +193,7 @@ def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str
 def stretches(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """Runs of one state: its value, start, length in seconds and rows (W5 folded)."""
     keys = list(keys)
-    d = sg.runs(sg.with_segment(df.select(*keys, time, tie, state.alias("_st")), time, segment_s), keys, [time, tie], F.col("_st"))
+    d = sg.runs(sg.with_segment(df.select(*keys, time, tie, state.alias("_st")), time, segment_s, keys), keys, [time, tie], F.col("_st"))
     us = F.unix_micros(time)
     return d.groupBy(*keys, "run_id").agg(
         F.max("state").alias("state"), F.min(time).alias("run_start"), F.count(F.lit(1)).alias("n_rows"), ((F.max(us) - F.min(us)) / 1e6).alias("length_s"))
@@ -208,7 +208,7 @@ def stretch_stats(df: DataFrame, keys: Sequence[str], on: Column, short_s: float
 
 def run_position(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
     """Rows with the state, number and 0-based position of their run."""
-    return sg.runs(sg.with_segment(df, time, segment_s), keys, [time, tie], state).drop(sg.SEG)
+    return sg.runs(sg.with_segment(df, time, segment_s, keys), keys, [time, tie], state).drop(sg.SEG)
 
 
 def flag_by_run_age(df: DataFrame, flag: str, split_at: int = 60) -> DataFrame:

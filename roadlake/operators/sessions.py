@@ -69,7 +69,7 @@ def feed_health(df: DataFrame, keys: list[str], arrival: str, sent: str, n: int
     many earlier segments.
     """
     keep, us = n - 1, F.unix_micros(arrival)
-    d = sg.with_segment(df, arrival, segment_s)
+    d = sg.with_segment(df, arrival, segment_s, keys)
     here = Window.partitionBy(*keys, sg.SEG).orderBy(arrival, tie)
     back = Window.partitionBy(*keys, sg.SEG).orderBy(F.desc("_us"))
     slim = d.select(*keys, sg.SEG, us.alias("_us"))

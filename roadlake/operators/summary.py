@@ -21,7 +21,7 @@ IDLE_KMH = 1.0
 HARSH_G = 0.30
 START_KMH = 2.0
 TARGET_KMH = 60.0
-SEGMENT_S = 60
+SPAN = sg.Adaptive(60)  # a session gathers the rows of every node, so spans may be crowded
 
 PID_STATS = ["speed_kmh", "rpm", "throttle_pct", "coolant_temp_c", "engine_load_pct"]
 
@@ -37,15 +37,15 @@ def gap_seconds(t_us: Column, prev_us: Column, max_gap: float = MAX_GAP_S) -> Co
 
 
 def with_dt(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "event_id", max_gap: float = MAX_GAP_S,
-            segment_s: float = SEGMENT_S) -> DataFrame:
+            segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Adds ``dt_s``."""
-    d = sg.with_segment(df, time, segment_s)
+    d = sg.with_segment(df, time, segment_s, keys)
     d = sg.lag_time(d, keys, time, tie, "_pt")
     return d.select(*df.columns, gap_seconds(F.unix_micros(time), F.col("_pt"), max_gap).alias("dt_s"))
 
 
-def _minutes(rows: DataFrame, keys: list[str], time: str, tie: str, target: float, start: float, segment_s: float) -> DataFrame:
-    d = sg.with_segment(rows, time, segment_s)
+def _minutes(rows: DataFrame, keys: list[str], time: str, tie: str, target: float, start: float, segment_s: float | sg.Adaptive) -> DataFrame:
+    d = sg.with_segment(rows, time, segment_s, keys)
     us = F.unix_micros(time)
     v = F.col("speed_kmh").cast("double")
     d = d.select(
@@ -88,7 +88,7 @@ def _minutes(rows: DataFrame, keys: list[str], time: str, tie: str, target: floa
 
 
 def summarize(rows: DataFrame, keys: Sequence[str] = ("session_id",), time: str = "time", tie: str = "event_id",
-              target_kmh: float = TARGET_KMH, start_kmh: float = START_KMH, segment_s: float = SEGMENT_S) -> DataFrame:
+              target_kmh: float = TARGET_KMH, start_kmh: float = START_KMH, segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """One summary row per key from rows joined to their sessions."""
     keys = list(keys)
     m = _minutes(rows, keys, time, tie, target_kmh, start_kmh, segment_s)
@@ -129,11 +129,11 @@ def summarize(rows: DataFrame, keys: Sequence[str] = ("session_id",), time: str
 
 
 def speed_trace_rows(rows: DataFrame, keys: Sequence[str] = ("session_id",), time: str = "time", tie: str = "event_id",
-                     points: int = 60, segment_s: float = SEGMENT_S) -> DataFrame:
+                     points: int = 60, segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """W10 as rows: at most ``points`` evenly spaced non-null speeds per key."""
     keys = list(keys)
     d = rows.where(F.col("speed_kmh").isNotNull()).select(*keys, time, tie, "speed_kmh")
-    d = sg.row_index(sg.with_segment(d, time, segment_s), keys, [time, tie], "i", total="n")
+    d = sg.row_index(sg.with_segment(d, time, segment_s, keys), keys, [time, tie], "i", total="n")
     last = points - 1
     # row i is kept when some grid step k has floor(k*(n-1)/last) == i
     k = F.ceil(F.col("i") * last / F.greatest(F.col("n") - 1, F.lit(1)))

@@ -10,11 +10,24 @@ once, on (key, segment); the border table is built from a partial aggregate.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlake.session import materialize
+
 SEG = "_seg"
+_PARTS = 1 << 20
+_SMALL = 500_000
+
+
+@dataclass(frozen=True)
+class Adaptive:
+    """Time spans of ``seconds``, those with more than ``target`` rows cut finer."""
+
+    seconds: float
+    target: int = 2_000_000
 
 
 def time_segment(time: str | Column, seconds: float) -> Column:
@@ -23,8 +36,26 @@ def time_segment(time: str | Column, seconds: float) -> Column:
     return F.floor(F.unix_micros(c) / F.lit(int(seconds * 1_000_000))).cast("long")
 
 
-def with_segment(df: DataFrame, time: str, seconds: float) -> DataFrame:
-    return df.withColumn(SEG, time_segment(time, seconds))
+def with_segment(df: DataFrame, time: str, span: float | Adaptive, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the segment column: fixed spans of seconds, or adaptive ones.
+
+    Fixed spans suit keys whose rows come at a sensor's rate.  Where many sources
+    share a key, :class:`Adaptive` first counts rows per (key, span), a pass over
+    two columns with map-side combine, and cuts crowded spans into eight equal
+    parts per target they hold (rows may be uneven inside a span too).
+    """
+    if not isinstance(span, Adaptive):
+        return df.withColumn(SEG, time_segment(time, span))
+    keys, width = list(keys), int(span.seconds * 1_000_000)
+    base = time_segment(time, span.seconds)
+    hot = df.groupBy(*keys, base.alias("_base")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span.target)
+    hot = materialize(hot.select(*keys, "_base", F.least(F.ceil(F.col("_n") * 8 / span.target), F.lit(_PARTS)).alias("_parts")), "hot-spans")
+    n_hot = hot.limit(_SMALL + 1).count()
+    if not n_hot:
+        return df.withColumn(SEG, base * _PARTS)
+    d = df.withColumn("_base", base).join(F.broadcast(hot) if n_hot <= _SMALL else hot, [*keys, "_base"], "left")
+    part = F.floor((F.unix_micros(time) - F.col("_base") * width) / F.lit(float(width)) * F.coalesce("_parts", F.lit(1)))
+    return d.select(*df.columns, (F.col("_base") * _PARTS + part).cast("long").alias(SEG))
 
 
 def suggest_seconds(df: DataFrame, keys: Sequence[str], time: str, seconds: float = 3600, target: int = 2_000_000) -> float:
@@ -137,9 +168,9 @@ def rising_edge(df: DataFrame, keys: Sequence[str], order: Sequence[str], mask:
     return d.select(*df.columns, (F.col("_m") & ~F.coalesce("_pm", F.lit(False))).alias(name))
 
 
-def value_segment(col: str | Column) -> Column:
-    """Order-keeping bin of a number (4096 per power of two), the segment column
+def value_segment(col: str | Column, per_octave: int = 4096) -> Column:
+    """Order-keeping bin of a number (so many per power of two), the segment column
     of computations ordered by value rather than time."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    mag = F.floor((F.log2(F.abs(c)) + F.lit(1100.0)) * F.lit(4096.0))
+    mag = F.floor((F.log2(F.abs(c)) + F.lit(1100.0)) * F.lit(float(per_octave)))
     return F.when(c == 0, F.lit(0)).otherwise(F.signum(c) * mag).cast("long")

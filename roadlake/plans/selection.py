@@ -26,7 +26,7 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str]
     by = list(by)
     v = F.col(col).cast("double")
     base = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    base = base.withColumn("_b", value_segment("_v"))
+    base = base.withColumn("_b", value_segment("_v", 16384))
 
     bins = base.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

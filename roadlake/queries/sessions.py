@@ -123,7 +123,7 @@ def with_dt(spark, d):
 
 
 def rising(spark, d):
-    j = sg.with_segment(joined(spark, d), "time", 60)
+    j = sg.with_segment(joined(spark, d), "time", sg.Adaptive(60), ["session_id"])
     return sg.rising_edge(j, ["session_id"], ["time", "event_id"], F.col("accel_y") > 2.0).select("session_id", "event_id", "edge")
 
 

@@ -51,6 +51,16 @@ def test_lag_matches_plain_window(skewed):
     same(sg.lag_time(skewed, ["k"], "time", "event_id", "q"), skewed.select("event_id", F.lag("us").over(win()).alias("q")), "q")
 
 
+def test_crowded_spans_are_cut(skewed):
+    plain = skewed.drop(sg.SEG)
+    d = sg.with_segment(plain, "time", sg.Adaptive(300, target=60), ["k"])
+    biggest = lambda x: x.groupBy("k", sg.SEG).count().agg(F.max("count")).first()[0]
+    assert biggest(d) < biggest(sg.with_segment(plain, "time", 300)) / 2
+    same(sg.lag_rows(d, ["k"], ORDER, {"p": F.col("v")}), skewed.select("event_id", F.lag("v").over(win()).alias("p")), "p")
+    calm = sg.with_segment(plain, "time", sg.Adaptive(300, target=10_000), ["k"])
+    same(sg.lag_time(calm, ["k"], "time", "event_id", "q"), skewed.select("event_id", F.lag("us").over(win()).alias("q")), "q")
+
+
 def test_running_sum_and_index_match(skewed):
     got = sg.running_sum(skewed, ["k"], ORDER, {"s": F.col("v")})
     want = skewed.select("event_id", F.coalesce(F.sum("v").over(win().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("s"))

@@ -11,6 +11,7 @@ from roadlake.functions import scalars as sc
 from roadlake.operators import sessions as so
 from roadlake.operators import summary as sm
 from roadlake.operators.quality import missing_runs
+from roadlake.plans.segmented import Adaptive
 
 T0 = 1_704_067_200_000_000
 G = 9.80665
@@ -53,7 +54,7 @@ def loop(rows):
     return (len(rows), round(dist / 1000, 6), round(100 * idle / tracked, 6) if tracked else None, round(max(peaks), 6) if peaks else None, events[1], events[-1], best)
 
 
-@pytest.mark.parametrize("segment", [3, 60])
+@pytest.mark.parametrize("segment", [3, 60, Adaptive(120, 40)])
 def test_summary_matches_loop(spark, segment):
     rng = random.Random(11)
     rows, i = [], 0

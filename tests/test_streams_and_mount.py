@@ -212,7 +212,7 @@ HEAD = ("Time,Engine Coolant Temperature [°C],Intake Manifold Absolute Pressure
 
 def test_trip_files(spark, tmp_path):
     body = lambda clocks: "".join(f"{c},80,100,{900 + i},10,20,3,83.5,15,14,14\n" for i, c in enumerate(clocks))
-    (tmp_path / "2018-03-21_Car_KA_RT_Normal.csv").write_text(HEAD + "\n" + body(["23:59:59.900", "00:00:00.100", "23:59:00.000", "00:00:01.000"]), encoding="utf-8")
+    (tmp_path / "2018-03-21_Car_A_B_Normal.csv").write_text(HEAD + "\n" + body(["23:59:59.900", "00:00:00.100", "23:59:00.000", "00:00:01.000"]), encoding="utf-8")
     (tmp_path / "2017-07-05_Car_Stau.csv").write_bytes((HEAD.replace(",", ", ") + "\n").encode("utf-8").decode("latin-1").encode("utf-8") + body(["10:00:00.000"]).encode())
     rows = sorted(fs.load_trips(spark, str(tmp_path)).collect(), key=lambda r: (r.trip_id, r.rpm))
     assert [(r.trip_id, r.condition, r.timestamp.strftime("%m-%d %H:%M:%S.%f")[:-3]) for r in rows] == [
