@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.plans.segmented import value_segment
+from roadlake.session import materialize
 
+_SMALL = 200_000
 
-def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (), weighted: str | None = None) -> DataFrame:
+
+def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated percentiles: one row per (group, p) with ``value``.
 
-    Nulls are skipped; groups without values give no row.  ``df`` is read twice:
-    hand in a stored or cheap input.
+    Nulls are skipped; groups without values give no row.  ``df`` is read twice,
+    the first time at once: hand in a stored or cheap input.
     """
     by = list(by)
     v = F.col(col).cast("double")
@@ -37,11 +40,12 @@ def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str]
     wanted = bins.withColumn("p", asks).withColumn("_pos", F.col("p") * (F.col("_tot") - 1))
     wanted = wanted.withColumn("_k", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
     wanted = wanted.where((F.col("_k") >= F.col("_lo")) & (F.col("_k") < F.col("_lo") + F.col("_n")))
-    wanted = wanted.select(*by, "_b", "_lo", "p", "_pos", "_k").distinct()
+    # at most two rows per group and percentile; stored, so the first pass runs once
+    wanted = materialize(wanted.select(*by, "_b", "_lo", "p", "_pos", "_k").distinct(), "ranks")
 
     hit_bins = wanted.select(*by, "_b", "_lo").distinct()
-    if not by:
-        hit_bins = F.broadcast(hit_bins)  # at most two bins per asked percentile
+    if wanted.limit(_SMALL + 1).count() <= _SMALL:
+        hit_bins = F.broadcast(hit_bins)
     inner = base.join(hit_bins, [*by, "_b"]).groupBy(*by, "_b", "_lo", "_v").agg(F.count(F.lit(1)).alias("_c"))
     cum = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = inner.withColumn("_end", F.col("_lo") + F.sum("_c").over(cum))
