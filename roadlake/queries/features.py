@@ -25,7 +25,7 @@ def _pop_sql(w: int) -> str:
             f"WHERE t1 - t0 >= INTERVAL {w} SECOND AND time >= t0 + INTERVAL {w} SECOND")
 
 
-_KIT = _roll(60) + (", kit AS (SELECT * FROM f0 WHERE since >= 60 AND coolant_temp_c_dev IS NOT NULL AND rpm_dev IS NOT NULL AND speed_kmh IS NOT NULL)")
+_CAR = _roll(60) + (", car AS (SELECT * FROM f0 WHERE since >= 60 AND coolant_temp_c_dev IS NOT NULL AND rpm_dev IS NOT NULL AND speed_kmh IS NOT NULL)")
 
 
 def tr(s, d):
@@ -41,13 +41,13 @@ def rolling_sql(spark, d):
     return rounded(ft.rolling_median_dev_sql(tr(spark, d), ["rpm"], 30).select(*_K, "rpm_dev"))
 
 
-def kit(spark, d):
+def car(spark, d):
     return ft.single_car_features(tr(spark, d), 60)[0]
 
 
-def kit_1hz(spark, d):
+def car_1hz(spark, d):
     cols = ["coolant_temp_c_dev", "rpm_dev", "speed_kmh"]
-    return rounded(ft.resample_last(kit(spark, d), cols, required=cols))
+    return rounded(ft.resample_last(car(spark, d), cols, required=cols))
 
 
 def resample(spark, d):
@@ -133,10 +133,10 @@ QUERIES = {
     "rolling_median_sql": (rolling_sql, f"WITH {_roll(30)} SELECT vehicle_id, trip, event_id, ROUND(rpm_dev, 6) AS rpm_dev FROM f0"),
     "population_features_60s": (lambda s, d: rounded(ft.population_features(tr(s, d), 60)), _pop_sql(60)),
     "population_features_30s": (lambda s, d: rounded(ft.population_features(tr(s, d), 30)), _pop_sql(30)),
-    "single_car_features": (lambda s, d: rounded(kit(s, d).select(*_K, "coolant_temp_c_dev", "rpm_dev", "speed_kmh", "seconds_since_start")),
-                            f"WITH {_KIT} SELECT vehicle_id, trip, event_id, ROUND(coolant_temp_c_dev, 6) AS coolant_temp_c_dev, ROUND(rpm_dev, 6) AS rpm_dev, speed_kmh, ROUND(since, 6) AS seconds_since_start FROM kit"),
-    "single_car_1hz": (kit_1hz, f"""WITH {_KIT} SELECT vehicle_id, trip, DATE_TRUNC('second', time) AS time, ROUND(ARG_MAX(coolant_temp_c_dev, (time, event_id)), 6) AS coolant_temp_c_dev,
-      ROUND(ARG_MAX(rpm_dev, (time, event_id)), 6) AS rpm_dev, ARG_MAX(speed_kmh, (time, event_id)) AS speed_kmh FROM kit GROUP BY 1, 2, 3"""),
+    "single_car_features": (lambda s, d: rounded(car(s, d).select(*_K, "coolant_temp_c_dev", "rpm_dev", "speed_kmh", "seconds_since_start")),
+                            f"WITH {_CAR} SELECT vehicle_id, trip, event_id, ROUND(coolant_temp_c_dev, 6) AS coolant_temp_c_dev, ROUND(rpm_dev, 6) AS rpm_dev, speed_kmh, ROUND(since, 6) AS seconds_since_start FROM car"),
+    "single_car_1hz": (car_1hz, f"""WITH {_CAR} SELECT vehicle_id, trip, DATE_TRUNC('second', time) AS time, ROUND(ARG_MAX(coolant_temp_c_dev, (time, event_id)), 6) AS coolant_temp_c_dev,
+      ROUND(ARG_MAX(rpm_dev, (time, event_id)), 6) AS rpm_dev, ARG_MAX(speed_kmh, (time, event_id)) AS speed_kmh FROM car GROUP BY 1, 2, 3"""),
     "resample_1hz": (resample, f"WITH {TR} SELECT vehicle_id, trip, DATE_TRUNC('second', time) AS time, " + ", ".join(
         f"ARG_MAX({c}, (time, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("speed_kmh", "rpm", "engine_load_pct")) + " FROM trips GROUP BY 1, 2, 3"),
     "seconds_since_start": (lambda s, d: rounded(ft.seconds_since_start(tr(s, d)).select(*_K, "seconds_since_start")),
