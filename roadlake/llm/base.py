@@ -24,6 +24,14 @@ def row_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that the table does not have."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
