@@ -50,7 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     whole = Window.partitionBy()
     s = s.withColumn("total", F.sum("source_size").over(whole).cast("double"))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(below), F.lit(0.0))) / F.sum("w").over(rest))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(whole))
+    s = s.withColumn("place", F.row_number().over(Window.orderBy("reach", F.col("source").isNull(), F.col("source").cast("binary"))))
+    s = s.withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("reach"), F.col("place"))).over(whole))
     return s.select("source", "source_size", F.least("most", F.coalesce("level", F.lit(0.0)) * F.col("w")).alias("target"))
 
 
@@ -119,8 +120,9 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)
   source_size * {CAP}::DOUBLE AS most, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
 r AS (SELECT *, most / w AS reach FROM w),
 l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY reach, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-  / sum(w) OVER (ORDER BY reach, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-t AS (SELECT source, source_size, least(most, coalesce(min(level) FILTER (WHERE level <= reach) OVER (), 0.0) * w) AS target FROM l),
+  / sum(w) OVER (ORDER BY reach, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER (ORDER BY reach, source IS NULL, encode(source)) AS place FROM r),
+t AS (SELECT source, source_size, least(most, coalesce(arg_min(level, place) FILTER (WHERE level <= reach) OVER (), 0.0) * w) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
