@@ -88,10 +88,10 @@ def _verified(keyed: DataFrame, items: DataFrame, pairs: DataFrame, k: int, cont
 
 #: DuckDB: exact containment of every item in every document.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), p -> array_to_string(w[p : p + 4], ' '))) AS s FROM d WHERE len(w) > 0),
-si AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), p -> array_to_string(w[p : p + 4], ' '))) AS s FROM i WHERE len(w) > 0),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p : p + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+si AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda p: array_to_string(w[p : p + 4], ' '))) AS s FROM i WHERE len(w) > 0),
 n AS (SELECT item_id, count(*)::BIGINT AS n_shingles FROM si GROUP BY item_id),
 f AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_found FROM ds JOIN si USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f JOIN n USING (item_id) WHERE n_found >= n_shingles * 0.8::DOUBLE

@@ -181,10 +181,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 #: DuckDB: whole tables, plain windows.
 SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS at FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS nr FROM documents),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 r AS (SELECT key, max(doc_id) AS stays FROM k WHERE len(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-d AS (SELECT k.doc_id, k.line, k.at, r.stays IS NOT NULL AND k.doc_id < r.stays AS gone FROM k LEFT JOIN r ON k.key = r.key)
+d AS (SELECT k.doc_id, k.line, k.nr, r.stays IS NOT NULL AND k.doc_id < r.stays AS gone FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id
 """

@@ -109,7 +109,8 @@ class PrefixCounter:
         """Exact tokens of ``text[:chars]`` alone, from the stored boundaries and one piece's table.
 
         A prefix ends inside one piece; its own split differs from the text's only in a trailing run of
-        white space (one piece) and in a cut contraction (an apostrophe and letters).
+        white space (one piece), in a cut contraction (an apostrophe and letters) and in a cut special
+        string (plain text, counted by pieces from the special string before it).
         """
         from bisect import bisect_left
 
@@ -128,7 +129,12 @@ class PrefixCounter:
             return self.count_prefix(text, ends, counts, tail) + self.count_piece(text[tail:chars])
         cut = text[start:chars]
         before = counts[k - 1] if k else 0
-        if piece in self.splitter.specials or (piece in _CONTRACTIONS and len(cut) < len(piece)):
+        if piece in self.splitter.specials:  # a cut one is plain text, and joins what stands before it
+            begin = k
+            while begin and text[ends[begin - 2] if begin > 1 else 0 : ends[begin - 1]] not in self.splitter.specials:
+                begin -= 1
+            return (counts[begin - 1] if begin else 0) + self.count(text[ends[begin - 1] if begin else 0 : chars])
+        if piece in _CONTRACTIONS and len(cut) < len(piece):
             return before + self.count(cut)
         return before + self.table(piece)[len(cut.encode())]
 
