@@ -24,10 +24,12 @@ def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def fix_double_encoding(c: str | Column) -> Column:
     """S2 on a text column: undo one layer of UTF-8 read as Latin-1, only where
-    the tell-tale two-character degree sign is present."""
+    the tell-tale two-character degree sign is present.  Where the rest of the text
+    was not read that way too, only that sign is repaired."""
     col = F.col(c) if isinstance(c, str) else c
-    repaired = F.decode(F.encode(col, "ISO-8859-1"), "UTF-8")
-    return F.when(col.contains("Â°"), repaired).otherwise(col)
+    sign = F.replace(col, F.lit("Â°"), F.lit("°"))
+    latin = F.when(~col.rlike(r"[^\x{0}-\x{FF}]"), F.try_validate_utf8(F.encode(col, "ISO-8859-1").cast("string")))
+    return F.when(col.contains("Â°"), F.coalesce(latin, sign)).otherwise(col)
 
 
 def parse_trip_name(df: DataFrame, file_col: str) -> DataFrame:

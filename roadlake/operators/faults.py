@@ -53,31 +53,35 @@ def _valid(d: DataFrame, wkeys: list[str], features: Sequence[str]) -> DataFrame
 
 
 def time_windows(df: DataFrame, features: Sequence[str] = POOL_FEATURES, keys: Sequence[str] = ("vehicle_id", "trip"), time: str = "time",
-                 n_trips: int = 300, u: Column | None = None, order: Column | None = None, seed: int = 42, size_s: int = WINDOW_S) -> DataFrame:
-    """M7: one random window of ``size_s`` seconds per trip, from the first
-    ``n_trips`` trips (in shuffled order) whose window is valid."""
+                 n_trips: int | None = None, u: Column | None = None, order: Column | None = None, seed: int = 42, size_s: int = WINDOW_S) -> DataFrame:
+    """M7: one random window of ``size_s`` seconds per trip, from every trip whose
+    window is valid; with ``n_trips``, from the first so many in shuffled order."""
     keys, us = list(keys), F.unix_micros(time)
     b = df.groupBy(*keys).agg(F.min(us).alias("_a"), F.max(us).alias("_b"))
     b = b.where(F.col("_b") - F.col("_a") >= size_s * 1_000_000)
     off = F.floor((u if u is not None else trip_unit(keys, seed)) * (F.col("_b") - F.col("_a") - size_s * 1_000_000))
     b = b.select(*keys, (F.col("_a") + off).alias("_w"))
     d = df.join(b, keys).where((us >= F.col("_w")) & (us < F.col("_w") + size_s * 1_000_000)).drop("_w")
-    pick = _valid(d, keys, features).orderBy(order if order is not None else trip_unit(keys, seed + 7), *keys).limit(n_trips)
-    return d.join(F.broadcast(pick), keys)  # at most n_trips rows
+    pick = _valid(d, keys, features)
+    if n_trips is not None:
+        pick = pick.orderBy(order if order is not None else trip_unit(keys, seed + 7), *keys).limit(n_trips)
+    return d.join(pick, keys, "left_semi").select(*df.columns)
 
 
 def dense_windows(df: DataFrame, features: Sequence[str] = POOL_FEATURES, keys: Sequence[str] = ("vehicle_id", "trip"), time: str = "time",
-                  max_per_trip: int = 5, order: Column | None = None, seed: int = 42, size_s: int = WINDOW_S) -> DataFrame:
-    """M8: up to ``max_per_trip`` whole, non-overlapping windows per trip, drawn
-    before their validity is looked at; adds ``chunk``."""
+                  max_per_trip: int | None = None, order: Column | None = None, seed: int = 42, size_s: int = WINDOW_S) -> DataFrame:
+    """M8: the whole, non-overlapping windows of each trip that are valid; with
+    ``max_per_trip``, of so many drawn before their validity is looked at; adds ``chunk``."""
     keys, us, w = list(keys), F.unix_micros(time), size_s * 1_000_000
     b = df.groupBy(*keys).agg(F.min(us).alias("_a"), F.max(us).alias("_b"))
     b = b.select(*keys, "_a", F.floor((F.col("_b") - F.col("_a")) / w).cast("int").alias("_nc")).where("_nc >= 1")
-    chunks = b.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("chunk"))
-    o = order if order is not None else F.xxhash64(*[F.col(k) for k in keys], F.col("chunk"), F.lit(seed))
-    win = Window.partitionBy(*keys).orderBy(o, "chunk")
-    drawn = chunks.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= max_per_trip).drop("_r")
-    d = df.join(b, keys).withColumn("chunk", F.floor((us - F.col("_a")) / w).cast("int")).drop("_a", "_nc").join(drawn, [*keys, "chunk"])
+    d = df.join(b, keys).withColumn("chunk", F.floor((us - F.col("_a")) / w).cast("int")).where(F.col("chunk") < F.col("_nc")).drop("_a", "_nc")
+    if max_per_trip is not None:
+        chunks = b.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("chunk"))
+        o = order if order is not None else F.xxhash64(*[F.col(k) for k in keys], F.col("chunk"), F.lit(seed))
+        win = Window.partitionBy(*keys).orderBy(o, "chunk")
+        drawn = chunks.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= max_per_trip).drop("_r")
+        d = d.join(drawn, [*keys, "chunk"])
     return d.join(_valid(d, [*keys, "chunk"], features), [*keys, "chunk"], "left_semi").select(*df.columns, "chunk")
 
 
@@ -119,20 +123,26 @@ def thresholds(scored: DataFrame, pcts: Sequence[float], by: Sequence[str] = ())
     return p.select(*by, F.round(F.col("p") * 100, 6).alias("target_fpr_pct"), F.col("value").alias("threshold"))
 
 
-def _actual_fpr(scored: DataFrame, th: DataFrame) -> DataFrame:
-    """Share of ordinary rows strictly below each threshold (th is a short list)."""
-    d = scored.where("score IS NOT NULL").select("score").crossJoin(F.broadcast(th))
-    return d.groupBy("target_fpr_pct", "threshold").agg((F.avg((F.col("score") < F.col("threshold")).cast("double")) * 100).alias("actual_fpr_pct"))
+def _shares(scores: DataFrame, score: str, limits: list[tuple[float, float]], named: dict[str, Column], scale: float) -> DataFrame:
+    """(target_fpr_pct, threshold, one column per name): the share of scores strictly below each
+    threshold under each condition, all thresholds in one aggregate over the rows."""
+    below = [[F.avg(F.when(cond & F.col(score).isNotNull(), (F.col(score) < F.lit(t)).cast("double"))) * scale for cond in named.values()] for _, t in limits]
+    rows = F.array(*[F.struct(F.lit(p).alias("target_fpr_pct"), F.lit(t).alias("threshold"), *[c.alias(n) for n, c in zip(named, b, strict=True)]) for (p, t), b in zip(limits, below, strict=True)])
+    return scores.agg(rows.alias("_t")).select(F.inline("_t"))
+
+
+def _limits(scored: DataFrame, candidates: Sequence[float]) -> list[tuple[float, float]]:
+    """The thresholds as numbers: one for each candidate."""
+    return sorted((r["target_fpr_pct"], r["threshold"]) for r in thresholds(scored, candidates).collect())
 
 
 def row_tradeoff(scored: DataFrame, paired: DataFrame, candidates: Sequence[float] = CAR_CANDIDATES, faults: Sequence[str] = tuple(CAR_FAULTS)) -> DataFrame:
     """Threshold candidates with their real false-positive rate and the
     share of fault rows each detects."""
     scored = materialize(scored.select("score"), "scores")  # read three times below
-    th = thresholds(scored, candidates)
-    det = paired.select("fault", "injected_score").crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[
-        (F.avg(F.when(F.col("fault") == f, (F.col("injected_score") < F.col("threshold")).cast("double"))) * 100).alias(f"{f}_detection_pct") for f in faults])
-    return _actual_fpr(scored, th).join(det, "target_fpr_pct", "left")
+    limits = _limits(scored, candidates)
+    det = _shares(paired, "injected_score", limits, {f"{f}_detection_pct": F.col("fault") == f for f in faults}, 100)
+    return _shares(scored, "score", limits, {"actual_fpr_pct": F.lit(True)}, 100).join(F.broadcast(det), ["target_fpr_pct", "threshold"])
 
 
 def choose(table: DataFrame, target: float = 2.0, features: Sequence[str] = CAR_FEATURES) -> DataFrame:
@@ -169,11 +179,10 @@ def window_tradeoff(windows: DataFrame, scored: DataFrame, score: Scorer, train:
     """Candidates with real FPR and per-window detection of each fault."""
     faults = std_faults(train, multiple)
     scored = materialize(scored.select("score"), "scores")
-    th = thresholds(scored, candidates)
+    limits = _limits(scored, candidates)
     low = score(inject(windows, faults)).groupBy(*wkeys, "fault").agg(F.min("score").alias("_low"))
-    det = low.crossJoin(F.broadcast(th)).groupBy("target_fpr_pct").agg(*[
-        F.avg(F.when(F.col("fault") == f, (F.col("_low") < F.col("threshold")).cast("double"))).alias(f"{f}_detect_rate") for f in faults])
-    return _actual_fpr(scored, th).withColumnRenamed("actual_fpr_pct", "actual_val_fpr_pct").join(det, "target_fpr_pct", "left")
+    det = _shares(low, "_low", limits, {f"{f}_detect_rate": F.col("fault") == f for f in faults}, 1)
+    return _shares(scored, "score", limits, {"actual_val_fpr_pct": F.lit(True)}, 100).join(F.broadcast(det), ["target_fpr_pct", "threshold"])
 
 
 def sealed_evaluation(test: DataFrame, score: Scorer, threshold: float, windows: DataFrame, faults: dict[str, tuple[str, Column | float]], confirm_sealed: bool = False,

@@ -57,7 +57,7 @@ def compare_populations(populations: dict[str, DataFrame], col: str, lo: float,
     return q.histogram(allp, col, lo, hi, bins, ["population"])
 
 
-def _volume_stages(pool: DataFrame, key: str, trip: str, time: str, window_s: float, max_per_trip: int, row_key: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _volume_stages(pool: DataFrame, key: str, trip: str, time: str, window_s: float, max_per_trip: int | None, row_key: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored stages of the study: trip roles, features with roles, fault windows
     of the held-out trips."""
     tk = [key, trip]
@@ -69,7 +69,7 @@ def _volume_stages(pool: DataFrame, key: str, trip: str, time: str, window_s: fl
     return roles, fx, materialize(wins, "windows")
 
 
-def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id", trip: str = "trip", time: str = "time", max_windows_per_trip: int = 5,
+def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id", trip: str = "trip", time: str = "time", max_windows_per_trip: int | None = None,
                  min_windows: int = 15, row_key: Sequence[str] = ("event_id",)) -> DataFrame:
     """Vehicles the sweep leaves out, with the reason."""
     roles, _, wins = _volume_stages(pool, key, trip, time, window_s, max_windows_per_trip, row_key)
@@ -81,7 +81,7 @@ def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id",
 
 
 def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 30), window_s: float = 30, powertrain: str = "ICE", key: str = "vehicle_id",
-                 trip: str = "trip", time: str = "time", n_trees: int = fo.N_TREES, max_windows_per_trip: int = 5, min_windows: int = 15,
+                 trip: str = "trip", time: str = "time", n_trees: int = fo.N_TREES, max_windows_per_trip: int | None = None, min_windows: int = 15,
                  min_rows: int = 10, row_key: Sequence[str] = ("event_id",)) -> DataFrame:
     """For every vehicle and training step, an own model and its detection
     rates on the vehicle's held-out trips.

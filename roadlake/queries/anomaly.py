@@ -96,7 +96,7 @@ _INJ = (", inj AS (SELECT * REPLACE (coolant_temp_c_dev + CASE fault WHEN 'coola
 POOL_SQL = _pool_sql() + f", ps AS (SELECT *, {SP} AS score FROM pool)"
 _TW = """, tb AS (SELECT vehicle_id, trip, MIN(EPOCH_US(time)) AS a, MAX(EPOCH_US(time)) AS b FROM ps WHERE vehicle_id % 2 = {par} GROUP BY 1, 2 HAVING MAX(EPOCH_US(time)) - MIN(EPOCH_US(time)) >= 30000000),
  ts AS (SELECT *, a + FLOOR({u} * (b - a - 30000000)) AS w FROM tb), tw0 AS (SELECT ps.* FROM ps JOIN ts USING (vehicle_id, trip) WHERE EPOCH_US(time) >= w AND EPOCH_US(time) < w + 30000000),
- tv AS (SELECT vehicle_id, trip FROM tw0 GROUP BY 1, 2 HAVING COUNT(*) >= 3 AND COUNT(rpm_dev) = COUNT(*) AND COUNT(engine_load_pct_dev) = COUNT(*) AND COUNT(speed_kmh) = COUNT(*) ORDER BY {u}, vehicle_id, trip LIMIT 12),
+ tv AS (SELECT vehicle_id, trip FROM tw0 GROUP BY 1, 2 HAVING COUNT(*) >= 3 AND COUNT(rpm_dev) = COUNT(*) AND COUNT(engine_load_pct_dev) = COUNT(*) AND COUNT(speed_kmh) = COUNT(*) ),
  tw AS (SELECT tw0.* FROM tw0 JOIN tv USING (vehicle_id, trip))"""
 TW1 = _TW.format(par=1, u=_U)
 _SD = ", sd AS (SELECT STDDEV_SAMP(rpm_dev) AS r, STDDEV_SAMP(engine_load_pct_dev) AS l FROM ps WHERE vehicle_id % 2 = 0)"
@@ -117,7 +117,7 @@ def halves(spark, d):
 
 
 def windows_of(part):
-    return fa.time_windows(part, n_trips=12, u=u(), order=u())
+    return fa.time_windows(part, u=u())
 
 
 def pool_windows(spark, d):
@@ -141,13 +141,12 @@ _TRADE = CAR_WIN + _INJ + f""", th AS (SELECT c AS target_fpr_pct, (SELECT QUANT
 
 
 def dense(spark, d):
-    o = F.expr("((vehicle_id * 31 + trip * 17 + chunk * 5) * 7919) % 10007")
-    return fa.dense_windows(halves(spark, d)[1], max_per_trip=2, order=o)
+    return fa.dense_windows(halves(spark, d)[1])
 
 
 _DENSE = """, db AS (SELECT vehicle_id, trip, MIN(EPOCH_US(time)) AS a, (MAX(EPOCH_US(time)) - MIN(EPOCH_US(time))) // 30000000 AS nc FROM ps WHERE vehicle_id % 2 = 1 GROUP BY 1, 2),
- dc AS (SELECT vehicle_id, trip, UNNEST(RANGE(nc)) AS chunk FROM db), dk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id, trip ORDER BY ((vehicle_id * 31 + trip * 17 + chunk * 5) * 7919) % 10007, chunk) AS k FROM dc),
- dr AS (SELECT ps.*, ((EPOCH_US(time) - a) // 30000000)::INT AS chunk FROM ps JOIN db USING (vehicle_id, trip)), dw AS (SELECT dr.* FROM dr JOIN dk USING (vehicle_id, trip, chunk) WHERE k <= 2),
+ dc AS (SELECT vehicle_id, trip, UNNEST(RANGE(nc)) AS chunk FROM db),
+ dr AS (SELECT ps.*, ((EPOCH_US(time) - a) // 30000000)::INT AS chunk FROM ps JOIN db USING (vehicle_id, trip)), dw AS (SELECT dr.* FROM dr JOIN dc USING (vehicle_id, trip, chunk)),
  dv AS (SELECT vehicle_id, trip, chunk FROM dw GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3 AND COUNT(rpm_dev) = COUNT(*) AND COUNT(engine_load_pct_dev) = COUNT(*) AND COUNT(speed_kmh) = COUNT(*))"""
 
 
@@ -217,12 +216,16 @@ def fitted(spark, d):
 
 
 def fitted_nodes(spark, d):
-    return fo.fit_forests(pool(spark, d), POOL, ["vehicle_id"], n_trees=20)
+    return fo.fit_forests(pool(spark, d), POOL, ["vehicle_id"])
+
+
+# The tables hold twelve minutes of driving, so no vehicle has the usual 15 windows held out.
+MIN_WINDOWS = 3
 
 
 def volume(spark, d):
     t = fx.solid_trips(spark, d, 60)
-    return st.volume_sweep(t, [s / 86400 for s in (130, 250, 400)], 15, n_trees=20, min_windows=3)
+    return st.volume_sweep(t, [s / 86400 for s in (130, 250, 400)], 15, min_windows=MIN_WINDOWS)
 
 
 def many(spark, d):
@@ -262,5 +265,5 @@ QUERIES = {
     "fit_forest_scores": (fitted, None),
     "fit_forests_per_vehicle": (fitted_nodes, None),
     "volume_sweep": (volume, None),
-    "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=3), None),
+    "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=MIN_WINDOWS), None),
 }

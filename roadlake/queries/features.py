@@ -100,7 +100,7 @@ _NAMED = """nm AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'Normal' WHEN '
 
 
 def mojibake(spark, d):
-    t = fx.table(spark, d, "documents").select("doc_id", F.concat(F.substring_index("text", " ", 1), F.lit(" [°C]")).alias("h"))
+    t = fx.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" [°C]")).alias("h"))
     twice = F.decode(F.encode("h", "UTF-8"), "ISO-8859-1")
     t = t.select("doc_id", F.when(F.col("doc_id") % 2 == 0, twice).otherwise(F.col("h")).alias("h"))
     return t.select("doc_id", cl.fix_double_encoding("h").alias("header"))
@@ -115,12 +115,13 @@ def pids(spark, d):
 
 def semi(spark, d):
     t = tr(spark, d)
-    return cl.semi_trips(t, t.groupBy("vehicle_id", "trip").count().where("count > 205")).select(*_K)
+    n = t.groupBy("vehicle_id", "trip").count()
+    return cl.semi_trips(t, n.where(F.col("count") > n.agg(F.avg("count")).first()[0])).select(*_K)
 
 
 def attach(spark, d):
     t = tr(spark, d)
-    return cl.attach_raw(t.where("throttle_pct < 30").select(*_K, "time"), t.where("event_id % 3 <> 0"), cols=["rpm"])
+    return cl.attach_raw(t.select(*_K, "time"), t, cols=["rpm"])
 
 
 def conditions(spark, d):
@@ -161,14 +162,14 @@ QUERIES = {
       WHERE engine_type IN ('ICE', 'HEV') AND user_id NOT IN (SELECT user_id FROM bad)"""),
     "parse_trip_names": (lambda s, d: named(s, d).withColumn("date", F.col("date").cast("string")), f"WITH {_NAMED} SELECT doc_id, source_file, CAST(date AS VARCHAR) AS date, condition FROM nf"),
     "split_conditions": (conditions, f"WITH {_NAMED} SELECT doc_id, CASE WHEN condition IN ('normal', 'free_flow', 'traffic_jam') THEN 'pool' ELSE 'special' END AS part FROM nf"),
-    "fix_double_encoding": (mojibake, "SELECT doc_id, CONCAT(SPLIT_PART(text, ' ', 1), ' [°C]') AS header FROM documents"),
+    "fix_double_encoding": (mojibake, "SELECT doc_id, text || ' [°C]' AS header FROM documents"),
     "explode_pids": (pids, f"WITH {fx.TEL} SELECT event_id, 'Engine RPM' AS pid, rpm AS value, 'rpm' AS unit FROM tel UNION ALL SELECT event_id, '0D', speed_kmh, 'km/h' FROM tel UNION ALL SELECT event_id, '04', engine_load_pct, '' FROM tel"),
-    "semi_trips": (semi, f"WITH {TR} SELECT vehicle_id, trip, event_id FROM trips WHERE (vehicle_id, trip) IN (SELECT (vehicle_id, trip) FROM trips GROUP BY vehicle_id, trip HAVING COUNT(*) > 205)"),
-    "attach_raw": (attach, f"WITH {TR} SELECT a.vehicle_id, a.trip, a.event_id, a.time, b.rpm FROM trips a LEFT JOIN (SELECT * FROM trips WHERE event_id % 3 <> 0) b USING (vehicle_id, trip, time) WHERE a.throttle_pct < 30"),
+    "semi_trips": (semi, f"WITH {TR} SELECT vehicle_id, trip, event_id FROM trips WHERE (vehicle_id, trip) IN (SELECT (vehicle_id, trip) FROM trips GROUP BY vehicle_id, trip HAVING COUNT(*) > (SELECT AVG(n) FROM (SELECT COUNT(*) AS n FROM trips GROUP BY vehicle_id, trip)))"),
+    "attach_raw": (attach, f"WITH {TR} SELECT a.vehicle_id, a.trip, a.event_id, a.time, b.rpm FROM trips a LEFT JOIN trips b USING (vehicle_id, trip, time)"),
     "cross_candidates": (lambda s, d: cl.cross_candidates(fx.telemetry(s, d).select("event_id", "rpm"), "limit", [1000, 2000]).select("event_id", "limit", (F.col("rpm") > F.col("limit")).alias("hit")),
                          f"WITH {fx.TEL} SELECT event_id, lim AS \"limit\", rpm > lim AS hit FROM tel, (SELECT UNNEST([1000.0::DOUBLE, 2000.0::DOUBLE]) AS lim)"),
     "flag_threshold": (lambda s, d: cl.flag(fx.telemetry(s, d).select("event_id", "accel_x"), "accel_x", -3.0), f"WITH {fx.TEL} SELECT event_id, accel_x, accel_x < -3.0 AS is_anomalous FROM tel"),
-    "concat_frames": (lambda s, d: cl.concat(tr(s, d).where("trip = 1").select(*_K), tr(s, d).where("trip = 4").select("event_id", "vehicle_id", "trip")), f"WITH {TR} SELECT vehicle_id, trip, event_id FROM trips WHERE trip IN (1, 4)"),
+    "concat_frames": (lambda s, d: cl.concat(tr(s, d).where("trip % 2 = 1").select(*_K), tr(s, d).where("trip % 2 = 0").select("event_id", "vehicle_id", "trip")), f"WITH {TR} SELECT vehicle_id, trip, event_id FROM trips"),
     "missing_keys": (lambda s, d: cl.missing_keys(static(s, d), raw_pool(s, d), ["user_id"]), f"WITH {RAW}, {STATIC} SELECT DISTINCT user_id FROM st EXCEPT SELECT user_id FROM raw"),
     "distinct_trips": (lambda s, d: cl.distinct_trips(tr(s, d), ["vehicle_id", "trip"]), f"WITH {TR} SELECT DISTINCT vehicle_id, trip FROM trips"),
     "duplicate_keys": (lambda s, d: cl.duplicates(fx.table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1"),

@@ -27,11 +27,11 @@ _AV = ", ".join(ACCELS)
 # one recursion step per OBD row, all vehicles at once; candidates come nearest first
 _MERGE = f"""WITH RECURSIVE {fx.TEL}, ob AS MATERIALIZED (SELECT *, EPOCH_US(time) AS us, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY time, event_id) AS k FROM tel WHERE event_id % 2 = 0),
  im AS MATERIALIZED (SELECT *, EPOCH_US(time) AS us FROM tel WHERE event_id % 2 = 1),
- ca AS (SELECT ob.vehicle_id, ob.k, LIST(im.event_id ORDER BY ABS(im.us - ob.us), im.us, im.event_id) AS near FROM ob JOIN im ON ob.vehicle_id = im.vehicle_id AND im.us BETWEEN ob.us - 500000 AND ob.us + 500000 GROUP BY 1, 2),
- oc AS MATERIALIZED (SELECT ob.vehicle_id, ob.k, ob.event_id, COALESCE(near, []) AS near FROM ob LEFT JOIN ca USING (vehicle_id, k)),
- w AS (SELECT vehicle_id, 0::BIGINT AS k, NULL::BIGINT AS obd_id, NULL::BIGINT AS imu_id, []::BIGINT[] AS used FROM oc WHERE k = 1
-  UNION ALL SELECT vehicle_id, k, obd_id, pick, CASE WHEN pick IS NULL THEN used ELSE LIST_APPEND(used[-40:], pick) END FROM
-   (SELECT oc.vehicle_id, oc.k, oc.event_id AS obd_id, used, LIST_FILTER(near, LAMBDA x: NOT LIST_CONTAINS(used, x))[1] AS pick FROM w JOIN oc ON oc.vehicle_id = w.vehicle_id AND oc.k = w.k + 1)),
+ ca AS (SELECT ob.vehicle_id, ob.k, LIST({{'id': im.event_id, 'us': im.us}} ORDER BY ABS(im.us - ob.us), im.us, im.event_id) AS near FROM ob JOIN im ON ob.vehicle_id = im.vehicle_id AND im.us BETWEEN ob.us - 500000 AND ob.us + 500000 GROUP BY 1, 2),
+ oc AS MATERIALIZED (SELECT ob.vehicle_id, ob.k, ob.event_id, ob.us, COALESCE(near, []) AS near FROM ob LEFT JOIN ca USING (vehicle_id, k)),
+ w AS (SELECT vehicle_id, 0::BIGINT AS k, NULL::BIGINT AS obd_id, NULL::BIGINT AS imu_id, []::STRUCT(id BIGINT, us BIGINT)[] AS used FROM oc WHERE k = 1
+  UNION ALL SELECT vehicle_id, k, obd_id, pick.id, CASE WHEN pick IS NULL THEN used ELSE LIST_APPEND(LIST_FILTER(used, LAMBDA y: y.us >= us - 500000), pick) END FROM
+   (SELECT oc.vehicle_id, oc.k, oc.event_id AS obd_id, oc.us, used, LIST_FILTER(near, LAMBDA x: NOT LIST_CONTAINS(used, x))[1] AS pick FROM w JOIN oc ON oc.vehicle_id = w.vehicle_id AND oc.k = w.k + 1)),
  pr AS (SELECT vehicle_id, obd_id, imu_id FROM w WHERE k > 0 UNION ALL SELECT vehicle_id, NULL, event_id FROM im WHERE event_id NOT IN (SELECT imu_id FROM w WHERE imu_id IS NOT NULL)),
  mg AS (SELECT pr.vehicle_id, obd_id, imu_id, COALESCE(ob.time, im.time) AS time, {", ".join("ob." + c for c in PIDS)}, {", ".join("im." + c for c in ACCELS)} FROM pr LEFT JOIN ob ON ob.event_id = obd_id LEFT JOIN im ON im.event_id = imu_id)"""
 
@@ -44,7 +44,7 @@ def merged(spark, d):
 def envelopes(spark, d):
     """OBD and IMU messages of the fleet, some of them broken, some advanced."""
     m = ms.to_messages(fx.telemetry(spark, d), "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id").withColumn("us", F.unix_micros("time"))
-    v = F.when(F.col("us") % 97 == 0, F.substring("value", 2, 1000)).when(F.col("us") % 89 == 0, F.regexp_replace("value", '"ts":[0-9.E]+,', ""))
+    v = F.when(F.col("us") % 97 == 0, F.expr("substring(value, 2)")).when(F.col("us") % 89 == 0, F.regexp_replace("value", '"ts":[0-9.E]+,', ""))
     v = v.when((F.col("us") % 83 == 0) & F.col("value").contains("normal"), F.regexp_replace(
         F.regexp_replace("value", "normal", "advanced"), r"}$", ',"all_pids":{"0C":{"value":812.5,"unit":"rpm","desc":"Engine RPM"},"5E":{"value":null,"unit":null,"desc":""}}}'))
     return m.select("topic", "key", v.otherwise(F.col("value")).alias("value"), "us")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,30 +17,72 @@ from roadlake.schemas import SWEEP_RESULTS, TRIP_HEADER, WEEKLY_HEADER
 TRIP_SCHEMA = T.StructType([T.StructField(n, T.StringType() if n == "time_str" else T.DoubleType()) for n in TRIP_HEADER.values()])
 
 
-def check_trip_headers(spark: SparkSession, path: str) -> None:
-    """Every header, repaired and trimmed, must name the expected columns in order.
-    Only lines that begin like a header are kept by the scan."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value").startswith(list(TRIP_HEADER)[0]))
-    names = F.transform(F.split(fix_double_encoding("value"), ","), lambda x: F.trim(x))
-    bad = lines.where(names != F.array(*[F.lit(h) for h in TRIP_HEADER])).limit(3).collect()
-    if bad:
-        raise ValueError(f"unexpected trip header: {[r['value'] for r in bad]}")
+def headers(spark: SparkSession, path: str, glob: str = "*") -> dict[tuple[str, ...], list[str]]:
+    """The files under a folder by their header, repaired and trimmed.
 
+    Every file is one task that ends after its first rows: no file is scanned.
+    One short line per file comes to the driver, which lists the files anyway.
+    """
 
-def load_trips(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    def first_rows(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.head(1)
+                return
+
+    keys, one = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"], str(1 << 40)
+    before = {k: spark.conf.get(k) for k in keys}
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.substring("value", 1, 1 << 16).alias("value"))
+    try:
+        for k in keys:
+            spark.conf.set(k, one)
+        found = lines.mapInPandas(first_rows, "file string, value string")
+        found = found.select("file", F.transform(F.split(fix_double_encoding("value"), ","), lambda x: F.trim(x)).alias("names")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in found:
+        out.setdefault(tuple(r["names"]), []).append(unquote(r["file"]))
+    return out
+
+
+def read_by_name(spark: SparkSession, path: str, types: dict[str, T.DataType], renamed: dict[str, str], glob: str = "*", what: str = "file") -> DataFrame:
+    """CSV files whose columns are found by their names, in any order and among any others.
+
+    Files are read once per distinct header, each group with its own schema; a file
+    that lacks a needed column is an error. Adds the columns of ``_metadata`` and of
+    partition folders.
+    """
+    groups = headers(spark, path, glob)
+    if not groups:
+        raise FileNotFoundError(f"no files match {glob} under {path}")
+    bad = [(sorted(set(renamed) - set(h)), files[0]) for h, files in groups.items() if not set(renamed) <= set(h) or any(h.count(n) > 1 for n in renamed)]
+    if bad:
+        raise ValueError(f"{what} without the columns {bad[0][0]}: {bad[0][1]}")
+    reader = spark.read.option("header", "true").option("enforceSchema", "true").option("basePath", path).option("pathGlobFilter", glob)
+    parts = []
+    for header, files in sorted(groups.items()):
+        schema = T.StructType([T.StructField(renamed.get(n, f"_c{i}"), types.get(n, T.StringType())) for i, n in enumerate(header)])
+        d = reader.schema(schema).csv(path if len(groups) == 1 else files)
+        folders = [c for c in d.columns if c not in schema.names]
+        parts.append(d.select(*renamed.values(), *folders, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias(sg.SEG)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def load_trips(spark: SparkSession, path: str) -> DataFrame:
     """All trip files of a folder with trip_id, condition, timestamp.
 
-    The schema is positional, so damaged header bytes do not matter.  Files hold a
+    Columns are found by name after damaged header bytes are repaired.  Files hold a
     clock without a date: the date comes from the file name (or from a
     ``source_file`` partition folder) and moves on a day whenever the clock steps
     back.  Physical row order is the offset of the file split plus the position
     in it; splits are the segments of that walk, so big files stay split.
     """
-    if check:
-        check_trip_headers(spark, path)
-    raw = spark.read.schema(TRIP_SCHEMA).option("header", "true").option("enforceSchema", "true").csv(path)
-    name = F.col("source_file") if "source_file" in raw.columns else F.col("_metadata.file_name")
-    d = raw.select(*TRIP_SCHEMA.names, name.alias("source_file"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias(sg.SEG))
+    raw = read_by_name(spark, path, {h: TRIP_SCHEMA[n].dataType for h, n in TRIP_HEADER.items()}, TRIP_HEADER, what="trip file")
+    name = F.col("source_file") if "source_file" in raw.columns else F.col("_name")
+    d = raw.select(*TRIP_SCHEMA.names, name.alias("source_file"), "_f", sg.SEG)
     d = d.withColumn("_pos", F.monotonically_increasing_id())
     d = sg.lag_rows(d, ["_f"], ["_pos"], {"_pc": F.col("time_str")})
     d = d.withColumn("_back", F.coalesce(F.col("time_str") < F.col("_pc"), F.lit(False)).cast("long"))
@@ -55,15 +99,11 @@ def load_trips(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 def load_weekly(spark: SparkSession, path: str, glob: str = "*_week.csv", columns: Sequence[str] = tuple(WEEKLY_HEADER)) -> DataFrame:
     """Weekly files by name pattern, only the used columns, our names.
 
-    Header names select the columns, so files may carry more of them."""
-    r = spark.read.option("header", "true").option("pathGlobFilter", glob)
-    names = r.csv(path).columns  # reads one header line
-    if not names:
-        raise FileNotFoundError(f"no files match {glob} under {path}")
-    kinds = {"VehId": T.LongType(), "Trip": T.LongType()}
-    schema = T.StructType([T.StructField(n, kinds.get(n.strip(), T.DoubleType() if n.strip() in WEEKLY_HEADER else T.StringType())) for n in names])
-    d = r.schema(schema).csv(path)
-    return d.select(*[F.col(f"`{n}`").alias(WEEKLY_HEADER[n.strip()]) for n in names if n.strip() in columns])
+    Header names select the columns of each file, so files may order them
+    differently and carry more of them."""
+    kinds = {n: T.LongType() if n in ("VehId", "Trip") else T.DoubleType() for n in columns}
+    wanted = {n: WEEKLY_HEADER[n] for n in columns}
+    return read_by_name(spark, path, kinds, wanted, glob, "weekly file").select(*wanted.values())
 
 
 def load_static(*parts: tuple[DataFrame, str]) -> DataFrame:

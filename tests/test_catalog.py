@@ -10,8 +10,7 @@ from roadlake.queries import catalog
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CATALOG = catalog()
 CHECKED = sorted(n for n, q in CATALOG.items() if q[1])
-if os.environ.get("TEST_FULL") != "1":
-    CHECKED = CHECKED[::3]  # TEST_FULL=1 runs them all
+# The smallest tables have no row for these: no vehicle there has trips or windows enough.
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def con():
 def test_matches_sql(spark, con, name):
     fn, sql = CATALOG[name]
     verdict = compare(spark, name, fn, sql, SF_DIR, con)
-    assert ": ok" in verdict or verdict.endswith("EMPTY"), verdict
+    assert ": ok" in verdict, verdict
 
 
 @pytest.mark.parametrize("name", sorted(n for n, q in CATALOG.items() if not q[1]))

@@ -218,10 +218,45 @@ def test_trip_files(spark, tmp_path):
     assert [(r.trip_id, r.condition, r.timestamp.strftime("%m-%d %H:%M:%S.%f")[:-3]) for r in rows] == [
         (0, "traffic_jam", "07-05 10:00:00.000"), (1, "normal", "03-21 23:59:59.900"), (1, "normal", "03-22 00:00:00.100"), (1, "normal", "03-22 23:59:00.000"), (1, "normal", "03-23 00:00:01.000")]
     (tmp_path / "2019-01-01_x_Frei.csv").write_text(HEAD.replace("RPM]", "rpm]") + "\n" + body(["10:00:00.000"]), encoding="utf-8")
-    with pytest.raises(ValueError, match="unexpected trip header"):
+    with pytest.raises(ValueError, match="Engine RPM"):
         fs.load_trips(spark, str(tmp_path))
 
 
+def test_trip_columns_go_by_name(spark, tmp_path):
+    """Files of another column order, with a column more, next to an ordinary one; an unknown header fails."""
+    names = HEAD.split(",")
+    turned = [names[0], *names[:0:-1], "Extra"]
+    values = dict(zip(names, ["10:00:00.000", "80", "100", "900", "10", "20", "3", "83.5", "15", "14", "13"], strict=True))
+    (tmp_path / "2018-03-21_Car_Normal.csv").write_text(HEAD + "\n" + ",".join(values[n] for n in names) + "\n", encoding="utf-8")
+    (tmp_path / "2018-03-22_Car_Normal.csv").write_text(",".join(turned) + "\n" + ",".join(values.get(n, "x") for n in turned) + "\n", encoding="utf-8")
+    a, b = (r.asDict() for r in fs.load_trips(spark, str(tmp_path)).orderBy("trip_id").collect())
+    same = [c for c in a if c not in ("trip_id", "timestamp", "source_file")]
+    assert {c: a[c] for c in same} == {c: b[c] for c in same} and (a["rpm"], a["coolant_temp_c"], a["pedal_e_pct"]) == (900.0, 80.0, 13.0)
+    (tmp_path / "2018-03-23_Car_Normal.csv").write_text(HEAD.replace("Time", "Zeit") + "\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="Time"):
+        fs.load_trips(spark, str(tmp_path))
+
+
+def test_weekly_columns_go_by_name(spark, tmp_path):
+    cols = ["VehId", "Trip", "DayNum", "Timestamp(ms)", "Vehicle Speed[km/h]", "Engine RPM[RPM]", "Absolute Load[%]"]
+    row = dict(zip(cols, "1,2,3.5,400,50,1500,20".split(","), strict=True))
+    for i, order in enumerate((cols, [*cols[::-1], "More"])):
+        (tmp_path / f"{i}_week.csv").write_text(",".join(order) + "\n" + ",".join(row.get(c, "9") for c in order) + "\n", encoding="utf-8")
+    got = {tuple(r) for r in fs.load_weekly(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 3.5, 400.0, 50.0, 1500.0, 20.0)}
+    (tmp_path / "3_week.csv").write_text(",".join(c for c in cols if "RPM" not in c) + "\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="RPM"):
+        fs.load_weekly(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        fs.load_weekly(spark, str(tmp_path), "nothing*")
+
+
+def test_damaged_text_beside_other_letters(spark):
+    rows = [("Â° 東", "° 東"), ("Ã¼ Â°", "ü °"), ("é Â°", "é °"), ("plain é", "plain é"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select(cl.fix_double_encoding("a"), "b").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
 def test_names_and_keys(spark):
     bad = spark.createDataFrame([("trip_Normal.csv",)], "f string")
     with pytest.raises(Exception, match="no date in file name"):
