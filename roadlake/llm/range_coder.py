@@ -5,7 +5,7 @@ codes their ranks. Three predictors are mixed for each rank: order 0 (counts of
 anew when its length doubles), order 1 and order 2 (the id that last followed the previous one or two).
 The mixture is a weighted sum: the order-1 and order-2 guesses get a share of the probability by how
 often guesses confirmed as many times in a row came true in this block, order 0 gets the rest. A range
-coder of 64 bits with 16-bit output follows the mixture.
+coder of 64 bits with 32-bit output follows the mixture.
 
 Many blocks are coded side by side, one numpy lane each; a lane's bytes do not depend on its neighbours.
 """
@@ -17,16 +17,16 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1 << 14
+BLOCK = 1 << 12
 #: Lanes side by side, and table cells (lanes times ids) at most.
-LANES, CELLS = 1024, 1 << 22
+LANES, CELLS = 4096, 1 << 22
 _BITS = 20
 _TOTAL = 1 << _BITS
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _SHARE = int(_TOTAL * 0.97)  # of both guesses together: the rest keeps every id codable
-_CONTEXTS = 1 << 14
+_CONTEXTS = 1 << 11
 _RUNS = 16
-_S16, _S48 = np.uint64(16), np.uint64(48)
+#: The coder puts out 32 bits when its range has less than that left.
+_WORD, _MASK, _LEAST = np.uint64(32), np.uint64(2**32 - 1), np.uint64(2**32)
 _HEAD = struct.Struct("<IIII")
 
 
@@ -38,14 +38,14 @@ class _Mixture:
         self.width = int(sizes.max())
         lane = np.arange(n, dtype=np.int64)
         self.l1, self.l2, self.lr, self.lc = lane * self.width, lane * _CONTEXTS, lane * _RUNS, lane * (self.width + 1)
-        self.next1, self.run1 = np.zeros(n * self.width, np.int32), np.zeros(n * self.width, np.int8)
-        self.next2, self.run2 = np.zeros(n * _CONTEXTS, np.int32), np.zeros(n * _CONTEXTS, np.int8)
-        self.rate1, self.rate2 = np.full(n * _RUNS, 1 << 12, np.int64), np.full(n * _RUNS, 1 << 13, np.int64)
-        self.longer = np.minimum(np.arange(_RUNS) + 1, _RUNS - 1).astype(np.int8)
+        # What followed a context last, times _RUNS, and how often in a row it did.
+        self.next1, self.next2 = np.zeros(n * self.width, np.int32), np.zeros(n * _CONTEXTS, np.int32)
+        self.rate1, self.rate2 = np.full(n * _RUNS, 1 << 12, np.int32), np.full(n * _RUNS, 1 << 13, np.int32)
+        self.longer = np.minimum(np.arange(_RUNS) + 1, _RUNS - 1)
         self.p, self.pp = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.int32)
         self.since: list[np.ndarray] = []
-        self.t, self.due = 0, 256
+        self.t, self.due = 0, 128
         self._recount()
 
     def _recount(self) -> None:
@@ -70,33 +70,39 @@ class _Mixture:
     def guess(self) -> None:
         """Both guesses and the shares m1, m2, m0 of the three orders."""
         self.i1 = self.l1 + self.p
-        self.i2 = self.l2 + ((self.pp * 0x2F0B + self.p * 0x9E35) & (_CONTEXTS - 1))
-        self.g1, self.k1 = self.next1[self.i1], self.run1[self.i1]
-        self.g2, self.k2 = self.next2[self.i2], self.run2[self.i2]
+        self.i2 = ((self.pp * 0x2F0B + self.p) & (_CONTEXTS - 1)) + self.l2
+        t1, t2 = self.next1.take(self.i1).astype(np.int64), self.next2.take(self.i2).astype(np.int64)
+        self.g1, self.g2 = t1 >> 4, t2 >> 4
+        self.k1, self.k2 = t1 & 15, t2 & 15
         self.j1, self.j2 = self.lr + self.k1, self.lr + self.k2
-        self.w1, self.w2 = self.rate1[self.j1], self.rate2[self.j2]
+        self.w1, self.w2 = self.rate1.take(self.j1).astype(np.int64), self.rate2.take(self.j2).astype(np.int64)
         self.m2 = (self.w2 * _SHARE) >> 16
         self.m1 = (self.w1 * (_SHARE - self.m2)) >> 16
         self.m0 = _TOTAL - self.m1 - self.m2
 
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def order0(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the interval of ``x`` begins and ends by order 0 alone."""
         at = self.lc + x
-        low = (self.m0 * self.cdf[at]) >> 16
-        width = ((self.m0 * self.cdf[at + 1]) >> 16) - low
+        low = (self.m0 * self.cdf.take(at)) >> 16
+        at += 1
+        return low, (self.m0 * self.cdf.take(at)) >> 16
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, end = self.order0(x)
+        end -= low
         self.h1, self.h2 = self.g1 == x, self.g2 == x
         low += self.m1 * (self.g1 < x)
         low += self.m2 * (self.g2 < x)
-        width += self.m1 * self.h1
-        width += self.m2 * self.h2
-        return low, width
+        end += self.m1 * self.h1
+        end += self.m2 * self.h2
+        return low, end
 
     def learn(self, x: np.ndarray) -> None:
         self.rate1[self.j1] = self.w1 + ((self.h1 * 65535 - self.w1) >> 4)
         self.rate2[self.j2] = self.w2 + ((self.h2 * 65535 - self.w2) >> 4)
-        self.run1[self.i1] = self.longer[self.k1] * self.h1
-        self.run2[self.i2] = self.longer[self.k2] * self.h2
-        self.next1[self.i1] = x
-        self.next2[self.i2] = x
+        held = x << 4
+        self.next1[self.i1] = held + self.longer.take(self.k1) * self.h1
+        self.next2[self.i2] = held + self.longer.take(self.k2) * self.h2
         self.pp, self.p = self.p, x
         self.since.append(x)
         self.t += 1
@@ -105,6 +111,27 @@ class _Mixture:
             self.due *= 2
 
 
+class _Range:
+    """The interval of each lane: 64 bits, of which 32 go out at a time."""
+
+    def __init__(self, n: int):
+        self.low, self.span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+
+    def narrow(self, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Narrows all lanes; returns the lanes that put out (or take in) a word, and the words put out.
+
+        A short range that straddles a word boundary is cut at it, which costs a bit or two now and then.
+        """
+        self.low += start.view(np.uint64) * unit
+        self.span = width.view(np.uint64) * unit
+        go = np.flatnonzero(self.span < _LEAST)
+        low, span = self.low[go], self.span[go]
+        cut = ((low + span) ^ low) >= _LEAST
+        self.span[go] = np.where(cut, (np.uint64(0) - low) & _MASK, span) << _WORD
+        self.low[go] = low << _WORD
+        return go, low >> _WORD
+
+
 def _groups(sizes: list[int]) -> list[list[int]]:
     """Consecutive blocks to code side by side."""
     out: list[list[int]] = []
@@ -138,11 +165,10 @@ def _encode_lanes(ranks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     x = np.zeros((steps, len(ranks)), np.int64)
     for i, r in enumerate(ranks):
         x[: len(r), i] = r
-    n = len(ranks)
-    model = _Mixture(sizes)
-    low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    words = np.zeros(n * (2 * steps + 8), np.uint16)
-    first = np.arange(n, dtype=np.int64) * (2 * steps + 8)
+    n, room = len(ranks), steps + 4
+    model, coder = _Mixture(sizes), _Range(n)
+    words = np.zeros(n * room, np.uint32)
+    first = np.arange(n, dtype=np.int64) * room
     at = first.copy()
     code: list[bytes] = [b""] * n
     ending = {int(t): np.flatnonzero(lengths == t) for t in np.unique(lengths)}
@@ -150,23 +176,11 @@ def _encode_lanes(ranks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         model.guess()
         start, width = model.interval(x[t])
         model.learn(x[t])
-        unit = span >> np.uint64(_BITS)
-        low += start.astype(np.uint64) * unit
-        span = width.astype(np.uint64) * unit
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = span < _BOTTOM
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            part = low[go]
-            span[go] = np.where(settled[go], span[go], (np.uint64(0) - part) & (_BOTTOM - np.uint64(1))) << _S16
-            words[at[go]] = part >> _S48
-            at[go] += 1
-            low[go] = part << _S16
+        go, out = coder.narrow(start, width, coder.span >> np.uint64(_BITS))
+        words[at[go]] = out
+        at[go] += 1
         for i in ending.get(t + 1, ()):
-            tail = low[i : i + 1].astype(">u8").tobytes()
-            code[i] = words[first[i] : at[i]].astype(">u2").tobytes() + tail
+            code[i] = words[first[i] : at[i]].astype(">u4").tobytes() + coder.low[i : i + 1].astype(">u8").tobytes()
     return code
 
 
@@ -189,52 +203,39 @@ def decode(blobs: list[bytes]) -> list[np.ndarray]:
 
 def _decode_lanes(codes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     n, steps = len(codes), int(lengths.max())
-    sizes_w = [len(c) // 2 for c in codes]
-    # Lanes that ended before the longest go on reading: room for that, at most two words for a step.
-    room = max(s + 2 * (steps - int(m)) for s, m in zip(sizes_w, lengths, strict=True)) + 8
+    have = [len(c) // 4 for c in codes]
+    # Lanes that ended before the longest go on reading: room for that, at most a word for a step.
+    room = max(h + steps - int(m) for h, m in zip(have, lengths, strict=True)) + 4
     words = np.zeros((n, room), np.uint64)
     for i, c in enumerate(codes):
-        words[i, : sizes_w[i]] = np.frombuffer(c, ">u2", sizes_w[i])
-    code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = code << _S16 | words[:, k]
+        words[i, : have[i]] = np.frombuffer(c, ">u4", have[i])
+    code = words[:, 0] << _WORD | words[:, 1]
     words = words.ravel()
-    at = np.arange(n, dtype=np.int64) * room + 4
-    model = _Mixture(sizes)
-    low, span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    at = np.arange(n, dtype=np.int64) * room + 2
+    model, coder = _Mixture(sizes), _Range(n)
     out = np.zeros((steps, n), np.int64)
     for t in range(steps):
         model.guess()
-        unit = span >> np.uint64(_BITS)
-        v = np.minimum((code - low) // unit, np.uint64(_TOTAL - 1)).astype(np.int64)
-        swap = model.g1 > model.g2
-        a, b = np.where(swap, model.g2, model.g1), np.where(swap, model.g1, model.g2)
-        ma = np.where(swap, model.m2, model.m1)
-        mab = model.m1 + model.m2
-        ca, cb, m0 = model.lc + a, model.lc + b, model.m0
-        a0, a1 = (m0 * model.cdf[ca]) >> 16, ((m0 * model.cdf[ca + 1]) >> 16) + ma
-        b0, b1 = ((m0 * model.cdf[cb]) >> 16) + ma, ((m0 * model.cdf[cb + 1]) >> 16) + mab
-        past_a, past_b = v >= a1, v >= b1
-        u = v - np.where(past_b, mab, ma * past_a)
+        unit = coder.span >> np.uint64(_BITS)
+        v = np.minimum((code - coder.low) // unit, np.uint64(_TOTAL - 1)).view(np.int64)
+        g1, g2, m1, m2 = model.g1, model.g2, model.m1, model.m2
+        start1, end1 = model.order0(g1)
+        start2, end2 = model.order0(g2)
+        before1, before2 = m2 * (g2 < g1), m1 * (g1 < g2)
+        same = g1 == g2
+        end1 += before1 + m1 + m2 * same
+        end2 += before2 + m2 + m1 * same
+        past1, past2 = v >= end1, v >= end2
+        u = v - m1 * past1 - m2 * past2
         slots, slot_at = model.slot_table()
-        slot = ((np.minimum(u + 1, m0) << 16) - 1) // m0  # beyond m0 only where a guess is hit
-        x = slots[slot_at + (((slot + 1) * model.sums - 1) >> 16)]
-        x = np.where((v >= b0) & ~past_b, b, x)
-        x = np.where((v >= a0) & ~past_a, a, x).astype(np.int64)
+        slot = ((np.minimum(u + 1, model.m0) << 16) - 1) // model.m0  # beyond m0 only where a guess is hit
+        x = slots.take(slot_at + (((slot + 1) * model.sums - 1) >> 16), mode="clip").astype(np.int64)
+        hit2, hit1 = (v >= start2 + before2) & ~past2, (v >= start1 + before1) & ~past1
+        x = np.where(hit1, g1, np.where(hit2, g2, x))
         out[t] = x
         start, width = model.interval(x)
         model.learn(x)
-        low += start.astype(np.uint64) * unit
-        span = width.astype(np.uint64) * unit
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = span < _BOTTOM
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            part = low[go]
-            span[go] = np.where(settled[go], span[go], (np.uint64(0) - part) & (_BOTTOM - np.uint64(1))) << _S16
-            code[go] = code[go] << _S16 | words[at[go]]
-            at[go] += 1
-            low[go] = part << _S16
+        go, _ = coder.narrow(start, width, unit)
+        code[go] = code[go] << _WORD | words[at[go]]
+        at[go] += 1
     return out
