@@ -13,6 +13,8 @@ from roadlake.plans import segmented as sg
 
 TRIP = ("vehicle_id", "trip")
 HALO = "_halo"
+#: Rows that one pandas group should hold at most.
+GROUP_ROWS = 200_000
 
 
 def with_halo(df: DataFrame, time: str, segment_s: float, back_s: float) -> DataFrame:
@@ -37,16 +39,18 @@ def segment_bounds(df: DataFrame, keys: Sequence[str], time: str, segment_s: flo
 
 
 def rolling_median_dev(df: DataFrame, cols: Sequence[str], window_s: float = 60, keys: Sequence[str] = TRIP, time: str = "time",
-                       tie: str = "event_id", segment_s: float = 900, keep_median: bool = False) -> DataFrame:
+                       tie: str = "event_id", segment_s: float | None = None, keep_median: bool = False) -> DataFrame:
     """``<col>_dev`` = value less its median over (t - window, t] of the trip.
 
     The unit of work is a (trip, segment) with a halo of one window, so trips of
     any length split; the rows shuffle once, and the join that brings the trip
     bounds uses that same partitioning.  Nulls are skipped; a row sees earlier
     rows of its own timestamp.  Adds ``trip_start``, ``trip_end`` and
-    ``seconds_since_start``.
+    ``seconds_since_start``.  Segments are as long as the densest of them fits
+    GROUP_ROWS, but never shorter than the window.
     """
     keys = list(keys)
+    segment_s = segment_s or max(float(window_s), sg.suggest_seconds(df, keys, time, 900, GROUP_ROWS))
     rows = with_halo(df, time, segment_s, window_s).join(segment_bounds(df, keys, time, segment_s), [*keys, sg.SEG])
     new = [f"{c}_dev" for c in cols] + ([f"{c}_med" for c in cols] if keep_median else [])
     plain = [f for f in rows.schema.fields if f.name not in (sg.SEG, HALO)]
@@ -130,7 +134,7 @@ def resample_last(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = TRIP
 
 
 def trail(df: DataFrame, keys: Sequence[str], n: int = 20, min_ms: int = 80, time: str = "time", tie: str = "event_id",
-          segment_s: float = 60) -> DataFrame:
+          segment_s: float | sg.Adaptive = sg.Adaptive(60)) -> DataFrame:
     """The last ``n`` points at least ``min_ms`` apart, per key.
 
     A point further than ``min_ms`` from the one before it is always kept, so

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from roadlake.plans.selection import percentile_columns, percentiles
 from roadlake.session import materialize
 
 CORE_PIDS = ["rpm", "speed_kmh", "coolant_temp_c", "engine_load_pct"]
+# A minute, cut finer where many sources share a key.
+SPAN = sg.Adaptive(60)
 QUARTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 
 
@@ -28,13 +31,14 @@ def null_fraction(df: DataFrame, key: str, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, std, min, quartiles, max; one row per column (and group)."""
     by = list(by)
-    long = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x"))
-    long = long.select(*by, "_x.column", "_x.v").where(F.col("v").isNotNull())
     k = [*by, "column"]
-    base = long.groupBy(*k).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-                                F.min("v").alias("min"), F.max("v").alias("max"))
-    return base.join(percentile_columns(long, "v", QUARTILES, k), k)
+    v = {c: F.col(c).cast("double") for c in cols}
+    aggs = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.groupBy(*by).agg(*[F.struct(F.lit(c).alias("column"), *[f(v[c]).alias(n) for n, f in aggs.items()]).alias(f"_s{i}") for i, c in enumerate(cols)])
+    base = one.select(*by, F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))]))).where("n > 0")
+    # Quartiles column by column: a columnar scan reads one column each time, and no row is multiplied.
+    parts = [percentile_columns(df.select(*by, v[c].alias("v")), "v", QUARTILES, by).withColumn("column", F.lit(c)) for c in cols]
+    return base.join(reduce(DataFrame.unionByName, parts), k)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -46,7 +50,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("_c")).select("_c.a", "_c.b", "_c.r")
 
 
-def gaps(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Seconds to the previous row of the key (``gap_s``), first rows left out."""
     d = sg.lag_time(sg.with_segment(df.select(*keys, time, tie), time, segment_s, keys), keys, time, tie)
     d = d.where(F.col("_p").isNotNull())
@@ -60,7 +64,7 @@ def gap_counts(df: DataFrame, keys: Sequence[str], digits: int = 2, **kw) -> Dat
 
 
 def completeness_gap(df: DataFrame, keys: Sequence[str], pids: Sequence[str] = CORE_PIDS, k: float = 3.0,
-                     time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+                     time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Completeness against the median interval, and connection-loss events."""
     keys = list(keys)
     g = materialize(gaps(df, keys, time, tie, segment_s).select(*keys, "gap_s"), "gaps")  # read three times
@@ -90,7 +94,7 @@ def completeness_per_second(df: DataFrame, keys: Sequence[str], pids: Sequence[s
     return out.withColumn("overall_pct", sum((F.col(f"{p}_pct") for p in pids), F.lit(0.0)) / len(pids))
 
 
-def missing_runs(df: DataFrame, keys: Sequence[str], min_len: int = 2, time: str = "time", segment_s: float = 600) -> DataFrame:
+def missing_runs(df: DataFrame, keys: Sequence[str], min_len: int = 2, time: str = "time", segment_s: float | sg.Adaptive = sg.Adaptive(600)) -> DataFrame:
     """Runs of whole seconds without any row; found from the jump between
     present seconds, so no missing second is ever written out."""
     keys = list(keys)
@@ -178,7 +182,7 @@ def compare_variants(variants: dict[str, DataFrame], flag: str, on: Column, devs
     return out
 
 
-def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Share of the most common value, and share of rows where a value changes."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x"))
     vc = long.select("_x.column", "_x.v").where("v IS NOT NULL").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -190,7 +194,7 @@ def liveness(df: DataFrame, keys: Sequence[str], cols: Sequence[str], time: str
     return top.join(one, "column")
 
 
-def stretches(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def stretches(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Runs of one state: its value, start, length in seconds and rows (W5 folded)."""
     keys = list(keys)
     d = sg.runs(sg.with_segment(df.select(*keys, time, tie, state.alias("_st")), time, segment_s, keys), keys, [time, tie], F.col("_st"))
@@ -206,7 +210,7 @@ def stretch_stats(df: DataFrame, keys: Sequence[str], on: Column, short_s: float
     return describe(s, ["length_s"]).drop("column").crossJoin(F.broadcast(shares))
 
 
-def run_position(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def run_position(df: DataFrame, keys: Sequence[str], state: Column, time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = SPAN) -> DataFrame:
     """Rows with the state, number and 0-based position of their run."""
     return sg.runs(sg.with_segment(df, time, segment_s, keys), keys, [time, tie], state).drop(sg.SEG)
 

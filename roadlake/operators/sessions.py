@@ -61,7 +61,7 @@ def fold_sessions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def feed_health(df: DataFrame, keys: list[str], arrival: str, sent: str, n: int = 20, tie: str = "event_id",
-                segment_s: float = 60) -> DataFrame:
+                segment_s: float | sg.Adaptive = sg.Adaptive(60)) -> DataFrame:
     """Mean interval of the last ``n`` messages and latency, per message.
 
     The arrival ``n - 1`` messages back lies in the row's own segment or among

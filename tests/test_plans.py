@@ -154,3 +154,18 @@ def test_chunked_fold_repairs_wrong_guesses(spark):
 
     got = chunked_fold(df, ["k"], "us", ["us"], fold, out, segment_s=10, warmup_s=3)
     assert sorted((r.k, r.rid, r.n) for r in got.collect()) == sorted((k, rid, rid + 1) for k, _, rid in rows)
+
+
+def test_percentiles_of_close_values(spark):
+    """Large values that share few bins are cut finer, and stay exact."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from roadlake.plans.selection import percentiles
+
+    d = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.lit(1.7e9) + F.pmod(F.xxhash64("id"), F.lit(20_011)) / 7).alias("x"))
+    ps = [0.0, 0.01, 0.5, 0.77, 1.0]
+    got = {(r["g"], r["p"]): r["value"] for r in percentiles(d, "x", ps, ["g"], crowded=100).collect()}
+    for g in range(3):
+        x = [r["x"] for r in d.where(f"g = {g}").collect()]
+        assert all(abs(got[g, p] - v) < 1e-6 for p, v in zip(ps, np.quantile(x, ps), strict=True))
