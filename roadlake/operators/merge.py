@@ -26,18 +26,38 @@ def match_nearest(obd_us: np.ndarray, imu_us: np.ndarray, used: np.ndarray, wind
     """Index of the partner of each OBD row, or -1; marks partners in ``used``.
 
     Both sides ascend in time.  Each OBD row in turn takes the nearest unused
-    IMU row at most a window away, the earlier one of two equally near.
+    IMU row at most a window away, the earlier one of two equally near.  Used rows
+    are skipped by links that shorten as they are followed, so the walk takes
+    about as many steps as there are rows, however dense they are.
     """
-    lo = np.searchsorted(imu_us, obd_us - window_us, side="left")
-    hi = np.searchsorted(imu_us, obd_us + window_us, side="right")
+    n = len(imu_us)
     out = np.full(len(obd_us), -1, dtype=np.int64)
-    for i, (a, b) in enumerate(zip(lo, hi)):
-        if a == b:
+    times = imu_us.tolist()
+    # Links to the next free row at or after a place, and to the last at or before it (shifted by one).
+    after, before = list(range(n + 1)), list(range(n + 1))
+
+    def follow(links: list[int], i: int) -> int:
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    def take(j: int) -> None:
+        used[j] = True
+        after[j], before[j + 1] = j + 1, j
+
+    for j in np.flatnonzero(used).tolist():
+        take(j)
+    first_alike = np.searchsorted(imu_us, imu_us, side="left").tolist()
+    for i, (t, place) in enumerate(zip(obd_us.tolist(), np.searchsorted(imu_us, obd_us, side="left").tolist(), strict=True)):
+        right, left = follow(after, place), follow(before, place) - 1
+        near_right = times[right] - t if right < n else window_us + 1
+        near_left = t - times[left] if left >= 0 else window_us + 1
+        if min(near_left, near_right) > window_us:
             continue
-        free = np.flatnonzero(~used[a:b])
-        if len(free):
-            j = a + free[np.argmin(np.abs(imu_us[a + free] - obd_us[i]))]
-            out[i], used[j] = j, True
+        j = follow(after, first_alike[left]) if near_left <= near_right else right
+        out[i] = j
+        take(j)
     return out
 
 

@@ -31,7 +31,7 @@ MIN_CORR, MIN_GAP = 0.5, 0.15
 NODE = ("vehicle_id",)
 
 
-def speed_accel(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 60) -> DataFrame:
+def speed_accel(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float | sg.Adaptive = q.SPAN) -> DataFrame:
     """C4: backward-difference acceleration from speed; 0 for the first sample."""
     d = sg.lag_rows(sg.with_segment(df, time, segment_s, keys), keys, [time, tie], {"_pv": F.col("speed_kmh"), "_pt": F.unix_micros(time)})
     dt = (F.unix_micros(time) - F.col("_pt")) / 1e6
@@ -45,11 +45,17 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
     ``interval_us`` is the time of the mark that opened the row's interval."""
     keys = list(keys)
     src = df.select(*keys, F.unix_micros(time).alias("us"), F.col(tie).alias("rid"), F.col("speed_kmh").cast("double").alias("v"))
-    out = T.StructType([src.schema[k] for k in keys] + [T.StructField("rid", T.LongType()), T.StructField("mark", T.StringType()), T.StructField("ref_accel", T.DoubleType()), T.StructField("interval_us", T.LongType())])
+    fields = [T.StructField("rid", T.LongType()), T.StructField("us", T.LongType()), T.StructField("mark", T.StringType()), T.StructField("ref_accel", T.DoubleType())]
+    out = T.StructType([src.schema[k] for k in keys] + fields)
+    longest = int(MAX_REF_S * 1e6)
+
+    def carry(state: str, start: int) -> str:
+        """A change so long ago that any other is a plateau's end has no exact time."""
+        at, speed = state.split("|")
+        return f"{max(int(at), start - longest)}|{speed}"
 
     def fold(pdf: pd.DataFrame, state: str | None, start: int, end: int):
-        us, v = pdf["us"].to_numpy(dtype=np.int64), pdf["v"].to_numpy(dtype=float)
-        ok = ~np.isnan(v)
+        us, v, rid = pdf["us"].to_numpy(dtype=np.int64), pdf["v"].to_numpy(dtype=float), pdf["rid"].to_numpy()
         if state is None:
             at, speed = (int(us[0]) if len(us) else start), 0.0
         else:
@@ -63,21 +69,22 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
                 before = f"{at}|{speed}"
             elif us[i] < start and state is not None:
                 continue
-            mark, ref, since = None, None, at
-            if ok[i] and v[i] != speed:
+            if v[i] == v[i] and v[i] != speed:
                 dt = (us[i] - at) / 1e6
-                if dt >= MAX_REF_S:
-                    mark, at, speed = "anchor", int(us[i]), float(v[i])
-                elif dt >= MIN_REF_S:
-                    mark, ref = "fresh", (v[i] - speed) / 3.6 / dt
-                    at, speed = int(us[i]), float(v[i])
-            if us[i] >= start:
-                rows.append((int(pdf["rid"].iloc[i]), mark, ref, since))
+                if dt < MIN_REF_S:
+                    continue
+                fresh = dt < MAX_REF_S
+                if us[i] >= start:
+                    rows.append((int(rid[i]), int(us[i]), "fresh" if fresh else "anchor", (v[i] - speed) / 3.6 / dt if fresh else None))
+                at, speed = int(us[i]), float(v[i])
         after = f"{at}|{speed}"
-        return pd.DataFrame(rows, columns=["rid", "mark", "ref_accel", "interval_us"]), before or after, after
+        return pd.DataFrame(rows, columns=["rid", "us", "mark", "ref_accel"]), carry(before or after, start), after
 
-    marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s)
-    return df.join(marks.withColumnRenamed("rid", tie), [*keys, tie])
+    marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s, carry=carry)
+    d = df.join(marks.select(*keys, F.col("rid").alias(tie), F.col("us").alias("_mus"), "mark", "ref_accel"), [*keys, tie], "left")
+    d = sg.max_before(sg.with_segment(d, time, q.SPAN, keys), keys, [time, tie], F.col("_mus"), "_open")
+    first = df.groupBy(*keys).agg(F.min(F.unix_micros(time)).alias("_first"))
+    return d.join(first, keys).select(*df.columns, "mark", "ref_accel", F.coalesce("_open", "_first").alias("interval_us"))
 
 
 def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
@@ -90,7 +97,7 @@ def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
     return d.select(*[c for c in fresh.columns if c not in axes], *pick)
 
 
-def gravity_blocks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", n: int = N_STATIONARY, segment_s: float = 60) -> DataFrame:
+def gravity_blocks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", n: int = N_STATIONARY, segment_s: float | sg.Adaptive = q.SPAN) -> DataFrame:
     """Mean gravity of every full block of ``n`` consecutive standing samples."""
     standing = F.coalesce(F.col("speed_kmh") < STATIONARY_KMH, F.lit(False))
     slim = df.select(*keys, time, tie, "ax", "ay", "az", standing.alias("_st"))

@@ -79,5 +79,6 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], us: str, order: Sequence[st
         if not wrong.take(1):
             return done.where(F.col("_out").isNull()).select(*names)
         redo = pieces.join(wrong, [*keys, SEG])
-        again = redo.groupBy(*keys, SEG).applyInPandas(lambda pdf: run(pdf, pdf["_state"].iloc[0]), schema)
-        done = materialize(done.join(wrong.select(*keys, SEG), [*keys, SEG], "left_anti").select(*schema.names).unionByName(again), "fold")
+        # Only the repaired segments are written; the others stay where they are.
+        again = materialize(redo.groupBy(*keys, SEG).applyInPandas(lambda pdf: run(pdf, pdf["_state"].iloc[0]), schema), "fold")
+        done = done.join(wrong.select(*keys, SEG), [*keys, SEG], "left_anti").select(*schema.names).unionByName(again)

@@ -113,6 +113,15 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     return out.select(*df.columns, *[(F.coalesce(f"_r_{n}", F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in cols])
 
 
+def max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The largest value of the rows before each row of the key (null where there is none)."""
+    top = df.groupBy(*keys, SEG).agg(F.max(value).alias("_t"))
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carry = top.select(*keys, SEG, F.max("_t").over(before).alias("_c"))
+    out = df.withColumn("_m", F.max(value).over(_local(keys, order).rowsBetween(Window.unboundedPreceding, -1))).join(carry, [*keys, SEG], "left")
+    return out.select(*df.columns, F.greatest("_m", "_c").alias(name))
+
+
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", total: str | None = None) -> DataFrame:
     """0-based position of a row in its key, and the size of the key if asked."""
     tot = df.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("_n"))

@@ -169,3 +169,45 @@ def test_percentiles_of_close_values(spark):
     for g in range(3):
         x = [r["x"] for r in d.where(f"g = {g}").collect()]
         assert all(abs(got[g, p] - v) < 1e-6 for p, v in zip(ps, np.quantile(x, ps), strict=True))
+
+
+def test_pairing_links_match_a_full_search():
+    import numpy as np
+
+    from roadlake.operators.merge import match_nearest
+
+    rng = np.random.default_rng(8)
+    for n, span in ((40, 30), (200, 60), (300, 5000)):
+        obd, imu = (np.sort(rng.integers(0, span, n)) for _ in range(2))
+        used = rng.random(n) < 0.2
+        want, mine = [], used.copy()
+        for t in obd:
+            near = [(abs(u - t), u, j) for j, u in enumerate(imu) if not mine[j] and abs(u - t) <= 7]
+            want.append(min(near)[2] if near else -1)
+            if near:
+                mine[min(near)[2]] = True
+        got = match_nearest(obd, imu, used, 7)
+        assert got.tolist() == want and (used == mine).all()
+
+
+def test_parked_log_settles_in_two_rounds(spark, monkeypatch):
+    """A log of many parked segments: a guess is right although the last change is long ago."""
+    from pyspark.sql import functions as F
+
+    from roadlake.operators import mount as mo
+    from roadlake.plans import chunkfold
+
+    written = []
+    monkeypatch.setattr(chunkfold, "materialize", lambda df, label, real=chunkfold.materialize: written.append(label) or real(df, label))
+    speed = F.when(F.col("id") < 8, F.col("id") * 3).when(F.col("id") > 2990, F.col("id") % 7).otherwise(21).cast("double")
+    d = spark.range(3000).select(F.lit(1).alias("vehicle_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 1 + 1_700_000_000).alias("time"), speed.alias("speed_kmh"))
+    got = mo.fresh_samples(d, segment_s=30, warmup_s=10).collect()
+    at, last, first = 1_700_000_000, 0.0, None
+    for r in sorted(got, key=lambda r: r["event_id"]):
+        us, opened = 1_700_000_000 + r["event_id"], at
+        mark = None
+        if r["speed_kmh"] != last and us - at >= 1:
+            mark = "fresh" if us - at < 3 else "anchor"
+            at, last = us, r["speed_kmh"]
+        assert (r["mark"], r["interval_us"]) == (mark, opened * 1_000_000), r
+    assert len(got) == 3000 and written.count("fold") <= 2
