@@ -58,23 +58,40 @@ def dropped(spark, d):
     return p.groupBy("topic", F.coalesce("reject", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SLICES = 4
+_SLICE = f"LEAST(CAST(FLOOR((EPOCH_US(time) - lo) * {SLICES} / CAST(hi - lo AS DOUBLE)) AS INT), {SLICES - 1})"
+
+
+def _slices(t, time="time"):
+    """The rows cut into a few stretches of equal time, as they would arrive one after the other."""
+    us = F.unix_micros(time)
+    lo, hi = t.agg(F.min(us), F.max(us)).first()
+    part = F.least(F.floor((us - lo) * SLICES / F.lit(float(hi - lo))), F.lit(SLICES - 1))
+    return [t.where(part == i) for i in range(SLICES)]
+
+
 def _message_files(spark, d, clean=True):
     path = workspace(spark, "messages")
-    src = ms.to_messages(fx.telemetry(spark, d), "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id")
-    if clean:
-        src.select("topic", "key", "value").write.json(f"{path}/a")
-        # a closing message moves the watermark past everything else
-        last = fx.telemetry(spark, d).agg(F.max("time").alias("time")).select(F.lit(-1).alias("vehicle_id"), (F.col("time") + F.expr("INTERVAL 1 HOUR")).alias("time"),
-                                                                          *[F.lit(None).cast("double").alias(c) for c in PIDS + ACCELS])
-        ms.to_messages(last, "true", "false", "vehicle_id").select("topic", "key", "value").write.json(f"{path}/b")
-    else:
+    if not clean:
         envelopes(spark, d).select("topic", "key", "value").write.json(f"{path}/a")
+        return f"{path}/*"
+    tel = fx.telemetry(spark, d)
+    for i, part in enumerate(_slices(tel)):
+        ms.to_messages(part, "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id").select("topic", "key", "value").coalesce(1).write.json(f"{path}/{i}")
+    # a closing message moves the watermark past everything else
+    last = tel.agg(F.max("time").alias("time")).select(F.lit(-1).alias("vehicle_id"), (F.col("time") + F.expr("INTERVAL 1 HOUR")).alias("time"),
+                                                       *[F.lit(None).cast("double").alias(c) for c in PIDS + ACCELS])
+    ms.to_messages(last, "true", "false", "vehicle_id").select("topic", "key", "value").write.json(f"{path}/z")
     return f"{path}/*"
 
 
 def merge_stream(spark, d):
+    """The running ingest: messages arrive slice by slice, merged rows are appended by date."""
     obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, _message_files(spark, d), 1)))
-    out = run.drain_to_parquet(pairing.stored(pairing.merge_stream(obd, imu)), "merged", partition=("date",))
+    merged = pairing.stored(pairing.merge_stream(obd, imu))
+    path = workspace(spark, "merged")
+    run.drain(pairing.append_telemetry(merged, path, workspace(spark, "merged-ckpt"), "0 seconds"))
+    out = spark.read.schema(merged.schema).parquet(path)
     return out.where("node_id <> '-1'").select(F.col("node_id").cast("int").alias("vehicle_id"), "time", *PIDS, *ACCELS)
 
 
@@ -90,29 +107,29 @@ def routed(spark, d):
     return run.drain_to_parquet(o.unionByName(i), "routed")
 
 
-def _telemetry_files(spark, d, n=4, close=False):
+def _telemetry_files(spark, d, close=False):
+    """Trips' telemetry in files of rising time, and a closing row if asked."""
     path = workspace(spark, "telemetry")
-    cols = ["vehicle_id", "trip", "event_id", "time", *PIDS, *ACCELS]
-    t = fx.trips(spark, d).select(*cols)
-    t.repartitionByRange(n, "time").write.parquet(f"{path}/a")
+    t = fx.trips(spark, d).select("vehicle_id", "trip", "event_id", "time", *PIDS, *ACCELS)
+    for i, part in enumerate(_slices(t)):
+        part.coalesce(1).write.parquet(f"{path}/{i}")
     if close:
-        t.orderBy(F.desc("time")).limit(1).withColumn("time", F.col("time") + F.expr("INTERVAL 1 HOUR")).withColumn("vehicle_id", F.lit(-1)).write.parquet(f"{path}/b")
+        t.orderBy(F.desc("time")).limit(1).withColumn("time", F.col("time") + F.expr("INTERVAL 1 HOUR")).withColumn("vehicle_id", F.lit(-1)).write.parquet(f"{path}/z")
     return t.schema, f"{path}/*"
 
 
 def rollup_stream(spark, d):
     schema, path = _telemetry_files(spark, d)
     sink = workspace(spark, "rollup")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     run.drain_each(rollup.rollup_stream(src), rollup.bucket_writer(sink), "rollup", "update")
     return rounded(rollup.current_rollup(spark, sink))
 
 
 def score_stream(spark, d):
-    schema, path = _telemetry_files(spark, d, 2, close=True)
+    schema, path = _telemetry_files(spark, d, close=True)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    # files carry no time order between each other, so the allowed lateness covers the run
-    f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30, late_s=1200)
+    f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30)
     model = fo.Forest(an.probe_nodes(an.POOL), an.POOL)
     out = run.drain_to_parquet(scoring.score_stream(f, model, 0.0), "scored").where("vehicle_id >= 0")
     return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", F.round("score", 9).alias("score")))
@@ -125,19 +142,40 @@ def live(spark, d):
                     F.col("value").contains('"speed_kmh":null').alias("null_kept"))
 
 
+def live_stream(spark, d):
+    schema, path = _telemetry_files(spark, d)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = workspace(spark, "live")
+    run.drain(feed.publish(src.select("event_id", "speed_kmh", "rpm"), out, workspace(spark, "live-ckpt"), "0 seconds"))
+    m = spark.read.text(out)
+    return m.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.data.event_id").cast("long").alias("event_id"),
+                    F.get_json_object("value", "$.data.rpm").cast("double").alias("rpm"))
+
+
 def replay(spark, d):
     r = feed.replay(fx.telemetry(spark, d), T1, 4.0)
     return r.select("event_id", "topic", "play_time", F.get_json_object("value", "$.rpm").cast("double").alias("rpm"), F.get_json_object("value", "$.accel_z").cast("double").alias("accel_z"))
 
 
+def _per_trigger(spark, d, make, label):
+    schema, path = _telemetry_files(spark, d)
+    sink = workspace(spark, label)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run.drain_each(src, make(sink), label)
+    return spark.read.parquet(sink).withColumn("trigger", F.col("trigger").cast("int"))
+
+
 def snapshots(spark, d):
-    schema, path = _telemetry_files(spark, d, 2)
-    sink = workspace(spark, "open")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(path)
-    run.drain_each(src, feed.open_session_snapshots(lambda: fx.sessions(spark, d), sink), "open")
-    return spark.read.parquet(sink).select("trigger", "session_id", "started_at").withColumn("trigger", F.col("trigger").cast("int"))
+    return _per_trigger(spark, d, lambda sink: feed.open_session_snapshots(lambda: fx.sessions(spark, d), sink), "open").select("trigger", "session_id", "started_at", "seen_at")
+
+
+def open_summaries(spark, d):
+    make = lambda sink: feed.open_session_summaries(lambda: fx.sessions(spark, d), lambda: fx.telemetry(spark, d), sink)
+    return rounded(_per_trigger(spark, d, make, "open-summaries").select("trigger", "session_id", "row_count", "max_speed_kmh"))
 
 
+_TICKS = (f"WITH {fx.TEL}, {fx.SES}, b AS (SELECT MIN(EPOCH_US(time)) AS lo, MAX(EPOCH_US(time)) AS hi FROM tel), tk AS (SELECT {_SLICE} AS \"trigger\", MAX(time) AS seen_at FROM tel, b GROUP BY 1), "
+          "op AS (SELECT \"trigger\", seen_at, session_id, started_at FROM tk JOIN ses ON started_at <= seen_at AND (ended_at IS NULL OR ended_at > seen_at))")
 _ROLL = (f"WITH {fx.TEL} SELECT DATE_TRUNC('minute', time) AS bucket, ROUND(AVG(speed_kmh),6) AS avg_speed, MAX(speed_kmh) AS max_speed, ROUND(AVG(rpm),6) AS avg_rpm, ROUND(AVG(throttle_pct),6) AS avg_throttle, "
                "ROUND(AVG(engine_load_pct),6) AS avg_load, MAX(ABS(accel_x)) AS max_accel_x, MAX(ABS(accel_y)) AS max_accel_y FROM tel GROUP BY 1")
 _TOPIC = "CASE WHEN event_id % 2 = 0 THEN 'telemetry/vehicle/obd' ELSE 'telemetry/vehicle/imu' END"
@@ -156,5 +194,7 @@ QUERIES = {
     "live_messages": (live, f"WITH {fx.TEL} SELECT 'telemetry' AS type, event_id, speed_kmh IS NULL AS null_kept FROM tel"),
     "replay_messages": (replay, f"""WITH {fx.TEL}, p AS (SELECT *, MAKE_TIMESTAMP(EPOCH_US(TIMESTAMP '2025-06-01 12:00:00') + ROUND((EPOCH_US(time) - (SELECT MIN(EPOCH_US(time)) FROM tel)) / 4.0::DOUBLE)::BIGINT) AS play_time FROM tel)
       SELECT event_id, 'telemetry/vehicle/obd' AS topic, play_time, rpm, NULL::DOUBLE AS accel_z FROM p UNION ALL SELECT event_id, 'telemetry/vehicle/imu', play_time, NULL, accel_z FROM p"""),
-    "open_session_snapshots": (snapshots, f"WITH {fx.SES} SELECT 0 AS \"trigger\", session_id, started_at FROM ses WHERE ended_at IS NULL"),
+    "open_session_snapshots": (snapshots, f"{_TICKS} SELECT \"trigger\", session_id, started_at, seen_at FROM op"),
+    "open_session_summaries": (open_summaries, f"{_TICKS} SELECT \"trigger\", session_id, COUNT(*) AS row_count, MAX(speed_kmh) AS max_speed_kmh FROM op JOIN tel ON tel.time BETWEEN started_at AND seen_at GROUP BY 1, 2"),
+    "live_stream": (live_stream, f"WITH {fx.TEL} SELECT 'telemetry' AS type, event_id, rpm FROM tel"),
 }

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.operators.sessions import open_sessions
 from roadlake.operators.summary import summarize
 from roadlake.plans.intervals import session_rows
 
@@ -39,15 +38,42 @@ def replay(rows: DataFrame, t0: dt.datetime, speed: float = 1.0, time: str = "ti
     return d.select(*rows.columns, "play_time", "_p.topic", "_p.value")
 
 
-def open_session_snapshots(sessions: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """ST7: a foreachBatch function storing the open sessions at every trigger."""
+def publish(rows: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", kind: str = "telemetry"):
+    """K6: the running live feed, one line of JSON per row in a text sink, one append per trigger."""
+    return (live_messages(rows, kind).writeStream.format("text").option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(processingTime=every).start(path))
 
-    def write(_: DataFrame, batch_id: int) -> None:
-        open_sessions(sessions()).write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
+
+def open_at(sessions: DataFrame, at: dt.datetime) -> DataFrame:
+    """The sessions that run at a moment: begun, and not yet ended then."""
+    return sessions.where((F.col("started_at") <= F.lit(at)) & (F.col("ended_at").isNull() | (F.col("ended_at") > F.lit(at))))
+
+
+def open_session_snapshots(sessions: Callable[[], DataFrame], path: str, time: str = "time") -> Callable[[DataFrame, int], None]:
+    """ST7: a foreachBatch function storing, at every trigger, the sessions open at
+    its newest row."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = batch.agg(F.max(time)).first()[0]
+        if at is not None:
+            open_at(sessions(), at).withColumn("seen_at", F.lit(at)).write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
+
+    return write
+
+
+def open_session_summaries(sessions: Callable[[], DataFrame], stored: Callable[[], DataFrame], path: str, time: str = "time") -> Callable[[DataFrame, int], None]:
+    """ST9: a foreachBatch function storing, at every trigger, the summaries so far of
+    the sessions then open, over the telemetry stored up to its newest row."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = batch.agg(F.max(time)).first()[0]
+        if at is not None:
+            summarize_open(stored().where(F.col(time) <= F.lit(at)), sessions(), at).write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
 
     return write
 
 
 def summarize_open(tel: DataFrame, sessions: DataFrame, now: dt.datetime) -> DataFrame:
     """ST9: summaries of the sessions still running, as of ``now``."""
-    return summarize(session_rows(tel, open_sessions(sessions), now))
+    running = open_at(sessions, now).withColumn("ended_at", F.lit(None).cast("timestamp"))
+    return summarize(session_rows(tel, running, now))

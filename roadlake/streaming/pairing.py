@@ -74,10 +74,11 @@ class PairingProcessor(StatefulProcessor):
         pass
 
 
-def merge_stream(obd: DataFrame, imu: DataFrame, key: str = "node_id", window_s: float = WINDOW_S, late_s: float = 2.0, time: str = "time") -> DataFrame:
+def merge_stream(obd: DataFrame, imu: DataFrame, key: str = "node_id", window_s: float = WINDOW_S, late_s: float = 2.0, time: str = "time", sequence: str | None = None) -> DataFrame:
     """Merged rows of two streams; ``late_s`` is how long a row may be late."""
     use_rocksdb(obd.sparkSession)
-    with_id = lambda d: d.withColumn("_rid", F.unix_micros(time))
+    # Rows of one time go by their sequence number where the messages carry one.
+    with_id = lambda d: d.withColumn("_rid", F.col(sequence).cast("long") if sequence else F.unix_micros(time))
     src = tagged(with_id(obd), with_id(imu), [key], time, "_rid")
     src = src.withColumn("at", F.timestamp_micros("us")).withWatermark("at", f"{int(late_s * 1000)} milliseconds")
     schema = T.StructType([src.schema[key], *merged_fields()])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlake.operators.rollup import measures
+from roadlake.session import materialize
 
 
 def rollup_stream(tel: DataFrame, lookback: str = "1 hour", time: str = "time") -> DataFrame:
@@ -15,18 +16,43 @@ def rollup_stream(tel: DataFrame, lookback: str = "1 hour", time: str = "time")
 
 
 def bucket_writer(path: str):
-    """A foreachBatch sink: each micro-batch adds the buckets it changed, as a new
-    version.  Writing a batch id again replaces it, so a retried batch is harmless."""
+    """A foreachBatch sink: each micro-batch merges the buckets it changed into a new
+    version of their dates and drops all but the last two versions of these, so
+    storage stays bounded.  Only dates within the look-back are touched.  Running a
+    batch id again writes the same version again, so a retried batch is harmless."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("date", F.to_date("bucket")).write.mode("overwrite").partitionBy("date").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        batch = materialize(batch.withColumn("date", F.to_date("bucket").cast("string")), "changed-buckets")
+        for r in batch.select("date").distinct().collect():
+            changed, home = batch.where(F.col("date") == r["date"]).drop("date"), f"{path}/date={r['date']}"
+            older = sorted(v for v in _versions(spark, home) if v < batch_id)
+            if older:
+                changed = spark.read.parquet(f"{home}/version={older[-1]}").join(changed, "bucket", "left_anti").unionByName(changed)
+            changed.write.mode("overwrite").parquet(f"{home}/version={batch_id}")
+            for v in older[:-1]:
+                _remove(spark, f"{home}/version={v}")
 
     return write
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, home: str) -> list[int]:
+    fs, p = _folder(spark, home)
+    return [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def current_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of every bucket."""
-    v = spark.read.option("mergeSchema", "false").parquet(path)
-    rest = [c for c in v.columns if c not in ("bucket", "version", "date")]
-    last = v.groupBy("bucket").agg(F.max_by(F.struct(*rest), F.col("version").cast("long")).alias("_b"))
-    return last.select("bucket", *[F.col(f"_b.{c}").alias(c) for c in rest])
+    """The latest version of every date."""
+    v = spark.read.parquet(path)
+    newest = v.groupBy("date").agg(F.max("version").alias("version"))  # of partition values: no column is read
+    return v.join(F.broadcast(newest), ["date", "version"]).drop("date", "version")

@@ -15,6 +15,14 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
+def drain(query) -> None:
+    """Let a running query take all there is, then stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def drain_to_parquet(stream: DataFrame, label: str, checkpoint: str | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
     """Process what is available now into a Parquet table and read it back."""
     spark = stream.sparkSession
