@@ -70,9 +70,9 @@ def pool(spark, d, w=30):
 _RNG = "(PARTITION BY vehicle_id, trip ORDER BY time RANGE BETWEEN INTERVAL '{w}.999999' SECOND PRECEDING AND CURRENT ROW)"
 
 
-def _pool_sql(w=30):
+def _pool_sql(w=30, seconds=120):
     r = _RNG.format(w=w - 1)
-    return (f"{fx.solid_sql()}, p0 AS (SELECT *, rpm - MEDIAN(rpm) OVER {r} AS rpm_dev, engine_load_pct - MEDIAN(engine_load_pct) OVER {r} AS engine_load_pct_dev, MIN(time) OVER k AS t0, MAX(time) OVER k AS t1 "
+    return (f"{fx.solid_sql(seconds)}, p0 AS (SELECT *, rpm - MEDIAN(rpm) OVER {r} AS rpm_dev, engine_load_pct - MEDIAN(engine_load_pct) OVER {r} AS engine_load_pct_dev, MIN(time) OVER k AS t0, MAX(time) OVER k AS t1 "
             "FROM solid WINDOW k AS (PARTITION BY vehicle_id, trip)), pool AS (SELECT vehicle_id, trip, time, event_id, speed_kmh, rpm, rpm_dev, engine_load_pct_dev FROM p0 "
             f"WHERE t1 - t0 >= INTERVAL {w} SECOND AND time >= t0 + INTERVAL {w} SECOND)")
 
@@ -223,6 +223,32 @@ def fitted_nodes(spark, d):
 MIN_WINDOWS = 3
 
 
+def forest_shape(spark, d):
+    """What the nodes of every fitted forest must add up to."""
+    leaf = F.col("feature") < 0
+    return fitted_nodes(spark, d).groupBy("vehicle_id").agg(
+        F.count_distinct("tree").alias("n_trees"), F.min("psi").alias("least_sample"), F.max("psi").alias("most_sample"), F.sum(F.when(leaf, F.col("size"))).alias("leaf_rows"),
+        F.sum(F.when(leaf, -1).otherwise(1)).alias("inner_less_leaves"), F.max((F.pow(F.lit(2.0), F.col("depth") - 1) < F.col("psi"))).alias("within_depth"),
+        F.min(F.when(F.col("node") == 0, F.col("size"))).alias("root_rows"))
+
+
+_SHAPE = (f"WITH {POOL_SQL}, n AS (SELECT vehicle_id, LEAST(256, COUNT(*)) AS k FROM ps WHERE score IS NOT NULL GROUP BY 1) "
+          "SELECT vehicle_id, 100 AS n_trees, k AS least_sample, k AS most_sample, 100 * k AS leaf_rows, -100 AS inner_less_leaves, TRUE AS within_depth, k AS root_rows FROM n")
+
+
+def _skips_sql(w, windows):
+    return f"""WITH {_pool_sql(w, 60)}, tb AS (SELECT vehicle_id, trip, MIN(time) AS st FROM solid GROUP BY 1, 2),
+ ri AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY st, trip) - 1 AS i, COUNT(*) OVER (PARTITION BY vehicle_id) AS n FROM tb),
+ ro AS (SELECT *, CASE WHEN n - nt < 1 THEN 'rejected' WHEN i >= n - nt THEN 'test' ELSE 'train' END AS role FROM (SELECT *, GREATEST(3, CEIL(n * 0.2)) AS nt FROM ri)),
+ te AS (SELECT pool.* FROM pool JOIN ro USING (vehicle_id, trip) WHERE role = 'test'),
+ db AS (SELECT vehicle_id, trip, MIN(EPOCH_US(time)) AS a, (MAX(EPOCH_US(time)) - MIN(EPOCH_US(time))) // 30000000 AS nc FROM te GROUP BY 1, 2),
+ dv AS (SELECT vehicle_id, trip, (EPOCH_US(time) - a) // 30000000 AS chunk FROM te JOIN db USING (vehicle_id, trip) WHERE (EPOCH_US(time) - a) // 30000000 < nc
+   GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3 AND COUNT(rpm_dev) = COUNT(*) AND COUNT(engine_load_pct_dev) = COUNT(*) AND COUNT(speed_kmh) = COUNT(*)),
+ nw AS (SELECT vehicle_id, COUNT(*) AS k FROM dv GROUP BY 1)
+ SELECT DISTINCT vehicle_id, 'too few trips to hold any out' AS reason FROM ro WHERE role = 'rejected' UNION ALL
+ SELECT vehicle_id, 'only ' || COALESCE(k, 0) || ' fault windows' FROM (SELECT DISTINCT vehicle_id FROM ro WHERE role = 'test') LEFT JOIN nw USING (vehicle_id) WHERE COALESCE(k, 0) < {windows}"""
+
+
 def volume(spark, d):
     t = fx.solid_trips(spark, d, 60)
     return st.volume_sweep(t, [s / 86400 for s in (130, 250, 400)], 15, min_windows=MIN_WINDOWS)
@@ -264,6 +290,7 @@ QUERIES = {
         f"ROUND(QUANTILE_CONT(score, {p / 100}), 6) AS p{p:02d}" for p in (1, 5, 10, 50, 90)) + " FROM cs GROUP BY 1"),
     "fit_forest_scores": (fitted, None),
     "fit_forests_per_vehicle": (fitted_nodes, None),
+    "fit_forest_shape": (forest_shape, _SHAPE),
     "volume_sweep": (volume, None),
-    "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=MIN_WINDOWS), None),
+    "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=MIN_WINDOWS), _skips_sql(15, MIN_WINDOWS)),
 }
