@@ -24,10 +24,15 @@ _SMALL = 500_000
 
 @dataclass(frozen=True)
 class Adaptive:
-    """Time spans of ``seconds``, those with more than ``target`` rows cut finer."""
+    """Time spans of ``seconds``, those with more than ``target`` rows cut finer.
+
+    ``counted`` may name a table to count instead, by time alone: one that holds at
+    least the rows that any key can have in a span, and is cheaper to read.
+    """
 
     seconds: float
     target: int = 2_000_000
+    counted: DataFrame | None = None
 
 
 def time_segment(time: str | Column, seconds: float) -> Column:
@@ -48,7 +53,10 @@ def with_segment(df: DataFrame, time: str, span: float | Adaptive, keys: Sequenc
         return df.withColumn(SEG, time_segment(time, span))
     keys, width = list(keys), int(span.seconds * 1_000_000)
     base = time_segment(time, span.seconds)
-    hot = df.groupBy(*keys, base.alias("_base")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span.target)
+    source = df
+    if span.counted is not None:
+        source, keys = span.counted, []
+    hot = source.groupBy(*keys, base.alias("_base")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > span.target)
     hot = materialize(hot.select(*keys, "_base", F.least(F.ceil(F.col("_n") * 8 / span.target), F.lit(_PARTS)).alias("_parts")), "hot-spans")
     n_hot = hot.limit(_SMALL + 1).count()
     if not n_hot:

@@ -65,12 +65,17 @@ def _sum_sql(cols: list[str], where: str = "") -> str:
     return f"{_SUMMARY} SELECT session_id, {', '.join(parts)} FROM s {where}"
 
 
+def spans(spark, d):
+    """Crowded minutes are found on the telemetry alone, so the join runs once."""
+    return sg.Adaptive(60, counted=fx.telemetry(spark, d).select("time"))
+
+
 def summary(spark, d):
-    return rounded(sm.summarize(joined(spark, d)))
+    return rounded(sm.summarize(joined(spark, d), segment_s=spans(spark, d)))
 
 
 def _part(*cols):
-    return lambda spark, d: rounded(sm.summarize(joined(spark, d)).select("session_id", *cols))
+    return lambda spark, d: rounded(sm.summarize(joined(spark, d), segment_s=spans(spark, d)).select("session_id", *cols))
 
 
 _ALL = ["row_count", *_SUMMARY_COLS[:12], "idle_pct", "peak_g", "harsh_accel_count", "harsh_brake_count", "best_0_60_s", "duration_s"]
