@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.llm import words as W
-from roadlake.llm.base import column, materialize, row_key, steps, utf8
+from roadlake.llm.base import column, materialize, ragged, row_key, steps, utf8
 
 WINDOW, SEED = 50, 10
 #: Suffixes of one sorted group at most, on average.
 GROUP = 4000
 _SUFFIXES = "doc_id long, row_key long, place int, seed long"
-_CONTEXTS = "seed long, cut int, doc_id long, row_key long, place int, n_right int, n_left int, following binary, preceding binary"
+_CONTEXTS = "seed long, cut int, doc_id long, row_key long, place int, again array<int>, n_right int, n_left int, following binary, preceding binary"
 
 
 def _suffixes(window: int, seed: int):
@@ -44,8 +44,10 @@ def _suffixes(window: int, seed: int):
 
 
 def _contexts(window: int, seed: int):
-    """Each suffix with the words that follow and precede it, as 4-byte hashes in reading order from it."""
+    """Each suffix with the words that follow and precede it, as 4-byte hashes in reading order from it. Places
+    of a text in the same surroundings are one row: ``again`` lists the distances of the others from the first."""
     reach = window - seed
+    odd = np.random.default_rng(7).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -62,8 +64,15 @@ def _contexts(window: int, seed: int):
             right = words[np.where(np.arange(window) < n_right[:, None], right, none)]
             left = at[:, None] - 1 - np.arange(reach)
             left = words[np.where(np.arange(reach) < n_left[:, None], left, none)]
+            alike = W.mix(right.astype(np.uint64) @ odd[:window] ^ W.mix(left.astype(np.uint64) @ odd[:reach] + row.astype(np.uint64) * np.uint64(2**40)))
+            _, one, member = np.unique(alike, return_index=True, return_inverse=True)
+            order = np.lexsort((place, member))
+            size = np.bincount(member, minlength=len(one))
+            again = [p - p[0] for p in np.split(place[order], np.cumsum(size)[:-1])] if len(one) else []
+            one = order[np.cumsum(size) - size]
+            place, code, cuts, pivot, row, right, left, n_right, n_left = (x[one] for x in (place, code, cuts, pivot, row, right, left, n_right, n_left))
             # Which cut of its group: by the words that follow; the group's smallest document goes to all.
-            own = (W.mix(right.astype(np.uint64) @ (2 * np.arange(window, dtype=np.uint64) + np.uint64(1))) % cuts.astype(np.uint64)).astype(np.int32)
+            own = (W.mix(right.astype(np.uint64) @ odd[:window]) % cuts.astype(np.uint64)).astype(np.int32)
             times = np.where(pivot, cuts, 1)
             k = np.repeat(np.arange(len(place)), times)
             cut = np.where(pivot[k], np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times), own[k]).astype(np.int32)
@@ -71,8 +80,8 @@ def _contexts(window: int, seed: int):
             raw = [pa.array([b.tobytes() for b in part[k]], pa.binary()) for part in (right, left)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(code[k], pa.int64()), pa.array(cut), pa.array(ids[row][k], pa.int64()), pa.array(keys[row][k], pa.int64()), pa.array(place[k].astype(np.int32)),
-                 pa.array(n_right[k]), pa.array(n_left[k]), *raw],
-                names=["seed", "cut", "doc_id", "row_key", "place", "n_right", "n_left", "following", "preceding"])
+                 pa.array([again[i] for i in k], pa.list_(pa.int32())), pa.array(n_right[k]), pa.array(n_left[k]), *raw],
+                names=["seed", "cut", "doc_id", "row_key", "place", "again", "n_right", "n_left", "following", "preceding"])
 
     return run
 
@@ -108,7 +117,7 @@ def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     codes = np.unique(left.view(f"S{4 * reach}").ravel(), return_inverse=True)[1]
     least = np.lexsort((doc, group))
     pivot = least[np.append(0, np.cumsum(np.bincount(group)))[:-1]][group]
-    starts, ends, which = [], [], []
+    which = []
     for order in (np.arange(n), np.lexsort((doc, codes, group))):
         for turn in (order, order[::-1]):
             near = _nearest_smaller(doc[turn].tolist(), group[turn].tolist())
@@ -121,7 +130,12 @@ def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     more = _common(right[i], right[j], np.minimum(n_right[i], n_right[j]))
     less = _common(left[i], left[j], np.minimum(n_left[i], n_left[j]))
     long = more + less >= window
+    again = rows["again"].combine_chunks()
+    flat, off = again.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(again.value_lengths().to_numpy(zero_copy_only=False)))
     i, starts, ends = i[long], (place[i] - less)[long], (place[i] + more)[long]
+    times = np.diff(off)[i]
+    shift = flat[ragged(off[i], times)]
+    i, starts, ends = np.repeat(i, times), np.repeat(starts, times) + shift, np.repeat(ends, times) + shift
     return pa.RecordBatch.from_arrays([pa.array(doc[i], pa.int64()), pa.array(keys[i], pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["doc_id", "row_key", "start", "end"])
 
 
@@ -153,7 +167,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, grou
     kept = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", row_key().alias("row_key"))
     found = materialize(kept.mapInArrow(_suffixes(window, seed), _SUFFIXES), "suffixes")
     shared = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    shared = shared.select("seed", "least", F.ceil(F.col("n") / group).cast("int").alias("cuts"))
+    # Written, so that both sides of the join are exchanges and a hot seed's rows can be split.
+    shared = materialize(shared.select("seed", "least", F.ceil(F.col("n") / group).cast("int").alias("cuts")), "suffix-shared")
     held = found.join(shared, "seed").select("doc_id", "row_key", F.struct("place", "seed", "cuts", (F.col("doc_id") == F.col("least")).alias("pivot")).alias("s"))
     by_text = held.groupBy("doc_id", "row_key").agg(F.collect_list("s").alias("suffixes"))
     texts = kept.dropDuplicates(["doc_id", "row_key"]).join(by_text, ["doc_id", "row_key"])
