@@ -29,6 +29,11 @@ def iso_text(c: str | Column) -> Column:
     return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+def no_nan(c: str | Column) -> Column:
+    """Missing is null: NaN readings become it where they enter."""
+    return F.nullif(_c(c), F.lit(float("nan")))
+
+
 def kmh_to_ms(c: str | Column) -> Column:
     return _c(c) / F.lit(3.6)
 

@@ -188,7 +188,8 @@ def window_tradeoff(windows: DataFrame, scored: DataFrame, score: Scorer, train:
 def sealed_evaluation(test: DataFrame, score: Scorer, threshold: float, windows: DataFrame, faults: dict[str, tuple[str, Column | float]], confirm_sealed: bool = False,
                       wkeys: Sequence[str] | None = None) -> DataFrame:
     """False-positive rate at a fixed threshold and detection per fault,
-    per row or, with ``wkeys``, per window; refused without the explicit flag."""
+    per row or, with ``wkeys``, per window; refused without the explicit flag.
+    ``windows`` are to be drawn with TEST_SEED, not with the seed of the calibration."""
     if not confirm_sealed:
         raise PermissionError("the test set is sealed: pass confirm_sealed=True for the one evaluation")
     s = score(test).where("score IS NOT NULL")

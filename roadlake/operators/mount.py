@@ -26,6 +26,8 @@ from roadlake.session import materialize
 
 STATIONARY_KMH = 1.0
 MIN_REF_S, MAX_REF_S = 1.0, 3.0
+# Gravity, how far a parked reading may be from it, and what counts as no covariance.
+STANDARD_G, G_TOLERANCE, NO_SIGNAL = 9.81, 1.5, 1e-9
 N_STATIONARY = 20
 MIN_CORR, MIN_GAP = 0.5, 0.15
 NODE = ("vehicle_id",)
@@ -239,7 +241,7 @@ class StageMachine:
         """A mean of standing samples; true when the calibration changed."""
         if self.tilt is not None:
             size = float(np.linalg.norm(g))
-            if abs(size - 9.81) > 1.5:
+            if abs(size - STANDARD_G) > G_TOLERANCE:
                 return False
             off = np.degrees(np.arccos(np.clip((self.tilt @ g)[2] / size, -1, 1)))
             if off <= self.cfg[5]:
@@ -270,12 +272,12 @@ class StageMachine:
         self.pool += [c[:, 0] @ c[:, 2], c[:, 1] @ c[:, 2], c[:, 0] @ c[:, 0], c[:, 1] @ c[:, 1], c[:, 0] @ c[:, 1], c[:, 2] @ c[:, 2]]
         self.windows += 1
         xr, yr, xx, yy, xy, rr = self.pool
-        if abs(xr) < 1e-9 and abs(yr) < 1e-9:
+        if abs(xr) < NO_SIGNAL and abs(yr) < NO_SIGNAL:
             return False
         th = np.arctan2(yr, xr)
         co, si = np.cos(th), np.sin(th)
         den = np.sqrt((co * co * xx + 2 * co * si * xy + si * si * yy) * rr)
-        corr = (co * xr + si * yr) / den if den > 1e-9 else 0.0
+        corr = (co * xr + si * yr) / den if den > NO_SIGNAL else 0.0
         deg = float(np.degrees(th))
         self.angles = [*self.angles, deg][-3:]
         settled = len(self.angles) == 3 and all(abs((p - deg + 180) % 360 - 180) <= tol for p in self.angles)

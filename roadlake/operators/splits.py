@@ -21,12 +21,6 @@ def hash_order(cols: Sequence[str], seed: int = SEED) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
 
 
-def split_sizes(n: int, val: float = 0.15, test: float = 0.15) -> tuple[int, int, int]:
-    """P-12 counts (train, val, test) of n trips; ties round to even."""
-    v, t = max(1, round(n * val)), max(1, round(n * test))
-    return n - v - t, v, t
-
-
 def trip_split(df: DataFrame, key: str = "trip_id", order: Column | None = None, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """M3: whole trips to val, test, train by shuffled rank: (key, split).
 

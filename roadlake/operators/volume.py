@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlake.schemas import SWEEP_RESULTS
+
 CURVE = ["powertrain", "vehicle_id", "fault_type"]
-REQUIRED = ["vehicle_id", "powertrain", "fault_type", "std_multiple", "actual_train_span_days", "day_cutoff"]
+# What the readers below use of a result table: all but its rates, sizes and counts.
+REQUIRED = [f.name for f in SWEEP_RESULTS.fields if not f.name.startswith(("detect_", "n_", "magnitude"))]
 FPR_TARGETS = (2, 5, 10)
 
 
 def check_results(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
-        raise ValueError(f"results lack columns: {missing} (found {df.columns})")
+        raise ValueError(f"not a sweep result: {', '.join(missing)} not among {', '.join(df.columns)}")
     return df
 
 

@@ -195,6 +195,7 @@ def bands(spark, d):
     t = fx.telemetry(spark, d)
     cols = [sc.band(c, w, g).alias(f"{c}_band") for c, (w, g) in sc.BANDS.items()]
     cols += [sc.gauge_fraction(c, lo, hi).alias(f"{c}_frac") for c, (lo, hi) in sc.GAUGES.items()]
+    cols.append(sc.gauge_angle("rpm", *sc.GAUGES["rpm"], -120, 240).alias("rpm_deg"))
     return rounded(t.select("event_id", *cols))
 
 
@@ -203,7 +204,7 @@ def units(spark, d):
     return rounded(t.select(
         "event_id", sc.kmh_to_ms("speed_kmh").alias("speed_ms"), sc.to_g("accel_x").alias("long_g"),
         sc.planar_g("accel_x", "accel_y").alias("planar_g"), sc.counts_to_ms2(F.col("event_id") % 16384).alias("counts_ms2"),
-        sc.epoch_to_ts(F.unix_micros("time") / 1e6).alias("from_epoch"), sc.to_display_tz("time", "Asia/Kolkata").alias("local_time"),
+        sc.epoch_to_ts(F.unix_micros("time") / 1e6).alias("from_epoch"), sc.to_display_tz("time", "Asia/Kolkata").alias("local_time"), sc.iso_text("time").alias("iso"),
         sc.null_out_of_range("engine_load_raw").alias("load_clean")))
 
 
@@ -275,9 +276,9 @@ QUERIES = {
         _B.format(c="engine_load_pct", w=70, g=90), _B.format(c="coolant_temp_c", w=100, g=115),
         "CASE WHEN rpm IS NULL THEN 'missing' WHEN rpm >= 6000 THEN 'danger' ELSE 'ok' END AS rpm_band",
         "ROUND(LEAST(GREATEST(COALESCE(speed_kmh, 0), 0), 220) / 220::DOUBLE, 6) AS speed_kmh_frac",
-        "ROUND(LEAST(GREATEST(rpm, 0), 7000) / 7000::DOUBLE, 6) AS rpm_frac",
+        "ROUND(LEAST(GREATEST(rpm, 0), 7000) / 7000::DOUBLE, 6) AS rpm_frac", "ROUND(-120 + LEAST(GREATEST(rpm, 0), 7000) / 7000::DOUBLE * 240, 6) AS rpm_deg",
         "ROUND(LEAST(GREATEST(coolant_temp_c, 0), 130) / 130::DOUBLE, 6) AS coolant_temp_c_frac"]) + " FROM tel"),
     "unit_conversions": (units, f"""WITH {fx.TEL} SELECT event_id, ROUND(speed_kmh / 3.6::DOUBLE, 6) AS speed_ms, ROUND(accel_x / 9.80665::DOUBLE, 6) AS long_g,
       ROUND(SQRT(accel_x * accel_x + accel_y * accel_y) / 9.80665::DOUBLE, 6) AS planar_g, ROUND((event_id % 16384) * 9.81::DOUBLE / 16384, 6) AS counts_ms2,
-      time AS from_epoch, time + INTERVAL 330 MINUTE AS local_time, CASE WHEN engine_load_raw BETWEEN 0 AND 100 THEN engine_load_raw END AS load_clean FROM tel"""),
+      time AS from_epoch, time + INTERVAL 330 MINUTE AS local_time, STRFTIME(time, '%Y-%m-%dT%H:%M:%S.%f') AS iso, CASE WHEN engine_load_raw BETWEEN 0 AND 100 THEN engine_load_raw END AS load_clean FROM tel"""),
 }

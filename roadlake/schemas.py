@@ -14,22 +14,13 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 _D, _S, _L, _TS = T.DoubleType(), T.StringType(), T.LongType(), T.TimestampType()
 
-TELEMETRY = _struct(
-    ("time", _TS), ("node_id", _S), *[(c, T.FloatType()) for c in PIDS + ACCELS + ["latitude", "longitude"]]
-)
-SESSIONS = _struct(
-    ("session_id", _S), ("name", _S), ("driver_id", _S), ("node_id", _S),
-    ("started_at", _TS), ("ended_at", _TS), ("notes", _S),
-)
-DRIVERS = _struct(("id", _S), ("name", _S), ("created_at", _TS))
-NODES = _struct(("id", _S), ("label", _S), ("first_seen", _TS))
-
 PID_READING = _struct(("value", _D), ("unit", _S), ("desc", _S))
 OBD_MESSAGE = _struct(
     ("ts", _D), ("mode", _S), *[(c, _D) for c in PIDS], ("all_pids", T.MapType(_S, PID_READING))
 )
 IMU_MESSAGE = _struct(("ts", _D), *[(c, _D) for c in ACCELS])
 ANY_MESSAGE = T.StructType(OBD_MESSAGE.fields + IMU_MESSAGE.fields[1:] + [T.StructField("_corrupt", _S, True)])
+# The two topics.
 TOPIC_OBD = "telemetry/vehicle/obd"
 TOPIC_IMU = "telemetry/vehicle/imu"
 

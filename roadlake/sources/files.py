@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadlake.functions.scalars import no_nan
 from roadlake.operators.cleaning import assert_unique, concat, fix_double_encoding, parse_trip_name
 from roadlake.plans import segmented as sg
 from roadlake.schemas import SWEEP_RESULTS, TRIP_HEADER, WEEKLY_HEADER
@@ -67,7 +68,8 @@ def read_by_name(spark: SparkSession, path: str, types: dict[str, T.DataType], r
         schema = T.StructType([T.StructField(renamed.get(n, f"_c{i}"), types.get(n, T.StringType())) for i, n in enumerate(header)])
         d = reader.schema(schema).csv(path if len(groups) == 1 else files)
         folders = [c for c in d.columns if c not in schema.names]
-        parts.append(d.select(*renamed.values(), *folders, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias(sg.SEG)))
+        values = [no_nan(n).alias(n) if isinstance(schema[n].dataType, T.DoubleType) else F.col(n) for n in renamed.values()]
+        parts.append(d.select(*values, *folders, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias(sg.SEG)))
     return reduce(DataFrame.unionByName, parts)
 
 

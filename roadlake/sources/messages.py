@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlake.functions.scalars import epoch_to_ts
+from roadlake.functions.scalars import epoch_to_ts, no_nan
 from roadlake.operators.cleaning import explode_pids
 from roadlake.schemas import ACCELS, ANY_MESSAGE, PIDS, TOPIC_IMU, TOPIC_OBD
 
@@ -40,8 +40,8 @@ def parse(messages: DataFrame) -> DataFrame:
 def route(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(obd, imu, bad).  Advanced messages keep their core fields as OBD rows."""
     good = parsed.where("reject IS NULL").withColumn("time", epoch_to_ts("m.ts"))
-    obd = good.where(F.col("topic") == TOPIC_OBD).select(F.col("key").alias("node_id"), "time", F.col("m.mode").alias("mode"), *[F.col(f"m.{c}").alias(c) for c in PIDS])
-    imu = good.where(F.col("topic") == TOPIC_IMU).select(F.col("key").alias("node_id"), "time", *[F.col(f"m.{c}").alias(c) for c in ACCELS])
+    obd = good.where(F.col("topic") == TOPIC_OBD).select(F.col("key").alias("node_id"), "time", F.col("m.mode").alias("mode"), *[no_nan(f"m.{c}").alias(c) for c in PIDS])
+    imu = good.where(F.col("topic") == TOPIC_IMU).select(F.col("key").alias("node_id"), "time", *[no_nan(f"m.{c}").alias(c) for c in ACCELS])
     return obd, imu, parsed.where("reject IS NOT NULL").select("topic", "key", "value", "reject")
 
 

@@ -119,3 +119,16 @@ def test_missing_runs(spark):
     df = spark.createDataFrame([("a", T0 + s * 1_000_000 + 5) for s in secs], "k string, us long").withColumn("time", F.timestamp_micros("us"))
     got = sorted(((r.run_start.replace(tzinfo=dt.timezone.utc).timestamp() - T0 / 1e6), r.run_len) for r in missing_runs(df, ["k"]).collect())
     assert got == [(5.0, 3), (10.0, 1290)]
+
+
+def test_nan_readings_are_missing(spark):
+    from pyspark.sql import functions as F
+
+    from roadlake.functions.scalars import no_nan
+    from roadlake.sources import messages as ms
+
+    d = spark.createDataFrame([(float("nan"),), (1.5,), (None,)], "x double")
+    assert [r[0] for r in d.select(no_nan("x")).collect()] == [None, 1.5, None]
+    m = spark.createDataFrame([("telemetry/vehicle/obd", "n", '{"ts": 1.0, "mode": "normal", "rpm": NaN, "speed_kmh": 3.0}')], "topic string, key string, value string")
+    obd, _, _ = ms.route(ms.parse(m))
+    assert [tuple(r) for r in obd.select("rpm", "speed_kmh", F.isnan("speed_kmh")).collect()] == [(None, 3.0, False)]
