@@ -196,6 +196,19 @@ _SESS = (f"WITH {fx.JOINED}, s0 AS (SELECT *, rpm - MEDIAN(rpm) OVER {_RS} AS rp
          "ROUND(score, 6) AS score, score < 0 AS is_anomalous FROM s1 WHERE score IS NOT NULL")
 
 
+def session_car(spark, d):
+    """The single-car model: 60 s windows, one row per second."""
+    m = fo.Forest(probe_nodes(CAR), CAR)
+    out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 60, resample=True, now=fx.NOW)
+    return rounded(out.select("time", *CAR, F.round("score", 9).alias("score"), "is_anomalous"))
+
+
+_RS60 = _R60.replace("PARTITION BY vehicle_id, trip ", "")
+_SESS_CAR = (f"WITH {fx.JOINED}, s0 AS (SELECT *, coolant_temp_c - MEDIAN(coolant_temp_c) OVER {_RS60} AS coolant_temp_c_dev, rpm - MEDIAN(rpm) OVER {_RS60} AS rpm_dev, MIN(time) OVER () AS t0 FROM j WHERE session_id = 's5'), "
+             "s1 AS (SELECT DATE_TRUNC('second', time) AS time, " + ", ".join(f"ARG_MAX({c}, (s0.time, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in CAR) + " FROM s0 WHERE time >= t0 + INTERVAL 60 SECOND GROUP BY 1), "
+             f"s2 AS (SELECT *, {SC} AS score FROM s1) SELECT time, ROUND(coolant_temp_c_dev, 6) AS coolant_temp_c_dev, ROUND(rpm_dev, 6) AS rpm_dev, speed_kmh, ROUND(score, 6) AS score, score < 0 AS is_anomalous FROM s2 WHERE score IS NOT NULL")
+
+
 def populations(spark, d):
     p = ft.population_features(fx.solid_trips(spark, d), 30)
     return rounded(st.compare_populations({"fleet": p.where("vehicle_id <> 3"), "own": p.where("vehicle_id = 3")}, "rpm_dev", -3000, 5000))
@@ -285,6 +298,7 @@ QUERIES = {
     "sealed_evaluation_windows": (sealed_windows, f"WITH {POOL_SQL}{TW1}{_SD}{_PINJ} SELECT fault, COUNT(*) AS n_tested, ROUND(100 * AVG((low < 0)::INT), 6) AS detection_pct, "
                                   "ROUND((SELECT 100 * AVG((score < 0)::INT) FROM ps WHERE vehicle_id % 2 = 1 AND score IS NOT NULL), 6) AS actual_fpr_pct FROM pl GROUP BY 1"),
     "score_session": (session, _SESS),
+    "score_session_single_car": (session_car, _SESS_CAR),
     "compare_populations": (populations, _POPS),
     "holdout_conditions": (holdouts, f"WITH {CAR_SQL} SELECT 'c' || vehicle_id AS condition, COUNT(*) AS n_rows, ROUND(100 * AVG((score < 0)::INT), 6) AS flag_pct, " + ", ".join(
         f"ROUND(QUANTILE_CONT(score, {p / 100}), 6) AS p{p:02d}" for p in (1, 5, 10, 50, 90)) + " FROM cs GROUP BY 1"),
