@@ -51,7 +51,7 @@ def sketches(items: DataFrame, k: int = SHINGLE, contain: float = CONTAIN) -> Da
     top = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     take = F.least(F.col("n"), (top - F.ceil(top * contain) + 1).cast("int"))
     least = F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("n"))) * contain).cast("int")
-    return sized.select("item_id", "item_key", "n", least.alias("least"), F.explode(F.slice("_codes", F.lit(1), take)).alias("code"))
+    return sized.select("item_id", "item_key", "n", least.alias("least"), F.explode_outer(F.slice("_codes", F.lit(1), take)).alias("code"))
 
 
 def find(docs: DataFrame, items: DataFrame, k: int = SHINGLE, contain: float = CONTAIN) -> DataFrame:
@@ -67,7 +67,9 @@ def find(docs: DataFrame, items: DataFrame, k: int = SHINGLE, contain: float = C
     small = index.count() <= SMALL_INDEX
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
     hashed = _with_hashes(keyed.select("doc_id", "row_key", _words("text").alias("_words")), k)
-    codes = hashed.select("doc_id", "row_key", F.size("_shingles").alias("_n"), F.explode("_shingles").alias("code"))
+    # An outer explode: for an inner one the optimiser pushes a filter on the array's size below it, and with
+    # it the whole expression, to be evaluated again for every element.
+    codes = hashed.select("doc_id", "row_key", F.size("_shingles").alias("_n"), F.explode_outer("_shingles").alias("code"))
     met = codes.join(F.broadcast(index) if small else index, "code").filter("_n >= least")
     pairs = materialize(met.select("doc_id", "row_key", "item_id", "item_key").distinct(), "minhash-candidates")
     return _verified(keyed, items, pairs, k, contain)
@@ -79,11 +81,13 @@ def _verified(keyed: DataFrame, items: DataFrame, pairs: DataFrame, k: int, cont
     spelled = spelled.select("item_id", "item_key", _exact("_words", k).alias("_item")).distinct()
     asked = pairs.alias("p").join(spelled.alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.item_key") == F.col("i.item_key")))
     asked = asked.select("doc_id", "row_key", F.col("p.item_id").alias("item_id"), "_item")
-    texts = keyed.dropDuplicates(["doc_id", "row_key"]).alias("t").join(asked.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.row_key") == F.col("a.row_key")))
+    texts = keyed.alias("t").join(asked.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.row_key") == F.col("a.row_key")))
     texts = texts.select("t.doc_id", "t.row_key", "item_id", "_item", _words("text").alias("_words"))
     counted = texts.select("doc_id", "row_key", "item_id", F.size("_item").cast("long").alias("n_shingles"), F.size(F.array_intersect(F.col("_item"), _exact("_words", k))).cast("long").alias("n_found"))
-    found = counted.filter(F.col("n_found") >= F.col("n_shingles") * contain)
-    return found.withColumn("containment", F.col("n_found") / F.col("n_shingles")).distinct()
+    # Grouped before it is filtered: a filter straight on n_found is pushed below the projections, which
+    # writes the split text into the expression for each single shingle.
+    best = counted.groupBy("doc_id", "row_key", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
+    return best.filter(F.col("n_found") >= F.col("n_shingles") * contain).withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 #: DuckDB: exact containment of every item in every document.
