@@ -3,7 +3,9 @@
 Each source gets a target number of words; every document of it is expected ``target / size of the
 source`` times. The expected copies are prefix-summed within the source, one random offset is added,
 and a document is emitted once for each integer boundary its stretch of the sum crosses. Documents are
-summed in order of size, so the sample is stratified by size and the words taken come near the target.
+summed in order of size, so the sample is stratified by size. Documents of over LARGE of a target are
+drawn first, and the others' expected copies make up for what was drawn, so that a source of few
+documents comes near its target too.
 
 A source may hold any share of the rows: ranks inside a source come from range partitions of
 (source, size, doc_id) and a small table of one row per source and partition, never from one task.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from roadlake.llm.base import column, fresh, materialize
 
-WEIGHTS, CAP, SEED = (5, 2, 1), 3.0, 17
+WEIGHTS, CAP, SEED, LARGE = (5, 2, 1), 3.0, 17, 0.02
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,9 +97,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, s
     parts = parts.join(goals, same).select(parts["source"], "part", "earlier", "source_size", "target")
     placed = ranked.alias("r").join(parts.alias("p"), (F.col("r.part") == F.col("p.part")) & F.col("r.source").eqNullSafe(F.col("p.source")))
     placed = placed.select("doc_id", "row_key", F.col("r.source").alias("source"), "size", "source_size", "target", (F.col("earlier") + F.col("rank")).alias("place"))
+    large = F.col("size") > F.col("target") * LARGE
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = F.floor((F.col("place") + 1) * rate + offset(seed)) - F.floor(F.col("place") * rate + offset(seed))
-    return placed.withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size"))
+
+    def crossed(place: F.Column, rate: F.Column) -> F.Column:
+        return F.floor((place + 1) * rate + offset(seed)) - F.floor(place * rate + offset(seed))
+
+    small = placed.groupBy("source").agg(F.count_if(~large).alias("n_small"), F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("small_size"))
+    placed = placed.alias("d").join(small.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "n_small", "small_size")
+    placed = placed.withColumn("first", F.when(large, crossed(F.col("place") - F.col("n_small"), rate)).otherwise(0))
+    drawn = placed.groupBy("source").agg(F.sum(F.col("first") * F.col("size")).alias("drawn"))
+    placed = placed.alias("d").join(drawn.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "drawn")
+    rest = F.when(F.col("small_size") > 0, F.least(F.greatest((F.col("target") - F.col("drawn")) / F.col("small_size"), F.lit(0.0)), F.lit(cap))).otherwise(0.0)
+    copies = F.when(large, F.col("first")).otherwise(crossed(F.col("place"), rest))
+    out = placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("n_small", "small_size", "first", "drawn")
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
@@ -124,7 +138,12 @@ l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY reach, source IS NULL
   row_number() OVER (ORDER BY reach, source IS NULL, encode(source)) AS place FROM r),
 t AS (SELECT source, source_size, least(most, coalesce(arg_min(level, place) FILTER (WHERE level <= reach) OVER (), 0.0) * w) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS place FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS place, d.source, d.size > t.target * CAST({LARGE} AS DOUBLE) AS large
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, count(*) FILTER (WHERE NOT large) OVER (PARTITION BY source) AS n_small, coalesce(sum(size) FILTER (WHERE NOT large) OVER (PARTITION BY source), 0) AS small_size FROM p),
+f AS (SELECT *, CASE WHEN large THEN floor((place - n_small + 1) * rate + @@) - floor((place - n_small) * rate + @@) ELSE 0.0 END AS first FROM q),
+g AS (SELECT *, sum(first * size) OVER (PARTITION BY source) AS drawn FROM f),
+h AS (SELECT *, CASE WHEN small_size > 0 THEN least(greatest((target - drawn) / small_size, 0.0::DOUBLE), {CAP}::DOUBLE) ELSE 0.0::DOUBLE END AS rest FROM g)
 SELECT doc_id, size, source_size, target,
-  ((floor((place + 1) * rate + CAST('{offset()!r}' AS DOUBLE)) - floor(place * rate + CAST('{offset()!r}' AS DOUBLE))) * size)::BIGINT AS taken FROM p
-"""
+  (CASE WHEN large THEN first ELSE floor((place + 1) * rest + @@) - floor(place * rest + @@) END * size)::BIGINT AS taken FROM h
+""".replace("@@", f"CAST('{offset()!r}' AS DOUBLE)")
