@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlake.plans.segmented import SEG
+from roadlake.plans.segmented import SEG, suggest_seconds
 from roadlake.session import materialize
 
 # fold(rows, state or None, start_us, end_us) -> (output rows, state at start, state at end)
+#: Rows that one pandas group should hold at most.
+GROUP_ROWS = 200_000
 Fold = Callable[[pd.DataFrame, str | None, int, int], tuple[pd.DataFrame, str, str]]
 Carry = Callable[[str, int], str]
 
@@ -39,10 +41,12 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], us: str, order: Sequence[st
                  warmup_s: float = 10, ahead_s: float = 0, carry: Carry = lambda state, start: state) -> DataFrame:
     """Rows of ``out`` (keys first) from folding each key of ``df`` along ``order``.
 
-    ``us`` holds epoch microseconds.  ``carry`` restates a state for a later
+    ``us`` holds epoch microseconds.  Segments of ``segment_s`` are halved where rows are dense.  ``carry`` restates a state for a later
     start, for folds that forget rows by age.
     """
     keys, order = list(keys), list(order)
+    # As long as the densest segment fits a group, but never shorter than what is read beside it.
+    segment_s = max(suggest_seconds(df, keys, F.timestamp_micros(us), segment_s, GROUP_ROWS), 2 * (warmup_s + ahead_s), 1)
     width, back, ahead = (int(s * 1e6) for s in (segment_s, warmup_s, ahead_s))
     key_fields = [df.schema[k] for k in keys]
     names = [f.name for f in out.fields]

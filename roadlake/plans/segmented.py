@@ -66,7 +66,7 @@ def with_segment(df: DataFrame, time: str, span: float | Adaptive, keys: Sequenc
     return d.select(*df.columns, (F.col("_base") * _PARTS + part).cast("long").alias(SEG))
 
 
-def suggest_seconds(df: DataFrame, keys: Sequence[str], time: str, seconds: float = 3600, target: int = 2_000_000) -> float:
+def suggest_seconds(df: DataFrame, keys: Sequence[str], time: str | Column, seconds: float = 3600, target: int = 2_000_000) -> float:
     """Halve ``seconds`` until no (key, segment) holds more than ``target`` rows.
 
     One pass over the key and time columns with map-side combine; only the
