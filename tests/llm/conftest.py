@@ -48,3 +48,24 @@ def nothing(spark):
 @pytest.fixture(scope="session")
 def documents(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def crowd(spark):
+    """Large groups: exact copies, near copies, a passage and a line that very many documents share."""
+    passage, copied, line = invented(100, 80), invented(101, 150), "one line that stands in nearly every document of them"
+    rows = []
+    for i in range(240):
+        own = invented(1000 + i, 30 + i % 50)
+        if i % 4 == 0:
+            text = copied
+        elif i % 4 == 1:
+            near = copied.split(" ")
+            near[i // 4] = "other"
+            text = " ".join(near)
+        elif i % 4 == 2:
+            text = f"{own} {passage} {invented(5000 + i, 20)}"
+        else:
+            text = f"{own}\n{line}\n{passage if i % 8 == 3 else own}"
+        rows.append((1000 - i, text, "en", "hot" if i % 3 else f"s{i}", 0))
+    return spark.createDataFrame(rows, SCHEMA).repartition(7)

@@ -43,7 +43,7 @@ def repeats(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_substrings_match_brute_force(request, name):
     df = request.getfixturevalue(name)
     rows = rows_of(df)
@@ -54,7 +54,7 @@ def test_substrings_match_brute_force(request, name):
     assert all(r["n_removed"] == 0 for r in left)
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_suffixes_find_all_repeats(request, name):
     df = request.getfixturevalue(name)
     rows = rows_of(df)
@@ -72,6 +72,14 @@ def test_suffix_groups_that_are_cut(awkward, documents):
         assert spans(many) <= spans(one) and len(spans(many)) >= 0.97 * len(spans(one))
 
 
+def test_hot_groups_that_are_cut(crowd):
+    """A passage and copies that most documents share are found whole, however finely their groups are cut."""
+    rows = rows_of(crowd)
+    want = {(d, i) for (d, _), (_, g) in zip(rows, repeats(rows), strict=True) for i, x in enumerate(g) if x}
+    got = {(r["doc_id"], i) for r in suffixes.repeated_spans(crowd, group=8).collect() for i in range(r["start"], r["end"])}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def print_of(text):
     words = WORD.findall(lower(text or ""))
     if not words:
@@ -81,7 +89,7 @@ def print_of(text):
     return sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes))
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_simhash_matches_brute_force(request, name):
     df = request.getfixturevalue(name)
     rows = rows_of(df)
@@ -145,7 +153,7 @@ def test_components_of_paths_and_stars(spark):
     assert not components.components(spark.createDataFrame([], "a long, b long")).collect()
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_lines_match_brute_force(request, name):
     df = request.getfixturevalue(name)
     rows = rows_of(df)

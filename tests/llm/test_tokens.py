@@ -22,7 +22,7 @@ def ids_of(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_counts_are_the_library_s(request, name):
     df = request.getfixturevalue(name)
     want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), n := len(ids_of(r["text"])), n > 1024) for r in df.select("doc_id", "text").collect())
@@ -48,7 +48,7 @@ def test_budget_questions(documents):
         assert r["chars"] == len(text) or len(ids_of(text)) > 100
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_token_files_hold_the_library_s_ids(request, name):
     df = request.getfixturevalue(name)
     rows = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.select("doc_id", "text").collect())
@@ -101,7 +101,7 @@ def level_by_hand(sizes, weights=(5, 2, 1), cap=3.0):
         full |= {s: cap * sizes[s] for s in over}
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing"])
 def test_mixing(request, name):
     df = request.getfixturevalue(name)
     got = mixing.mix(df).collect()
