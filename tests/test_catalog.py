@@ -8,9 +8,9 @@ from parity import compare, duck
 from roadlake.queries import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+LARGER = "/root/testdata/sf0.01"
 CATALOG = catalog()
 CHECKED = sorted(n for n, q in CATALOG.items() if q[1])
-# The smallest tables have no row for these: no vehicle there has trips or windows enough.
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +22,8 @@ def con():
 def test_matches_sql(spark, con, name):
     fn, sql = CATALOG[name]
     verdict = compare(spark, name, fn, sql, SF_DIR, con)
+    if verdict.endswith("EMPTY"):  # the smallest tables have no trips or windows long enough for some
+        verdict = compare(spark, name, fn, sql, LARGER, duck(LARGER))
     assert ": ok" in verdict, verdict
 
 
