@@ -38,6 +38,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Rows may be long texts: a Python worker holds a few batches at a time.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     ship_package(spark)
     return spark
 
