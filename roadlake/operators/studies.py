@@ -82,13 +82,14 @@ def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id",
 
 def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 30), window_s: float = 30, powertrain: str = "ICE", key: str = "vehicle_id",
                  trip: str = "trip", time: str = "time", n_trees: int = fo.N_TREES, max_windows_per_trip: int | None = None, min_windows: int = 15,
-                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",)) -> DataFrame:
+                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",), fit=fo.fit_forests, score=fo.score_many) -> DataFrame:
     """For every vehicle and training step, an own model and its detection
     rates on the vehicle's held-out trips.
 
     One job over all vehicles.  Features are computed once per trip (they are
     causal and per trip, so a step's features are those of its trips), steps
-    multiply rows only after that, and models are keyed (vehicle, step).
+    multiply rows only after that, and models are keyed (vehicle, step).  ``fit`` and
+    ``score`` may be others than the isolation forest's, with the same arguments.
     """
     feats, tk, mk = fa.POOL_FEATURES, [key, trip], [key, "day_cutoff"]
     roles, fx, wins = _volume_stages(pool, key, trip, time, window_s, max_windows_per_trip, row_key)
@@ -100,10 +101,10 @@ def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 3
     train = fx.where("role = 'train'").dropna(subset=feats).join(steps.select(*tk, "day_cutoff"), tk)
     sizes = train.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_rows"), *[F.stddev_samp(c).alias(f"_sd_{c}") for c in fa.POOL_FAULTS.values()])
     sizes = materialize(sizes.where(F.col("n_train_rows") >= min_rows).join(n_trips, mk), "sizes")
-    nodes = materialize(fo.fit_forests(train.join(sizes.select(*mk), mk, "left_semi"), feats, mk, row_key, n_trees), "forests")
+    nodes = materialize(fit(train.join(sizes.select(*mk), mk, "left_semi"), feats, mk, row_key, n_trees), "forests")
 
     test = fx.where("role = 'test'").dropna(subset=feats).select(key, *row_key, *feats)
-    scored = fo.score_many(test.join(sizes.select(*mk), key), nodes, feats, mk)
+    scored = score(test.join(sizes.select(*mk), key), nodes, feats, mk)
     lim = percentiles(materialize(scored.select(*mk, "score"), "scores"), "score", list(fa.REFERENCE_FPR), mk)
     named = {f"detect_rate_at_{int(round(f * 100))}pct_fpr": f for f in fa.REFERENCE_FPR}
     lim = lim.groupBy(*mk).agg(*[F.max(F.when(F.col("p") == F.lit(float(f)), F.col("value"))).alias(f"_t_{n}") for n, f in named.items()])
@@ -116,7 +117,7 @@ def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 3
     for f, c in fa.POOL_FAULTS.items():
         hit = hit.withColumn(c, F.when(F.col("fault_type") == f, F.col(c) + F.col("magnitude")).otherwise(F.col(c)))
     case = [*mk, "fault_type", "std_multiple", "magnitude"]
-    low = fo.score_many(hit.select(*case, "window_id", *row_key, *feats), nodes, feats, mk).groupBy(*case, "window_id").agg(F.min("score").alias("_low"))
+    low = score(hit.select(*case, "window_id", *row_key, *feats), nodes, feats, mk).groupBy(*case, "window_id").agg(F.min("score").alias("_low"))
     per = low.join(lim, mk).select(*case, *[(F.col("_low") < F.col(f"_t_{n}")).cast("double").alias(n) for n in named])
     res = per.groupBy(*case).agg(F.count(F.lit(1)).alias("n_windows"), *[F.avg(n).alias(n) for n in named]).join(sizes, mk)
     return res.select("std_multiple", "magnitude", "n_windows", *named, F.col(key).alias("vehicle_id"), F.lit(powertrain).alias("powertrain"), "day_cutoff",

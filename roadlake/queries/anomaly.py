@@ -264,7 +264,47 @@ def _skips_sql(w, windows):
 
 def volume(spark, d):
     t = fx.solid_trips(spark, d, 60)
-    return st.volume_sweep(t, [s / 86400 for s in (130, 250, 400)], 15, min_windows=MIN_WINDOWS)
+    return st.volume_sweep(t, CUTOFFS, 15, min_windows=MIN_WINDOWS)
+
+
+CUTOFFS = [s / 86400 for s in (130, 250, 400)]
+
+
+def volume_by_rule(spark, d):
+    """The study with the rule-made forest for every (vehicle, step), which SQL can score."""
+    nodes = probe_nodes(POOL)
+
+    def fit(train, feats, by, row_key, n_trees):
+        n = spark.createDataFrame(nodes).select(*[F.col(n).cast(t).alias(n) for n, t in fo.NODE_FIELDS])
+        return train.select(*by).distinct().withColumn("_all", F.lit(1)).join(n.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+    def score(df, nodes, feats, by):
+        return fo.score_many(df, nodes, feats, by).withColumn("score", F.round("score", 9))
+
+    return rounded(st.volume_sweep(fx.solid_trips(spark, d, 60), CUTOFFS, 15, min_windows=MIN_WINDOWS, fit=fit, score=score))
+
+
+def _volume_sql():
+    head = _skips_sql(15, MIN_WINDOWS)
+    head = head[: head.index("\n SELECT DISTINCT vehicle_id, 'too few")]
+    steps = " UNION ALL ".join([f"SELECT '{c}' AS day_cutoff, {int(c * 86400e6)} AS most" for c in CUTOFFS] + ["SELECT 'all', NULL"])
+    known = "rpm_dev IS NOT NULL AND engine_load_pct_dev IS NOT NULL AND speed_kmh IS NOT NULL"
+    return head + f""", fs AS (SELECT vehicle_id, MIN(st) AS first_time FROM tb GROUP BY 1), ready AS (SELECT vehicle_id FROM nw WHERE k >= {MIN_WINDOWS}),
+ sp AS (SELECT ro.vehicle_id, ro.trip, ro.st, fs.first_time, c.day_cutoff FROM ro JOIN fs USING (vehicle_id) JOIN ready USING (vehicle_id), ({steps}) c
+   WHERE ro.role = 'train' AND (c.most IS NULL OR EPOCH_US(ro.st) - EPOCH_US(fs.first_time) <= c.most)),
+ nt AS (SELECT vehicle_id, day_cutoff, COUNT(*) AS n_train_trips, (EPOCH_US(MAX(st)) - EPOCH_US(MIN(first_time))) / 86400000000.0::DOUBLE AS span FROM sp GROUP BY 1, 2),
+ sz AS (SELECT sp.vehicle_id, sp.day_cutoff, COUNT(*) AS n_train_rows, STDDEV_SAMP(engine_load_pct_dev) AS sl, STDDEV_SAMP(rpm_dev) AS sr FROM pool JOIN sp USING (vehicle_id, trip) WHERE {known} GROUP BY 1, 2 HAVING COUNT(*) >= 10),
+ md AS (SELECT sz.*, nt.n_train_trips, nt.span FROM sz JOIN nt USING (vehicle_id, day_cutoff)),
+ lm AS (SELECT vehicle_id, QUANTILE_CONT({SP}, [0.02, 0.05, 0.1]) AS q FROM te WHERE {known} GROUP BY 1),
+ wi AS (SELECT te.*, dv.chunk FROM te JOIN db USING (vehicle_id, trip) JOIN dv ON te.vehicle_id = dv.vehicle_id AND te.trip = dv.trip AND (EPOCH_US(te.time) - a) // 30000000 = dv.chunk),
+ ca AS (SELECT f.fault_type, m.std_multiple FROM (SELECT UNNEST(['load_spike', 'rpm_decorrelation']) AS fault_type) f, (SELECT UNNEST([0.5::DOUBLE, 1, 2, 3, 5, 8]) AS std_multiple) m),
+ hi AS (SELECT wi.vehicle_id, wi.trip, wi.chunk, md.day_cutoff, ca.fault_type, ca.std_multiple, ca.std_multiple * CASE fault_type WHEN 'load_spike' THEN sl ELSE sr END AS magnitude, speed_kmh,
+   engine_load_pct_dev + CASE fault_type WHEN 'load_spike' THEN std_multiple * sl ELSE 0 END AS engine_load_pct_dev, rpm_dev + CASE fault_type WHEN 'rpm_decorrelation' THEN std_multiple * sr ELSE 0 END AS rpm_dev
+   FROM wi JOIN md USING (vehicle_id), ca WHERE CASE fault_type WHEN 'load_spike' THEN sl ELSE sr END <> 0),
+ lo AS (SELECT vehicle_id, day_cutoff, fault_type, std_multiple, magnitude, trip, chunk, MIN({SP}) AS low FROM hi GROUP BY ALL)
+ SELECT std_multiple, ROUND(magnitude, 6) AS magnitude, COUNT(*) AS n_windows, ROUND(AVG((low < q[1])::INT), 6) AS detect_rate_at_2pct_fpr, ROUND(AVG((low < q[2])::INT), 6) AS detect_rate_at_5pct_fpr,
+  ROUND(AVG((low < q[3])::INT), 6) AS detect_rate_at_10pct_fpr, vehicle_id, 'ICE' AS powertrain, day_cutoff, n_train_trips, n_train_rows, ROUND_EVEN(span, 2) AS actual_train_span_days, fault_type
+ FROM lo JOIN lm USING (vehicle_id) JOIN md USING (vehicle_id, day_cutoff) GROUP BY std_multiple, magnitude, vehicle_id, day_cutoff, n_train_trips, n_train_rows, span, fault_type"""
 
 
 def many(spark, d):
@@ -306,5 +346,6 @@ QUERIES = {
     "fit_forests_per_vehicle": (fitted_nodes, None),
     "fit_forest_shape": (forest_shape, _SHAPE),
     "volume_sweep": (volume, None),
+    "volume_sweep_by_rule": (volume_by_rule, _volume_sql()),
     "volume_sweep_skips": (lambda s, d: st.volume_skips(fx.solid_trips(s, d, 60), 15, min_windows=MIN_WINDOWS), _skips_sql(15, MIN_WINDOWS)),
 }
