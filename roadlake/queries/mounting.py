@@ -87,6 +87,41 @@ _GRAV = ", st AS (SELECT *, speed_kmh < 1 AS st, LAG(speed_kmh < 1) OVER (PARTIT
         "ps AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY vehicle_id, run ORDER BY time, event_id) - 1) // 20 AS blk FROM rn WHERE st) " \
         "SELECT vehicle_id, MAX(time) AS time, ARG_MAX(event_id, (time, event_id)) AS event_id, ROUND(AVG(ax), 6) AS gx, ROUND(AVG(ay), 6) AS gy, ROUND(AVG(az), 6) AS gz FROM ps GROUP BY vehicle_id, run, blk HAVING COUNT(*) = 20"
 
+# the stage machine, one recursion step per reduced event, all vehicles at once
+_ZERO = "[0.0::DOUBLE, 0, 0, 0, 0, 0]"
+_NEW = "[1-k*a*a, -k*a*b, -a, -k*a*b, 1-k*b*b, -b, a, b, 1-k*(a*a + b*b)]"
+_DOT = lambda p, q: f"pool[{{}}] + LIST_SUM(LIST_TRANSFORM(nb, LAMBDA e: (e.{p} - m{p}) * (e.{q} - m{q})))"
+_SUMS = ", ".join(_DOT(p, q).format(i + 1) for i, (p, q) in enumerate(("xr", "yr", "xx", "yy", "xy", "rr")))
+_MEAN = ", ".join(f"LIST_AVG(LIST_TRANSFORM(nb, LAMBDA e: e.{c})) AS m{c}" for c in "xyr")
+_STATES = _TICKS + _GRAV.format(t="tk").replace(" SELECT vehicle_id, MAX(time) AS time,", " gb AS MATERIALIZED (SELECT vehicle_id, MAX(time) AS time,").replace("ps AS (", "gp AS (").replace("FROM ps GROUP", "FROM gp GROUP").replace("WHERE st) gb", "WHERE st), gb").replace(
+    "ROUND(AVG(ax), 6)", "AVG(ax)").replace("ROUND(AVG(ay), 6)", "AVG(ay)").replace("ROUND(AVG(az), 6)", "AVG(az)") + f"""),
+ ev AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY us, event_id, kind) AS pos FROM (
+   SELECT vehicle_id, EPOCH_US(time) AS us, event_id, 0 AS kind, gx AS x, gy AS y, gz AS z, 0.0::DOUBLE AS ref FROM gb UNION ALL SELECT vehicle_id, us, event_id, 1, ax, ay, az, ref_accel FROM tk WHERE mark = 'fresh')),
+ sm AS (SELECT vehicle_id, 0::BIGINT AS pos, NULL::BIGINT AS us, NULL::BIGINT AS tick, NULL::DOUBLE[] AS tilt, NULL::DOUBLE AS yaw, 0 AS resets, []::STRUCT(x DOUBLE, y DOUBLE, r DOUBLE)[] AS buf, {_ZERO} AS pool, 0 AS windows, []::DOUBLE[] AS angles, FALSE AS changed
+   FROM ev WHERE pos = 1 UNION ALL
+  SELECT vehicle_id, pos, us, CASE WHEN grav THEN event_id ELSE tick END, CASE WHEN grav THEN nt ELSE tilt END, CASE WHEN reset THEN NULL WHEN locks THEN deg ELSE yaw END, resets + reset::INT,
+   CASE WHEN reset OR shut THEN [] ELSE nb END, CASE WHEN reset THEN {_ZERO} ELSE np END, CASE WHEN reset THEN 0 ELSE nw END, CASE WHEN reset THEN [] ELSE na END, grav OR locks FROM
+   (SELECT *, known AND nw >= {LOCK['min_windows']} AND corr >= {LOCK['min_corr']} AND LEN(na) = 3 AND LEN(LIST_FILTER(na, LAMBDA p: ABS((p - deg + 900) % 360 - 180) <= {LOCK['tolerance']})) = 3 AS locks FROM
+   (SELECT *, CASE WHEN known THEN LIST_APPEND(angles, deg)[-3:] ELSE angles END AS na, CASE WHEN den > 0.000000001 THEN (COS(th) * np[1] + SIN(th) * np[2]) / den ELSE 0 END AS corr FROM
+   (SELECT *, DEGREES(th) AS deg, SQRT((COS(th) * COS(th) * np[3] + 2 * COS(th) * SIN(th) * np[5] + SIN(th) * SIN(th) * np[4]) * np[6]) AS den FROM
+   (SELECT *, ATAN2(np[2], np[1]) AS th, whole AND NOT (ABS(np[1]) < 0.000000001 AND ABS(np[2]) < 0.000000001) AS known FROM
+   (SELECT *, CASE WHEN whole THEN [{_SUMS}] ELSE pool END AS np, windows + whole::INT AS nw FROM
+   (SELECT *, shut AND LEN(nb) >= {CFG['min_samples']} AS whole, {_MEAN} FROM
+   (SELECT *, CASE WHEN NOT can THEN buf WHEN LEN(buf) > 0 THEN LIST_APPEND(buf, now) WHEN ABS(ref) >= {CFG['trigger']} THEN [now] ELSE buf END AS nb,
+     can AND LEN(buf) > 0 AND (LEN(buf) + 1 >= {CFG['max_samples']} OR ABS(ref) < {CFG['end']}) AS shut FROM
+   (SELECT *, {{'x': tilt[1]*x + tilt[2]*y + tilt[3]*z, 'y': tilt[4]*x + tilt[5]*y + tilt[6]*z, 'r': ref}} AS now, grav AND tilt IS NOT NULL AS reset, CASE WHEN SQRT(a*a + b*b) >= 0.000001 THEN {_NEW} WHEN c > 0 THEN [1.0::DOUBLE,0,0,0,1,0,0,0,1] ELSE [1.0::DOUBLE,0,0,0,-1,0,0,0,-1] END AS nt FROM
+   (SELECT *, (1 - c) / (a*a + b*b) AS k, kind = 1 AND tilt IS NOT NULL AND yaw IS NULL AND event_id IS DISTINCT FROM tick AS can,
+     kind = 0 AND (tilt IS NULL OR (ABS(size - 9.81) <= 1.5 AND DEGREES(ACOS(LEAST(GREATEST((tilt[7]*x + tilt[8]*y + tilt[9]*z) / size, -1), 1))) > 15)) AS grav FROM
+   (SELECT ev.vehicle_id, ev.pos, ev.us, ev.event_id, ev.kind, ev.x, ev.y, ev.z, ev.ref, SQRT(ev.x*ev.x + ev.y*ev.y + ev.z*ev.z) AS size, ev.x / SQRT(ev.x*ev.x + ev.y*ev.y + ev.z*ev.z) AS a, ev.y / SQRT(ev.x*ev.x + ev.y*ev.y + ev.z*ev.z) AS b,
+      ev.z / SQRT(ev.x*ev.x + ev.y*ev.y + ev.z*ev.z) AS c, sm.tick, sm.tilt, sm.yaw, sm.resets, sm.buf, sm.pool, sm.windows, sm.angles FROM sm JOIN ev ON ev.vehicle_id = sm.vehicle_id AND ev.pos = sm.pos + 1))))))))))),
+ cs AS MATERIALIZED (SELECT vehicle_id, us AS from_us, CASE WHEN yaw IS NULL THEN 'needs_yaw' ELSE 'ready' END AS stage, tilt, yaw AS yaw_deg, TRUE AS tilt_valid, yaw IS NOT NULL AS yaw_valid, resets AS tilt_resets,
+   LEAD(us) OVER (PARTITION BY vehicle_id ORDER BY us, resets, yaw IS NOT NULL) AS to_us FROM sm WHERE changed)"""
+_TURN = "{p} * COS(RADIANS(yaw_deg)) {o} {q} * SIN(RADIANS(yaw_deg))"
+_CORRECTED = _STATES + f""", co AS (SELECT ml.vehicle_id, event_id, COALESCE(tilt[1]*ax + tilt[2]*ay + tilt[3]*az, ax) AS x, COALESCE(tilt[4]*ax + tilt[5]*ay + tilt[6]*az, ay) AS y, COALESCE(tilt[7]*ax + tilt[8]*ay + tilt[9]*az, az) AS up,
+   yaw_deg, COALESCE(yaw_valid, FALSE) AS turned, tilt IS NULL AS raw FROM ml LEFT JOIN cs ON ml.vehicle_id = cs.vehicle_id AND EPOCH_US(time) >= from_us AND (to_us IS NULL OR EPOCH_US(time) < to_us))
+ SELECT vehicle_id, event_id, ROUND(CASE WHEN turned THEN {_TURN.format(p='x', q='y', o='+')} ELSE x END, 5) AS forward, ROUND(CASE WHEN turned THEN {_TURN.format(p='y', q='x', o='-')} ELSE y END, 5) AS lateral,
+  ROUND(up, 5) AS up, CASE WHEN raw THEN 'raw' WHEN turned THEN 'full' ELSE 'tilt' END AS corrected FROM co"""
+
 QUERIES = {
     "tilt_matrix": (tilt, _TILT),
     "speed_accel": (lambda s, d: rounded(mo.speed_accel(log(s, d)).select("event_id", "speed_kmh", "ref_accel")), f"""WITH {fx.MOUNT}, l AS (SELECT *, LAG(speed_kmh) OVER w AS pv, (EPOCH_US(time) - LAG(EPOCH_US(time)) OVER w) / 1000000.0::DOUBLE AS dt FROM ml WINDOW w AS (PARTITION BY vehicle_id ORDER BY time, event_id))
@@ -103,6 +138,6 @@ QUERIES = {
     "pooled_heading": (lambda s, d: rounded(pooled(s, d), 5), f"WITH RECURSIVE {_POOL} SELECT vehicle_id, window_id, n_windows, ROUND(pooled_deg, 5) AS pooled_deg, ROUND(pooled_corr, 5) AS pooled_corr, lockable FROM c3"),
     "heading_lock": (lambda s, d: rounded(mo.heading_lock(pooled(s, d)), 5), f"WITH RECURSIVE {_POOL}, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY vehicle_id ORDER BY window_id) AS rn FROM c3 WHERE lockable) "
                      "SELECT vehicle_id, n_windows, ROUND(pooled_deg, 5) AS pooled_deg, ROUND(pooled_corr, 5) AS pooled_corr, window_id FROM k WHERE rn = 1"),
-    "calibration_states": (lambda s, d: rounded(states(s, d).drop("tilt")), None),
-    "corrected_accel": (lambda s, d: rounded(mo.correct(log(s, d), states(s, d)).select("vehicle_id", "event_id", "forward", "lateral", "up", "corrected")), None),
+    "calibration_states": (lambda s, d: rounded(states(s, d).drop("tilt"), 5), f"WITH RECURSIVE {_STATES} SELECT * EXCLUDE (tilt) REPLACE (ROUND(yaw_deg, 5) AS yaw_deg) FROM cs"),
+    "corrected_accel": (lambda s, d: rounded(mo.correct(log(s, d), states(s, d)).select("vehicle_id", "event_id", "forward", "lateral", "up", "corrected"), 5), f"WITH RECURSIVE {_CORRECTED}"),
 }
