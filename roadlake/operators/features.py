@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadlake.plans import segmented as sg
+from roadlake.plans.segmented import suggest_seconds
 
 TRIP = ("vehicle_id", "trip")
 HALO = "_halo"
@@ -50,7 +52,7 @@ def rolling_median_dev(df: DataFrame, cols: Sequence[str], window_s: float = 60,
     GROUP_ROWS, but never shorter than the window.
     """
     keys = list(keys)
-    segment_s = segment_s or max(float(window_s), sg.suggest_seconds(df, keys, time, 900, GROUP_ROWS))
+    segment_s = segment_s or max(float(window_s), suggest_seconds(df, keys, time, 900, GROUP_ROWS))
     rows = with_halo(df, time, segment_s, window_s).join(segment_bounds(df, keys, time, segment_s), [*keys, sg.SEG])
     new = [f"{c}_dev" for c in cols] + ([f"{c}_med" for c in cols] if keep_median else [])
     plain = [f for f in rows.schema.fields if f.name not in (sg.SEG, HALO)]
@@ -134,36 +136,70 @@ def resample_last(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = TRIP
 
 
 def trail(df: DataFrame, keys: Sequence[str], n: int = 20, min_ms: int = 80, time: str = "time", tie: str = "event_id",
-          segment_s: float | sg.Adaptive = sg.Adaptive(60)) -> DataFrame:
-    """The last ``n`` points at least ``min_ms`` apart, per key.
-
-    A point further than ``min_ms`` from the one before it is always kept, so
-    thinning may start there: from the ``n``-th last such point on there are at
-    least ``n`` kept ones.  Only that tail is walked, as a sorted stream that
-    remembers one time.
+          segment_s: float = 60) -> DataFrame:
+    """The last ``n`` points at least ``min_ms`` apart, per key: each kept point
+    is the first one far enough from the kept one before it, from the key's first on.
+
+    What a segment keeps depends on its past only through the last kept time, and
+    only if that is less than ``min_ms`` old.  So every segment works out, for each
+    of the few rows just before it that might be that one, which row it would end on and
+    how many it would keep; chaining these small tables along a key tells the true
+    one, and only the last segments that hold ``n`` points are walked.
     """
     keys, gap = list(keys), min_ms * 1000
     d = df.where(F.col("accel_x").isNotNull() & F.col("accel_y").isNotNull())
     us = F.unix_micros(time)
-    a = sg.lag_time(sg.with_segment(d.select(*keys, time, tie), time, segment_s, keys), keys, time, tie)
-    a = a.where(F.col("_p").isNull() | (us - F.col("_p") >= gap))
+    names = df.columns
+    seconds = max(suggest_seconds(d, keys, time, segment_s, GROUP_ROWS), 4 * min_ms / 1000)
+    width = int(seconds * 1e6)
+    own = F.floor(us / width).cast("long")
+    places = F.when(us > (own + 1) * width - gap, F.array(own, own + 1)).otherwise(F.array(own))
+    slim = d.select(*keys, us.alias("_us"), F.explode(places).alias(sg.SEG))
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField(sg.SEG, T.LongType()), T.StructField("_enter", T.LongType()), T.StructField("_exit", T.LongType()), T.StructField("_kept", T.LongType())])
+
+    def outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each possible last kept time (-1: none that matters): the one after, and how many are kept."""
+        start = int(pdf[sg.SEG].iloc[0]) * width
+        t = np.sort(pdf["_us"].to_numpy())
+        rows = t[t >= start]
+        enter = np.append(-1, np.unique(t[t < start]))
+        last, kept = np.full(len(enter), -1), np.zeros(len(enter), np.int64)
+        at = np.where(enter < 0, 0, np.searchsorted(rows, enter + gap))
+        while (go := np.flatnonzero(at < len(rows))).size:
+            last[go] = rows[at[go]]
+            kept[go] += 1
+            at[go] = np.searchsorted(rows, last[go] + gap)
+        leave = np.where(last >= 0, last, enter)
+        out = pd.DataFrame({sg.SEG: start // width, "_enter": enter, "_exit": np.where(leave > start + width - gap, leave, -1), "_kept": kept})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[schema.names]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The true outcome of every segment of a key."""
+        state, before, picked = -1, None, []
+        for seg, part in pdf.sort_values(sg.SEG).groupby(sg.SEG):
+            state = state if before == seg - 1 else -1
+            row = part[part["_enter"] == state].iloc[0]
+            picked.append(row)
+            state, before = int(row["_exit"]), seg
+        return pd.DataFrame(picked)[schema.names]
+
+    tables = slim.groupBy(*keys, sg.SEG).applyInPandas(outcomes, schema)
+    true = tables.groupBy(*keys).applyInPandas(chain, schema)  # a few rows per segment
+    later = Window.partitionBy(*keys).orderBy(F.desc(sg.SEG)).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = true.withColumn("_later", F.coalesce(F.sum("_kept").over(later), F.lit(0))).where((F.col("_later") < n) & (F.col("_kept") > 0))
+    tail = d.withColumn("_us", us).withColumn(sg.SEG, own).join(wanted.select(*keys, sg.SEG, "_enter"), [*keys, sg.SEG])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([time, tie], kind="mergesort")
+        t, last, kept = pdf["_us"].to_numpy(), int(pdf["_enter"].iloc[0]), []
+        at = 0 if last < 0 else int(np.searchsorted(t, last + gap))
+        while at < len(t):
+            kept.append(at)
+            at = int(np.searchsorted(t, t[at] + gap))
+        return pdf.iloc[kept][names]
+
+    kept = tail.groupBy(*keys, sg.SEG).applyInPandas(walk, df.schema)
     newest = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc(tie))
-    a = a.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)
-    tail = d.join(a.groupBy(*keys).agg(F.min(time).alias("_from")), keys).where(F.col(time) >= F.col("_from")).drop("_from")
-    tail = tail.withColumn("_us", us)
-    schema = tail.schema
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, None
-        for pdf in batches:
-            keep = []
-            for who, t in zip(pdf[keys].itertuples(index=False, name=None), pdf["_us"]):
-                if who != key:
-                    key, kept = who, None
-                hit = kept is None or t - kept >= gap
-                keep.append(hit)
-                kept = t if hit else kept
-            yield pdf[keep]
-
-    d = tail.repartition(*keys).sortWithinPartitions(*keys, time, tie).mapInPandas(thin, schema).drop("_us")
-    return d.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
+    return kept.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")

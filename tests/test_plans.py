@@ -211,3 +211,24 @@ def test_parked_log_settles_in_two_rounds(spark, monkeypatch):
             at, last = us, r["speed_kmh"]
         assert (r["mark"], r["interval_us"]) == (mark, opened * 1_000_000), r
     assert len(got) == 3000 and written.count("fold") <= 2
+
+
+def test_trail_of_a_dense_key_in_short_segments(spark):
+    """No long gap anywhere: the chain of segments still ends on the points that one walk keeps."""
+    from pyspark.sql import functions as F
+
+    from roadlake.operators import features as ft
+
+    base = 1_700_000_000_000_000
+    step = F.pmod(F.xxhash64("id"), F.lit(9_000)) + F.col("id") * 11_000
+    d = spark.range(3000).select((F.col("id") % 2).alias("vehicle_id"), F.col("id").alias("event_id"), F.timestamp_micros(F.lit(base) + step).alias("time"), F.lit(1.0).alias("accel_x"), F.lit(2.0).alias("accel_y"))
+    got = {(r["vehicle_id"], r["event_id"]) for r in ft.trail(d, ["vehicle_id"], 7, 80, segment_s=1).collect()}
+    want = set()
+    for v in (0, 1):
+        rows = sorted((r["us"], r["event_id"]) for r in d.where(f"vehicle_id = {v}").select(F.unix_micros("time").alias("us"), "event_id").collect())
+        kept = []
+        for us, e in rows:
+            if not kept or us - kept[-1][0] >= 80_000:
+                kept.append((us, e))
+        want |= {(v, e) for _, e in kept[-7:]}
+    assert got == want
