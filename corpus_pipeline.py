@@ -18,6 +18,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the labeller can tell the language of; a null text has no letter and goes."""
+    prepare(spark)
     model = language_crf.fit(language_crf.training_rows(docs))
     return language_crf.recognised(docs, model, MIN_LANGUAGE_SCORE)
 
@@ -25,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies, and of rows that share that
     doc_id one (of the smallest text hash). Rows without doc_id stay where no other of their group does."""
+    prepare(spark)
     groups = simhash.near_duplicates(docs)
     first = groups.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     keep = first.groupBy("component_id", "doc_id").agg(F.min("row_key").alias("row_key")).filter(F.col("doc_id").isNotNull())
@@ -38,6 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
+    prepare(spark)
     hits = contamination.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "row_key").distinct()
     key = fresh("row_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64("text")).alias("d")
@@ -47,11 +50,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that the sources take their target shares."""
+    prepare(spark)
     return mixing.emit(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns what reading them back gives for each document."""
+    prepare(spark)
     return token_files.documents_of(token_files.write(docs))
 
 
@@ -62,7 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written before the next reads it."""
-    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

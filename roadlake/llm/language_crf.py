@@ -23,9 +23,9 @@ from roadlake.llm.base import column, steps
 UNKNOWN = "und"
 #: The fit's bounds: labelled rows, words taken from each, words in the lexicon, hashed features.
 ROWS, STRETCH, LEXICON, FEATURES = 3000, 48, 20_000, 1 << 16
-#: Words whose emissions a worker remembers; words of one step of the forward-backward.
-REMEMBERED, CHUNK = 400_000, 128
-_TEXT_STEP = 4 << 20
+#: Words whose emissions a worker remembers; words of one chunk of the forward-backward.
+REMEMBERED, CHUNK = 300_000, 128
+_TEXT_STEP = 1 << 20
 
 
 @dataclass
