@@ -1,7 +1,9 @@
 """Pre-token pieces of byte-level BPE texts: BPE never merges across them.
 
-The pattern is the vocabulary's own. Texts with characters past LATIN_END go through the tokenizer's
-own splitter, so that the libraries' Unicode tables cannot differ.
+Whole Arrow batches of texts are cut at once, on arrays of character classes, by the rules of the
+vocabulary's own pattern: runs of letters, of digits or of other signs, each with the one space before it;
+white space but for that; contractions after an apostrophe. Texts with characters past LATIN_END or with
+special strings go through the tokenizer's own splitter, so that Unicode tables cannot differ.
 """
 
 from __future__ import annotations
@@ -9,16 +11,68 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
 import regex
 
+from roadlake.llm import words as W
+from roadlake.llm.base import utf8
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-LATIN_END = "ɐ"
-_BEYOND = re.compile("[ɐ-\U0010ffff]")
+#: First character that the arrays leave to the tokenizer, and the least lead byte of such.
+LATIN_END, _LEAD_END = 0x240, 0xC9
+_BEYOND = re.compile(f"[{chr(LATIN_END)}-\U0010ffff]")
+_LETTER, _DIGIT, _OTHER, _SPACE = range(4)
+
+
+def _classes() -> np.ndarray:
+    kinds = [(regex.compile(p), k) for p, k in ((r"\p{L}", _LETTER), (r"\p{N}", _DIGIT), (r"\s", _SPACE))]
+    return np.array([next((k for p, k in kinds if p.fullmatch(chr(c))), _OTHER) for c in range(LATIN_END)], np.uint8)
+
+
+_CLASS = _classes()
+
+
+def boundaries(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Byte starts of all pieces of texts of Latin characters, in order; each text begins one."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    code = data.astype(np.uint16)
+    lead = np.flatnonzero(data >= 0xC0)
+    code[lead] = (code[lead] & 0x1F) << 6 | (code[lead + 1] & 0x3F)
+    kind = _CLASS[np.minimum(code, LATIN_END - 1)]
+    kind[lead + 1] = kind[lead]
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    start = first[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    run = start.copy()
+    # White space before something else: its last character stands alone, or goes with what follows if a space.
+    after = np.flatnonzero(run & ~first[:n] & (kind != _SPACE))
+    after = after[kind[after - 1] == _SPACE]
+    start[after - 1 - ((data[after - 1] & 0xC0) == 0x80)] = True
+    start[after[data[after - 1] == 32]] = False
+    # Contractions: a lone apostrophe that begins a piece, and one or two letters.
+    at = np.flatnonzero((data == 39) & start)
+    follows = lambda k: (at + k < n) & ~first[np.minimum(at + k, n)]
+    at = at[follows(1)]
+    at = at[run[at + 1] & (kind[at + 1] == _LETTER)]
+    one = data[at + 1]
+    two = np.where(follows(2), data[np.minimum(at + 2, n - 1)], 0)
+    size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+    size[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))] = 2
+    at, size = at[size > 0], size[size > 0]
+    start[at + 1] = False
+    rest = at + 1 + size
+    rest = rest[rest < n]
+    start[rest] = True  # what stands there begins a piece in any case
+    return np.flatnonzero(start)
 
 
 class Splitter:
-    """Splits a text the way the tokenizer file does; ``specials`` (text -> id) come out as themselves."""
+    """Splits texts the way the tokenizer file does; ``specials`` (text -> id) come out as themselves."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -47,3 +101,79 @@ class Splitter:
             else:
                 out.extend(self._find(segment))
         return out
+
+
+class Lexicon:
+    """Numbers of distinct pieces, kept between batches; ``learn`` is told of the new ones.
+
+    Pieces are told apart by 64 bits of hash. Beyond ``most`` pieces the memory starts anew.
+    """
+
+    def __init__(self, splitter: Splitter, most: int):
+        self.splitter, self.most = splitter, most
+        self._number: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self._number)
+
+    def cut(self, column: pa.Array, forget, learn) -> tuple[np.ndarray, np.ndarray]:
+        """The piece numbers of all texts of a column, and the first piece of each (with the end)."""
+        if len(self._number) > self.most:
+            self._number = {}
+            forget()
+        data, off = utf8(column)
+        odd = np.zeros(len(column), bool)
+        odd[np.searchsorted(off, np.flatnonzero(data >= _LEAD_END), "right") - 1] = True
+        raw = data.tobytes()
+        for s in self.splitter.specials:
+            odd[[int(np.searchsorted(off, m.start(), "right")) - 1 for m in re.finditer(re.escape(s.encode()), raw)]] = True
+        if odd.any():
+            return self._slowly(column, learn)
+        starts = boundaries(data, off)
+        ends = np.append(starts[1:], len(data))
+        hashes = W.Sums(W._BYTE[data], 0).hash(starts, ends)
+        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        texts = lambda new: [raw[starts[i] : ends[i]].decode() for i in where[new]]
+        return self._numbers(distinct, texts, learn)[back], np.searchsorted(starts, off)
+
+    def _slowly(self, column: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Text by text, by the tokenizer's own splitter."""
+        split = [self.splitter.pieces(t) if t else [] for t in column.to_pylist()]
+        flat = [p.encode() for s in split for p in s]
+        off = np.append(0, np.cumsum([len(p) for p in flat])).astype(np.int64)
+        hashes = W.Sums(W._BYTE[np.frombuffer(b"".join(flat), np.uint8)], 0).hash(off[:-1], off[1:])
+        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        texts = lambda new: [flat[i].decode() for i in where[new]]
+        return self._numbers(distinct, texts, learn)[back], np.append(0, np.cumsum([len(s) for s in split])).astype(np.int64)
+
+    def _numbers(self, distinct: np.ndarray, texts, learn) -> np.ndarray:
+        known = self._number
+        keys = distinct.tolist()
+        out = np.array([known.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            at = len(known)
+            learn(texts(new))
+            known.update(zip((keys[i] for i in new), range(at, at + len(new)), strict=True))
+            out[new] = np.arange(at, at + len(new))
+        return out
+
+
+class Growing:
+    """An array that is appended to in place."""
+
+    def __init__(self, dtype):
+        self._room, self.size = np.zeros(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self._room):
+            room = np.zeros(max(need, 2 * len(self._room)), self._room.dtype)
+            room[: self.size] = self._room[: self.size]
+            self._room = room
+        self._room[self.size : need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._room[: self.size]

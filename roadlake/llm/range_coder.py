@@ -19,10 +19,12 @@ import numpy as np
 
 BLOCK = 1 << 12
 #: Lanes side by side, and table cells (lanes times ids) at most.
-LANES, CELLS = 4096, 1 << 22
-_BITS = 20
-_TOTAL = 1 << _BITS
-_SHARE = int(_TOTAL * 0.97)  # of both guesses together: the rest keeps every id codable
+LANES, CELLS = 2048, 1 << 21
+# All of the model fits 32 bits: probabilities add up to _TOTAL, cumulative counts to 1 << _SCALE, and what
+# the guesses leave to order 0 is enough for the rarest id of a block (8,192 counts at most).
+_BITS, _SCALE = 16, 15
+_TOTAL = (1 << _BITS) - 1
+_SHARE = 7 << 13
 _CONTEXTS = 1 << 11
 _RUNS = 16
 #: The coder puts out 32 bits when its range has less than that left.
@@ -38,54 +40,58 @@ class _Mixture:
         self.width = int(sizes.max())
         lane = np.arange(n, dtype=np.int64)
         self.l1, self.l2, self.lr, self.lc = lane * self.width, lane * _CONTEXTS, lane * _RUNS, lane * (self.width + 1)
-        # What followed a context last, times _RUNS, and how often in a row it did.
-        self.next1, self.next2 = np.zeros(n * self.width, np.int32), np.zeros(n * _CONTEXTS, np.int32)
-        self.rate1, self.rate2 = np.full(n * _RUNS, 1 << 12, np.int32), np.full(n * _RUNS, 1 << 13, np.int32)
-        self.longer = np.minimum(np.arange(_RUNS) + 1, _RUNS - 1)
-        self.p, self.pp = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        # What followed a context last (12 bits), and how often in a row it did (4 bits).
+        self.next1, self.next2 = np.zeros(n * self.width, np.uint16), np.zeros(n * _CONTEXTS, np.uint16)
+        self.rate1, self.rate2 = np.full(n * _RUNS, 1 << 11, np.int32), np.full(n * _RUNS, 1 << 12, np.int32)
+        self.longer = np.minimum(np.arange(_RUNS) + 1, _RUNS - 1).astype(np.int32)
+        self.p, self.pp = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.int32)
         self.since: list[np.ndarray] = []
         self.t, self.due = 0, 128
         self._recount()
 
-    def _recount(self) -> None:
+    def _tally(self) -> None:
+        """Adds the ids seen since the last time to the counts."""
         if self.since:
-            seen = np.concatenate([s + self.l1 for s in self.since])
+            seen = (np.array(self.since) + self.l1).ravel()
             self.counts += np.bincount(seen, minlength=self.counts.size).reshape(self.counts.shape).astype(np.int32)
             self.since = []
+
+    def _recount(self) -> None:
+        self._tally()
         cum = np.zeros((self.lanes, self.width + 1), np.int64)
         np.cumsum(self.counts, axis=1, out=cum[:, 1:])
-        self.sums = cum[:, -1].copy()
-        self.cdf = ((cum << 16) // self.sums[:, None]).astype(np.int32).ravel()
+        self.sums = cum[:, -1].astype(np.int32)
+        self.cdf = ((cum << _SCALE) // cum[:, -1:]).astype(np.uint16).ravel()
         self.slots: np.ndarray | None = None
 
     def slot_table(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids by cumulative count, lane after lane, for the decoder."""
         if self.slots is None:
-            ids = np.tile(np.arange(self.width, dtype=np.int32), self.lanes)
+            ids = np.tile(np.arange(self.width, dtype=np.uint16), self.lanes)
             self.slots = np.repeat(ids, self.counts.ravel())
-            self.slot_at = np.cumsum(self.sums) - self.sums
+            self.slot_at = np.cumsum(self.sums, dtype=np.int64) - self.sums
         return self.slots, self.slot_at
 
     def guess(self) -> None:
         """Both guesses and the shares m1, m2, m0 of the three orders."""
         self.i1 = self.l1 + self.p
         self.i2 = ((self.pp * 0x2F0B + self.p) & (_CONTEXTS - 1)) + self.l2
-        t1, t2 = self.next1.take(self.i1).astype(np.int64), self.next2.take(self.i2).astype(np.int64)
+        t1, t2 = self.next1.take(self.i1).astype(np.int32), self.next2.take(self.i2).astype(np.int32)
         self.g1, self.g2 = t1 >> 4, t2 >> 4
         self.k1, self.k2 = t1 & 15, t2 & 15
         self.j1, self.j2 = self.lr + self.k1, self.lr + self.k2
-        self.w1, self.w2 = self.rate1.take(self.j1).astype(np.int64), self.rate2.take(self.j2).astype(np.int64)
-        self.m2 = (self.w2 * _SHARE) >> 16
-        self.m1 = (self.w1 * (_SHARE - self.m2)) >> 16
+        self.w1, self.w2 = self.rate1.take(self.j1), self.rate2.take(self.j2)
+        self.m2 = (self.w2 * _SHARE) >> 15
+        self.m1 = (self.w1 * (_SHARE - self.m2)) >> 15
         self.m0 = _TOTAL - self.m1 - self.m2
 
     def order0(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the interval of ``x`` begins and ends by order 0 alone."""
         at = self.lc + x
-        low = (self.m0 * self.cdf.take(at)) >> 16
+        low = (self.m0 * self.cdf.take(at)) >> _SCALE
         at += 1
-        return low, (self.m0 * self.cdf.take(at)) >> 16
+        return low, (self.m0 * self.cdf.take(at)) >> _SCALE
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, end = self.order0(x)
@@ -98,14 +104,17 @@ class _Mixture:
         return low, end
 
     def learn(self, x: np.ndarray) -> None:
-        self.rate1[self.j1] = self.w1 + ((self.h1 * 65535 - self.w1) >> 4)
-        self.rate2[self.j2] = self.w2 + ((self.h2 * 65535 - self.w2) >> 4)
+        # Rates of 15 bits move a sixteenth of the way.
+        self.rate1[self.j1] = self.w1 - (self.w1 >> 4) + self.h1 * np.int32(2047)
+        self.rate2[self.j2] = self.w2 - (self.w2 >> 4) + self.h2 * np.int32(2047)
         held = x << 4
         self.next1[self.i1] = held + self.longer.take(self.k1) * self.h1
         self.next2[self.i2] = held + self.longer.take(self.k2) * self.h2
         self.pp, self.p = self.p, x
         self.since.append(x)
         self.t += 1
+        if len(self.since) == 512:
+            self._tally()
         if self.t == self.due:
             self._recount()
             self.due *= 2
@@ -122,8 +131,8 @@ class _Range:
 
         A short range that straddles a word boundary is cut at it, which costs a bit or two now and then.
         """
-        self.low += start.view(np.uint64) * unit
-        self.span = width.view(np.uint64) * unit
+        self.low += start.astype(np.uint64) * unit
+        self.span = width.astype(np.uint64) * unit
         go = np.flatnonzero(self.span < _LEAST)
         low, span = self.low[go], self.span[go]
         cut = ((low + span) ^ low) >= _LEAST
@@ -162,7 +171,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 def _encode_lanes(ranks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     lengths = np.array([len(r) for r in ranks])
     steps = int(lengths.max())
-    x = np.zeros((steps, len(ranks)), np.int64)
+    x = np.zeros((steps, len(ranks)), np.int32)
     for i, r in enumerate(ranks):
         x[: len(r), i] = r
     n, room = len(ranks), steps + 4
@@ -213,11 +222,11 @@ def _decode_lanes(codes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
     words = words.ravel()
     at = np.arange(n, dtype=np.int64) * room + 2
     model, coder = _Mixture(sizes), _Range(n)
-    out = np.zeros((steps, n), np.int64)
+    out = np.zeros((steps, n), np.int32)
     for t in range(steps):
         model.guess()
         unit = coder.span >> np.uint64(_BITS)
-        v = np.minimum((code - coder.low) // unit, np.uint64(_TOTAL - 1)).view(np.int64)
+        v = np.minimum((code - coder.low) // unit, np.uint64(_TOTAL - 1)).astype(np.int32)
         g1, g2, m1, m2 = model.g1, model.g2, model.m1, model.m2
         start1, end1 = model.order0(g1)
         start2, end2 = model.order0(g2)
@@ -228,8 +237,8 @@ def _decode_lanes(codes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         past1, past2 = v >= end1, v >= end2
         u = v - m1 * past1 - m2 * past2
         slots, slot_at = model.slot_table()
-        slot = ((np.minimum(u + 1, model.m0) << 16) - 1) // model.m0  # beyond m0 only where a guess is hit
-        x = slots.take(slot_at + (((slot + 1) * model.sums - 1) >> 16), mode="clip").astype(np.int64)
+        slot = ((np.minimum(u + 1, model.m0) << _SCALE) - 1) // model.m0  # beyond m0 only where a guess is hit
+        x = slots.take(slot_at + (((slot + 1) * model.sums - 1) >> _SCALE), mode="clip").astype(np.int32)
         hit2, hit1 = (v >= start2 + before2) & ~past2, (v >= start1 + before1) & ~past1
         x = np.where(hit1, g1, np.where(hit2, g2, x))
         out[t] = x

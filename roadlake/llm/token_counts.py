@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.llm.base import column, steps
-from roadlake.llm.pieces import Splitter
+from roadlake.llm.pieces import Growing, Lexicon, Splitter
 
 LIMIT = 1024
 #: Pieces whose count a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values: the pattern's own
 
 
@@ -44,7 +45,20 @@ class PrefixCounter:
         self._rank = {tuple(map(plain, m.split(" ") if isinstance(m, str) else m)): i for i, m in enumerate(model["merges"])}
         self._longest = max(map(len, self._tokens))
         self._fits: dict[tuple[bytes, bytes], bool] = {}
-        self._known: dict[str, int] = {}
+        self._lexicon = Lexicon(self.splitter, REMEMBERED)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._counts = Growing(np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        self._counts.extend(np.array([self.count_piece(p) for p in pieces], np.int64))
+
+    def count_all(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text of a column."""
+        numbers, first = self._lexicon.cut(column, self._forget, self._learn)
+        sums = np.append(0, np.cumsum(self._counts.values[numbers]))
+        return sums[first[1:]] - sums[first[:-1]]
 
     def _merged(self, raw: bytes) -> list[bytes]:
         """BPE of a short string: used on two tokens at a time only."""
@@ -86,12 +100,7 @@ class PrefixCounter:
         return count
 
     def count_piece(self, piece: str) -> int:
-        n = self._known.get(piece)
-        if n is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            n = self._known[piece] = 1 if piece in self.splitter.specials else self.table(piece)[-1]
-        return n
+        return 1 if piece in self.splitter.specials else self.table(piece)[-1]
 
     def count(self, text: str | None) -> int:
         return sum(map(self.count_piece, self.splitter.pieces(text))) if text else 0
@@ -153,10 +162,8 @@ def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in steps(batches):
-            texts = column(batch, "text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id").cast(pa.int64()), column(batch, "n_bytes").cast(pa.int64()), pa.array([c.count(t) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
-            )
+            n = pa.array(c.count_all(column(batch, "text")))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), column(batch, "n_bytes").cast(pa.int64()), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.llm import range_coder as R
-from roadlake.llm.base import column, materialize, steps
-from roadlake.llm.pieces import Splitter
+from roadlake.llm.base import column, materialize, ragged, steps
+from roadlake.llm.pieces import Growing, Lexicon, Splitter
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, doc_at array<int>, doc_lengths array<int>, payload binary"
 
 
@@ -37,19 +37,26 @@ class Encoder:
     """Ids of texts; each distinct piece is encoded by the tokenizer once and then remembered."""
 
     def __init__(self, path: str):
-        self.splitter = Splitter(path)
-        self._known: dict[str, bytes] = {}
+        self._lexicon = Lexicon(Splitter(path), REMEMBERED)
+        self._forget()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self._known
-        split = [self.splitter.pieces(t) if t else [] for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        for piece, coded in zip(new, self.splitter.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+    def _forget(self) -> None:
+        self._ids, self._ends = Growing(np.uint32), Growing(np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        coded = [c.ids for c in self._lexicon.splitter.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        begin = self._ids.size
+        self._ids.extend(np.array([i for c in coded for i in c], np.uint32))
+        self._ends.extend(begin + np.cumsum([len(c) for c in coded]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one text after the other, and how many each has."""
+        numbers, first = self._lexicon.cut(texts, self._forget, self._learn)
+        ends = self._ends.values
+        starts = np.append(0, ends[:-1])
+        size = (ends - starts)[numbers]
+        sums = np.append(0, np.cumsum(size))
+        return self._ids.values[ragged(starts[numbers], size)], sums[first[1:]] - sums[first[:-1]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -63,14 +70,12 @@ def encoder(path: str) -> Encoder:
 
 
 def _blocks(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         enc = encoder(path)
-        tail, held = b"", []  # ids not yet in a block; finished blocks
+        tail, held = np.zeros(0, np.uint32), []  # ids not yet in a block; finished blocks
         starts: list[tuple[int, int | None, int]] = []  # first id in the shard, doc_id, length
         total, at, number = 0, 0, 0
 
@@ -88,20 +93,18 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in steps(batches):
-            parts = [tail]
-            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), enc.encode(column(batch, "text").to_pylist()), strict=True):
-                parts += [ids, end]
-                n = len(ids) // 4 + 1
+            ids, sizes = enc.encode(column(batch, "text"))
+            ids = np.concatenate([tail, np.insert(ids, np.cumsum(sizes), np.uint32(end_id))])
+            for doc_id, n in zip(column(batch, "doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
                 starts.append((total, doc_id, n))
                 total += n
-            raw = np.frombuffer(b"".join(parts), "<u4")
-            full = len(raw) // R.BLOCK * R.BLOCK
-            held += [raw[i : i + R.BLOCK] for i in range(0, full, R.BLOCK)]
-            tail = raw[full:].tobytes()
+            full = len(ids) // R.BLOCK * R.BLOCK
+            held += [ids[i : i + R.BLOCK] for i in range(0, full, R.BLOCK)]
+            tail = ids[full:].copy()
             if len(held) >= R.LANES:
                 yield flush()
-        if tail:
-            held.append(np.frombuffer(tail, "<u4"))
+        if len(tail):
+            held.append(tail)
         if held:
             yield flush()
 
