@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,10 +140,53 @@ def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[i], pa.int64()), pa.array(keys[i], pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["doc_id", "row_key", "start", "end"])
 
 
+def _spans(batch: pa.RecordBatch, pick: np.ndarray) -> pa.RecordBatch:
+    """The whole surroundings of the picked rows, at all their places, as spans."""
+    part = batch.take(pa.array(pick))
+    place, n_right, n_left = (column(part, c).to_numpy(zero_copy_only=False) for c in ("place", "n_right", "n_left"))
+    again = column(part, "again")
+    times = again.value_lengths().to_numpy(zero_copy_only=False)
+    at = np.repeat(place, times) + again.flatten().to_numpy(zero_copy_only=False)
+    k = np.repeat(np.arange(len(pick)), times)
+    return pa.RecordBatch.from_arrays(
+        [column(part, "doc_id").take(pa.array(k)), column(part, "row_key").take(pa.array(k)), pa.array((at - n_left[k]).astype(np.int32)), pa.array((at + n_right[k]).astype(np.int32))],
+        names=["doc_id", "row_key", "start", "end"])
+
+
+class _Alike:
+    """Sorted rows whose surroundings are those of the row before: the first one, of the smallest document,
+    stands for all; the others repeat it and need not be held, however many there are."""
+
+    def __init__(self, window: int):
+        self.window, self._last, self._doc = window, None, None
+
+    def split(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to compare with others, and rows that repeat an earlier document outright."""
+        cols = [column(batch, c) for c in ("seed", "cut", "following", "preceding")]
+        same = np.zeros(batch.num_rows, bool)
+        same[0] = self._last == tuple(c[0] for c in cols)
+        if batch.num_rows > 1:
+            same[1:] = np.logical_and.reduce([pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in cols])
+        long = column(batch, "n_right").to_numpy(zero_copy_only=False) + column(batch, "n_left").to_numpy(zero_copy_only=False) >= self.window
+        doc = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+        rep = np.where(head >= 0, doc[np.maximum(head, 0)], self._doc if self._doc is not None else 0)
+        self._last, self._doc = tuple(c[-1] for c in cols), rep[-1]
+        repeats = same & long & (rep < doc)
+        return np.flatnonzero(~repeats), np.flatnonzero(repeats)
+
+
 def _scan(window: int, reach: int, rows: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        alike = _Alike(window)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, repeats = alike.split(batch)
+            if len(repeats):
+                yield _spans(batch, repeats)
+                batch = batch.take(pa.array(own))
             if not batch.num_rows:
                 continue
             seed, cut = column(batch, "seed").to_numpy(zero_copy_only=False), column(batch, "cut").to_numpy(zero_copy_only=False)
@@ -171,7 +215,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, grou
     shared = materialize(shared.select("seed", "least", F.ceil(F.col("n") / group).cast("int").alias("cuts")), "suffix-shared")
     held = found.join(shared, "seed").select("doc_id", "row_key", F.struct("place", "seed", "cuts", (F.col("doc_id") == F.col("least")).alias("pivot")).alias("s"))
     by_text = held.groupBy("doc_id", "row_key").agg(F.collect_list("s").alias("suffixes"))
-    texts = kept.dropDuplicates(["doc_id", "row_key"]).join(by_text, ["doc_id", "row_key"])
+    texts = kept.join(by_text, ["doc_id", "row_key"])
     contexts = texts.mapInArrow(_contexts(window, seed), _CONTEXTS)
     width = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = contexts.repartition(width, "seed", "cut").sortWithinPartitions("seed", "cut", "following", "preceding", "doc_id")
