@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.llm import words as W
-from roadlake.llm.base import column, materialize, ragged, steps, utf8
+from roadlake.llm.base import column, materialize, steps, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Bits of each filter (16 MB); a segment is 2**16 of them.
-FILTER_BITS = 1 << 27
+#: Bits of each filter (8 MB); a segment is 2**16 of them.
+FILTER_BITS = 1 << 26
 _SEGMENT = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
