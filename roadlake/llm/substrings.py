@@ -80,7 +80,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     told apart by ``row_key``, a hash of the text.
     """
     kept = _keyed(docs).filter(F.col("doc_id").isNotNull())
-    runs = materialize(kept.mapInArrow(_runs(window, seed), _RUNS), "rlz-runs")
+    return block_spans(kept, kept.mapInArrow(_runs(window, seed), _RUNS), window).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def block_spans(kept: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, row_key, start, end): blocks and single windows of ``runs`` that earlier documents have there.
+
+    ``runs`` holds all runs of ``kept`` or all those of some seeds; a window is compared with every other of its seed.
+    """
+    runs = materialize(runs, "rlz-runs")
     block = ["seed", "h1", "h2"]
     index = materialize(runs.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "rlz-index")
     held = runs.join(index.filter("n > 1").select(*block, "first_doc"), block, "left")
@@ -92,7 +100,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     single = materialize(texts.mapInArrow(_windows(window), "doc_id long, row_key long, start int, h1 long, h2 long"), "rlz-windows")
     first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     seen = single.join(first, ["h1", "h2"]).filter("first_doc < doc_id").select("doc_id", "row_key", "start", (F.col("start") + window).alias("end"))
-    return whole.unionByName(seen).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return whole.unionByName(seen)
 
 
 def _covered(spans: pa.Array, first: np.ndarray, n_words: int) -> np.ndarray:

@@ -7,9 +7,9 @@ nearest earlier document above and below it (sorted by what follows, and again b
 match is extended to the left and right, and if it reaches ``window`` words, the span in the larger doc_id
 repeats the smaller one.
 
-Suffixes that share their first words are one group of the sort. A group that is too large for a task is
-cut by what follows; the smallest document of the group takes part in every cut, so that a passage that
-very many documents share is found in each.
+Suffixes that share their first words are one group of the sort. Groups that are too large for a task are
+not sorted: the windows over their first words are compared by hash, whole runs first, then single windows of
+those runs that no earlier document has whole. Equal windows select equal anchors, so this finds the same.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from roadlake.llm import words as W
 from roadlake.llm.base import column, materialize, ragged, row_key, steps, utf8
+from roadlake.llm.substrings import _RUNS, _runs, block_spans
 
 WINDOW, SEED = 50, 10
-#: Suffixes of one sorted group at most, on average.
+#: Suffixes of one sorted group at most.
 GROUP = 4000
 _SUFFIXES = "doc_id long, row_key long, place int, seed long"
-_CONTEXTS = "seed long, cut int, doc_id long, row_key long, place int, again array<int>, n_right int, n_left int, following binary, preceding binary"
+_CONTEXTS = "seed long, doc_id long, row_key long, place int, again array<int>, n_right int, n_left int, following binary, preceding binary"
 
 
 def _suffixes(window: int, seed: int):
@@ -57,7 +58,7 @@ def _contexts(window: int, seed: int):
             lists = column(batch, "suffixes")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
-            place, code, cuts, pivot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place, code = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             at, none = first[row] + place, len(words) - 1
             n_right = np.minimum(first[row + 1] - at, window).astype(np.int32)
             n_left = np.minimum(place, reach).astype(np.int32)
@@ -71,18 +72,13 @@ def _contexts(window: int, seed: int):
             size = np.bincount(member, minlength=len(one))
             again = [p - p[0] for p in np.split(place[order], np.cumsum(size)[:-1])] if len(one) else []
             one = order[np.cumsum(size) - size]
-            place, code, cuts, pivot, row, right, left, n_right, n_left = (x[one] for x in (place, code, cuts, pivot, row, right, left, n_right, n_left))
-            # Which cut of its group: by the words that follow; the group's smallest document goes to all.
-            own = (W.mix(right.astype(np.uint64) @ odd[:window]) % cuts.astype(np.uint64)).astype(np.int32)
-            times = np.where(pivot, cuts, 1)
-            k = np.repeat(np.arange(len(place)), times)
-            cut = np.where(pivot[k], np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times), own[k]).astype(np.int32)
+            place, code, row, right, left, n_right, n_left = (x[one] for x in (place, code, row, right, left, n_right, n_left))
             ids, keys = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
-            raw = [pa.array([b.tobytes() for b in part[k]], pa.binary()) for part in (right, left)]
+            raw = [pa.array([b.tobytes() for b in part], pa.binary()) for part in (right, left)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code[k], pa.int64()), pa.array(cut), pa.array(ids[row][k], pa.int64()), pa.array(keys[row][k], pa.int64()), pa.array(place[k].astype(np.int32)),
-                 pa.array([again[i] for i in k], pa.list_(pa.int32())), pa.array(n_right[k]), pa.array(n_left[k]), *raw],
-                names=["seed", "cut", "doc_id", "row_key", "place", "again", "n_right", "n_left", "following", "preceding"])
+                [pa.array(code, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(place.astype(np.int32)),
+                 pa.array(again, pa.list_(pa.int32())), pa.array(n_right), pa.array(n_left), *raw],
+                names=["seed", "doc_id", "row_key", "place", "again", "n_right", "n_left", "following", "preceding"])
 
     return run
 
@@ -111,10 +107,10 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
 def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     """Spans that repeat an earlier document, from whole groups in sorted order."""
     n = rows.num_rows
-    doc, keys, place, seed, cut, n_right, n_left = (rows[c].to_numpy() for c in ("doc_id", "row_key", "place", "seed", "cut", "n_right", "n_left"))
+    doc, keys, place, seed, n_right, n_left = (rows[c].to_numpy() for c in ("doc_id", "row_key", "place", "seed", "n_right", "n_left"))
     right = np.frombuffer(b"".join(rows["following"].to_pylist()), ">u4").reshape(n, window)
     left = np.frombuffer(b"".join(rows["preceding"].to_pylist()), ">u4").reshape(n, reach)
-    group = np.cumsum(np.append(0, (seed[1:] != seed[:-1]) | (cut[1:] != cut[:-1])))
+    group = np.cumsum(np.append(0, seed[1:] != seed[:-1]))
     codes = np.unique(left.view(f"S{4 * reach}").ravel(), return_inverse=True)[1]
     least = np.lexsort((doc, group))
     pivot = least[np.append(0, np.cumsum(np.bincount(group)))[:-1]][group]
@@ -162,7 +158,7 @@ class _Alike:
 
     def split(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Rows to compare with others, and rows that repeat an earlier document outright."""
-        cols = [column(batch, c) for c in ("seed", "cut", "following", "preceding")]
+        cols = [column(batch, c) for c in ("seed", "following", "preceding")]
         same = np.zeros(batch.num_rows, bool)
         same[0] = self._last == tuple(c[0] for c in cols)
         if batch.num_rows > 1:
@@ -189,8 +185,8 @@ def _scan(window: int, reach: int, rows: int = 20_000):
                 batch = batch.take(pa.array(own))
             if not batch.num_rows:
                 continue
-            seed, cut = column(batch, "seed").to_numpy(zero_copy_only=False), column(batch, "cut").to_numpy(zero_copy_only=False)
-            last = int(np.flatnonzero((seed != seed[-1]) | (cut != cut[-1]))[-1]) + 1 if (seed[0], cut[0]) != (seed[-1], cut[-1]) else 0
+            seed = column(batch, "seed").to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(seed != seed[-1])[-1]) + 1 if seed[0] != seed[-1] else 0
             if last and sum(b.num_rows for b in held) + last >= rows:
                 yield _compare(pa.Table.from_batches([*held, batch.slice(0, last)]), window, reach)
                 held, batch = [], batch.slice(last)
@@ -212,14 +208,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, grou
     found = materialize(kept.mapInArrow(_suffixes(window, seed), _SUFFIXES), "suffixes")
     shared = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     # Written, so that both sides of the join are exchanges and a hot seed's rows can be split.
-    shared = materialize(shared.select("seed", "least", F.ceil(F.col("n") / group).cast("int").alias("cuts")), "suffix-shared")
-    held = found.join(shared, "seed").select("doc_id", "row_key", F.struct("place", "seed", "cuts", (F.col("doc_id") == F.col("least")).alias("pivot")).alias("s"))
+    shared = materialize(shared.select("seed", "n"), "suffix-shared")
+    hot = shared.filter(F.col("n") > group).select("seed")
+    held = found.join(shared.filter(F.col("n") <= group), "seed").select("doc_id", "row_key", F.struct("place", "seed").alias("s"))
     by_text = held.groupBy("doc_id", "row_key").agg(F.collect_list("s").alias("suffixes"))
     texts = kept.join(by_text, ["doc_id", "row_key"])
     contexts = texts.mapInArrow(_contexts(window, seed), _CONTEXTS)
     width = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = contexts.repartition(width, "seed", "cut").sortWithinPartitions("seed", "cut", "following", "preceding", "doc_id")
-    spans = materialize(ordered.mapInArrow(_scan(window, window - seed), "doc_id long, row_key long, start int, end int"), "suffix-spans").distinct()
+    ordered = contexts.repartition(width, "seed").sortWithinPartitions("seed", "following", "preceding", "doc_id")
+    spans = materialize(ordered.mapInArrow(_scan(window, window - seed), "doc_id long, row_key long, start int, end int"), "suffix-spans")
+    if hot.head(1):
+        spans = spans.unionByName(block_spans(kept, kept.mapInArrow(_runs(window, seed), _RUNS).join(hot, "seed", "left_semi"), window))
+    spans = spans.distinct()
     own = Window.partitionBy("doc_id", "row_key")
     before = own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     islands = spans.withColumn("gap", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))

@@ -2,9 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from roadlake.llm import words as W
+from roadlake.llm.base import utf8
+
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +73,17 @@ def crowd(spark):
             text = f"{own}\n{line}\n{passage if i % 8 == 3 else own}"
         rows.append((1000 - i, text, "en", "hot" if i % 3 else f"s{i}", 0))
     return spark.createDataFrame(rows, SCHEMA).repartition(7)
+
+
+@pytest.fixture(scope="session")
+def around_phrase(spark):
+    """Passages around a stock phrase that end at different places; the smallest document has the phrase only.
+    The phrase is the smallest seed of many, so that it is the anchor of the windows over it."""
+    found = W.Selected(*utf8(pa.array([invented(200, 20_000)])), 50, 10)
+    at = int(found.anchor[found.seed.argmin()])
+    phrase = " ".join(invented(200, 20_000).split(" ")[at : at + 10])
+    rows = [(0, f"{invented(201, 60)} {phrase} {invented(202, 60)}", "en", "a", 0)]
+    for i in range(1, 30):
+        passage = f"{invented(300 + i, 25)} {phrase} {invented(400 + i, 18)}"
+        rows += [(100 * c + i, f"{invented(1000 * c + i, 40)} {passage} {invented(5000 * c + i, 45)}", "en", "a", 0) for c in (1, 2, 3)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)

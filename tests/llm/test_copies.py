@@ -80,6 +80,16 @@ def test_hot_groups_that_are_cut(crowd):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def marked(spans):
+    return {(r["doc_id"], i) for r in spans.collect() for i in range(r["start"], r["end"])}
+
+
+def test_large_groups_lose_no_passage(around_phrase):
+    rows = rows_of(around_phrase)
+    want = {(d, i) for (d, _), (_, g) in zip(rows, repeats(rows), strict=True) for i, x in enumerate(g) if x}
+    assert want and marked(suffixes.repeated_spans(around_phrase, group=8)) == want
+
+
 def print_of(text):
     words = WORD.findall(lower(text or ""))
     if not words:
