@@ -2,10 +2,10 @@
 
 Of all suffixes only those at content-selected minimiser positions are kept: any passage of ``window``
 words holds one of them at the same place wherever it occurs. Suffixes whose first words occur once in the
-corpus drop out by a count. The others are sorted by the words that follow, and each is compared with the
-nearest earlier document above and below it (sorted by what follows, and again by what precedes). Every
-match is extended to the left and right, and if it reaches ``window`` words, the span in the larger doc_id
-repeats the smaller one.
+corpus drop out by a count. The others are sorted by the words that follow, and again by those that precede,
+and neighbours' common words are counted in both orders. Suffixes that share a passage of ``window`` words over
+their place lie in one interval of each order, whichever documents lie between them; each pair of intervals is
+a class, and its larger doc_ids repeat the smallest. All splits of the window into left and right are gone through.
 
 Suffixes that share their first words are one group of the sort. Groups that are too large for a task are
 not sorted: the windows over their first words are compared by hash, whole runs first, then single windows of
@@ -83,53 +83,57 @@ def _contexts(window: int, seed: int):
     return run
 
 
-def _nearest_smaller(doc: list[int], group: list[int]) -> np.ndarray:
-    """For each row the nearest row above it in its group with a smaller doc_id; its own index if none."""
-    out, stack, current = list(range(len(doc))), [], None
-    for i, d in enumerate(doc):
-        if group[i] != current:
-            current, stack = group[i], []
-        while stack and doc[stack[-1]] >= d:
-            stack.pop()
-        if stack:
-            out[i] = stack[-1]
-        stack.append(i)
-    return np.array(out)
-
-
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Words that two contexts have in common from their beginning."""
-    differ = a != b
-    n = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-    return np.minimum(n, most)
+def _common(order: np.ndarray, words: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Words that each row of ``order`` has in common with the row before it, from the beginning; -1 in another group."""
+    differ = words[order[1:]] != words[order[:-1]]
+    n = np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
+    return np.append(-1, np.where(group[order[1:]] == group[order[:-1]], n, -1))
 
 
 def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
-    """Spans that repeat an earlier document, from whole groups in sorted order."""
+    """Spans that repeat an earlier document, from whole groups in sorted order.
+
+    Rows share a window that has ``k`` words before the place if they lie in one interval of the order by
+    following words, where neighbours have window - k words in common, and in one of the order by preceding
+    words, where they have k. The smallest document of such a class keeps the window.
+    """
     n = rows.num_rows
     doc, keys, place, seed, n_right, n_left = (rows[c].to_numpy() for c in ("doc_id", "row_key", "place", "seed", "n_right", "n_left"))
     right = np.frombuffer(b"".join(rows["following"].to_pylist()), ">u4").reshape(n, window)
     left = np.frombuffer(b"".join(rows["preceding"].to_pylist()), ">u4").reshape(n, reach)
     group = np.cumsum(np.append(0, seed[1:] != seed[:-1]))
     codes = np.unique(left.view(f"S{4 * reach}").ravel(), return_inverse=True)[1]
-    least = np.lexsort((doc, group))
-    pivot = least[np.append(0, np.cumsum(np.bincount(group)))[:-1]][group]
-    which = []
-    for order in (np.arange(n), np.lexsort((doc, codes, group))):
-        for turn in (order, order[::-1]):
-            near = _nearest_smaller(doc[turn].tolist(), group[turn].tolist())
-            i, j = turn, turn[near]
-            pick = doc[j] < doc[i]
-            which.append(np.stack([i[pick], j[pick]]))
-    pick = doc[pivot] < doc
-    which.append(np.stack([np.flatnonzero(pick), pivot[pick]]))
-    i, j = np.unique(np.concatenate(which, axis=1), axis=1)
-    more = _common(right[i], right[j], np.minimum(n_right[i], n_right[j]))
-    less = _common(left[i], left[j], np.minimum(n_left[i], n_left[j]))
-    long = more + less >= window
+    turn = np.lexsort((codes, group))
+    after, before = _common(np.arange(n), right, group), _common(turn, left, group)
+    # The most words that a row shares with any other on either side: what reaches no window needs no look.
+    most_right, most_left = np.maximum(after, np.append(after[1:], -1)), np.empty(n, np.int64)
+    most_left[turn] = np.maximum(before, np.append(before[1:], -1))
+    most_right, most_left = np.minimum(most_right, n_right), np.minimum(most_left, n_left)
+    hits = []
+    for k in range(reach + 1):
+        live = np.flatnonzero((most_left >= k) & (most_right >= window - k))
+        if len(live) < 2:
+            continue
+        kin = np.empty(n, np.int64)
+        kin[turn] = np.cumsum(before < k)
+        both = np.cumsum(after < window - k)[live] * (n + 1) + kin[live]
+        order = np.argsort(both, kind="stable")
+        live, both = live[order], both[order]
+        head = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        least = np.repeat(np.minimum.reduceat(doc[live], head), np.diff(np.append(head, len(live))))
+        repeats = live[least < doc[live]]
+        hits.append(np.stack([repeats, np.full(len(repeats), k)]))
+    i, k = np.concatenate([np.zeros((2, 0), np.int64), *hits], axis=1)
+    # Windows that begin side by side are one span.
+    order = np.lexsort((k, i))
+    i, k = i[order], k[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i))[: len(first)] - 1
+    starts, ends, i = place[i[first]] - k[last], place[i[first]] - k[first] + window, i[first]
     again = rows["again"].combine_chunks()
     flat, off = again.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(again.value_lengths().to_numpy(zero_copy_only=False)))
-    i, starts, ends = i[long], (place[i] - less)[long], (place[i] + more)[long]
     times = np.diff(off)[i]
     shift = flat[ragged(off[i], times)]
     i, starts, ends = np.repeat(i, times), np.repeat(starts, times) + shift, np.repeat(ends, times) + shift

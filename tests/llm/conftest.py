@@ -87,3 +87,15 @@ def around_phrase(spark):
         passage = f"{invented(300 + i, 25)} {phrase} {invented(400 + i, 18)}"
         rows += [(100 * c + i, f"{invented(1000 * c + i, 40)} {passage} {invented(5000 * c + i, 45)}", "en", "a", 0) for c in (1, 2, 3)]
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="session")
+def staggered(spark):
+    """Quotes of passages that begin and end at different places: the documents that share most on the right and
+    on the left of an anchor are others than the one that shares a window."""
+    rows = []
+    for p in range(12):
+        passage, r = invented(700 + p, 100).split(" "), random.Random(p)
+        for i, (a, b) in enumerate([(50, 60), (10, 90), (45, 95), (12, 62), (25, 80)] + [(a, a + r.randint(20, 60)) for a in (r.randint(0, 60) for _ in range(25))]):
+            rows.append((100 * i + p, f"{invented(9000 + 50 * p + i, 30)} {' '.join(passage[a:b])} {invented(20000 + 50 * p + i, 30)}", "en", "a", 0))
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)

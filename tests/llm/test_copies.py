@@ -90,6 +90,13 @@ def test_large_groups_lose_no_passage(around_phrase):
     assert want and marked(suffixes.repeated_spans(around_phrase, group=8)) == want
 
 
+def test_suffixes_find_staggered_quotes(staggered):
+    rows = rows_of(staggered)
+    want = {(d, i) for (d, _), (_, g) in zip(rows, repeats(rows), strict=True) for i, x in enumerate(g) if x}
+    for group in (4, suffixes.GROUP):
+        assert marked(suffixes.repeated_spans(staggered, group=group)) == want
+
+
 def print_of(text):
     words = WORD.findall(lower(text or ""))
     if not words:
