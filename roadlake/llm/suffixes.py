@@ -7,9 +7,10 @@ and neighbours' common words are counted in both orders. Suffixes that share a p
 their place lie in one interval of each order, whichever documents lie between them; each pair of intervals is
 a class, and its larger doc_ids repeat the smallest. All splits of the window into left and right are gone through.
 
-Suffixes that share their first words are one group of the sort. Groups that are too large for a task are
-not sorted: the windows over their first words are compared by hash, whole runs first, then single windows of
-those runs that no earlier document has whole. Equal windows select equal anchors, so this finds the same.
+Suffixes that share their first words are one group of the sort. A group that is too large for a task is
+dealt out by what follows: of suffixes in the same surroundings the smallest document's stands for all, and
+those left give their windows to be compared by hash with all others of the group, wherever these were dealt.
+Equal windows select equal anchors, so this finds the same.
 """
 
 from __future__ import annotations
@@ -24,23 +25,27 @@ from pyspark.sql import functions as F
 
 from roadlake.llm import words as W
 from roadlake.llm.base import column, materialize, ragged, row_key, steps, utf8
-from roadlake.llm.substrings import _RUNS, _runs, block_spans
 
 WINDOW, SEED = 50, 10
 #: Suffixes of one sorted group at most.
 GROUP = 4000
-_SUFFIXES = "doc_id long, row_key long, place int, seed long"
-_CONTEXTS = "seed long, doc_id long, row_key long, place int, again array<int>, n_right int, n_left int, following binary, preceding binary"
+_SUFFIXES = "doc_id long, row_key long, place int, seed long, before short, windows short"
+_CONTEXTS = "seed long, cut int, hot boolean, before short, windows short, doc_id long, row_key long, place int, again array<int>, n_right int, n_left int, following binary, preceding binary"
+
+_FOUND = "doc_id long, row_key long, start int, end int, h1 long, h2 long"
 
 
 def _suffixes(window: int, seed: int):
+    """Suffixes at the anchors; ``windows`` windows select one, of which the first begins ``before`` words before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             s = W.Selected(*utf8(column(batch, "text")), window, seed)
             ids, keys = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[s.row], pa.int64()), pa.array(keys[s.row], pa.int64()), pa.array((s.anchor - s.first[s.row]).astype(np.int32)), pa.array(s.seed.view(np.int64))],
-                names=["doc_id", "row_key", "place", "seed"])
+                [pa.array(ids[s.row], pa.int64()), pa.array(keys[s.row], pa.int64()), pa.array((s.anchor - s.first[s.row]).astype(np.int32)), pa.array(s.seed.view(np.int64)),
+                 pa.array((s.anchor - s.start).astype(np.int16)), pa.array(s.count.astype(np.int16))],
+                names=["doc_id", "row_key", "place", "seed", "before", "windows"])
 
     return run
 
@@ -58,7 +63,7 @@ def _contexts(window: int, seed: int):
             lists = column(batch, "suffixes")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
-            place, code = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            place, code, cuts, before, windows = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             at, none = first[row] + place, len(words) - 1
             n_right = np.minimum(first[row + 1] - at, window).astype(np.int32)
             n_left = np.minimum(place, reach).astype(np.int32)
@@ -72,13 +77,14 @@ def _contexts(window: int, seed: int):
             size = np.bincount(member, minlength=len(one))
             again = [p - p[0] for p in np.split(place[order], np.cumsum(size)[:-1])] if len(one) else []
             one = order[np.cumsum(size) - size]
-            place, code, row, right, left, n_right, n_left = (x[one] for x in (place, code, row, right, left, n_right, n_left))
+            place, code, cuts, before, windows, row, right, left, n_right, n_left = (x[one] for x in (place, code, cuts, before, windows, row, right, left, n_right, n_left))
+            cut = (W.mix(right.astype(np.uint64) @ odd[:window]) % cuts.astype(np.uint64)).astype(np.int32)
             ids, keys = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
             raw = [pa.array([b.tobytes() for b in part], pa.binary()) for part in (right, left)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(place.astype(np.int32)),
+                [pa.array(code, pa.int64()), pa.array(cut), pa.array(cuts > 1), pa.array(before, pa.int16()), pa.array(windows, pa.int16()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(place.astype(np.int32)),
                  pa.array(again, pa.list_(pa.int32())), pa.array(n_right), pa.array(n_left), *raw],
-                names=["seed", "doc_id", "row_key", "place", "again", "n_right", "n_left", "following", "preceding"])
+                names=["seed", "cut", "hot", "before", "windows", "doc_id", "row_key", "place", "again", "n_right", "n_left", "following", "preceding"])
 
     return run
 
@@ -137,7 +143,37 @@ def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     times = np.diff(off)[i]
     shift = flat[ragged(off[i], times)]
     i, starts, ends = np.repeat(i, times), np.repeat(starts, times) + shift, np.repeat(ends, times) + shift
-    return pa.RecordBatch.from_arrays([pa.array(doc[i], pa.int64()), pa.array(keys[i], pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], names=["doc_id", "row_key", "start", "end"])
+    return _found(pa.array(doc[i], pa.int64()), pa.array(keys[i], pa.int64()), starts, ends)
+
+
+def _found(doc: pa.Array, keys: pa.Array, starts: np.ndarray, ends: np.ndarray, h1: np.ndarray | None = None, h2: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of ``_FOUND``: spans that repeat an earlier document or, with hashes, windows still to be compared."""
+    hashes = [pa.nulls(len(doc), pa.int64()) if h is None else pa.array(h.view(np.int64)) for h in (h1, h2)]
+    return pa.RecordBatch.from_arrays([doc, keys, pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), *hashes], names=["doc_id", "row_key", "start", "end", "h1", "h2"])
+
+
+def _windows(part: pa.RecordBatch, window: int, reach: int) -> pa.RecordBatch:
+    """The windows that select the places of ``part``, with 128 bits of hash each."""
+    n = part.num_rows
+    right = np.frombuffer(b"".join(column(part, "following").to_pylist()), ">u4").reshape(n, window)
+    left = np.frombuffer(b"".join(column(part, "preceding").to_pylist()), ">u4").reshape(n, reach)
+    around = W.mix(np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) + np.uint64(1))
+    odd = np.random.default_rng(11).integers(0, 2**63, (window, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    place, before, windows = (column(part, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "before", "windows"))
+    row, ahead, codes = [], [], []
+    for k in range(reach + 1):
+        own = np.flatnonzero((k <= before) & (k > before - windows))
+        row.append(own)
+        ahead.append(np.full(len(own), k))
+        codes.append(W.mix(around[own, reach - k : reach - k + window] @ odd))
+    row, ahead, codes = np.concatenate(row), np.concatenate(ahead), np.concatenate(codes)
+    again = column(part, "again")
+    times = again.value_lengths().to_numpy(zero_copy_only=False)
+    off = np.cumsum(times) - times
+    k = np.repeat(np.arange(len(row)), times[row])
+    start = (place[row] - ahead)[k] + again.flatten().to_numpy(zero_copy_only=False)[ragged(off[row], times[row])]
+    at = pa.array(row[k])
+    return _found(column(part, "doc_id").take(at), column(part, "row_key").take(at), start, start + window, codes[k, 0], codes[k, 1])
 
 
 def _spans(batch: pa.RecordBatch, pick: np.ndarray) -> pa.RecordBatch:
@@ -148,9 +184,7 @@ def _spans(batch: pa.RecordBatch, pick: np.ndarray) -> pa.RecordBatch:
     times = again.value_lengths().to_numpy(zero_copy_only=False)
     at = np.repeat(place, times) + again.flatten().to_numpy(zero_copy_only=False)
     k = np.repeat(np.arange(len(pick)), times)
-    return pa.RecordBatch.from_arrays(
-        [column(part, "doc_id").take(pa.array(k)), column(part, "row_key").take(pa.array(k)), pa.array((at - n_left[k]).astype(np.int32)), pa.array((at + n_right[k]).astype(np.int32))],
-        names=["doc_id", "row_key", "start", "end"])
+    return _found(column(part, "doc_id").take(pa.array(k)), column(part, "row_key").take(pa.array(k)), at - n_left[k], at + n_right[k])
 
 
 class _Alike:
@@ -162,7 +196,7 @@ class _Alike:
 
     def split(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Rows to compare with others, and rows that repeat an earlier document outright."""
-        cols = [column(batch, c) for c in ("seed", "following", "preceding")]
+        cols = [column(batch, c) for c in ("seed", "cut", "following", "preceding")]
         same = np.zeros(batch.num_rows, bool)
         same[0] = self._last == tuple(c[0] for c in cols)
         if batch.num_rows > 1:
@@ -187,6 +221,10 @@ def _scan(window: int, reach: int, rows: int = 20_000):
             if len(repeats):
                 yield _spans(batch, repeats)
                 batch = batch.take(pa.array(own))
+            hot = column(batch, "hot").to_numpy(zero_copy_only=False)
+            if hot.any():
+                yield _windows(batch.take(pa.array(np.flatnonzero(hot))), window, reach)
+                batch = batch.take(pa.array(np.flatnonzero(~hot)))
             if not batch.num_rows:
                 continue
             seed = column(batch, "seed").to_numpy(zero_copy_only=False)
@@ -212,18 +250,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, grou
     found = materialize(kept.mapInArrow(_suffixes(window, seed), _SUFFIXES), "suffixes")
     shared = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     # Written, so that both sides of the join are exchanges and a hot seed's rows can be split.
-    shared = materialize(shared.select("seed", "n"), "suffix-shared")
-    hot = shared.filter(F.col("n") > group).select("seed")
-    held = found.join(shared.filter(F.col("n") <= group), "seed").select("doc_id", "row_key", F.struct("place", "seed").alias("s"))
+    shared = materialize(shared.select("seed", F.ceil(F.col("n") / group).cast("int").alias("cuts")), "suffix-shared")
+    held = found.join(shared, "seed").select("doc_id", "row_key", F.struct("place", "seed", "cuts", "before", "windows").alias("s"))
     by_text = held.groupBy("doc_id", "row_key").agg(F.collect_list("s").alias("suffixes"))
     texts = kept.join(by_text, ["doc_id", "row_key"])
     contexts = texts.mapInArrow(_contexts(window, seed), _CONTEXTS)
     width = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = contexts.repartition(width, "seed").sortWithinPartitions("seed", "following", "preceding", "doc_id")
-    spans = materialize(ordered.mapInArrow(_scan(window, window - seed), "doc_id long, row_key long, start int, end int"), "suffix-spans")
-    if hot.head(1):
-        spans = spans.unionByName(block_spans(kept, kept.mapInArrow(_runs(window, seed), _RUNS).join(hot, "seed", "left_semi"), window))
-    spans = spans.distinct()
+    ordered = contexts.repartition(width, "seed", "cut").sortWithinPartitions("seed", "cut", "following", "preceding", "doc_id")
+    out = materialize(ordered.mapInArrow(_scan(window, window - seed), _FOUND), "suffix-spans")
+    single = out.filter("h1 is not null")
+    first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+    seen = single.join(first, ["h1", "h2"]).filter("first_doc < doc_id")
+    span = ["doc_id", "row_key", "start", "end"]
+    spans = out.filter("h1 is null").select(span).unionByName(seen.select(span)).distinct()
     own = Window.partitionBy("doc_id", "row_key")
     before = own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     islands = spans.withColumn("gap", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
