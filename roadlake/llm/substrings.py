@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by hash joins of blocks and windows, in place of a relative Lempel-Ziv parse.
 
 Every text is cut into overlapping *reference blocks* at content-selected anchors: all windows of
 ``window`` words that select one anchor form a block. The index holds each distinct block with the
-smallest document that has it. A document is then parsed greedily against the index: a block found in
-an earlier document is taken whole, and adjoining blocks make one long factor. Only at factor
-boundaries (blocks whose anchor also occurs in other surroundings) single windows are looked up, in an
-index of the windows of just such blocks. Words under a found factor of at least ``window`` words are
-duplicate. Equal windows select equal anchors, so nothing is missed: a word is removed exactly if one
-of the windows over it also starts in a document with a smaller doc_id.
+smallest document that has it; a block found in an earlier document is taken whole. Of the other blocks
+whose anchor also occurs in other surroundings, single windows are looked up in an index of the windows
+of just such blocks. No text is factored from left to right and no match is extended: words under a found
+block or window are duplicate. Equal windows select equal anchors, so nothing is missed: a word is removed
+exactly if one of the windows over it also starts in a document with a smaller doc_id.
 
 Blocks and windows are compared by 128-bit hashes of their words.
 """
