@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roadlake.llm import contamination, language_crf, mixing, simhash, token_files
 from roadlake.llm.base import fresh, materialize, prepare, table
 
-#: Documents whose label is less certain than this go, as do those without a letter.
+#: Documents whose words are labelled with less certainty than this go, as do those without a letter.
 MIN_LANGUAGE_SCORE = 0.5
 
 

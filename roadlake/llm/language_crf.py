@@ -272,6 +272,15 @@ class Labeller:
         names = [self.model.labels[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
         return names, np.where(n > 0, np.clip(mean[np.arange(len(n)), best], 0, 1), 0.0)
 
+    def certainty(self, texts: list[str | None]) -> np.ndarray:
+        """Mean of each word's largest marginal: near 1 for words of one language or several, all told with
+        certainty. 0 without a letter; without a trained label nothing can be told, and a letter is enough for 1."""
+        if not self.model.labels:
+            return np.array([float(any(c.isalpha() for c in t or "")) for t in texts])
+        marginal, first = self.marginals(texts)
+        sums = np.append(0, np.cumsum(marginal.max(axis=1)))
+        return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
+
 
 def _labels(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +305,14 @@ def _recognised(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in steps(batches, limit=_TEXT_STEP):
-            names, scores = labeller.label(column(batch, "text").to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            certain = labeller.certainty(column(batch, "text").to_pylist())
+            yield batch.filter(pa.array((certain > 0) & (certain >= least), pa.bool_()))
 
     return run
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs`` whose language is known with score ``least``, with all their columns."""
+    """The rows of ``docs`` whose words' languages are known with certainty ``least``, be it one language or
+    several, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_recognised(shared, least), docs.schema)

@@ -191,6 +191,17 @@ def test_labeller_edges(awkward, nothing):
     assert kept.columns == awkward.columns and 0 < kept.count() < awkward.count()
 
 
+def test_mixed_languages_are_recognised(spark, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit(L.training_rows(docs))
+    by_lang = {r["lang"]: r["text"] for r in docs.filter(L.held_out() & (F.col("n_chars") > 400)).select("lang", "text").collect()}
+    mixed = " ".join(w for x in ("en", "de", "fr") for w in by_lang[x].split()[:40])
+    assert L.Labeller(model).label([mixed])[1][0] < 0.5
+    df = spark.createDataFrame([(1, mixed), (2, "123 !!"), (3, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in L.recognised(df, model, 0.5).collect()] == [1]
+    assert [r["doc_id"] for r in L.recognised(df, L.fit(L.training_rows(nothing)), 0.5).collect()] == [1]
+
+
 def vectors(spark, n=600, dim=24):
     r = np.random.default_rng(9)
     v = r.normal(size=(n, dim)).astype(np.float32)
