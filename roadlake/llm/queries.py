@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlake.llm import contamination, language_crf, line_dedup, mixing, neighbours, simhash, substrings, suffixes, token_counts, token_files
+from roadlake.llm import (
+    contamination, fingerprints, language_crf, line_dedup, merkle, mixing, neighbours, simhash, substrings, suffixes, token_counts, token_files, whitening,
+)
 from roadlake.llm.base import table
 
 
@@ -52,6 +54,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("length")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    spelled = {"fingerprint": fingerprints.spelled("sketch"), "edited_fingerprint": fingerprints.spelled("edited_sketch"), "edited_sha256": F.sha2("edited", 256)}
+    return out.withColumns(spelled).drop("text", "edited", "sketch", "edited_sketch")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"), merkle.contract_tampering()).drop("path")
+
+
 QUERIES = {
     "op1_source_mixing": (op1_source_mixing, mixing.SQL),
     "op2_nearest_neighbours": (op2_nearest_neighbours, None),
@@ -63,4 +79,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_decontamination": (op9_decontamination, contamination.SQL),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_fingerprints": (op12_fingerprints, None),
+    "op13_merkle": (op13_merkle, merkle.SQL),
 }
