@@ -23,7 +23,7 @@ SHINGLE, FRACTION, FLOOR = 5, 1 / 16, 64
 #: Hashes are taken as numbers of 63 bits.
 TOP = (1 << 63) - 1
 #: Bytes of text that one task orders.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = SHINGLE, fraction: float = FRACTION, floor: int = FLOOR) -> DataFrame:
