@@ -79,13 +79,14 @@ def merged_rows(obd: pd.DataFrame, imu: pd.DataFrame, partner: np.ndarray, lone_
     """Full rows, OBD-only rows and IMU-only rows of a finished stretch."""
     hit = partner >= 0
     a = obd[["us", *PIDS]].reset_index(drop=True)
-    a["obd_id"] = obd["rid"].to_numpy()
-    taken = imu.iloc[np.where(hit, partner, 0)] if len(imu) else imu.reindex(range(len(obd)))
-    a["imu_id"] = pd.array(np.where(hit, taken["rid"].to_numpy(dtype=float), np.nan), dtype="Float64").astype("Int64")
+    a["obd_id"] = pd.array(obd["rid"].to_numpy(np.int64), dtype="Int64")
+    taken = imu.iloc[np.where(hit, partner, 0)].reset_index(drop=True) if len(imu) else imu.reindex(range(len(obd)))
+    a["imu_id"] = pd.arrays.IntegerArray(taken["rid"].fillna(0).to_numpy(np.int64), ~hit)
     for c in ACCELS:
         a[c] = np.where(hit, taken[c].to_numpy(dtype=float), np.nan)
-    b = imu.loc[lone_imu, ["us", "rid", *ACCELS]].rename(columns={"rid": "imu_id"})
-    return pd.concat([a.astype(object), b.astype(object)], ignore_index=True)
+    b = imu.loc[lone_imu, ["us", "rid", *ACCELS]].rename(columns={"rid": "imu_id"}).astype({"imu_id": "Int64"})
+    b["obd_id"] = pd.array([pd.NA] * len(b), dtype="Int64")
+    return pd.concat([a, b.assign(**dict.fromkeys(PIDS, np.nan))], ignore_index=True)
 
 
 def merge_nearest(obd: DataFrame, imu: DataFrame, keys: Sequence[str] = ("vehicle_id",), window_s: float = WINDOW_S, time: str = "time",

@@ -7,7 +7,9 @@ to the end of what is there, and return the stored result.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake import fixtures as fx
@@ -60,75 +62,102 @@ def dropped(spark, d):
 
 SLICES = 4
 _SLICE = f"LEAST(CAST(FLOOR((EPOCH_US(time) - lo) * {SLICES} / CAST(hi - lo AS DOUBLE)) AS INT), {SLICES - 1})"
+#: Files of a slice: as many as the session's shuffles have partitions, on small tables one for every thousand rows.
+_FILE_ROWS = 1000
 
 
 def _slices(t, time="time"):
-    """The rows cut into a few stretches of equal time, as they would arrive one after the other."""
+    """The rows cut into a few stretches of equal time, as they would arrive one after the other, the number of
+    files each is to be dealt over, and the last time (microseconds)."""
     us = F.unix_micros(time)
-    lo, hi = t.agg(F.min(us), F.max(us)).first()
+    lo, hi, n = t.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
     part = F.least(F.floor((us - lo) * SLICES / F.lit(float(hi - lo))), F.lit(SLICES - 1))
-    return [t.where(part == i) for i in range(SLICES)]
+    files = max(1, min(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (SLICES * _FILE_ROWS)))
+    return [t.where(part == i) for i in range(SLICES)], files, hi
 
 
-def _message_files(spark, d, clean=True):
+def _message_files(spark, d, clean=True, late=None):
+    """Messages in folders of rising time, and how many files a trigger takes; rows that ``late`` selects come with the
+    last folder."""
     path = workspace(spark, "messages")
     if not clean:
         envelopes(spark, d).select("topic", "key", "value").write.json(f"{path}/a")
-        return f"{path}/*"
+        return f"{path}/*", 1
     tel = fx.telemetry(spark, d)
-    for i, part in enumerate(_slices(tel)):
-        ms.to_messages(part, "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id").select("topic", "key", "value").coalesce(1).write.json(f"{path}/{i}")
+    parts, files, end = _slices(tel)
+    if late is not None:
+        early = parts[:-2]  # older than any delay by the time the last slice comes
+        parts = [p.where(~late) for p in early] + [parts[-2], reduce(DataFrame.unionByName, [p.where(late) for p in early], parts[-1])]
+    for i, part in enumerate(parts):
+        ms.to_messages(part, "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id").select("topic", "key", "value").repartition(files).write.json(f"{path}/{i}")
     # a closing message moves the watermark past everything else
-    last = tel.agg(F.max("time").alias("time")).select(F.lit(-1).alias("vehicle_id"), (F.col("time") + F.expr("INTERVAL 1 HOUR")).alias("time"),
-                                                       *[F.lit(None).cast("double").alias(c) for c in PIDS + ACCELS])
+    last = spark.range(1).select(F.lit(-1).alias("vehicle_id"), F.timestamp_micros(F.lit(end + 3_600_000_000)).alias("time"), *[F.lit(None).cast("double").alias(c) for c in PIDS + ACCELS])
     ms.to_messages(last, "true", "false", "vehicle_id").select("topic", "key", "value").write.json(f"{path}/z")
-    return f"{path}/*"
+    return f"{path}/*", files
 
 
-def merge_stream(spark, d):
+def merge_stream(spark, d, late=None):
     """The running ingest: messages arrive slice by slice, merged rows are appended by date."""
-    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, _message_files(spark, d), 1)))
+    path, files = _message_files(spark, d, late=late)
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, files)))
     merged = pairing.stored(pairing.merge_stream(obd, imu))
     path = workspace(spark, "merged")
     run.drain(pairing.append_telemetry(merged, path, workspace(spark, "merged-ckpt"), "0 seconds"))
     out = spark.read.schema(merged.schema).parquet(path)
-    return out.where("node_id <> '-1'").select(F.col("node_id").cast("int").alias("vehicle_id"), "time", *PIDS, *ACCELS)
+    return out.where("node_id <> '-1'").select(F.col("node_id").cast("int").alias("vehicle_id"), "time", *PIDS, *ACCELS, "late")
+
+
+def late_rows(spark, d):
+    """A fifteenth of the messages of the first half comes late, with the last slice: each comes out once, alone."""
+    return merge_stream(spark, d, F.col("event_id") % 30 < 2)
+
+
+def late_metrics(spark, d):
+    """The same ingest, as its metrics tell it: rows and late rows of all triggers together."""
+    path, files = _message_files(spark, d, late=F.col("event_id") % 30 < 2)
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, files)))
+    merged = pairing.counted(pairing.merge_stream(obd, imu).where("node_id <> '-1'"))
+    q = pairing.append_telemetry(pairing.stored(merged), workspace(spark, "merged"), workspace(spark, "merged-ckpt"), "0 seconds")
+    run.drain(q)
+    seen = [p.observedMetrics["merge"] for p in q.recentProgress if "merge" in p.observedMetrics]
+    return spark.createDataFrame([(sum(m["rows"] for m in seen), sum(m["late"] for m in seen))], "n_rows long, n_late long")
 
 
 def advanced_stream(spark, d):
-    out = run.drain_to_parquet(ms.advanced(ms.parse(ms.file_messages(spark, _message_files(spark, d, False), 1))), "advanced")
+    out = run.drain_to_parquet(ms.advanced(ms.parse(ms.file_messages(spark, *_message_files(spark, d, False)))), "advanced")
     return out.select(F.col("node_id").cast("int").alias("vehicle_id"), "time", "pid", "value", "unit")
 
 
 def routed(spark, d):
-    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, _message_files(spark, d, False), 1)))
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, *_message_files(spark, d, False))))
     o = obd.select(F.lit("obd").alias("kind"), F.col("node_id").cast("int").alias("vehicle_id"), "time", F.col("rpm").alias("x"))
     i = imu.select(F.lit("imu").alias("kind"), F.col("node_id").cast("int").alias("vehicle_id"), "time", F.col("accel_x").alias("x"))
     return run.drain_to_parquet(o.unionByName(i), "routed")
 
 
 def _telemetry_files(spark, d, close=False):
-    """Trips' telemetry in files of rising time, and a closing row if asked."""
+    """Trips' telemetry in folders of rising time, and a closing row if asked; its schema, path and files a trigger."""
     path = workspace(spark, "telemetry")
     t = fx.trips(spark, d).select("vehicle_id", "trip", "event_id", "time", *PIDS, *ACCELS)
-    for i, part in enumerate(_slices(t)):
-        part.coalesce(1).write.parquet(f"{path}/{i}")
+    parts, files, _ = _slices(t)
+    for i, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{path}/{i}")
     if close:
         t.orderBy(F.desc("time")).limit(1).withColumn("time", F.col("time") + F.expr("INTERVAL 1 HOUR")).withColumn("vehicle_id", F.lit(-1)).write.parquet(f"{path}/z")
-    return t.schema, f"{path}/*"
+    return t.schema, f"{path}/*", files
 
 
 def rollup_stream(spark, d):
-    schema, path = _telemetry_files(spark, d)
+    schema, path, files = _telemetry_files(spark, d)
     sink = workspace(spark, "rollup")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     run.drain_each(rollup.rollup_stream(src), rollup.bucket_writer(sink), "rollup", "update")
     return rounded(rollup.current_rollup(spark, sink))
 
 
 def score_stream(spark, d):
-    schema, path = _telemetry_files(spark, d, close=True)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    schema, path, files = _telemetry_files(spark, d, close=True)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30)
     model = fo.Forest(an.probe_nodes(an.POOL), an.POOL)
     out = run.drain_to_parquet(scoring.score_stream(f, model, 0.0), "scored").where("vehicle_id >= 0")
@@ -143,8 +172,8 @@ def live(spark, d):
 
 
 def live_stream(spark, d):
-    schema, path = _telemetry_files(spark, d)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    schema, path, files = _telemetry_files(spark, d)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     out = workspace(spark, "live")
     run.drain(feed.publish(src.select("event_id", "speed_kmh", "rpm"), out, workspace(spark, "live-ckpt"), "0 seconds"))
     m = spark.read.text(out)
@@ -158,9 +187,9 @@ def replay(spark, d):
 
 
 def _per_trigger(spark, d, make, label):
-    schema, path = _telemetry_files(spark, d)
+    schema, path, files = _telemetry_files(spark, d)
     sink = workspace(spark, label)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     run.drain_each(src, make(sink), label)
     return spark.read.parquet(sink).withColumn("trigger", F.col("trigger").cast("int"))
 
@@ -174,6 +203,9 @@ def open_summaries(spark, d):
     return rounded(_per_trigger(spark, d, make, "open-summaries").select("trigger", "session_id", "row_count", "max_speed_kmh"))
 
 
+# the same pairing without the rows that are kept back
+_ON_TIME = _MERGE.replace(fx.TEL, fx.TEL.replace("tel AS (", "tel0 AS (", 1) + f""", bn AS (SELECT MIN(EPOCH_US(time)) AS lo, MAX(EPOCH_US(time)) AS hi FROM tel0),
+ cut AS MATERIALIZED (SELECT tel0.*, event_id % 30 < 2 AND {_SLICE} < {SLICES - 2} AS held FROM tel0, bn), kept_back AS (SELECT * FROM cut WHERE held), tel AS (SELECT * FROM cut WHERE NOT held)""")
 _TICKS = (f"WITH {fx.TEL}, {fx.SES}, b AS (SELECT MIN(EPOCH_US(time)) AS lo, MAX(EPOCH_US(time)) AS hi FROM tel), tk AS (SELECT {_SLICE} AS \"trigger\", MAX(time) AS seen_at FROM tel, b GROUP BY 1), "
           "op AS (SELECT \"trigger\", seen_at, session_id, started_at FROM tk JOIN ses ON started_at <= seen_at AND (ended_at IS NULL OR ended_at > seen_at))")
 _ROLL = (f"WITH {fx.TEL} SELECT DATE_TRUNC('minute', time) AS bucket, ROUND(AVG(speed_kmh),6) AS avg_speed, MAX(speed_kmh) AS max_speed, ROUND(AVG(rpm),6) AS avg_rpm, ROUND(AVG(throttle_pct),6) AS avg_throttle, "
@@ -183,7 +215,10 @@ _R30 = an._RNG.format(w=29)
 
 QUERIES = {
     "merge_nearest": (lambda s, d: merged(s, d).select("vehicle_id", "obd_id", "imu_id", "time", *PIDS, *ACCELS), f"{_MERGE} SELECT vehicle_id, obd_id, imu_id, time, {_PV}, {_AV} FROM mg"),
-    "merge_stream": (merge_stream, f"{_MERGE} SELECT vehicle_id, time, {_PV}, {_AV} FROM mg"),
+    "merge_stream": (lambda s, d: merge_stream(s, d).drop("late"), f"{_MERGE} SELECT vehicle_id, time, {_PV}, {_AV} FROM mg"),
+    "late_rows": (late_rows, f"{_ON_TIME} SELECT vehicle_id, time, {_PV}, {_AV}, false AS late FROM mg UNION ALL SELECT vehicle_id, time, {', '.join(f'CASE WHEN event_id % 2 = 0 THEN {c} END' for c in PIDS)}, "
+                  f"{', '.join(f'CASE WHEN event_id % 2 = 1 THEN {c} END' for c in ACCELS)}, true FROM kept_back"),
+    "late_metrics": (late_metrics, f"{_ON_TIME} SELECT (SELECT COUNT(*) FROM mg) + (SELECT COUNT(*) FROM kept_back) AS n_rows, (SELECT COUNT(*) FROM kept_back) AS n_late"),
     "parse_messages": (dropped, f"WITH {_MSG} SELECT {_TOPIC} AS topic, CASE WHEN us % 97 = 0 THEN 'unparseable' WHEN us % 89 = 0 THEN 'no ts' ELSE 'ok' END AS outcome, COUNT(*) AS n FROM ev GROUP BY 1, 2"),
     "route_stream": (routed, f"WITH {_MSG} SELECT CASE WHEN event_id % 2 = 0 THEN 'obd' ELSE 'imu' END AS kind, vehicle_id, time, CASE WHEN event_id % 2 = 0 THEN rpm ELSE accel_x END AS x FROM ev WHERE us % 97 <> 0 AND us % 89 <> 0"),
     "advanced_stream": (advanced_stream, f"WITH {_MSG}, a AS (SELECT * FROM ev WHERE event_id % 2 = 0 AND us % 83 = 0 AND us % 97 <> 0 AND us % 89 <> 0) SELECT vehicle_id, time, 'Engine RPM' AS pid, 812.5::DOUBLE AS value, 'rpm' AS unit FROM a "

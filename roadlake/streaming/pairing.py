@@ -2,8 +2,16 @@
 
 Rows wait in state until the watermark has passed them by the pairing window;
 then the same matching rule as in the batch operator runs over them in time
-order.  What the watermark closes is final, so stream and batch agree.  Rows
-later than the watermark are dropped and counted by Spark.
+order.  What the watermark closes is final, so stream and batch agree.
+
+A key's rows wait in time slots, one state entry each.  A timer takes the slots the
+watermark has closed and the few next to them that may hold a partner; slots that
+are still to come are not read.
+
+A row later than the watermark comes out at once, as a partial row marked late:
+its time is settled, whether or not it had a partner.  Spark would drop such
+rows before they reach the processor, so the time the watermark is taken from
+does not go on to it.
 """
 
 from __future__ import annotations
@@ -21,69 +29,138 @@ from roadlake.operators.merge import WINDOW_S, match_nearest, merged_fields, mer
 from roadlake.schemas import ACCELS, PIDS
 from roadlake.streaming.run import use_rocksdb
 
-_D, _L = T.DoubleType(), T.LongType()
-_OBD = T.StructType([T.StructField("us", _L), T.StructField("rid", _L), *[T.StructField(c, _D) for c in PIDS]])
-_IMU = T.StructType([T.StructField("us", _L), T.StructField("rid", _L), *[T.StructField(c, _D) for c in ACCELS]])
+_COLUMNS = {"obd": list(PIDS), "imu": list(ACCELS)}
+
+
+class Rows:
+    """Rows of one kind as a matrix of 64-bit words: time, id, and readings as doubles (missing: NaN)."""
+
+    def __init__(self, kind: str, words: np.ndarray):
+        self.kind, self.words = kind, words
+
+    @staticmethod
+    def of(kind: str, pdf: pd.DataFrame) -> Rows:
+        part = pdf[pdf["kind"] == kind]
+        words = np.empty((len(part), 2 + len(_COLUMNS[kind])), np.int64)
+        words[:, 0], words[:, 1] = part["us"], part["rid"]
+        words[:, 2:] = np.ascontiguousarray(part[_COLUMNS[kind]].to_numpy(np.float64)).view(np.int64)
+        return Rows(kind, words)
+
+    @staticmethod
+    def unpack(kind: str, parts: Sequence[bytes]) -> Rows:
+        words = np.frombuffer(b"".join(bytes(p) for p in parts), np.int64).reshape(-1, 2 + len(_COLUMNS[kind]))
+        return Rows(kind, words[np.lexsort((words[:, 1], words[:, 0]))])
 
+    @property
+    def us(self) -> np.ndarray:
+        return self.words[:, 0]
 
-def _tuples(pdf: pd.DataFrame, schema: T.StructType) -> list[tuple]:
-    part = pdf[schema.names]
-    return list(part.astype(object).where(part.notna(), None).itertuples(index=False, name=None))
+    def where(self, mask: np.ndarray) -> Rows:
+        return Rows(self.kind, self.words[mask])
+
+    def by_slot(self, slot_us: int) -> dict[int, bytes]:
+        slots = self.us // slot_us
+        return {int(s): self.words[slots == s].tobytes() for s in np.unique(slots)}
+
+    def frame(self) -> pd.DataFrame:
+        d = pd.DataFrame({"us": self.us, "rid": self.words[:, 1]})
+        values = np.ascontiguousarray(self.words[:, 2:]).view(np.float64)
+        return d.assign(**{c: values[:, i] for i, c in enumerate(_COLUMNS[self.kind])})
 
 
 class PairingProcessor(StatefulProcessor):
-    def __init__(self, key_name: str, window_us: int):
-        self.key_name, self.window = key_name, window_us
+    """State of a key: ``slots`` (slot number -> waiting rows) and ``waiting``, the numbers of these slots."""
+
+    def __init__(self, key_name: str, window_us: int, slot_us: int):
+        self.key_name, self.window, self.slot = key_name, window_us, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.obd = handle.getListState("obd", _OBD)
-        self.imu = handle.getListState("imu", _IMU)
+        self.slots = handle.getMapState("slots", "slot long", "obd binary, imu binary")
+        self.waiting = handle.getValueState("waiting", "slots array<long>")
+
+    def _known(self) -> set[int]:
+        found = self.waiting.get() if self.waiting.exists() else None
+        return set(found[0]) if found else set()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = 0
+        closed = timerValues.getCurrentWatermarkInMs() * 1000
+        known, newest, fresh = self._known(), None, {}
         for pdf in rows:
-            newest = max(newest, int(pdf["us"].max()))
-            for kind, state, schema in (("obd", self.obd, _OBD), ("imu", self.imu, _IMU)):
-                part = pdf[pdf["kind"] == kind]
-                if len(part):
-                    state.appendList(_tuples(part, schema))
-        # one timer per batch, when its newest row becomes final
-        self.handle.registerTimer(((newest + 2 * self.window) // 1_000_000 + 1) * 1000)
-        yield pd.DataFrame()
+            for n, kind in enumerate(("obd", "imu")):
+                part = Rows.of(kind, pdf)
+                late = part.us < closed
+                if late.any():
+                    yield self._partial(key, part.where(late))
+                part = part.where(~late)
+                if len(part.us):
+                    newest = max(newest or 0, int(part.us.max()))
+                for slot, packed in part.by_slot(self.slot).items():
+                    fresh.setdefault(slot, ([], []))[n].append(packed)
+        for slot, parts in fresh.items():
+            held = self.slots.getValue((slot,)) if slot in known else (b"", b"")
+            self.slots.updateValue((slot,), tuple(b"".join([bytes(h), *p]) for h, p in zip(held, parts, strict=True)))
+        if newest is not None:
+            self.waiting.update((sorted(known | set(fresh)),))
+            # one timer per batch, when its newest row becomes final
+            self.handle.registerTimer(((newest + 2 * self.window) // 1_000_000 + 1) * 1000)
+
+    def _partial(self, key, rows: Rows) -> pd.DataFrame:
+        d = rows.frame().rename(columns={"rid": f"{rows.kind}_id"})
+        return self._finished(key, d, True)
+
+    def _finished(self, key, d: pd.DataFrame, late: bool) -> pd.DataFrame:
+        d = d.reindex(columns=["us", "obd_id", "imu_id", *PIDS, *ACCELS])
+        d.insert(0, self.key_name, key[0])
+        return d.assign(late=late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000 - self.window
-        obd = pd.DataFrame(list(self.obd.get()), columns=_OBD.names).sort_values(["us", "rid"], ignore_index=True)
-        imu = pd.DataFrame(list(self.imu.get()), columns=_IMU.names).sort_values(["us", "rid"], ignore_index=True)
-        ready = obd["us"].to_numpy(dtype=np.int64) < limit
-        times = imu["us"].to_numpy(dtype=np.int64)
-        used = np.zeros(len(imu), dtype=bool)
-        partner = match_nearest(obd["us"].to_numpy(dtype=np.int64)[ready], times, used, self.window)
-        lone = ~used & (times < limit - self.window)
-        out = merged_rows(obd[ready], imu, partner, lone)
-        for state, schema, rest in ((self.obd, _OBD, obd[~ready]), (self.imu, _IMU, imu[~used & ~lone])):
-            if len(rest):
-                state.put(_tuples(rest, schema))
-            else:
-                state.clear()
-        out.insert(0, self.key_name, key[0])
-        yield out
+        known = self._known()
+        # a row before the limit may pair with one up to a window after it
+        near = sorted(s for s in known if s * self.slot <= limit + self.window)
+        if not near:
+            return
+        held = [self.slots.getValue((s,)) for s in near]
+        obd, imu = (Rows.unpack(kind, [h[n] for h in held]) for n, kind in enumerate(("obd", "imu")))
+        ready = obd.us < limit
+        used = np.zeros(len(imu.us), dtype=bool)
+        partner = match_nearest(obd.us[ready], imu.us, used, self.window)
+        lone = ~used & (imu.us < limit - self.window)
+        rest = obd.where(~ready).by_slot(self.slot), imu.where(~used & ~lone).by_slot(self.slot)
+        for s, (o, i) in zip(near, held, strict=True):
+            left = rest[0].get(s, b""), rest[1].get(s, b"")
+            if not any(left):
+                self.slots.removeKey((s,))
+                known.discard(s)
+            elif (len(left[0]), len(left[1])) != (len(o), len(i)):
+                self.slots.updateValue((s,), left)
+        if known:
+            self.waiting.update((sorted(known),))
+        else:
+            self.waiting.clear()
+        out = merged_rows(obd.where(ready).frame(), imu.frame(), partner, lone)
+        if len(out):
+            yield self._finished(key, out, False)
 
     def close(self) -> None:
         pass
 
 
-def merge_stream(obd: DataFrame, imu: DataFrame, key: str = "node_id", window_s: float = WINDOW_S, late_s: float = 2.0, time: str = "time", sequence: str | None = None) -> DataFrame:
-    """Merged rows of two streams; ``late_s`` is how long a row may be late."""
+def merge_stream(obd: DataFrame, imu: DataFrame, key: str = "node_id", window_s: float = WINDOW_S, late_s: float = 2.0, time: str = "time", sequence: str | None = None,
+                 slot_s: float = 8.0) -> DataFrame:
+    """Merged rows of two streams.  ``late_s`` is how long a row may wait for its turn; one
+    that comes later is a partial row with ``late`` set."""
     use_rocksdb(obd.sparkSession)
     # Rows of one time go by their sequence number where the messages carry one.
     with_id = lambda d: d.withColumn("_rid", F.col(sequence).cast("long") if sequence else F.unix_micros(time))
     src = tagged(with_id(obd), with_id(imu), [key], time, "_rid")
-    src = src.withColumn("at", F.timestamp_micros("us")).withWatermark("at", f"{int(late_s * 1000)} milliseconds")
-    schema = T.StructType([src.schema[key], *merged_fields()])
-    done = src.groupBy(key).transformWithStateInPandas(PairingProcessor(key, int(window_s * 1e6)), schema, "Append", "EventTime")
-    return done.select(key, F.timestamp_micros("us").alias("time"), *PIDS, *ACCELS)
+    names = src.columns
+    src = src.withColumn("at", F.timestamp_micros("us")).withWatermark("at", f"{int(late_s * 1000)} milliseconds").select(*names)
+    schema = T.StructType([src.schema[key], *merged_fields(), T.StructField("late", T.BooleanType())])
+    processor = PairingProcessor(key, int(window_s * 1e6), int(slot_s * 1e6))
+    done = src.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return done.select(key, F.timestamp_micros("us").alias("time"), *PIDS, *ACCELS, "late")
 
 
 def stored(merged: DataFrame) -> DataFrame:
@@ -91,6 +168,11 @@ def stored(merged: DataFrame) -> DataFrame:
     return merged.withColumn("date", F.to_date("time"))
 
 
+def counted(merged: DataFrame, name: str = "merge") -> DataFrame:
+    """The same rows, with the numbers of all and of late ones in the metrics of every trigger."""
+    return merged.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("late")).alias("late"))
+
+
 def append_telemetry(merged: DataFrame, path: str, checkpoint: str, every: str = "1 second", partition: Sequence[str] = ("date",)):
     """K1: the running ingest query, one append per trigger."""
     return (stored(merged).writeStream.format("parquet").partitionBy(*partition).option("checkpointLocation", checkpoint)

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +13,11 @@ from roadlake.functions import rotation as ro
 from roadlake.operators import cleaning as cl
 from roadlake.operators import mount as mo
 from roadlake.operators.merge import merge_nearest
+from roadlake.operators.rollup import rollup_1min
 from roadlake.schemas import ACCELS, PIDS
 from roadlake.sources import files as fs
 from roadlake.sources import messages as ms
-from roadlake.streaming import pairing, run
+from roadlake.streaming import pairing, rollup, run
 
 T0 = 1_704_067_200_000_000
 OBD = "vehicle_id int, event_id long, us long, " + ", ".join(f"{c} double" for c in PIDS)
@@ -89,6 +91,166 @@ def test_stream_agrees_with_batch_over_many_batches(spark, tmp_path):
     assert key(got, "node_id") == key(merge_nearest(o, m), "vehicle_id")
 
 
+class Store:
+    """A state variable of a processor under test; counts what is read."""
+
+    def __init__(self):
+        self.held, self.reads = {}, 0
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held.get(None)
+
+    def update(self, value):
+        self.held[None] = value
+
+    def clear(self):
+        self.held.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.stores = [], {}
+
+    def getMapState(self, name, *_):
+        return self.stores.setdefault(name, Store())
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def frame(rows):
+    """Rows (kind, second) as the processor gets them."""
+    d = pd.DataFrame([(k, int(t * 1e6), int(t * 1e6)) for k, t in rows], columns=["kind", "us", "rid"])
+    return d.assign(**{c: float("nan") for c in [*PIDS, *ACCELS]}).assign(rpm=[t if k == "obd" else None for k, t in rows], accel_x=[t if k == "imu" else None for k, t in rows])
+
+
+def test_pairing_reads_closed_slots_only():
+    """What a timer reads does not depend on what waits for later; every row comes out once."""
+    rows = [(k, t / 10 + (0.03 if k == "imu" else 0)) for t in range(0, 3000) for k in ("obd", "imu") if not (k == "imu" and t % 7 == 0)]
+    reads = {}
+    for waiting in (3000, 30_000):
+        h, p = Handle(), pairing.PairingProcessor("node_id", 500_000, 8_000_000)
+        p.init(h)
+        later = [("obd", 1000.0 + t / 10) for t in range(waiting)]
+        got = list(p.handleInputRows(("1",), iter([frame(rows), frame(later)]), Clock(0)))
+        h.stores["slots"].reads = 0
+        for end in (20, 100, 290, 500):
+            got += list(p.handleExpiredTimer(("1",), Clock(end * 1000), None))
+        reads[waiting] = h.stores["slots"].reads
+        out = pd.concat(got)
+        both = [t for k, t in rows if k == "obd"], [t for k, t in rows if k == "imu"]
+        assert sorted(out["rpm"].dropna()) == both[0] and sorted(out["accel_x"].dropna()) == both[1] and not out["late"].any()
+        pairs_ = out[out["rpm"].notna() & out["accel_x"].notna()]
+        assert len(pairs_) == len(both[1]) and (abs(pairs_["rpm"] - pairs_["accel_x"]) <= 0.5).all()
+    assert reads[3000] == reads[30_000] < 60
+
+
+def test_late_rows_come_out_at_once_and_alone():
+    h, p = Handle(), pairing.PairingProcessor("node_id", 500_000, 8_000_000)
+    p.init(h)
+    list(p.handleInputRows(("1",), iter([frame([("obd", 10.0), ("imu", 10.1), ("obd", 50.0)])]), Clock(0)))
+    assert len(pd.concat(p.handleExpiredTimer(("1",), Clock(48_000), None))) == 1
+    late = pd.concat(p.handleInputRows(("1",), iter([frame([("obd", 10.2), ("imu", 9.9), ("imu", 50.2)])]), Clock(48_000)))
+    assert [tuple(r) for r in late[["rpm", "accel_x"]].fillna(0).to_numpy()] == [(10.2, 0), (0, 9.9)] and late["late"].all()
+    rest = pd.concat(p.handleExpiredTimer(("1",), Clock(60_000), None))
+    assert rest[["rpm", "accel_x", "late"]].to_numpy().tolist() == [[50.0, 50.2, False]]
+    assert not h.stores["slots"].held and not h.stores["waiting"].held
+
+
+def buckets(spark, *rows):
+    return spark.createDataFrame([(f"2025-06-0{d} 10:{m:02}:00", float(v)) for d, m, v in rows], "t string, v double").selectExpr("CAST(t AS TIMESTAMP) AS bucket", "v")
+
+
+def stored(spark, path):
+    return sorted((r.bucket.day, r.bucket.minute, r.v) for r in rollup.current_rollup(spark, path).collect())
+
+
+def test_rollup_survives_a_new_checkpoint(spark, tmp_path):
+    path = str(tmp_path)
+    one, two = rollup.bucket_writer(path, "one"), rollup.bucket_writer(path, "two")
+    one(buckets(spark, (1, 1, 1), (1, 2, 2)), 5)
+    one(buckets(spark, (1, 1, 10), (2, 1, 5)), 6)
+    two(buckets(spark, (1, 3, 7), (1, 2, 20)), 0)
+    want = [(1, 1, 10), (1, 2, 20), (1, 3, 7), (2, 1, 5)]
+    assert stored(spark, path) == want
+    two(buckets(spark, (1, 3, 7), (1, 2, 20)), 0)  # retried
+    one(buckets(spark, (1, 1, 10), (2, 1, 5)), 6)
+    assert stored(spark, path) == want
+    assert rollup.RollupTable(spark, path).manifest("2025-06-01")["epochs"] == {"one": 6, "two": 0}
+    assert [r.v for r in rollup.current_rollup(spark, path, ["2025-06-02"]).collect()] == [5.0]
+
+
+def test_rollup_batch_that_failed_between_dates(spark, tmp_path, monkeypatch):
+    path, w = str(tmp_path), rollup.bucket_writer(str(tmp_path), "s")
+    w(buckets(spark, (1, 1, 1), (2, 1, 1)), 0)
+    swap = rollup.RollupTable._swap
+
+    def failing(self, date, manifest):
+        if date.endswith("02"):
+            raise OSError("lost")
+        swap(self, date, manifest)
+
+    monkeypatch.setattr(rollup.RollupTable, "_swap", failing)
+    with pytest.raises(OSError):
+        w(buckets(spark, (1, 1, 2), (2, 1, 2)), 1)
+    assert stored(spark, path) == [(1, 1, 2), (2, 1, 1)]
+    monkeypatch.undo()
+    w(buckets(spark, (1, 1, 2), (2, 1, 2)), 1)
+    assert stored(spark, path) == [(1, 1, 2), (2, 1, 2)] and len(rollup.RollupTable(spark, path).manifest("2025-06-01")["parts"]) == 2
+
+
+def test_rollup_folds_its_parts(spark, tmp_path):
+    path, w, want = str(tmp_path), rollup.bucket_writer(str(tmp_path), "s", 3), {}
+    for i in range(11):
+        rows = [(1 + i % 2, i % 5, i), (1, 30, 100 + i)]
+        w(buckets(spark, *rows), i)
+        want |= {(d, m): float(v) for d, m, v in rows}
+        assert stored(spark, path) == sorted((d, m, v) for (d, m), v in want.items())
+    t = rollup.RollupTable(spark, path)
+    live = {p for d in ("2025-06-01", "2025-06-02") for k in ("parts", "retired") for p in t.manifest(d)[k]}
+    assert len(t.manifest("2025-06-01")["parts"]) < 3
+    assert {f"data/{h}/date={d}" for h in t._names("data") for d in t._dates(f"data/{h}")} == live  # nothing else is kept
+    w(buckets(spark), 11)
+    assert not any(h.endswith("s-11") for h in t._names("data"))
+
+
+def test_rollup_stream_after_a_restart(spark, tmp_path):
+    """A second checkpoint over grown input: the stored rollup is that of all rows."""
+    tel = sides(spark, [(1, i, i * 500_000) for i in range(700)], [])[0].select("time", *PIDS).withColumns({c: F.lit(0.5) for c in ACCELS})
+    path, src = str(tmp_path / "r"), str(tmp_path / "in")
+    stream = lambda: rollup.rollup_stream(spark.readStream.schema(tel.schema).parquet(src))
+    minute = F.minute("time")
+    for part in (tel.where(minute <= 2), tel.where(minute > 2)):
+        part.write.mode("append").parquet(src)
+        run.drain_each(stream(), rollup.bucket_writer(path), "restarted", "update")
+    want = rollup_1min(tel)
+    key = lambda d: sorted(tuple(r) for r in d.select(want.columns).collect())
+    assert key(rollup.current_rollup(spark, path)) == key(want)
+
+
 def test_bad_messages(spark):
     rows = [("telemetry/vehicle/obd", "1", '{"ts": 1719123456.789, "mode": "normal", "speed_kmh": 65.7, "rpm": null}'), ("telemetry/vehicle/obd", "1", "not json"),
             ("telemetry/vehicle/imu", "1", '{"accel_x": 1.0}'), ("telemetry/vehicle/obd", "1", '{"ts": 1719123456.0, "speed_kmh": "fast", "rpm": 800}'), ("other", "1", '{"ts": 1.0}')]
