@@ -9,7 +9,8 @@ every raw sample is a range join and column arithmetic again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,15 +42,28 @@ def speed_accel(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", t
     return d.select(*df.columns, acc.alias("ref_accel"))
 
 
-def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30) -> DataFrame:
-    """Every row with ``mark``: 'fresh' (an accepted speed change, with
-    ``ref_accel``), 'anchor' (a change after a plateau, only re-anchors) or null;
-    ``interval_us`` is the time of the mark that opened the row's interval."""
+def _chain(nxt: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The places reached from ``first`` by following next-pointers, up to the end ``n``."""
+    out, links = [], nxt.tolist()
+    while first < n:
+        out.append(first)
+        first = links[first]
+    return np.array(out, dtype=np.int64)
+
+
+def speed_marks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30) -> DataFrame:
+    """The accepted speed changes alone: (keys, us, tie, ``mark``, ``ref_accel``).
+
+    The change accepted after another is the first row at least a second later
+    with another speed, which depends on that other one only.  So every row of a
+    segment gets a pointer to its successor, by one search for all, and the
+    walk steps from change to change.
+    """
     keys = list(keys)
     src = df.select(*keys, F.unix_micros(time).alias("us"), F.col(tie).alias("rid"), F.col("speed_kmh").cast("double").alias("v"))
     fields = [T.StructField("rid", T.LongType()), T.StructField("us", T.LongType()), T.StructField("mark", T.StringType()), T.StructField("ref_accel", T.DoubleType())]
     out = T.StructType([src.schema[k] for k in keys] + fields)
-    longest = int(MAX_REF_S * 1e6)
+    least, longest = int(MIN_REF_S * 1e6), int(MAX_REF_S * 1e6)
 
     def carry(state: str, start: int) -> str:
         """A change so long ago that any other is a plateau's end has no exact time."""
@@ -57,46 +71,70 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
         return f"{max(int(at), start - longest)}|{speed}"
 
     def fold(pdf: pd.DataFrame, state: str | None, start: int, end: int):
-        us, v, rid = pdf["us"].to_numpy(dtype=np.int64), pdf["v"].to_numpy(dtype=float), pdf["rid"].to_numpy()
+        all_us = pdf["us"].to_numpy(dtype=np.int64)
+        rows = pdf[pdf["v"].notna() & (pdf["us"] < end)]
+        us, v, rid = rows["us"].to_numpy(dtype=np.int64), rows["v"].to_numpy(dtype=float), rows["rid"].to_numpy()
+        n = len(us)
+        turns = np.append(np.flatnonzero(v[1:] != v[:-1]) + 1, n)
+        run_end = np.append(turns[np.searchsorted(turns, np.arange(n), side="right")] if n else [], n).astype(np.int64)  # the first row of another speed
+
+        def successor(at: np.ndarray, speed: np.ndarray, low: int = 0) -> np.ndarray:
+            p = np.maximum(np.searchsorted(us, at + least), low)
+            same = np.append(v, np.nan)[p] == speed
+            return np.where(same, run_end[p], p)
+
         if state is None:
-            at, speed = (int(us[0]) if len(us) else start), 0.0
+            at, speed, low = (int(all_us[0]) if len(all_us) else start), 0.0, 0
         else:
-            a, b = state.split("|")
-            at, speed = int(a), float(b)
-        before, rows = None, []
-        for i in range(len(us)):
-            if us[i] >= end:
-                break
-            if us[i] >= start and before is None:
-                before = f"{at}|{speed}"
-            elif us[i] < start and state is not None:
-                continue
-            if v[i] == v[i] and v[i] != speed:
-                dt = (us[i] - at) / 1e6
-                if dt < MIN_REF_S:
-                    continue
-                fresh = dt < MAX_REF_S
-                if us[i] >= start:
-                    rows.append((int(rid[i]), int(us[i]), "fresh" if fresh else "anchor", (v[i] - speed) / 3.6 / dt if fresh else None))
-                at, speed = int(us[i]), float(v[i])
-        after = f"{at}|{speed}"
-        return pd.DataFrame(rows, columns=["rid", "us", "mark", "ref_accel"]), carry(before or after, start), after
+            at, speed, low = int(state.split("|")[0]), float(state.split("|")[1]), int(np.searchsorted(us, start))
+        path = _chain(successor(us, v), int(successor(np.array([at]), np.array([speed]), low)[0]), n)
+        at_all, speed_all = np.append(at, us[path]), np.append(speed, v[path])
+        own = int(np.searchsorted(us[path], start))  # changes before the segment's start only lead to its state
+        dt = (at_all[1:] - at_all[:-1]) / 1e6
+        is_fresh = dt < MAX_REF_S
+        ref = np.where(is_fresh, (speed_all[1:] - speed_all[:-1]) / 3.6 / np.where(dt > 0, dt, 1), np.nan)
+        marks = pd.DataFrame({"rid": rid[path], "us": us[path], "mark": np.where(is_fresh, "fresh", "anchor"), "ref_accel": ref}).iloc[own:]
+        marks = marks.astype({"ref_accel": object}).where(marks.notna(), None)
+        return marks, carry(f"{at_all[own]}|{speed_all[own]}", start), f"{at_all[-1]}|{speed_all[-1]}"
 
     marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s, carry=carry)
-    d = df.join(marks.select(*keys, F.col("rid").alias(tie), F.col("us").alias("_mus"), "mark", "ref_accel"), [*keys, tie], "left")
-    d = sg.max_before(sg.with_segment(d, time, q.SPAN, keys), keys, [time, tie], F.col("_mus"), "_open")
-    first = df.groupBy(*keys).agg(F.min(F.unix_micros(time)).alias("_first"))
-    return d.join(first, keys).select(*df.columns, "mark", "ref_accel", F.coalesce("_open", "_first").alias("interval_us"))
+    return marks.select(*keys, "us", F.col("rid").alias(tie), "mark", "ref_accel")
+
+
+def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30) -> DataFrame:
+    """Every row with ``mark``: 'fresh' (an accepted speed change, with
+    ``ref_accel``), 'anchor' (a change after a plateau, only re-anchors) or null;
+    ``interval_us`` is the time of the mark that opened the row's interval.
+
+    The marks, at most one per second and node, run among the log's rows in
+    their order, each before its row; a row reads the last one. Nothing is joined to the log.
+    """
+    keys = list(keys)
+    kind = "struct<us:bigint,tie:bigint,mark:string,ref:double,opened:bigint>"
+    marks = materialize(speed_marks(df, keys, time, tie, segment_s, warmup_s), "speed-marks")
+    # a node's first row opens its first interval
+    begin = df.groupBy(*keys).agg(F.min(F.unix_micros(time)).alias("us"))
+    marks = marks.withColumn("_t", F.timestamp_micros("us")).unionByName(begin.withColumn("_t", F.timestamp_micros("us")), allowMissingColumns=True)
+    marks = marks.withColumn("_real", F.col("mark").isNotNull().cast("int"))
+    marks = sg.lag_rows(sg.with_segment(marks, "_t", 3600), keys, ["us", "_real", tie], {"opened": F.col("us")})
+    among = marks.select(*keys, F.col("_t").alias(time), F.when(F.col("_real") == 1, F.col(tie)).alias(tie),
+                         F.struct("us", F.when(F.col("_real") == 1, F.col(tie)).cast("long").alias("tie"), "mark", F.col("ref_accel").alias("ref"), "opened").cast(kind).alias("_m"))
+    d = df.withColumn("_m", F.lit(None).cast(kind)).unionByName(among, allowMissingColumns=True).withColumn("_own", F.col("_m").isNull())
+    d = sg.max_before(sg.with_segment(d, time, q.SPAN, keys), keys, [time, tie, "_own"], F.col("_m"), "_last").where("_own")
+    mine = (F.col("_last.us") == F.unix_micros(time)) & F.col("_last.tie").eqNullSafe(F.col(tie).cast("long")) & F.col("_last.mark").isNotNull()
+    return d.select(*df.columns, F.when(mine, F.col("_last.mark")).alias("mark"), F.when(mine, F.col("_last.ref")).alias("ref_accel"),
+                    F.when(mine, F.col("_last.opened")).otherwise(F.col("_last.us")).alias("interval_us"))
 
 
 def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:
     """On a fresh row ``ax/ay/az`` become their mean over the interval since
     the last fresh or anchor row; other rows keep their own values."""
     axes = ["ax", "ay", "az"]
+    fresh = materialize(fresh, "marked-log")
+    is_fresh = F.coalesce(F.col("mark") == "fresh", F.lit(False))
     m = fresh.groupBy(*keys, "interval_us").agg(*[F.avg(c).alias(f"_m_{c}") for c in axes], F.max("mark").alias("_end")).where(F.col("_end") == "fresh")
-    d = fresh.join(m, [*keys, "interval_us"], "left")
-    pick = [F.when(F.col("mark") == "fresh", F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in axes]
-    return d.select(*[c for c in fresh.columns if c not in axes], *pick)
+    means = fresh.where(is_fresh).join(m, [*keys, "interval_us"])  # at most one row per second on either side
+    return fresh.where(~is_fresh).unionByName(means.select(*[F.col(f"_m_{c}").alias(c) if c in axes else F.col(c) for c in fresh.columns]))
 
 
 def gravity_blocks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", n: int = N_STATIONARY, segment_s: float | sg.Adaptive = q.SPAN) -> DataFrame:
@@ -120,32 +158,36 @@ def event_windows(fresh: DataFrame, keys: Sequence[str] = NODE, time: str = "tim
     fields = [T.StructField("rid", T.LongType()), T.StructField("window_id", T.LongType()), T.StructField("closes", T.BooleanType())]
     out = T.StructType([src.schema[k] for k in keys] + fields)
 
+    most = max(max_samples, 2)  # a window is open for one more sample at least
+
     def fold(pdf: pd.DataFrame, state: str | None, start: int, stop: int):
-        us, ref = pdf["us"].to_numpy(dtype=np.int64), np.abs(pdf["ref_accel"].to_numpy(dtype=float))
-        opened, count = (None, 0) if not state else (int(state.split("|")[0]), int(state.split("|")[1]))
-        tell = lambda: f"{opened}|{count}" if opened is not None else ""
-        before, rows = None, []
-        for i in range(len(us)):
-            if us[i] >= stop:
-                break
-            if us[i] >= start and before is None:
-                before = tell()
-            elif us[i] < start and state is not None:
-                continue
-            mine, closes = None, False
-            if opened is None:
-                if ref[i] >= trigger:
-                    opened, count = int(us[i]), 1
-                    mine = opened
-            else:
-                count += 1
-                mine = opened
-                if count >= max_samples or ref[i] < end:
-                    closes, opened, count = True, None, 0
-            if us[i] >= start and mine is not None:
-                rows.append((int(pdf["rid"].iloc[i]), mine, closes))
-        after = tell()
-        return pd.DataFrame(rows, columns=["rid", "window_id", "closes"]), after if before is None else before, after
+        rows = pdf[(pdf["us"] < stop) & (pdf["us"] >= (start if state is not None else -(2**62)))]
+        us, ref, rid = rows["us"].to_numpy(dtype=np.int64), np.abs(rows["ref_accel"].to_numpy(dtype=float)), rows["rid"].to_numpy()
+        n, place = len(us), np.arange(len(us))
+        hot, calm = np.append(np.flatnonzero(ref >= trigger), n), np.append(np.flatnonzero(ref < end), n)
+        next_hot = lambda i: hot[np.searchsorted(hot, i)]
+        close = np.minimum(place + most - 1, calm[np.searchsorted(calm, place + 1)])  # of a window that opens here; n or more: not here
+        opened, count = (int(state.split("|")[0]), int(state.split("|")[1])) if state else (None, 0)
+        begins, ends, names = [], [], []
+        if opened is not None:  # what is left of a window from before
+            last = min(max(most - count - 1, 0), int(calm[0])) if n else 0
+            begins, ends, names = [0], [last], [opened]
+        at = int(next_hot(min(ends[0] + 1, n))) if begins else int(next_hot(0))
+        chain = _chain(next_hot(np.minimum(close + 1, n)), at, n)
+        begins, ends, names = np.append(begins, chain).astype(np.int64), np.append(ends, close[chain]).astype(np.int64), np.append(names, us[chain]).astype(np.int64)
+
+        def tell(upto: int) -> str:
+            """The state before the row at a place."""
+            w = int(np.searchsorted(begins, upto)) - 1
+            if w < 0 or ends[w] < upto:
+                return "" if opened is None or w >= 0 or upto > 0 else state
+            return f"{names[w]}|{upto - begins[w] + (count if opened is not None and w == 0 else 0)}"
+
+        length = np.minimum(ends, n - 1) - begins + 1
+        at = np.repeat(begins, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        out_rows = pd.DataFrame({"rid": rid[at], "window_id": np.repeat(names, length), "closes": at == np.repeat(ends, length)})
+        own = int(np.searchsorted(us, start))
+        return out_rows[at >= own], tell(own) if state is None else state, tell(n)
 
     d = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s)
     full = d.groupBy(*keys, "window_id").agg(F.count(F.lit(1)).alias("_n"), F.max("closes").alias("_c")).where(F.col("_c") & (F.col("_n") >= min_samples))
@@ -220,8 +262,9 @@ STATE_FIELDS = [("from_us", T.LongType()), ("stage", T.StringType()), ("tilt", T
 
 
 class StageMachine:
-    """C13/C14 for one node: tilt, then yaw, then ready; a parked reading far off
-    vertical starts over.  Fed with gravity means and fresh samples in time order."""
+    """C13/C14 for one node and one tick at a time: tilt, then yaw, then ready; a parked
+    reading far off vertical starts over.  Fed with gravity means and fresh samples in
+    time order, from nothing or from a stored calibration; :func:`calibrate` gives the same for whole logs."""
 
     def __init__(self, min_windows=6, trigger=0.15, end=0.05, min_samples=6, max_samples=8, stale_deg=15.0, min_corr=0.5, tolerance=10.0,
                  tilt: np.ndarray | None = None, yaw: float | None = None):
@@ -295,39 +338,90 @@ def calibration_events(log: DataFrame, keys: Sequence[str] = NODE, time: str = "
     return g.unionByName(f).withColumn("us", F.unix_micros(time))
 
 
-def calibrate(events: DataFrame, keys: Sequence[str] = NODE, tie: str = "event_id", **cfg) -> DataFrame:
+def tilt_changes(gravity: DataFrame, keys: Sequence[str] = NODE, tie: str = "event_id", stale_deg: float = 15.0, segment_s: float = 3600) -> DataFrame:
+    """The gravity means that set a node's tilt: its first, and after each the
+    next plausible one that points more than ``stale_deg`` away from it.
+
+    Which one comes next depends on the one in force alone, not on the heading
+    stage.  Segments start from no tilt and are repaired; quiet ones, the
+    rule, hand the tilt in force on (see ``chunkfold``).
+    """
+    keys = list(keys)
+    src = gravity.select(*keys, "us", F.col(tie).alias("rid"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    out = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("us", "rid")] + [T.StructField(c, T.DoubleType()) for c in "xyz"])
+
+    def fold(pdf: pd.DataFrame, state: str | None, start: int, end: int):
+        rows = pdf[pdf["us"] < end]
+        g, us = rows[["x", "y", "z"]].to_numpy(dtype=float), rows["us"].to_numpy(dtype=np.int64)
+        size = np.linalg.norm(g, axis=1)
+        plausible = np.abs(size - STANDARD_G) <= G_TOLERANCE
+        told = lambda v: json.dumps([float(c) for c in v])
+        at, now, changes = -1, json.loads(state) if state else None, []
+        while at + 1 < len(us):
+            if now is None:
+                at += 1
+            else:
+                up, step = ro.tilt_array(np.array(now))[2], 64
+                low = at + 1
+                while low < len(us):  # in blocks that grow, so that frequent changes cost no whole scan each
+                    off = np.degrees(np.arccos(np.clip(g[low : low + step] @ up / np.maximum(size[low : low + step], NO_SIGNAL), -1, 1)))
+                    hits = np.flatnonzero(plausible[low : low + step] & (off > stale_deg))
+                    if len(hits):
+                        break
+                    low, step = low + step, 2 * step
+                else:
+                    break
+                at = low + int(hits[0])
+            now = g[at].tolist()
+            changes.append(at)
+        return rows.iloc[changes][["us", "rid", "x", "y", "z"]], state or "", told(now)
+
+    d = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, 0)
+    return d.select(*keys, "us", F.col("rid").alias(tie), "x", "y", "z")
+
+
+def in_epochs(samples: DataFrame, changes: DataFrame, keys: Sequence[str] = NODE, tie: str = "event_id") -> DataFrame:
+    """Fresh samples under the tilt in force: levelled, with the ``epoch`` (time and
+    tie of the change) they belong to.  Samples before any tilt, and the one of
+    the change's own tick, belong to none."""
+    keys = list(keys)
+    tilt = F.struct("us", F.col(tie).cast("long").alias("tie"), ro.tilt_matrix(F.col("x"), F.col("y"), F.col("z")).alias("m")).alias("_tilt")
+    d = samples.select(*keys, "us", tie, "x", "y", "z", "ref", F.lit(1).alias("_kind"))
+    d = d.unionByName(changes.select(*keys, "us", tie, tilt, F.lit(0).alias("_kind")), allowMissingColumns=True).withColumn("time", F.timestamp_micros("us"))
+    d = sg.max_before(sg.with_segment(d, "time", sg.Adaptive(3600), keys), keys, ["us", tie, "_kind"], F.col("_tilt"), "_now")
+    d = d.where((F.col("_kind") == 1) & F.col("_now").isNotNull()).where((F.col("_now.us") != F.col("us")) | (F.col("_now.tie") != F.col(tie)))
+    x, y, _ = ro.apply_matrix(F.col("_now.m"), F.col("x"), F.col("y"), F.col("z"))
+    return d.select(*keys, F.col("_now.us").alias("epoch"), F.col("_now.tie").alias("epoch_tie"), "time", tie, x.alias("ax"), y.alias("ay"), F.col("ref").alias("ref_accel"))
+
+
+def calibrate(events: DataFrame, keys: Sequence[str] = NODE, tie: str = "event_id", min_windows: int = 6, trigger: float = 0.15, end: float = 0.05, min_samples: int = 6,
+              max_samples: int = 8, stale_deg: float = 15.0, min_corr: float = 0.5, tolerance: float = 10.0, segment_s: float = 3600) -> DataFrame:
     """C14: validity intervals of every node's calibration.
 
-    The machine's state feeds back into what it reads, so one node is one
-    sequence; its reduced events pass as a sorted stream of batches with
-    constant memory, and nodes run in parallel.
+    The tilt never looks at the heading, so the changes of tilt come first (C13).
+    Between two of them lies an epoch in which the heading is learned
+    from nothing: event windows (C7), their sums (C11), the pooled estimate (C12) up to
+    where it locks.  Every step works on segments of a node; the states, a few per
+    epoch, are what is left.  :class:`StageMachine` is the same rule for one node, tick by tick.
     """
     keys = list(keys)
-    src = events.select(*keys, "us", tie, "kind", "x", "y", "z", "ref")
-    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, t) for n, t in STATE_FIELDS])
-    ordered = src.repartition(*keys).sortWithinPartitions(*keys, "us", tie, "kind")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node, m, just_reset = None, None, (None, None)
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                who = tuple(getattr(r, k) for k in keys)
-                if who != node:
-                    node, m, just_reset = who, StageMachine(**cfg), (None, None)
-                tick, a = (r.us, getattr(r, tie)), np.array([r.x, r.y, r.z])
-                if r.kind == 0:
-                    changed = m.gravity(a)
-                    just_reset = tick if changed else just_reset
-                else:  # a tick that set the tilt does not also feed the yaw stage
-                    changed = tick != just_reset and m.sample(a, r.ref)
-                if changed:
-                    rows.append((*who, r.us, m.stage, m.tilt.ravel().tolist(), m.yaw, True, m.yaw is not None, m.resets))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    d = ordered.mapInPandas(walk, schema)
-    nxt = Window.partitionBy(*keys).orderBy("from_us", "tilt_resets", "yaw_valid")  # a handful of transitions per node
-    return d.withColumn("to_us", F.lead("from_us").over(nxt))
+    by = [*keys, "epoch", "epoch_tie"]
+    gravity = materialize(events.where(F.col("kind") == 0).select(*keys, "us", tie, "x", "y", "z"), "gravity")
+    changes = materialize(tilt_changes(gravity, keys, tie, stale_deg, segment_s), "tilt-changes")
+    samples = in_epochs(events.where(F.col("kind") == 1), changes, keys, tie)
+    windows = materialize(event_windows(samples, by, "time", tie, trigger, end, min_samples, max_samples, segment_s), "windows")
+    locks = heading_lock(pooled_heading(window_stats(windows, by), by, min_windows, min_corr, tolerance), by)
+    closed = windows.groupBy(*by, "window_id").agg(F.max(F.unix_micros("time")).alias("from_us"))
+    locks = locks.join(closed, [*by, "window_id"]).select(*by, "from_us", F.col("pooled_deg").alias("yaw_deg"))
+
+    order = Window.partitionBy(*keys).orderBy("us", tie)  # a handful of changes per node, as of transitions below
+    tilts = changes.select(*keys, F.col("us").alias("epoch"), F.col(tie).cast("long").alias("epoch_tie"), ro.tilt_matrix(F.col("x"), F.col("y"), F.col("z")).alias("tilt"),
+                           (F.row_number().over(order) - 1).cast("int").alias("tilt_resets"))
+    begun = tilts.select(*by, "tilt", "tilt_resets", F.col("epoch").alias("from_us"), F.lit(None).cast("double").alias("yaw_deg"))
+    d = begun.unionByName(locks.join(tilts, by).select(*begun.columns)).withColumn("yaw_valid", F.col("yaw_deg").isNotNull())
+    d = d.withColumns({"stage": F.when(F.col("yaw_valid"), "ready").otherwise("needs_yaw"), "tilt_valid": F.lit(True)})
+    nxt = Window.partitionBy(*keys).orderBy("from_us", "tilt_resets", "yaw_valid")
+    return d.select(*keys, *[F.col(n).cast(kind).alias(n) for n, kind in STATE_FIELDS]).withColumn("to_us", F.lead("from_us").over(nxt))
 
 
 def correct(log: DataFrame, states: DataFrame, keys: Sequence[str] = NODE, time: str = "time") -> DataFrame:

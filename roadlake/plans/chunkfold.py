@@ -5,8 +5,10 @@ rows are taken, the last accepted reading).  A whole key in one task would not
 scale, so every segment first guesses its incoming state by warming up on the
 rows just before it.  The guess is then compared with the state the previous
 segment really ended in, and only segments that guessed wrong are run again from
-the true state, until all agree.  The result is exactly that of one sequential
-walk; the warm-up only decides how many rounds it takes, in practice one.
+the true state, until all agree.  A segment that leaves its state as it found it
+hands on that of the last one that changed it, so a state may pass any number
+of quiet segments in one round.  The result is exactly that of one sequential
+walk; the warm-up only decides how many rounds it takes, in practice one or two.
 """
 
 from __future__ import annotations
@@ -78,7 +80,10 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], us: str, order: Sequence[st
     by_time = Window.partitionBy(*keys).orderBy(SEG)
     while True:
         marks = done.where(F.col("_out").isNotNull()).select(*keys, SEG, "_in", "_out")
-        marks = marks.withColumn("_prev", F.lag("_out").over(by_time)).where(F.col("_prev").isNotNull())
+        first = F.row_number().over(by_time) == 1  # its state is true; what it ends in is handed on even if unchanged
+        marks = marks.withColumn("_says", F.when(first | ~F.col("_in").eqNullSafe(F.col("_out")), F.col("_out")))
+        earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
+        marks = marks.select("*", F.last("_says", ignorenulls=True).over(earlier).alias("_prev")).where(F.col("_prev").isNotNull())
         wrong = materialize(marks.mapInPandas(disagree, wrong_schema), "fold-wrong")
         if not wrong.take(1):
             return done.where(F.col("_out").isNull()).select(*names)

@@ -369,6 +369,104 @@ def test_calibration_matches_a_plain_walk(spark):
     assert got == want and any(w[2] == "ready" for w in want)
 
 
+def plain_marks(rows):
+    """Accepted speed changes of one node's rows (us, tie, speed or None), one row after the other."""
+    at, speed, out = rows[0][0], 0.0, []
+    for us, tie, v in rows:
+        dt = (us - at) / 1e6
+        if v is None or v == speed or dt < 1:
+            continue
+        out.append((tie, us, "fresh" if dt < 3 else "anchor", (v - speed) / 3.6 / dt if dt < 3 else None, at))
+        at, speed = us, v
+    return out
+
+
+def test_speed_marks_match_a_plain_walk(spark):
+    """Plateaus, missing speeds, equal times and quick changes; short segments, so that states cross many borders."""
+    rng, rows = random.Random(12), []
+    for node in (1, 2, 3):
+        us, v = T0 + node * 777_000, 0.0
+        for i in range(500 if node == 1 else 100):
+            us += rng.choice([0, 100_000, 300_000, 1_000_000, 1_000_001, 2_999_999, 3_000_000]) if i % 97 else 400_000_000
+            v = rng.choice([v, v, v, v + 1, 0.0, float(rng.randrange(60))])
+            rows.append((node, i, us, None if rng.random() < 0.1 else v))
+    d = spark.createDataFrame(rows, "vehicle_id int, event_id long, us long, speed_kmh double").withColumn("time", F.timestamp_micros("us")).repartition(4)
+    got = {(r.vehicle_id, r.event_id): r for r in mo.fresh_samples(d, segment_s=60, warmup_s=4).collect()}
+    assert len(got) == len(rows)
+    for node in (1, 2, 3):
+        mine = sorted((us, i, v) for n, i, us, v in rows if n == node)
+        marks = {tie: m for tie, *m in plain_marks(mine)}
+        opened = mine[0][0]
+        for us, i, _ in mine:
+            r = got[node, i]
+            _, mark, ref, before = marks.get(i, (None, None, None, opened))
+            assert (r.mark, r.interval_us) == (mark, before) and (r.ref_accel == pytest.approx(ref) if ref is not None else r.ref_accel is None)
+            opened = us if mark else opened
+
+
+def plain_windows(rows, trigger, end, least, most):
+    opened, kept, out = None, [], {}
+    for us, tie, ref in rows:
+        if opened is None:
+            if abs(ref) >= trigger:
+                opened, kept = us, [tie]
+            continue
+        kept.append(tie)
+        if len(kept) >= most or abs(ref) < end:
+            out |= dict.fromkeys(kept, opened) if len(kept) >= least else {}
+            opened = None
+    return out
+
+
+@pytest.mark.parametrize(("least", "most"), [(3, 5), (1, 1), (2, 40)])
+def test_event_windows_match_a_plain_walk(spark, least, most):
+    rng, rows = random.Random(most), []
+    for node in (1, 2):
+        us = T0
+        for i in range(250):
+            us += rng.choice([1_000_000, 2_500_000, 30_000_000])
+            rows.append((node, i, us, rng.choice([0.01, 0.1, 0.1, 0.3, -0.4]), 0.0, 0.0))
+    d = spark.createDataFrame(rows, "vehicle_id int, event_id long, us long, ref_accel double, ax double, ay double").withColumn("time", F.timestamp_micros("us"))
+    got = {(r.vehicle_id, r.event_id): r.window_id for r in mo.event_windows(d, trigger=0.25, end=0.05, min_samples=least, max_samples=most, segment_s=30, warmup_s=6).collect()}
+    want = {(n, i): w for n in (1, 2) for i, w in plain_windows([(us, i, ref) for m, i, us, ref, *_ in rows if m == n], 0.25, 0.05, least, most).items()}
+    assert got == want and want
+
+
+def test_calibration_over_many_turned_mounts(spark):
+    """Mounts that are turned again and again or never, a crowded node, changes in the tick of a sample: the states of
+    segments agree with one walk of the whole node."""
+    rng, rows = np.random.default_rng(7), []
+    for node, n, turn in ((1, 1500, 300), (2, 500, 10**9), (3, 600, 40)):
+        us, g, head = T0, np.array([0.0, 0.0, 9.81]), 0.0
+        for i in range(n):
+            us += int(rng.integers(1_000_000, 2_900_000))
+            if i % turn == turn - 1:
+                tip, head = rng.uniform(0.4, 1.2), rng.uniform(-3, 3)
+                g = 9.81 * np.array([math.sin(tip), 0.0, math.cos(tip)])
+            ref = 1.5 * math.sin(i / 3) + 0.1 * rng.normal()
+            a = g + ref * np.array([math.cos(head), math.sin(head), 0.0]) + 0.1 * rng.normal(size=3)
+            if i % 9 == 0:
+                x = g + 0.05 * rng.normal(size=3) if i % 45 else 2 * g
+                rows.append((node, us, i, 0, *map(float, x), 0.0))
+            if i % 9 or i % 2:
+                rows.append((node, us, i, 1, *map(float, a), float(ref)))
+    cfg = {"min_windows": 3, "min_corr": 0.4, "tolerance": 20.0, "min_samples": 3, "max_samples": 6, "trigger": 0.3, "end": 0.05}
+    d = spark.createDataFrame(rows, "vehicle_id int, us long, event_id long, kind int, x double, y double, z double, ref double").repartition(6)
+    got = sorted((r.vehicle_id, r.from_us, r.tilt_resets, r.stage, round(r.yaw_deg or 0, 5), tuple(round(x, 6) for x in r.tilt)) for r in mo.calibrate(d, segment_s=100, **cfg).collect())
+    want = []
+    for node in (1, 2, 3):
+        m, reset = mo.StageMachine(**cfg), None
+        for _, us, tie, kind, x, y, z, ref in sorted((r for r in rows if r[0] == node), key=lambda r: r[1:4]):
+            if kind == 0:
+                changed = m.gravity(np.array([x, y, z]))
+                reset = (us, tie) if changed else reset
+            else:
+                changed = (us, tie) != reset and m.sample(np.array([x, y, z]), ref)
+            if changed:
+                want.append((node, us, m.resets, m.stage, round(m.yaw or 0, 5), tuple(round(v, 6) for v in m.tilt.ravel().tolist())))
+    assert got == sorted(want) and sum(w[3] == "ready" for w in want) > 5 and max(w[2] for w in want) > 5
+
+
 HEAD = ("Time,Engine Coolant Temperature [°C],Intake Manifold Absolute Pressure [kPa],Engine RPM [RPM],Vehicle Speed Sensor [km/h],Intake Air Temperature [°C],"
         "Air Flow Rate from Mass Flow Sensor [g/s],Absolute Throttle Position [%],Ambient Air Temperature [°C],Accelerator Pedal Position D [%],Accelerator Pedal Position E [%]")
 
