@@ -22,7 +22,7 @@ from roadlake.functions import rotation as ro
 from roadlake.operators import quality as q
 from roadlake.operators.cleaning import sized
 from roadlake.plans import segmented as sg
-from roadlake.plans.chunkfold import chunked_fold
+from roadlake.plans.chunkfold import chunked_fold, fitting
 from roadlake.session import materialize
 
 STATIONARY_KMH = 1.0
@@ -51,7 +51,7 @@ def _chain(nxt: np.ndarray, first: int, n: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def speed_marks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30) -> DataFrame:
+def speed_marks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", tie: str = "event_id", segment_s: float = 600, warmup_s: float = 30, fits: bool = False) -> DataFrame:
     """The accepted speed changes alone: (keys, us, tie, ``mark``, ``ref_accel``).
 
     The change accepted after another is the first row at least a second later
@@ -97,7 +97,7 @@ def speed_marks(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time", t
         marks = marks.astype({"ref_accel": object}).where(marks.notna(), None)
         return marks, carry(f"{at_all[own]}|{speed_all[own]}", start), f"{at_all[-1]}|{speed_all[-1]}"
 
-    marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s, carry=carry)
+    marks = chunked_fold(src, keys, "us", ["us", "rid"], fold, out, segment_s, warmup_s, carry=carry, fits=fits)
     return marks.select(*keys, "us", F.col("rid").alias(tie), "mark", "ref_accel")
 
 
@@ -107,23 +107,22 @@ def fresh_samples(df: DataFrame, keys: Sequence[str] = NODE, time: str = "time",
     ``interval_us`` is the time of the mark that opened the row's interval.
 
     The marks, at most one per second and node, run among the log's rows in
-    their order, each before its row; a row reads the last one. Nothing is joined to the log.
+    their order, each right before its row; a row reads the last one before it. Nothing is joined to the log.
     """
     keys = list(keys)
-    kind = "struct<us:bigint,tie:bigint,mark:string,ref:double,opened:bigint>"
-    marks = materialize(speed_marks(df, keys, time, tie, segment_s, warmup_s), "speed-marks")
-    # a node's first row opens its first interval
-    begin = df.groupBy(*keys).agg(F.min(F.unix_micros(time)).alias("us"))
-    marks = marks.withColumn("_t", F.timestamp_micros("us")).unionByName(begin.withColumn("_t", F.timestamp_micros("us")), allowMissingColumns=True)
-    marks = marks.withColumn("_real", F.col("mark").isNotNull().cast("int"))
-    marks = sg.lag_rows(sg.with_segment(marks, "_t", 3600), keys, ["us", "_real", tie], {"opened": F.col("us")})
-    among = marks.select(*keys, F.col("_t").alias(time), F.when(F.col("_real") == 1, F.col(tie)).alias(tie),
-                         F.struct("us", F.when(F.col("_real") == 1, F.col(tie)).cast("long").alias("tie"), "mark", F.col("ref_accel").alias("ref"), "opened").cast(kind).alias("_m"))
-    d = df.withColumn("_m", F.lit(None).cast(kind)).unionByName(among, allowMissingColumns=True).withColumn("_own", F.col("_m").isNull())
-    d = sg.max_before(sg.with_segment(d, time, q.SPAN, keys), keys, [time, tie, "_own"], F.col("_m"), "_last").where("_own")
-    mine = (F.col("_last.us") == F.unix_micros(time)) & F.col("_last.tie").eqNullSafe(F.col(tie).cast("long")) & F.col("_last.mark").isNotNull()
-    return d.select(*df.columns, F.when(mine, F.col("_last.mark")).alias("mark"), F.when(mine, F.col("_last.ref")).alias("ref_accel"),
-                    F.when(mine, F.col("_last.opened")).otherwise(F.col("_last.us")).alias("interval_us"))
+    seconds = max(fitting(df, keys, time, segment_s), 2 * warmup_s, 1)
+    marks = speed_marks(df, keys, time, tie, seconds, warmup_s, fits=True)
+    among = marks.select(*keys, F.timestamp_micros("us").alias(time), tie, F.col("mark").alias("_mark"), F.col("ref_accel").alias("_ref"))
+    d = df.withColumns({"_mark": F.lit(None).cast("string"), "_ref": F.lit(None).cast("double")}).unionByName(among, allowMissingColumns=True)
+    d = sg.with_segment(d.withColumn("_own", F.col("_mark").isNull()), time, seconds)
+    us, order = F.unix_micros(time), [time, tie, "_own"]
+    d = sg.maxima_before(d, keys, order, {"_open": F.when(~F.col("_own"), us), "_first": -us})
+    # a mark and its row are neighbours: what opened the mark's interval opened the row's
+    before = sg.next_to(keys, order)
+    mine = F.coalesce(~F.lag("_own").over(before), F.lit(False))
+    d = d.withColumns({"_mine": mine, "mark": F.when(mine, F.lag("_mark").over(before)), "ref_accel": F.when(mine, F.lag("_ref").over(before)),
+                       "_open": F.when(mine, F.lag("_open").over(before)).otherwise(F.col("_open"))}).where("_own")
+    return d.select(*df.columns, "mark", "ref_accel", F.coalesce("_open", -F.col("_first"), us).alias("interval_us"))
 
 
 def interval_means(fresh: DataFrame, keys: Sequence[str] = NODE) -> DataFrame:

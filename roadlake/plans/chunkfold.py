@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,16 +39,22 @@ def _pieces(df: DataFrame, us: str, width: int, back: int, ahead: int) -> DataFr
     return df.withColumn(SEG, F.explode(F.array_compact(F.array(*places))))
 
 
+def fitting(df: DataFrame, keys: Sequence[str], time: str | Column, segment_s: float) -> float:
+    """A length of segments that keeps the densest within a group; counts the rows."""
+    return suggest_seconds(df, keys, time, segment_s, GROUP_ROWS)
+
+
 def chunked_fold(df: DataFrame, keys: Sequence[str], us: str, order: Sequence[str], fold: Fold, out: T.StructType, segment_s: float = 600,
-                 warmup_s: float = 10, ahead_s: float = 0, carry: Carry = lambda state, start: state) -> DataFrame:
+                 warmup_s: float = 10, ahead_s: float = 0, carry: Carry = lambda state, start: state, fits: bool = False) -> DataFrame:
     """Rows of ``out`` (keys first) from folding each key of ``df`` along ``order``.
 
-    ``us`` holds epoch microseconds.  Segments of ``segment_s`` are halved where rows are dense.  ``carry`` restates a state for a later
+    ``us`` holds epoch microseconds.  Segments of ``segment_s`` are halved where rows are dense,
+    unless they are known to fit (:func:`fitting`).  ``carry`` restates a state for a later
     start, for folds that forget rows by age.
     """
     keys, order = list(keys), list(order)
     # As long as the densest segment fits a group, but never shorter than what is read beside it.
-    segment_s = max(suggest_seconds(df, keys, F.timestamp_micros(us), segment_s, GROUP_ROWS), 2 * (warmup_s + ahead_s), 1)
+    segment_s = max(segment_s if fits else fitting(df, keys, F.timestamp_micros(us), segment_s), 2 * (warmup_s + ahead_s), 1)
     width, back, ahead = (int(s * 1e6) for s in (segment_s, warmup_s, ahead_s))
     key_fields = [df.schema[k] for k in keys]
     names = [f.name for f in out.fields]

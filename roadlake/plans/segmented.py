@@ -123,11 +123,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
 
 def max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """The largest value of the rows before each row of the key (null where there is none)."""
-    top = df.groupBy(*keys, SEG).agg(F.max(value).alias("_t"))
+    return maxima_before(df, keys, order, {name: value})
+
+
+def maxima_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """:func:`max_before` for several values at once."""
+    top = df.groupBy(*keys, SEG).agg(*[F.max(v).alias(f"_t_{n}") for n, v in values.items()])
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = top.select(*keys, SEG, F.max("_t").over(before).alias("_c"))
-    out = df.withColumn("_m", F.max(value).over(_local(keys, order).rowsBetween(Window.unboundedPreceding, -1))).join(carry, [*keys, SEG], "left")
-    return out.select(*df.columns, F.greatest("_m", "_c").alias(name))
+    carry = top.select(*keys, SEG, *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in values])
+    here = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({f"_m_{n}": F.max(v).over(here) for n, v in values.items()}).join(carry, [*keys, SEG], "left")
+    return out.select(*df.columns, *[F.greatest(f"_m_{n}", f"_c_{n}").alias(n) for n in values])
+
+
+def next_to(keys: Sequence[str], order: Sequence[str]) -> Window:
+    """The window of a row's neighbours in its segment, for rows that are known to share one."""
+    return _local(keys, order)
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", total: str | None = None) -> DataFrame:

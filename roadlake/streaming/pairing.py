@@ -28,46 +28,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from roadlake.operators.merge import WINDOW_S, match_nearest, merged_fields, merged_rows, tagged
 from roadlake.schemas import ACCELS, PIDS
 from roadlake.streaming.run import use_rocksdb
+from roadlake.streaming.slots import Rows
 
 _COLUMNS = {"obd": list(PIDS), "imu": list(ACCELS)}
 
 
-class Rows:
-    """Rows of one kind as a matrix of 64-bit words: time, id, and readings as doubles (missing: NaN)."""
-
-    def __init__(self, kind: str, words: np.ndarray):
-        self.kind, self.words = kind, words
-
-    @staticmethod
-    def of(kind: str, pdf: pd.DataFrame) -> Rows:
-        part = pdf[pdf["kind"] == kind]
-        words = np.empty((len(part), 2 + len(_COLUMNS[kind])), np.int64)
-        words[:, 0], words[:, 1] = part["us"], part["rid"]
-        words[:, 2:] = np.ascontiguousarray(part[_COLUMNS[kind]].to_numpy(np.float64)).view(np.int64)
-        return Rows(kind, words)
-
-    @staticmethod
-    def unpack(kind: str, parts: Sequence[bytes]) -> Rows:
-        words = np.frombuffer(b"".join(bytes(p) for p in parts), np.int64).reshape(-1, 2 + len(_COLUMNS[kind]))
-        return Rows(kind, words[np.lexsort((words[:, 1], words[:, 0]))])
-
-    @property
-    def us(self) -> np.ndarray:
-        return self.words[:, 0]
-
-    def where(self, mask: np.ndarray) -> Rows:
-        return Rows(self.kind, self.words[mask])
-
-    def by_slot(self, slot_us: int) -> dict[int, bytes]:
-        slots = self.us // slot_us
-        return {int(s): self.words[slots == s].tobytes() for s in np.unique(slots)}
-
-    def frame(self) -> pd.DataFrame:
-        d = pd.DataFrame({"us": self.us, "rid": self.words[:, 1]})
-        values = np.ascontiguousarray(self.words[:, 2:]).view(np.float64)
-        return d.assign(**{c: values[:, i] for i, c in enumerate(_COLUMNS[self.kind])})
-
-
 class PairingProcessor(StatefulProcessor):
     """State of a key: ``slots`` (slot number -> waiting rows) and ``waiting``, the numbers of these slots."""
 
@@ -88,10 +53,10 @@ class PairingProcessor(StatefulProcessor):
         known, newest, fresh = self._known(), None, {}
         for pdf in rows:
             for n, kind in enumerate(("obd", "imu")):
-                part = Rows.of(kind, pdf)
+                part = Rows.of(_COLUMNS[kind], pdf[pdf["kind"] == kind])
                 late = part.us < closed
                 if late.any():
-                    yield self._partial(key, part.where(late))
+                    yield self._partial(key, kind, part.where(late))
                 part = part.where(~late)
                 if len(part.us):
                     newest = max(newest or 0, int(part.us.max()))
@@ -105,8 +70,8 @@ class PairingProcessor(StatefulProcessor):
             # one timer per batch, when its newest row becomes final
             self.handle.registerTimer(((newest + 2 * self.window) // 1_000_000 + 1) * 1000)
 
-    def _partial(self, key, rows: Rows) -> pd.DataFrame:
-        d = rows.frame().rename(columns={"rid": f"{rows.kind}_id"})
+    def _partial(self, key, kind: str, rows: Rows) -> pd.DataFrame:
+        d = rows.frame().rename(columns={"rid": f"{kind}_id"})
         return self._finished(key, d, True)
 
     def _finished(self, key, d: pd.DataFrame, late: bool) -> pd.DataFrame:
@@ -122,7 +87,7 @@ class PairingProcessor(StatefulProcessor):
         if not near:
             return
         held = [self.slots.getValue((s,)) for s in near]
-        obd, imu = (Rows.unpack(kind, [h[n] for h in held]) for n, kind in enumerate(("obd", "imu")))
+        obd, imu = (Rows.unpack(_COLUMNS[kind], [h[n] for h in held]) for n, kind in enumerate(("obd", "imu")))
         ready = obd.us < limit
         used = np.zeros(len(imu.us), dtype=bool)
         partner = match_nearest(obd.us[ready], imu.us, used, self.window)

@@ -17,7 +17,7 @@ from roadlake.operators.rollup import rollup_1min
 from roadlake.schemas import ACCELS, PIDS
 from roadlake.sources import files as fs
 from roadlake.sources import messages as ms
-from roadlake.streaming import pairing, rollup, run
+from roadlake.streaming import pairing, rollup, run, scoring, slots
 
 T0 = 1_704_067_200_000_000
 OBD = "vehicle_id int, event_id long, us long, " + ", ".join(f"{c} double" for c in PIDS)
@@ -180,6 +180,52 @@ def test_late_rows_come_out_at_once_and_alone():
     assert not h.stores["slots"].held and not h.stores["waiting"].held
 
 
+def test_ordered_pages_match_a_sorted_list():
+    rng, plain, kept = random.Random(3), [], {}
+    pages = slots.OrderedPages([], None)
+    for step in range(6000):
+        if plain and rng.random() < (0.3 if step < 4000 else 0.7):
+            v = plain.pop(rng.randrange(len(plain)))
+            pages.remove(v)
+        else:
+            v = rng.choice([float(rng.randrange(40)), rng.random() * 1000, 7.0])
+            bisect.insort(plain, v)
+            pages.insert(v)
+        n = len(plain)
+        assert not plain or pages.median() == (plain[(n - 1) // 2] + plain[n // 2]) / 2
+        if step % 500 == 499:  # stored and read back
+            kept = {**{k: v for k, v in kept.items() if k not in pages.gone}, **{k: np.array(v).tobytes() for k, v in pages.pages.items()}}
+            pages = slots.OrderedPages(pages.directory, kept.__getitem__)
+            assert sum(pages.counts) == n and len(pages.ids) <= n // 64 + 2
+
+
+def test_online_medians_follow_new_rows():
+    """Equal to rolling medians over whole trips; what a trigger reads does not depend on how much the window holds."""
+    rng, reads = np.random.default_rng(4), {}
+    for rate in (20, 200):
+        n = 60 * rate
+        t = np.sort(rng.integers(0, 60 * 100, n)) * 10_000
+        d = pd.DataFrame({"us": t, "rid": np.arange(n), "rpm": np.round(rng.normal(2000, 300, n)), "load": np.where(rng.random(n) < 0.2, np.nan, rng.random(n))})
+        h, p = Handle(), scoring.DeviationProcessor(["trip"], ["rpm", "load"], ["event_id", "rpm"], 30_000_000, 1_000_000)
+        p.init(h)
+        got = []
+        for a in range(0, 60, 2):
+            part = d[(d["us"] >= a * 1_000_000) & (d["us"] < (a + 2) * 1_000_000)]
+            list(p.handleInputRows((7,), iter([part.sample(frac=1, random_state=a)]), Clock(0)))
+            for s in h.stores.values():
+                s.reads = 0
+            got += list(p.handleExpiredTimer((7,), Clock((a + 2) * 1000 - 500), None))
+            reads[rate] = h.stores["slots"].reads
+        got += list(p.handleExpiredTimer((7,), Clock(100_000), None))
+        out = pd.concat(got).set_index("event_id").sort_index()
+        rolled = d.set_index(pd.to_datetime(d["us"], unit="us"))[["rpm", "load"]].rolling("30s").median().reset_index(drop=True)
+        late = d["us"] >= d["us"].iloc[0] + 30_000_000
+        for c in ("rpm", "load"):
+            np.testing.assert_allclose(out[f"{c}_dev"], (d[c] - rolled[c])[late].to_numpy(), atol=1e-12)
+        assert len(h.stores["slots"].held) <= 32
+    assert reads[20] == reads[200] <= 8
+
+
 def buckets(spark, *rows):
     return spark.createDataFrame([(f"2025-06-0{d} 10:{m:02}:00", float(v)) for d, m, v in rows], "t string, v double").selectExpr("CAST(t AS TIMESTAMP) AS bucket", "v")
 
