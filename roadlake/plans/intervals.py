@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadlake.plans import segmented as sg
+
 BROADCAST_SLOTS = 200_000
 _SLOT = "_slot"
 
@@ -61,9 +63,38 @@ def session_rows(tel: DataFrame, sessions: DataFrame, now: dt.datetime | None =
     return t.join(s, cond).select(*[F.col(f"s.{c}") for c in session_cols], *[F.col(f"t.{c}") for c in tel.columns])
 
 
+def count_in_intervals(rows: DataFrame, intervals: DataFrame, ident: str, start: str, end: str, by: Sequence[str] = (), time: str = "time") -> DataFrame:
+    """(ident, n): how many rows lie in each interval, both ends included.
+
+    A count is the difference of two: rows up to the end less rows before the start.
+    Rows are counted by minute first; a running sum over the minutes gives what lies
+    before the minute of an edge, and only rows in the minutes of edges are looked
+    at one by one.  Intervals whose end comes first hold none.
+    """
+    by = list(by)
+    good = intervals.where(F.col(end) >= F.col(start))
+    b = good.agg(F.min(start).alias("lo"), F.max(end).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    edge = lambda at, inclusive, sign: F.struct(F.col(at).alias("at"), F.lit(inclusive).alias("inclusive"), F.lit(sign).alias("sign"))
+    edges = good.select(F.col(ident).alias("_id"), *by, F.explode(F.array(edge(start, False, -1), edge(end, True, 1))).alias("_e"))
+    edges = edges.select("_id", *by, sg.time_segment("_e.at", 60).alias("_minute"), "_e.*")
+    r = rows.where(_within(time, b.asDict())).select(*by, F.col(time).alias("_time")).withColumn("_minute", sg.time_segment("_time", 60))
+
+    per_minute = r.groupBy(*by, "_minute").agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", F.lit(1))
+    both = per_minute.unionByName(edges.withColumns({"_kind": F.lit(0), "_n": F.lit(0)}), allowMissingColumns=True)
+    both = both.withColumn(sg.SEG, F.floor(F.col("_minute") / 1440).cast("long"))
+    whole = sg.running_sum(both, by, ["_minute", "_kind"], {"_before": F.col("_n")}).where("_kind = 0").select("_id", (F.col("sign") * F.col("_before")).alias("_c"))
+
+    minutes = edges.select(*by, "_minute").distinct()
+    near = r.join(F.broadcast(minutes) if 2 * b["n"] <= BROADCAST_SLOTS else minutes, [*by, "_minute"], "left_semi")
+    instants = near.groupBy(*by, "_minute", "_time").agg(F.count(F.lit(1)).alias("_n"))
+    upto = (F.col("_time") < F.col("at")) | (F.col("inclusive") & (F.col("_time") == F.col("at")))
+    parts = edges.join(instants, [*by, "_minute"]).where(upto).select("_id", (F.col("sign") * F.col("_n")).alias("_c"))
+    return whole.unionByName(parts).groupBy(F.col("_id").alias(ident)).agg(F.sum("_c").alias("n"))
+
+
 def list_sessions(tel: DataFrame, sessions: DataFrame, now: dt.datetime | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Every session with its row count, sessions without rows kept."""
-    n = session_rows(tel.select("time", *by), sessions, now, by).groupBy("session_id").agg(F.count(F.lit(1)).alias("row_count"))
+    n = count_in_intervals(tel, closed_sessions(sessions, now), "session_id", "started_at", "_hi", by).withColumnRenamed("n", "row_count")
     return (
         sessions.join(n, "session_id", "left")
         .withColumn("row_count", F.coalesce("row_count", F.lit(0)).cast("long"))

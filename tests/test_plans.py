@@ -171,6 +171,26 @@ def test_percentiles_of_close_values(spark):
         assert all(abs(got[g, p] - v) < 1e-6 for p, v in zip(ps, np.quantile(x, ps), strict=True))
 
 
+def test_counts_in_intervals_match_a_full_search(spark):
+    """Edges on rows and between them, in one minute and days apart, ends before starts, missing ends, repeated names; by key."""
+    rng = random.Random(5)
+    base = dt.datetime(2025, 6, 1)
+    at = lambda: base + dt.timedelta(seconds=rng.choice([rng.randrange(200), rng.randrange(90_000), 60 * rng.randrange(1500)]), microseconds=rng.choice([0, 0, 500_000]))
+    rows = [(rng.choice(["a", "b", None]), at()) for _ in range(1500)]
+    ivs = [(i % 70, rng.choice(["a", "b", "c", None]), at(), at() if i % 11 else None) for i in range(90)]
+    t = spark.createDataFrame(rows, "node string, time timestamp").repartition(5)
+    s = spark.createDataFrame(ivs, "name int, node string, lo timestamp, hi timestamp")
+    for by in ([], ["node"]):
+        want = {}
+        for name, node, lo, hi in ivs:
+            if hi is not None and hi >= lo:
+                want[name] = want.get(name, 0) + sum(lo <= x <= hi for n, x in rows if not by or (n is not None and n == node))
+        got = {r["name"]: r["n"] for r in iv.count_in_intervals(t, s, "name", "lo", "hi", by).collect()}
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    assert iv.count_in_intervals(t.limit(0), s, "name", "lo", "hi").where("n <> 0").collect() == []
+    assert iv.count_in_intervals(t, s.limit(0), "name", "lo", "hi").collect() == []
+
+
 def test_pairing_links_match_a_full_search():
     import numpy as np
 
