@@ -27,6 +27,8 @@ from roadlake.llm import words as W
 from roadlake.llm.base import column, materialize, ragged, row_key, steps, utf8
 
 WINDOW, SEED = 50, 10
+#: Bytes of a word's hash that travel and are compared.
+WORD_BYTES = 6
 #: Suffixes of one sorted group at most.
 GROUP = 4000
 _SUFFIXES = "doc_id long, row_key long, place int, seed long, before short, windows short"
@@ -50,8 +52,19 @@ def _suffixes(window: int, seed: int):
     return run
 
 
+def _packed(words: np.ndarray) -> list[bytes]:
+    """Rows of 48-bit words as bytes that sort like them."""
+    return [r.tobytes() for r in np.ascontiguousarray(words.astype(">u8")).view(np.uint8).reshape(*words.shape, 8)[:, :, 2:]]
+
+
+def _unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    words = np.zeros((len(rows), width, 8), np.uint8)
+    words[:, :, 2:] = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), width, WORD_BYTES)
+    return words.view(">u8")[:, :, 0].astype(np.uint64)
+
+
 def _contexts(window: int, seed: int):
-    """Each suffix with the words that follow and precede it, as 4-byte hashes in reading order from it. Places
+    """Each suffix with the words that follow and precede it, as 6-byte hashes in reading order from it. Places
     of a text in the same surroundings are one row: ``again`` lists the distances of the others from the first."""
     reach = window - seed
     odd = np.random.default_rng(7).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,7 +72,7 @@ def _contexts(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             starts, ends, first = W.find(*(data_off := utf8(column(batch, "text"))))
-            words = np.append((W.hashes(data_off[0], starts, ends) >> np.uint64(32)).astype(">u4"), np.zeros(1, ">u4"))
+            words = np.append(W.hashes(data_off[0], starts, ends) >> np.uint64(16), np.zeros(1, np.uint64))
             lists = column(batch, "suffixes")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
@@ -71,16 +84,16 @@ def _contexts(window: int, seed: int):
             right = words[np.where(np.arange(window) < n_right[:, None], right, none)]
             left = at[:, None] - 1 - np.arange(reach)
             left = words[np.where(np.arange(reach) < n_left[:, None], left, none)]
-            alike = W.mix(right.astype(np.uint64) @ odd[:window] ^ W.mix(left.astype(np.uint64) @ odd[:reach] + row.astype(np.uint64) * np.uint64(2**40)))
+            alike = W.mix(right @ odd[:window] ^ W.mix(left @ odd[:reach] + row.astype(np.uint64) * np.uint64(2**40)))
             _, one, member = np.unique(alike, return_index=True, return_inverse=True)
             order = np.lexsort((place, member))
             size = np.bincount(member, minlength=len(one))
             again = [p - p[0] for p in np.split(place[order], np.cumsum(size)[:-1])] if len(one) else []
             one = order[np.cumsum(size) - size]
             place, code, cuts, before, windows, row, right, left, n_right, n_left = (x[one] for x in (place, code, cuts, before, windows, row, right, left, n_right, n_left))
-            cut = (W.mix(right.astype(np.uint64) @ odd[:window]) % cuts.astype(np.uint64)).astype(np.int32)
+            cut = (W.mix(right @ odd[:window]) % cuts.astype(np.uint64)).astype(np.int32)
             ids, keys = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_key"))
-            raw = [pa.array([b.tobytes() for b in part], pa.binary()) for part in (right, left)]
+            raw = [pa.array(_packed(part), pa.binary()) for part in (right, left)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(code, pa.int64()), pa.array(cut), pa.array(cuts > 1), pa.array(before, pa.int16()), pa.array(windows, pa.int16()), pa.array(ids[row], pa.int64()), pa.array(keys[row], pa.int64()), pa.array(place.astype(np.int32)),
                  pa.array(again, pa.list_(pa.int32())), pa.array(n_right), pa.array(n_left), *raw],
@@ -105,10 +118,10 @@ def _compare(rows: pa.Table, window: int, reach: int) -> pa.RecordBatch:
     """
     n = rows.num_rows
     doc, keys, place, seed, n_right, n_left = (rows[c].to_numpy() for c in ("doc_id", "row_key", "place", "seed", "n_right", "n_left"))
-    right = np.frombuffer(b"".join(rows["following"].to_pylist()), ">u4").reshape(n, window)
-    left = np.frombuffer(b"".join(rows["preceding"].to_pylist()), ">u4").reshape(n, reach)
+    preceding = rows["preceding"].to_pylist()
+    right, left = _unpacked(rows["following"].to_pylist(), window), _unpacked(preceding, reach)
     group = np.cumsum(np.append(0, seed[1:] != seed[:-1]))
-    codes = np.unique(left.view(f"S{4 * reach}").ravel(), return_inverse=True)[1]
+    codes = np.unique(np.frombuffer(b"".join(preceding), f"S{WORD_BYTES * reach}"), return_inverse=True)[1]
     turn = np.lexsort((codes, group))
     after, before = _common(np.arange(n), right, group), _common(turn, left, group)
     # The most words that a row shares with any other on either side: what reaches no window needs no look.
@@ -154,10 +167,8 @@ def _found(doc: pa.Array, keys: pa.Array, starts: np.ndarray, ends: np.ndarray,
 
 def _windows(part: pa.RecordBatch, window: int, reach: int) -> pa.RecordBatch:
     """The windows that select the places of ``part``, with 128 bits of hash each."""
-    n = part.num_rows
-    right = np.frombuffer(b"".join(column(part, "following").to_pylist()), ">u4").reshape(n, window)
-    left = np.frombuffer(b"".join(column(part, "preceding").to_pylist()), ">u4").reshape(n, reach)
-    around = W.mix(np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) + np.uint64(1))
+    right, left = _unpacked(column(part, "following").to_pylist(), window), _unpacked(column(part, "preceding").to_pylist(), reach)
+    around = W.mix(np.concatenate([left[:, ::-1], right], axis=1) + np.uint64(1))
     odd = np.random.default_rng(11).integers(0, 2**63, (window, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     place, before, windows = (column(part, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "before", "windows"))
     row, ahead, codes = [], [], []
