@@ -85,7 +85,42 @@ def fit_forests(df: DataFrame, features: Sequence[str], by: Sequence[str] = (),
                 n_trees: int = N_TREES, psi: int = PSI, seed: int = SEED) -> DataFrame:
     """M1 for one model or for one per group: the node table."""
     by, feats = list(by), list(features)
-    s = tree_samples(df, feats, by, row_key, n_trees, psi, seed).withColumn("_blk", F.floor(F.col("tree") / BLOCK).cast("int"))
+    return grow_forests(tree_samples(df, feats, by, row_key, n_trees, psi, seed), feats, by, seed)
+
+
+def nested_samples(rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str], row_key: Sequence[str] = ("event_id",),
+                   n_trees: int = N_TREES, psi: int = PSI, seed: int = SEED) -> DataFrame:
+    """:func:`tree_samples` of models that hold one another, from rows that stand once.
+
+    ``models`` has ``by`` (a key's columns and, last, the model's name), its ``step`` and its number of
+    rows ``n``; ``rows`` have the key and the ``step`` from which on models hold them.  A
+    row meets the list of its key's models.  Only what a model's thresholds leave is dealt out to it: about
+    1.5 * psi rows a tree, whatever the number of rows and steps.
+    """
+    *key, name = by
+    feats, keys = list(features), [F.col(f"_k{i}") for i in range(len(row_key))]
+    lists = models.groupBy(*key).agg(F.collect_list(F.struct("step", F.col(name).alias("name"), F.col("n").cast("double").alias("n"))).alias("_models"))
+    d = rows.select(*key, "step", *[F.col(c).cast("double").alias(c) for c in feats], *[F.col(c).alias(f"_k{i}") for i, c in enumerate(row_key)]).dropna(subset=feats)
+    pool, slack = float(n_trees * psi), psi + 8 * math.sqrt(psi) + 8
+    d = d.join(lists, key).withColumn("_u", _unit(*keys, F.lit(seed)))
+    d = d.withColumn("_models", F.filter("_models", lambda m: (m["step"] >= F.col("step")) & (F.col("_u") < F.lit(pool) / m["n"]))).where(F.size("_models") > 0)
+    d = d.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_u", _unit(*keys, F.col("tree"), F.lit(seed + 1)))
+    d = d.withColumn("_m", F.explode(F.filter("_models", lambda m: F.col("_u") < F.lit(slack) / F.least(m["n"], F.lit(pool))))).drop("_models")
+    w = Window.partitionBy(*key, "_m.name", "tree").orderBy("_u", *feats)
+    d = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
+    return d.select(*key, F.col("_m.name").alias(name), "tree", "_r", *feats)
+
+
+def fit_nested(rows: DataFrame, models: DataFrame, features: Sequence[str], by: Sequence[str], row_key: Sequence[str] = ("event_id",),
+               n_trees: int = N_TREES, psi: int = PSI, seed: int = SEED) -> DataFrame:
+    """M1 for models that hold one another: the node tables that :func:`fit_forests` gives on their copied rows."""
+    return grow_forests(nested_samples(rows, models, features, by, row_key, n_trees, psi, seed), features, by, seed)
+
+
+def grow_forests(samples: DataFrame, features: Sequence[str], by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """The node tables of sampled rows."""
+    by, feats = list(by), list(features)
+    s = samples.withColumn("_blk", F.floor(F.col("tree") / BLOCK).cast("int"))
     schema = T.StructType([s.schema[c] for c in by] + [T.StructField(n, t) for n, t in NODE_FIELDS])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -132,6 +132,12 @@ def hold_out_last(trips: DataFrame, key: str = "vehicle_id", trip: str = "trip",
     return d.select(*trips.columns, "first_time", role.alias("role"))
 
 
+def first_step(trips: DataFrame, days: Sequence[int] = (1, 3, 7, 14, 30), start: str = "start_time") -> DataFrame:
+    """Train trips with ``step``, the place in the cut-offs' order of the first that holds them ('all' comes last)."""
+    since, order = F.unix_micros(start) - F.unix_micros("first_time"), sorted(days)
+    return trips.withColumn("step", F.coalesce(*[F.when(since <= int(d * 86400e6), F.lit(i)) for i, d in enumerate(order)], F.lit(len(order))))
+
+
 def volume_steps(trips: DataFrame, days: Sequence[int] = (1, 3, 7, 14, 30), start: str = "start_time") -> DataFrame:
     """Train trips repeated for every step whose cut-off they meet, and for 'all'."""
     since = F.unix_micros(start) - F.unix_micros("first_time")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlake.operators import faults as fa
@@ -80,16 +80,34 @@ def volume_skips(pool: DataFrame, window_s: float = 30, key: str = "vehicle_id",
     return rejected.unionByName(tested.select(key, few.alias("reason")))
 
 
+def _nested_sizes(train: DataFrame, key: str, labels: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Rows and standard deviations of every cumulative step, merged from moments of the rows that each step adds."""
+    parts = train.groupBy(key, "step").agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("v", F.var_pop), ("lo", F.min), ("hi", F.max))])
+    held = F.explode(F.slice(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(x).alias("day_cutoff")) for i, x in enumerate(labels)]), F.col("step") + 1, F.lit(len(labels))))
+    d = parts.withColumn("_s", held).drop("step").select("*", "_s.*")
+    whole = Window.partitionBy(key, "step")  # a row per step that adds some
+    d = d.select("*", *[(F.sum(F.col("_n") * F.col(f"_m_{c}")).over(whole) / F.sum("_n").over(whole)).alias(f"_mean_{c}") for c in cols])
+    n = F.sum("_n")
+
+    def deviation(c: str):
+        squares = F.sum(F.col("_n") * (F.col(f"_v_{c}") + F.pow(F.col(f"_m_{c}") - F.col(f"_mean_{c}"), 2)))
+        return F.when(n > 1, F.when(F.min(f"_lo_{c}") == F.max(f"_hi_{c}"), 0.0).otherwise(F.sqrt(squares / (n - 1)))).alias(f"_sd_{c}")
+
+    return d.groupBy(key, "day_cutoff", "step").agg(n.alias("n_train_rows"), *[deviation(c) for c in cols])
+
+
 def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 30), window_s: float = 30, powertrain: str = "ICE", key: str = "vehicle_id",
                  trip: str = "trip", time: str = "time", n_trees: int = fo.N_TREES, max_windows_per_trip: int | None = None, min_windows: int = 15,
-                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",), fit=fo.fit_forests, score=fo.score_many) -> DataFrame:
+                 min_rows: int = 10, row_key: Sequence[str] = ("event_id",), fit=fo.fit_nested, score=fo.score_many) -> DataFrame:
     """For every vehicle and training step, an own model and its detection
     rates on the vehicle's held-out trips.
 
     One job over all vehicles.  Features are computed once per trip (they are
-    causal and per trip, so a step's features are those of its trips), steps
-    multiply rows only after that, and models are keyed (vehicle, step).  ``fit`` and
-    ``score`` may be others than the isolation forest's, with the same arguments.
+    causal and per trip, so a step's features are those of its trips).  Steps hold one
+    another, so a training row stands once, with the first step that holds it:
+    deviations are merged from moments per step, and only sampled rows are dealt out to models,
+    which are keyed (vehicle, step).  ``fit`` and ``score`` may be others than the isolation forest's, with the
+    same arguments.
     """
     feats, tk, mk = fa.POOL_FEATURES, [key, trip], [key, "day_cutoff"]
     roles, fx, wins = _volume_stages(pool, key, trip, time, window_s, max_windows_per_trip, row_key)
@@ -98,10 +116,14 @@ def volume_sweep(pool: DataFrame, day_cutoffs: Sequence[float] = (1, 3, 7, 14, 3
     steps = sp.volume_steps(roles.where("role = 'train'").join(ready, key, "left_semi"), day_cutoffs)
     n_trips = steps.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_trips"), (
         (F.max(F.unix_micros("start_time")) - F.min(F.unix_micros("first_time"))) / 86400e6).alias("_span"))
-    train = fx.where("role = 'train'").dropna(subset=feats).join(steps.select(*tk, "day_cutoff"), tk)
-    sizes = train.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_train_rows"), *[F.stddev_samp(c).alias(f"_sd_{c}") for c in fa.POOL_FAULTS.values()])
+    firsts = sp.first_step(roles.where("role = 'train'").join(ready, key, "left_semi"), day_cutoffs).select(*tk, "step")
+    train = fx.where("role = 'train'").dropna(subset=feats).join(firsts, tk)
+    labels = [str(d) for d in sorted(day_cutoffs)] + ["all"]
+    sizes = _nested_sizes(train, key, labels, list(fa.POOL_FAULTS.values()))
     sizes = materialize(sizes.where(F.col("n_train_rows") >= min_rows).join(n_trips, mk), "sizes")
-    nodes = materialize(fit(train.join(sizes.select(*mk), mk, "left_semi"), feats, mk, row_key, n_trees), "forests")
+    models = sizes.select(*mk, "step", F.col("n_train_rows").alias("n"))
+    nodes = materialize(fit(train, models, feats, mk, row_key, n_trees), "forests")
+    sizes = sizes.drop("step")
 
     test = fx.where("role = 'test'").dropna(subset=feats).select(key, *row_key, *feats)
     scored = score(test.join(sizes.select(*mk), key), nodes, feats, mk)

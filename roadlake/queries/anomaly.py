@@ -274,9 +274,9 @@ def volume_by_rule(spark, d):
     """The study with the rule-made forest for every (vehicle, step), which SQL can score."""
     nodes = probe_nodes(POOL)
 
-    def fit(train, feats, by, row_key, n_trees):
+    def fit(rows, models, feats, by, row_key, n_trees):
         n = spark.createDataFrame(nodes).select(*[F.col(n).cast(t).alias(n) for n, t in fo.NODE_FIELDS])
-        return train.select(*by).distinct().withColumn("_all", F.lit(1)).join(n.withColumn("_all", F.lit(1)), "_all").drop("_all")
+        return models.select(*by).withColumn("_all", F.lit(1)).join(n.withColumn("_all", F.lit(1)), "_all").drop("_all")
 
     def score(df, nodes, feats, by):
         return fo.score_many(df, nodes, feats, by).withColumn("score", F.round("score", 9))

@@ -13,6 +13,7 @@ from roadlake.operators import features as ft
 from roadlake.operators import forest as fo
 from roadlake.operators import quality as q
 from roadlake.operators import splits as sp
+from roadlake.operators import studies as st
 from roadlake.operators import volume as vo
 
 T0 = 1_704_067_200_000_000
@@ -198,3 +199,22 @@ def test_fault_windows_are_clean(spark):
 def test_histogram_edges(spark):
     d = spark.createDataFrame([(0.0,), (0.99,), (1.0,), (10.0,), (10.01,), (-0.01,)], "v double")
     assert {r.bin: r.n for r in q.histogram(d, "v", 0, 10, 10).collect()} == {0: 2, 1: 1, 9: 1}
+
+
+def test_nested_samples_are_those_of_copied_rows(spark):
+    """Models that hold one another: the same samples and deviations as from a copy of the rows for each."""
+    rng = np.random.default_rng(11)
+    labels, last = ["1", "3", "all"], {0: 2, 1: 2, 2: 0}
+    rows = [(v, int(s), i, float(rng.normal(100, 5)), 7.0 if v == 1 else float(rng.random())) for v, n in ((0, 4000), (1, 60), (2, 400)) for i, s in enumerate(rng.integers(0, last[v] + 1, n))]
+    train = spark.createDataFrame(rows, "vehicle_id int, step int, event_id long, a double, b double").repartition(3)
+    by = ["vehicle_id", "day_cutoff"]
+    copied = train.withColumn("day_cutoff", F.explode(F.slice(F.array(*[F.lit(x) for x in labels]), F.col("step") + 1, F.lit(3))))
+    sizes = st._nested_sizes(train, "vehicle_id", labels, ["a", "b"])
+    plain = {tuple(r[:2]): r[2:] for r in copied.groupBy(*by).agg(F.count(F.lit(1)), F.stddev_samp("a"), F.stddev_samp("b")).collect()}
+    got = {(r["vehicle_id"], r["day_cutoff"]): (r["n_train_rows"], r["_sd_a"], r["_sd_b"]) for r in sizes.collect()}
+    assert set(got) == set(plain) and all(got[k] == pytest.approx(plain[k], rel=1e-12) for k in got)
+    assert all(got[1, x][2] == 0 for x in labels)
+    models = sizes.select(*by, "step", F.col("n_train_rows").alias("n"))
+    small = {"n_trees": 4, "psi": 64}  # a pool of 256 rows: both thresholds bite
+    key = lambda d: sorted(tuple(r) for r in d.select(*by, "tree", "_r", "a", "b").collect())
+    assert key(fo.nested_samples(train, models, ["a", "b"], by, **small)) == key(fo.tree_samples(copied, ["a", "b"], by, ["event_id"], **small))
