@@ -7,13 +7,14 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roadlake.plans import segmented as sg
 
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 SEED = 42
 TERCILES = ("low", "medium", "high")
+#: Vehicles of one size whose turns are one row.
+TURNS = 10_000
 
 
 def hash_order(cols: Sequence[str], seed: int = SEED) -> Column:
@@ -39,30 +40,36 @@ def balanced_split(counts: DataFrame, key: str = "vehicle_id", n: str = "n_rows"
                    tie: Column | None = None) -> DataFrame:
     """M4: vehicles, largest first, each to the split furthest below its row target.
 
-    The greedy choice depends on every earlier one, so this walks the vehicle
-    table (one small row per vehicle, never the telemetry) as a stream of
-    batches, holding only the running totals.
+    The greedy choice depends on every earlier one, but only through sizes:
+    vehicles of one size differ by their turn alone.  So the walk goes over runs
+    (a size and how many vehicles have it, counted with map-side combine) and puts
+    out a letter per turn, in blocks; a vehicle finds its turn among those of its
+    size by a two-level count, and its letter by a join.
     """
     ratios = ratios or RATIOS
     names, fracs = list(ratios), list(ratios.values())
-    order = tie if tie is not None else hash_order([key])
     total = counts.agg(F.sum(n).cast("double").alias("_all"))
-    rows = counts.select(key, F.col(n).cast("long").alias(n), order.alias("_tie")).crossJoin(F.broadcast(total))
-    rows = rows.repartition(1).sortWithinPartitions(F.desc(n), "_tie", key)
-    schema = T.StructType([counts.schema[key], T.StructField(n, T.LongType()), T.StructField("split", T.StringType())])
+    runs = counts.groupBy(F.col(n).cast("long").alias("_size")).agg(F.count(F.lit(1)).alias("_c")).crossJoin(F.broadcast(total))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = [0.0] * len(names)
         for pdf in batches:
-            picks = []
-            for size, whole in zip(pdf[n], pdf["_all"]):
-                short = [(whole * f - got) / (whole * f) for f, got in zip(fracs, filled)]
-                best = short.index(max(short))
-                filled[best] += size
-                picks.append(names[best])
-            yield pd.DataFrame({key: pdf[key], n: pdf[n], "split": picks})
-
-    return rows.mapInPandas(assign, schema)
+            for size, c, whole in zip(pdf["_size"].tolist(), pdf["_c"].tolist(), pdf["_all"].tolist()):
+                for block, begin in enumerate(range(0, c, TURNS)):
+                    turns = []
+                    for _ in range(min(TURNS, c - begin)):
+                        short = [(whole * f - got) / (whole * f) for f, got in zip(fracs, filled)]
+                        best = short.index(max(short))
+                        filled[best] += size
+                        turns.append(chr(ord("a") + best))
+                    yield pd.DataFrame({"_size": [size], "_block": [block], "_turns": ["".join(turns)]})
+
+    picks = runs.repartition(1).sortWithinPartitions(F.desc("_size")).mapInPandas(walk, "_size long, _block long, _turns string")
+    d = counts.select(key, F.col(n).cast("long").alias(n), F.col(n).cast("long").alias("_size"), (tie if tie is not None else hash_order([key])).alias("_tie"))
+    d = d.withColumn(sg.SEG, F.shiftright("_tie", 44) if tie is None else sg.value_segment("_tie"))
+    d = sg.row_index(d, ["_size"], ["_tie", key], "_i").withColumn("_block", F.floor(F.col("_i") / TURNS))
+    letter = F.ascii(F.substring(F.col("_turns"), (F.col("_i") % TURNS + 1).cast("int"), F.lit(1))) - ord("a")
+    return d.join(picks, ["_size", "_block"]).select(key, n, F.element_at(F.array(*[F.lit(x) for x in names]), letter + 1).alias("split"))
 
 
 def row_counts(df: DataFrame, key: str = "vehicle_id") -> DataFrame:

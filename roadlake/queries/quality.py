@@ -77,13 +77,13 @@ def share(spark, d):
 def variants(spark, d):
     t = tel(spark, d)
     a = t.select((F.col("throttle_pct") < 20).alias("flag"), "rpm", "accel_x", "accel_y")
-    b = t.where("accel_z > 9.2").select((F.col("throttle_pct") < 30).alias("flag"), "rpm", "accel_x", "accel_y")
+    b = t.select((F.col("throttle_pct") < 30).alias("flag"), "rpm", "accel_x", "accel_y")
     return rounded(q.compare_variants({"w60": a, "w30": b}, "flag", F.col("rpm") > 0, ["accel_x", "accel_y"]))
 
 
 _VAR = ("SELECT '{n}' AS variant, ROUND(100 * AVG(flag::INT), 6) AS flag_pct, ROUND(100 * AVG(CASE WHEN rpm > 0 THEN flag::INT END), 6) AS engine_on_flag_pct, "
         "ROUND(MEDIAN(CASE WHEN rpm > 0 THEN ABS(accel_x) END), 6) AS median_abs_accel_x, ROUND(MEDIAN(CASE WHEN rpm > 0 THEN ABS(accel_y) END), 6) AS median_abs_accel_y "
-        "FROM (SELECT *, throttle_pct < {t} AS flag FROM tel WHERE {w})")
+        "FROM (SELECT *, throttle_pct < {t} AS flag FROM tel)")
 
 
 def split_rep(spark, d):
@@ -150,7 +150,7 @@ QUERIES = {
                      f"WITH {fx.trips_sql()}, f AS (SELECT 'c' || (event_id % 4) AS label, ROW_NUMBER() OVER (PARTITION BY vehicle_id, trip ORDER BY time, event_id) AS k FROM trips) SELECT label, COUNT(*) AS n_trips FROM f WHERE k = 1 GROUP BY 1"),
     "share_beyond": (share, f"WITH {fx.TEL}, l AS (SELECT QUANTILE_CONT(ABS(rpm), 0.95) AS lim FROM tel WHERE vehicle_id <> 3) SELECT ROUND(lim, 6) AS ref_limit, COUNT(*) AS n, "
                      "ROUND(AVG((ABS(rpm) > lim)::INT), 6) AS share_beyond FROM tel, l WHERE vehicle_id = 3 AND rpm IS NOT NULL GROUP BY lim"),
-    "compare_variants": (variants, f"WITH {fx.TEL} " + _VAR.format(n="w60", t=20, w="TRUE") + " UNION ALL " + _VAR.format(n="w30", t=30, w="accel_z > 9.2")),
+    "compare_variants": (variants, f"WITH {fx.TEL} " + _VAR.format(n="w60", t=20) + " UNION ALL " + _VAR.format(n="w30", t=30)),
     "liveness": (lambda s, d: rounded(q.liveness(tel(s, d), V, ["rpm", "speed_kmh", "throttle_pct"])), f"WITH {fx.TEL} " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", (SELECT ROUND(MAX(n) / SUM(n)::DOUBLE, 6) FROM (SELECT COUNT(*) AS n FROM tel WHERE {c} IS NOT NULL GROUP BY {c})) AS top_share,
         ROUND(AVG((x <> p)::INT), 6) AS change_share FROM (SELECT {c} AS x, LAG({c}) OVER (PARTITION BY vehicle_id ORDER BY time, event_id) AS p FROM tel)""" for c in ["rpm", "speed_kmh", "throttle_pct"])),

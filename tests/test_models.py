@@ -69,18 +69,20 @@ def test_terciles(spark):
         sp.select_vehicles(two).collect()
 
 
-def test_splits(spark):
+def test_splits(spark, monkeypatch):
     t = spark.range(77).select(F.col("id").alias("trip_id"))
     c = {r[0]: r[1] for r in sp.trip_split(t).groupBy("split").count().collect()}
     assert c == {"train": 53, "val": 12, "test": 12}
-    n = spark.createDataFrame([(i, s) for i, s in enumerate([100, 90, 10, 10, 5, 5])], "vehicle_id long, n_rows long")
-    got = {r.vehicle_id: r.split for r in sp.balanced_split(n, tie=F.col("vehicle_id")).collect()}
-    filled, want = {"train": 0, "val": 0, "test": 0}, {}
-    for v, size in enumerate([100, 90, 10, 10, 5, 5]):
-        short = {s: (220 * f - filled[s]) / (220 * f) for s, f in sp.RATIOS.items()}
-        want[v] = max(short, key=short.get)
-        filled[want[v]] += size
-    assert got == want
+    for turns, sizes in ((sp.TURNS, [100, 90, 10, 10, 5, 5]), (7, [40] * 30 + [500, 7, 7] + [3] * 50)):
+        monkeypatch.setattr(sp, "TURNS", turns)
+        n = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "vehicle_id long, n_rows long")
+        got = {r.vehicle_id: r.split for r in sp.balanced_split(n, tie=F.col("vehicle_id")).collect()}
+        filled, want, whole = {"train": 0, "val": 0, "test": 0}, {}, sum(sizes)
+        for v, size in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+            short = {s: (whole * f - filled[s]) / (whole * f) for s, f in sp.RATIOS.items()}
+            want[v] = max(short, key=short.get)
+            filled[want[v]] += size
+        assert got == want
     with pytest.raises(ValueError, match="without an assignment"):
         sp.apply_manifest(n, sp.balanced_split(n).where("vehicle_id < 3"))
 
