@@ -220,3 +220,29 @@ def test_nested_samples_are_those_of_copied_rows(spark):
     small = {"n_trees": 4, "psi": 64}  # a pool of 256 rows: both thresholds bite
     key = lambda d: sorted(tuple(r) for r in d.select(*by, "tree", "_r", "a", "b").collect())
     assert key(fo.nested_samples(train, models, ["a", "b"], by, **small)) == key(fo.tree_samples(copied, ["a", "b"], by, ["event_id"], **small))
+
+
+@pytest.mark.parametrize(("n_trees", "psi", "feats"), [(100, 256, 3), (3, 3, 2), (4, 1, 1), (5, 1500, 4)])
+def test_bit_vectors_find_the_leaves_of_a_walk(n_trees, psi, feats):
+    """Values on cuts, ties, trees without a test, more slots than a word has bits."""
+    rng, frames = np.random.default_rng(psi), []
+    for t in range(n_trees):
+        x = np.round(rng.normal(size=(psi, feats)), 1 + t % 4)
+        f = pd.DataFrame(fo._grow(x, rng, max(1, int(np.ceil(np.log2(max(psi, 2)))))), columns=["node", "feature", "cut", "size", "depth"])
+        frames.append(f.assign(tree=t, psi=psi))
+    nodes = pd.concat(frames)
+    cuts = nodes.loc[nodes["feature"] >= 0, "cut"].to_numpy()
+    x = rng.normal(size=(300, feats))
+    if len(cuts):
+        x[::3, 0] = rng.choice(cuts, len(x[::3]))
+    want = np.zeros(len(x))
+    for _, tree in nodes.groupby("tree"):
+        at = {r.node: r for r in tree.itertuples()}
+        for i, row in enumerate(x):
+            r = at[0]
+            while r.feature >= 0:
+                r = at[2 * r.node + (1 if row[r.feature] <= r.cut else 2)]
+            want[i] += r.depth + float(fo.mean_path(r.size))
+    norm = float(fo.mean_path(np.array([psi])).mean()) or 1.0
+    got = fo.Forest(nodes, [str(i) for i in range(feats)]).decide(x, rows=64)
+    assert np.allclose(got, 0.5 - np.exp2(-want / n_trees / norm), atol=1e-12)
