@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the files of shuffles that nothing refers to any more.
+
+    Spark's cleaner removes them once the driver's JVM has collected their handles, which a driver
+    with little to do may put off for long; after a written table nothing needs them.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(text: str = "text") -> F.Column:
     """Tells rows of one doc_id apart by their text (null text: 42)."""
     return F.xxhash64(F.col(text))

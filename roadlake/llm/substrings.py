@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.llm import words as W
-from roadlake.llm.base import column, materialize, row_key, steps, utf8
+from roadlake.llm.base import column, materialize, release, row_key, steps, utf8
 
 WINDOW, SEED = 50, 10
 _RUNS = "doc_id long, row_key long, start int, count int, seed long, h1 long, h2 long"
@@ -82,6 +82,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     runs = materialize(kept.mapInArrow(_runs(window, seed), _RUNS), "rlz-runs")
     block = ["seed", "h1", "h2"]
     index = materialize(runs.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "rlz-index")
+    release(docs.sparkSession)
     held = runs.join(index.filter("n > 1").select(*block, "first_doc"), block, "left")
     whole = held.filter("first_doc < doc_id").select("doc_id", "row_key", "start", (F.col("start") + F.col("count") + (window - 1)).alias("end"))
     unsettled = index.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
@@ -89,6 +90,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     by_text = edges.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     texts = kept.join(by_text, ["doc_id", "row_key"])
     single = materialize(texts.mapInArrow(_windows(window), "doc_id long, row_key long, start int, h1 long, h2 long"), "rlz-windows")
+    release(docs.sparkSession)
     first = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
     seen = single.join(first, ["h1", "h2"]).filter("first_doc < doc_id").select("doc_id", "row_key", "start", (F.col("start") + window).alias("end"))
     return whole.unionByName(seen).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -128,6 +130,7 @@ def remove_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -
 
     Nulls and empty texts have zero words and an empty ``kept``; other columns are not looked at.
     """
-    spans = duplicate_spans(docs, window, seed)
+    spans = materialize(duplicate_spans(docs, window, seed), "rlz-spans")
+    release(docs.sparkSession)
     joined = _keyed(docs).join(spans, ["doc_id", "row_key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
