@@ -84,10 +84,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     index = materialize(runs.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "rlz-index")
     release(docs.sparkSession)
     held = runs.join(index.filter("n > 1").select(*block, "first_doc"), block, "left")
-    whole = held.filter("first_doc < doc_id").select("doc_id", "row_key", "start", (F.col("start") + F.col("count") + (window - 1)).alias("end"))
-    unsettled = index.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    edges = held.filter("first_doc is null or first_doc >= doc_id").join(unsettled, "seed", "left_semi")
-    by_text = edges.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    unsettled = index.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed", F.lit(True).alias("unsettled"))
+    settled = F.coalesce(F.col("first_doc") < F.col("doc_id"), F.lit(False))
+    held = held.select("doc_id", "row_key", "start", "count", "seed", settled.alias("settled")).join(unsettled, "seed", "left").filter("settled or unsettled")
+    # Written, so that the shuffles of the blocks are gone before the texts come.
+    held = materialize(held.select("doc_id", "row_key", "start", "count", "settled"), "rlz-held")
+    release(docs.sparkSession)
+    whole = held.filter("settled").select("doc_id", "row_key", "start", (F.col("start") + F.col("count") + (window - 1)).alias("end"))
+    by_text = held.filter("not settled").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     texts = kept.join(by_text, ["doc_id", "row_key"])
     single = materialize(texts.mapInArrow(_windows(window), "doc_id long, row_key long, start int, h1 long, h2 long"), "rlz-windows")
     release(docs.sparkSession)
