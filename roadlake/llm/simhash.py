@@ -5,6 +5,9 @@ nothing further. The distinct fingerprints are cut into tiles of one population
 tiles is compared by numpy exclusive-or and bit counts only where the counts differ by the radius at
 most, and inside a pair only stretches whose half-word counts allow it. Each comparison returns a spanning forest of
 the links it finds, never all pairs; connected components join the forests.
+
+``near_copies`` runs the comparison at a radius wide enough for a similarity of word shingles and confirms
+its candidates exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlake.llm.base import column, materialize, steps
+from roadlake.llm import words as W
+from roadlake.llm.base import column, materialize, ragged, steps, utf8
 from roadlake.llm.components import components
 
 RADIUS, SHINGLE = 4, 4
@@ -175,3 +179,213 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies: the tiled comparison at a radius wide enough for a similarity of word shingles.
+
+_ENTRY = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<i8")])
+#: Entries of one tile of near copies at most (1.3 MB).
+NEAR_TILE = 32768
+
+
+def reach(similarity: float, spread: float = 3.3) -> tuple[int, int]:
+    """How many of the first 64 and of all 128 bits may differ for sets of this Jaccard similarity.
+
+    A bit differs with probability angle / pi; ``spread`` standard deviations above the mean lose about one
+    in two thousand pairs of exactly this similarity, and fewer of a higher one.
+    """
+    p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    half, full = (int(bits * p + spread * np.sqrt(bits * p * (1 - p))) for bits in (64, 128))
+    return half, full
+
+
+def _shingles(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in ascending order, how many of them, and a hash of all its words."""
+    data, off = utf8(column(batch, "text"))
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    starts, ends, first = W.find(data, off)
+    w = W.hashes(data, starts, ends)
+    n_words = np.diff(first)
+    count = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    row = np.repeat(np.arange(len(count)), count)
+    at = ragged(first[:-1], count)
+    codes = W.Sums(w, 1).hash(at, np.minimum(at + shingle, first[row + 1]))
+    order = np.lexsort((codes, row))
+    codes, row = codes[order], row[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    whole = W.Sums(W.mix(w ^ np.uint64(0xA0761D6478BD642F)), 2).hash(first[:-1], first[1:])
+    return codes[new], np.bincount(row[new], minlength=len(count)), whole
+
+
+def _votes(codes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint of each row's codes."""
+    row = np.repeat(np.arange(len(count)), count)
+    votes = np.zeros((len(count), 64), np.int64)
+    for at in range(0, len(codes), 1 << 16):
+        part, rows = codes[at : at + (1 << 16)], row[at : at + (1 << 16)]
+        head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        votes[rows[head]] += np.add.reduceat(np.unpackbits(part.byteswap().view(np.uint8)).reshape(-1, 64), head, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _wide_prints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            codes, count, whole = _shingles(batch, shingle)
+            one, two = _votes(codes, count), _votes(W.mix(codes ^ np.uint64(0x8EBC6AF09C88C6E3)), count)
+            arrays = [pa.array(x.view(np.int64)) for x in (whole, count, one, two)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), column(batch, "row_key").cast(pa.int64()), *arrays], names=["doc_id", "row_key", "node", "n", "fp", "fp2"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            codes, count, whole = _shingles(batch, shingle)
+            lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(count)), pa.array(codes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), lists.cast(pa.list_(pa.int64()))], names=["node", "codes"])
+
+    return run
+
+
+def _pack_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tile, ones) to one row of bytes for each tile."""
+    held: list[np.ndarray] = []
+    at = None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["tile", "entries"])
+
+    for batch in batches:
+        tiles = column(batch, "tile").to_numpy(zero_copy_only=False)
+        rows = np.zeros(len(tiles), _ENTRY)
+        for name in _ENTRY.names:
+            rows[name] = column(batch, name).to_numpy(zero_copy_only=False).view(_ENTRY[name])
+        cuts = np.flatnonzero(np.diff(tiles)) + 1
+        for t, part in zip(tiles[np.append(0, cuts)] if len(tiles) else [], np.split(rows, cuts), strict=False):
+            if at is not None and t != at:
+                yield row()
+                held = []
+            at = int(t)
+            held.append(part)
+    if held:
+        yield row()
+
+
+def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of two tiles (within one, if ``b`` is None) that lie within reach, are of like sizes and of
+    different components: a spanning forest of them, or every one. Tiles are in order of population counts."""
+    half, full = reach(similarity)
+    same = b is None
+    b = a if same else b
+    off = 0 if same else len(a)
+    both = a if same else np.concatenate([a, b])
+    label = np.unique(both["comp"], return_inverse=True)[1]
+    ha, hb = (np.bitwise_count(z["fp"]).astype(np.int64) for z in (a, b))
+    fa, fb = np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"])
+    at = 0
+    while at < len(a):
+        c0 = max(int(np.searchsorted(hb, ha[at] - half)), at + 1 if same else 0)
+        to = min(len(a), at + max(1, (1 << 20) // max(1, len(b) - c0)))
+        c1 = int(np.searchsorted(hb, ha[to - 1] + half, "right"))
+        d = np.bitwise_count(fa[at:to, None] ^ fb[None, c0:c1])
+        x, y = np.nonzero(d <= half)
+        d = d[x, y].astype(np.int64)
+        x, y = x + at, y + c0
+        at = to
+        keep = d + np.bitwise_count(a["fp2"][x] ^ b["fp2"][y]) <= full
+        m, n = a["n"][x], b["n"][y]
+        keep &= (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & ((x < y) if same else True)
+        x, y = x[keep], y[keep] + off
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+        if every:
+            if len(x):
+                yield both["node"][x], both["node"][y]
+            continue
+        while len(x):
+            lx, ly = label[x], label[y]
+            top, low = np.maximum(lx, ly), np.minimum(lx, ly)
+            roots, pick = np.unique(top, return_index=True)  # one hook for each root
+            yield both["node"][x[pick]], both["node"][y[pick]]
+            up = np.arange(len(both))
+            up[roots] = low[pick]
+            while not np.array_equal(further := up[up], up):
+                up = further
+            label = up[label]
+            open_ = label[x] != label[y]
+            x, y = x[open_], y[open_]
+
+
+def _candidates(similarity: float, every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True):
+                a, b = (None if z is None else np.frombuffer(z, _ENTRY) for z in (p, q))
+                for x, y in candidates(a, b, similarity, every):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def _sweep(nodes: DataFrame, similarity: float, every: bool, tile: int) -> DataFrame:
+    """Candidates (a, b) among nodes (node, comp, n, fp, fp2) of different components.
+
+    Sets of a similarity have sizes of at least that ratio, so tiles are cut from size classes that grow by it,
+    and a class meets itself and the next.
+    """
+    width = max(12, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    step = float(np.log(1 / similarity)) * (1 + 1e-9)
+    sized = nodes.withColumns({"class": F.floor(F.log(F.greatest("n", F.lit(1))) / step).cast("int"), "ones": F.bit_count("fp")})
+    # One row for each size class, about a hundred for the longest text that a row can hold.
+    parts = materialize(sized.groupBy("class").agg(F.ceil(F.count("*") / tile).alias("parts")), "near-sizes")
+    cut = sized.join(F.broadcast(parts), "class").withColumn("tile", F.col("class") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+    packed = cut.select("tile", "ones", *_ENTRY.names).repartition(width, "tile").sortWithinPartitions("tile", "ones").mapInArrow(_pack_entries, "tile long, entries binary")
+    packed = materialize(packed.withColumn("class", F.shiftright("tile", 32)), "near-tiles")
+    met = packed.select("tile", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    met = met.join(packed.select(F.col("tile").alias("other"), "class"), "class").filter("tile <= other").select("tile", "other")
+    paired = met.join(packed.select("tile", F.col("entries").alias("left")), "tile").join(packed.select(F.col("tile").alias("other"), F.col("entries").alias("right")), "other")
+    paired = paired.select("tile", "other", "left", F.when(F.col("tile") != F.col("other"), F.col("right")).alias("right"))
+    found = paired.repartition(width, "tile", "other").select("left", "right").mapInArrow(_candidates(similarity, every), "a long, b long")
+    return materialize(found, "near-candidates")
+
+
+def _confirmed(pairs: DataFrame, keyed: DataFrame, spoken: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs whose shingle sets have the similarity; ``spoken`` names one row (doc_id, row_key) for each node."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(spoken, "node")
+    asked = asked.select("row.*").alias("r")
+    texts = keyed.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.row_key") == F.col("r.row_key")), "left_semi")
+    sets = texts.dropDuplicates(["row_key"]).select("text").mapInArrow(_sets(shingle), "node long, codes array<long>")
+    sets = materialize(sets, "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
+    return materialize(counted.filter(F.col("shared") >= (F.col("sum") - F.col("shared")) * similarity - 1e-9).select("a", "b"), "near-links")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = NEAR_TILE) -> DataFrame:
+    """One row per input row: doc_id, row_key, node, component and component_id, the groups that links join.
+
+    Texts are linked where the Jaccard similarity of their sets of word shingles (A-Z lower-cased) reaches
+    ``similarity``; fewer than ``shingle`` words are one shingle. Texts of the same words are one node, and so are
+    all null and wordless texts. Tiles of 128-bit fingerprints give the candidates (see ``reach``), exact set
+    intersections decide. A first sweep takes a spanning forest of the candidates, a second one every candidate
+    that the confirmed links of the first do not join already: inside a group of copies no pairs are written.
+    ``component_id`` is the smallest doc_id of the group, null where none of its rows has one.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    prints = materialize(keyed.mapInArrow(_wide_prints(shingle), "doc_id long, row_key long, node long, n long, fp long, fp2 long"), "near-prints")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    nodes = materialize(nodes, "near-nodes")
+    spoken = nodes.select("node", "row")
+    entries = nodes.select("node", "n", "fp", "fp2")
+    links = _confirmed(_sweep(entries.withColumn("comp", F.col("node")), similarity, False, tile).distinct(), keyed, spoken, similarity, shingle)
+    joined = components(links).select("node", F.col("component").alias("comp"))
+    rest = entries.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = _confirmed(_sweep(rest, similarity, True, tile), keyed, spoken, similarity, shingle)
+    groups = components(links.unionByName(more))
+    placed = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = placed.select("node", "component").join(least, "component")
+    return prints.select("doc_id", "row_key", "node").join(by_node, "node").select("doc_id", "row_key", "node", "component", "component_id")

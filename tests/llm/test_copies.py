@@ -173,6 +173,74 @@ def groups(nodes, pairs):
     return {frozenset(x) for x in out.values()}
 
 
+def jaccard_groups(rows, similarity=0.8, k=5):
+    """Component of every row: links where the sets of k-word shingles are that similar; equal words are one text."""
+    split = [tuple(WORD.findall(lower(t or ""))) for _, t in rows]
+    texts = {w: i for i, w in enumerate(dict.fromkeys(split))}
+    sets = [{w[i : i + k] for i in range(max(1, len(w) - k + 1))} if w else set() for w in texts]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    pairs = {(i, j) for held in holders.values() for i in held for j in held if i < j}
+    linked = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9}
+    place = {n: g for g in groups(range(len(sets)), linked) for n in g}
+    return [place[texts[w]] for w in split]
+
+
+def edited_copies(n, distinct=40):
+    """Texts of many lengths with copies that a few words tell apart, at similarities on both sides of 0.8."""
+    rows, r = [], np.random.default_rng(11)
+    for i in range(n):
+        base = [f"w{i % distinct}x{j}" for j in range(6 + 9 * (i % distinct))]
+        for j in r.choice(len(base), min(len(base), int(r.integers(0, 2 + len(base) // 30))), replace=False):
+            base[j] = f"n{i}x{j}"
+        rows.append((n - i, " ".join(base), "en", "a", 0))
+    return rows
+
+
+@pytest.mark.parametrize("name", ["awkward", "crowd", "documents", "nothing", "edited"])
+@pytest.mark.parametrize("tile", [50, simhash.NEAR_TILE])
+def test_near_copies_match_brute_force(spark, request, name, tile):
+    df = spark.createDataFrame(edited_copies(400), "doc_id long, text string, lang string, source string, n_chars long") if name == "edited" else request.getfixturevalue(name)
+    rows = rows_of(df)
+    members = defaultdict(list)
+    place = jaccard_groups(rows)
+    for g, (d, _) in zip(place, rows, strict=True):
+        members[g].append(d)
+    want = sorted((str(d), min((x for x in members[g] if x is not None), default=None)) for g, (d, _) in zip(place, rows, strict=True))
+    got = simhash.near_copies(df, tile=tile).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == want
+    if name in ("crowd", "edited"):
+        assert any(len({t for g, (_, t) in zip(place, rows, strict=True) if g == one}) > 1 for one in members)
+
+
+def test_candidates_of_two_tiles_are_those_of_all_pairs():
+    r = np.random.default_rng(5)
+    rows = np.zeros(600, simhash._ENTRY)
+    centres = r.integers(0, 2**63, (12, 2), dtype=np.uint64)
+    noise = np.bitwise_and.reduce(r.integers(0, 2**64, (3, 600, 2), dtype=np.uint64))
+    pick = r.integers(0, 12, 600)
+    rows["fp"], rows["fp2"] = (centres[pick] ^ noise).T
+    rows["node"] = np.arange(600)
+    rows["comp"], rows["n"] = rows["node"] // 2, 100 + pick * 3 + r.integers(0, 3, 600)
+    half, full = simhash.reach(0.8)
+    parts = [z[np.argsort(np.bitwise_count(z["fp"]), kind="stable")] for z in (rows[:350], rows[350:])]
+    for a, b in ((parts[0], parts[1]), (parts[0], None)):
+        other, want = a if b is None else b, set()
+        for x in a:
+            for y in other:
+                d = int(np.bitwise_count(x["fp"] ^ y["fp"]))
+                like = min(x["n"], y["n"]) >= 0.8 * max(x["n"], y["n"])
+                if x["comp"] != y["comp"] and like and d <= half and d + int(np.bitwise_count(x["fp2"] ^ y["fp2"])) <= full:
+                    want.add((min(x["node"], y["node"]), max(x["node"], y["node"])))
+        spread = lambda every: {(int(min(p, q)), int(max(p, q))) for u, v in simhash.candidates(a, b, 0.8, every) for p, q in zip(u, v, strict=True)}  # noqa: B023, E731
+        assert want and spread(True) == want and spread(False) <= want
+        held = {(2 * i, 2 * i + 1) for i in range(300)}
+        nodes = range(600)
+        assert groups(nodes, spread(False) | held) == groups(nodes, want | held)
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(1000, 1200)]

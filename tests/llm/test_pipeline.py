@@ -1,15 +1,16 @@
 """The pipeline's stages, one after the other, against plain walks over what each receives."""
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from test_copies import jaccard_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from roadlake.llm import contamination, mixing, queries, simhash
+from roadlake.llm import contamination, mixing, queries
 from roadlake.session import materialize
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def rows_of(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["awkward", "documents", "nothing"])
+@pytest.mark.parametrize("name", ["awkward", "crowd", "around_phrase", "documents", "nothing"])
 def test_stages(spark, request, name):
     docs = request.getfixturevalue(name)
     at = {c: i for i, c in enumerate(docs.columns)}
@@ -35,9 +36,13 @@ def test_stages(spark, request, name):
         if stage == "language":
             assert all(any(c.isalpha() for c in r[at["text"]] or "") for r in after) and all(n == before[r] for r, n in after.items())
         if stage == "near_dedup":
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
+            rows = [(r[at["doc_id"]], r[at["text"]]) for r in before.elements()]
+            place, groups = jaccard_groups(rows), defaultdict(set)
+            for g, (d, _) in zip(place, rows, strict=True):
+                groups[g].add(d)
             kept = [r[at["doc_id"]] for r in after.elements() if r[at["doc_id"]] is not None]
-            assert sorted(kept) == sorted(set(groups.values()) - {None})
+            assert sorted(kept) == sorted({min(m - {None}) for m in groups.values() if m - {None}})
+            assert sum(r[at["doc_id"]] is None for r in after.elements()) == sum(m == {None} for m in groups.values())
         if stage == "decontaminate":
             hit = {(r["doc_id"]) for r in contamination.find(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
             assert {r[at["doc_id"]] for r in after} == {r[at["doc_id"]] for r in before} - hit
