@@ -25,15 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies, and of rows that share that
-    doc_id one (of the smallest text hash). Rows without doc_id stay where no other of their group does."""
+    doc_id one (of the smallest text hash). Near copies have a Jaccard similarity of 0.8 or more by their sets of
+    five-word shingles. Null and wordless texts are one group; of a group without any doc_id one row stays. Repeated
+    rows are copies; other columns are not looked at; an empty table stays empty."""
     prepare(spark)
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.near_copies(docs)
     first = groups.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     keep = first.groupBy("component_id", "doc_id").agg(F.min("row_key").alias("row_key")).filter(F.col("doc_id").isNotNull())
     key = fresh("row_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64("text"))
     named = keyed.dropDuplicates(["doc_id", key]).alias("d").join(keep.alias("k"), (F.col("d.doc_id") == F.col("k.doc_id")) & (F.col(f"d.{key}") == F.col("k.row_key")), "left_semi")
-    nameless = first.filter("component_id is null").select("fingerprint", "row_key").groupBy("fingerprint").agg(F.min("row_key").alias("row_key"))
+    nameless = first.filter("component_id is null").groupBy("component").agg(F.min("row_key").alias("row_key"))
     rest = keyed.filter("doc_id is null").dropDuplicates([key]).alias("d").join(nameless.alias("k"), F.col(f"d.{key}") == F.col("k.row_key"), "left_semi")
     return named.unionByName(rest).select(*docs.columns)
 
