@@ -13,6 +13,7 @@ Buckets are cut into blocks, as are the queries that probe them: a task compares
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -221,8 +222,20 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = K, tables: int = TAB
     nearest other rows by inner product, nearest first, ties to the smaller id.
 
     An id that several rows share counts as one row if their vectors are equal, and as several otherwise;
-    a query never finds its own id. With fewer than k other rows all that are found are returned.
+    a query never finds its own id. With fewer than k other rows all that are found are returned. Vectors have
+    products with those of their own length only, so each length is searched apart. Vectors that are null, zero
+    or hold null or non-finite components take no part; an empty table gives no rows.
     """
+    # One number for each length that occurs.
+    lengths = sorted(r["d"] for r in vectors.select(F.size(vec_col).alias("d")).filter("d > 0").distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_search(vectors.filter(F.size(vec_col) == d), is_query, k, tables, probes, id_col, vec_col) for d in lengths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search(vectors: DataFrame, is_query: F.Column, k: int, tables: int, probes: int | None, id_col: str, vec_col: str) -> DataFrame:
+    """``search`` over vectors of one length."""
     keep = k + 1  # a query may find itself
     spark = vectors.sparkSession
     index = materialize(entries(vectors, keep, id_col, vec_col), "ann-entries")

@@ -234,3 +234,17 @@ def test_neighbours_with_few_rows(spark):
     got = sorted(map(tuple, neighbours.search(df, F.col("id") % 20 == 0, probes=4).collect()))
     assert got == [(0, 1, 20, 1.0), (0, 2, 5, 0.0), (20, 1, 0, 1.0), (20, 2, 5, 0.0)]
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).collect() == []
+
+
+def test_neighbours_of_every_length(spark):
+    """Vectors of a length that is not the most common one are searched among their own."""
+    df, v = vectors(spark)
+    r = np.random.default_rng(10)
+    few = r.normal(size=(30, 5)).astype(np.float32)
+    both = df.select("vec_id", "embedding").unionByName(spark.createDataFrame([(2000 + i, x.tolist()) for i, x in enumerate(few)], "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, neighbours.search(both, F.col("id") % 20 == 0, probes=10).collect()))
+    few = few.astype(np.float64)
+    for q in (0, 20):
+        want = sorted((i for i in range(30) if i != q), key=lambda i: (-(few[i] * few[q]).sum(), i))[:20]
+        assert [(rank, i) for id_, rank, i, _ in got if id_ == 2000 + q] == [(n + 1, 2000 + i) for n, i in enumerate(want)]
+    assert {id_ for id_, *_ in got} == {*range(0, 600, 20), 2000, 2020}
