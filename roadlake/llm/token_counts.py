@@ -21,7 +21,7 @@ from roadlake.llm.base import column, steps
 from roadlake.llm.pieces import Growing, Lexicon, Splitter
 
 LIMIT = 1024
-#: Pieces whose count a worker remembers; beyond it the memory starts anew.
+#: Pieces whose count, and pairs of tokens whose fit, a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")  # fixed values: the pattern's own
 
@@ -43,7 +43,12 @@ class PrefixCounter:
         specials = set(self.splitter.specials)
         self._tokens = {plain(t) for t in model["vocab"] if t not in specials}
         self._rank = {tuple(map(plain, m.split(" ") if isinstance(m, str) else m)): i for i, m in enumerate(model["merges"])}
-        self._longest = max(map(len, self._tokens))
+        # Lengths of the tokens of three bytes or more that end alike, longest first; shorter ones are always tried.
+        tails: dict[bytes, set[int]] = {}
+        for token in self._tokens:
+            if len(token) > 2:
+                tails.setdefault(token[-3:], set()).add(len(token))
+        self._tails = {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in tails.items()}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._lexicon = Lexicon(self.splitter, REMEMBERED)
         self._forget()
@@ -76,17 +81,20 @@ class PrefixCounter:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) >= REMEMBERED:
+                self._fits.clear()
             known = self._fits[key] = self._merged(left + right) == ([left, right] if left else [right])
         return known
 
     def table(self, piece: str) -> list[int]:
         """Token counts of all byte prefixes of one piece, from the empty one."""
         raw = piece.encode()
-        n, tokens, longest, fits = len(raw), self._tokens, self._longest, self._fits
+        n, tokens, tails, fits = len(raw), self._tokens, self._tails, self._fits
         last, count = [b""] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = raw[start:end]
+            for size in tails.get(raw[max(0, end - 3) : end], (2, 1)):
+                start = end - size
+                token = raw[start:end] if start >= 0 else b""
                 if token in tokens:
                     key = (last[start], token)
                     ok = fits.get(key)
