@@ -11,6 +11,8 @@ Words are runs of letters and digits, lower-cased: layout, case and punctuation
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +56,15 @@ def sketches(items: DataFrame, k: int = SHINGLE, contain: float = CONTAIN) -> Da
     return sized.select("item_id", "item_key", "n", least.alias("least"), F.explode_outer(F.slice("_codes", F.lit(1), take)).alias("code"))
 
 
-def find(docs: DataFrame, items: DataFrame, k: int = SHINGLE, contain: float = CONTAIN) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, k: int = SHINGLE, contain: float = CONTAIN, short: int | None = None) -> DataFrame:
     """(doc_id, row_key, item_id, n_shingles, n_found, containment): each document and the items it holds.
 
     ``n_shingles`` is the number of distinct shingles of the item, ``n_found`` those that the document has;
     pairs with n_found >= contain * n_shingles are returned. Items of fewer than k words are one shingle of
-    all of them, and are found in texts of just these words. Null texts and texts without words hold
+    all of them, and are found in texts of just these words; with ``short``, those of that many words or more
+    are found wherever their words follow each other. Null texts and texts without words hold
     nothing; items without words are never found. ``row_key`` (a hash of the text) tells rows of one doc_id
-    apart; repeated rows are one.
+    apart; repeated rows are one. Other columns are not looked at; an empty table on either side gives no rows.
     """
     index = materialize(sketches(items, k, contain), "minhash-sketches")
     small = index.count() <= SMALL_INDEX
@@ -72,7 +75,31 @@ def find(docs: DataFrame, items: DataFrame, k: int = SHINGLE, contain: float = C
     codes = hashed.select("doc_id", "row_key", F.size("_shingles").alias("_n"), F.explode_outer("_shingles").alias("code"))
     met = codes.join(F.broadcast(index) if small else index, "code").filter("_n >= least")
     pairs = materialize(met.select("doc_id", "row_key", "item_id", "item_key").distinct(), "minhash-candidates")
-    return _verified(keyed, items, pairs, k, contain)
+    found = _verified(keyed, items, pairs, k, contain)
+    if short is None:
+        return found
+    return reduce(DataFrame.unionByName, _phrases(keyed, items, short, k), found).distinct()
+
+
+def _phrases(keyed: DataFrame, items: DataFrame, least: int, k: int) -> list[DataFrame]:
+    """Texts that hold the whole phrase of an item of ``least`` to k - 1 words, one table for each length."""
+    phrases = items.select("item_id", _words("text").alias("_words")).filter(F.size("_words").between(least, k - 1))
+    phrases = materialize(phrases.distinct(), "short-items")
+    lengths = sorted(r["n"] for r in phrases.select(F.size("_words").alias("n")).distinct().collect())  # k - 1 at most
+    out = []
+    for n in lengths:
+        index = _with_hashes(phrases.filter(F.size("_words") == n), n).select("item_id", F.array_join("_words", " ").alias("_phrase"), F.get("_shingles", F.lit(0)).alias("code"))
+        index = materialize(index, "short-index")
+        hashed = _with_hashes(keyed.select("doc_id", "row_key", _words("text").alias("_words")), n)
+        codes = hashed.select("doc_id", "row_key", F.explode_outer("_shingles").alias("code"))
+        met = codes.join(F.broadcast(index) if index.count() <= SMALL_INDEX else index, "code").select("doc_id", "row_key", "item_id", "_phrase").distinct().alias("m")
+        texts = keyed.alias("t").join(met, F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.row_key") == F.col("m.row_key")))
+        # Words hold no space, so the phrase between spaces is a run of whole words.
+        spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        held = texts.filter(F.contains(spaced(F.array_join(_words("text"), " ")), spaced(F.col("_phrase"))))
+        one = F.lit(1).cast("long")
+        out.append(held.select("t.doc_id", "t.row_key", "item_id", one.alias("n_shingles"), one.alias("n_found"), F.lit(1.0).alias("containment")))
+    return out
 
 
 def _verified(keyed: DataFrame, items: DataFrame, pairs: DataFrame, k: int, contain: float) -> DataFrame:
