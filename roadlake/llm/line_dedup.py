@@ -1,11 +1,12 @@
 """Line dedup with two Bloom filters.
 
-One filter takes the line hashes seen once, the other those seen again. Each task fills its own pair of
-bit maps; positions travel as segments, so that what moves is a few bytes per distinct line, and the
-segments of all tasks are merged into one pair. Only lines in the second filter are suspected repeats:
-they alone shuffle, with their text, for exact confirmation (counts of documents) and the choice of the
-occurrence that stays. The filters have a fixed size, which bounds what is broadcast; when they fill up,
-more lines are suspected and shuffled, and the result stays the same.
+One filter takes the line hashes seen once, the other those seen again. Each task gathers the positions of
+its own lines, several for each line; they travel as segments, so that what moves is a few bytes per distinct
+line, and the segments of all tasks are merged into one pair. Only lines in the second filter are suspected
+repeats: they alone shuffle, with their text, for exact confirmation (counts of documents) and the choice of
+the occurrence that stays. The filters grow with a bound on the number of lines, counted first, up to
+``MOST_BITS``, which bounds what is broadcast; beyond it they fill up, more lines are suspected and shuffled,
+and the result stays the same.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from roadlake.llm import words as W
 from roadlake.llm.base import column, materialize, steps, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Bits of each filter (8 MB); a segment is 2**16 of them.
-FILTER_BITS = 1 << 26
+#: Hash functions; bits of a filter for each line, and at most (64 MB); a segment is 2**16 bits.
+HASHES, BITS_PER_LINE, MOST_BITS = 3, 8, 1 << 29
 _SEGMENT = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,22 +62,40 @@ class Keys:
         self.row = np.searchsorted(self.first, self.long, "right") - 1
 
 
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """One row of positions for each hash function."""
+    step = W.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+    turns = np.arange(HASHES, dtype=np.uint64)[:, None]
+    return ((hashes + turns * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def _fill(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        lines, docs, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            """The distinct lines so far and in how many documents each stands."""
+            fresh = np.concatenate([lines[:0], *held])
+            all_, back = np.unique(np.append(lines, fresh), return_inverse=True)
+            return all_, np.bincount(back, np.append(docs, np.ones(len(fresh), np.int64)), len(all_)).astype(np.int64)
+
         for batch in steps(batches):
             k = Keys(*utf8(column(batch, "text")), min_chars)
             # A document counts once: repeats inside it suspect nothing.
             own = k.hash[np.unique(W.mix(k.hash) ^ W.mix(k.row.astype(np.uint64)), return_index=True)[1]]
-            at, n = np.unique(own & np.uint64(bits - 1), return_counts=True)
-            at = at.astype(np.int64)
-            again[at[(n > 1) | once[at]]] = True
-            once[at] = True
-        for s in np.flatnonzero(once.reshape(-1, min(_SEGMENT, bits)).any(axis=1)):
-            a, b = s * _SEGMENT, (s + 1) * _SEGMENT
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(s)], pa.int32()), pa.array([np.flatnonzero(once[a:b]).astype("<u2").tobytes()], pa.binary()), pa.array([np.flatnonzero(again[a:b]).astype("<u2").tobytes()], pa.binary())],
-                names=["segment", "once", "again"])
+            held.append(own)
+            waiting += len(own)
+            if waiting > max(len(lines), 1 << 18):
+                lines, docs = folded()
+                held, waiting = [], 0
+        lines, docs = folded()
+        once = np.unique(_positions(lines, bits))
+        again = np.unique(_positions(lines[docs > 1], bits))
+        touched = np.unique(once // _SEGMENT)
+        cuts, more = (np.searchsorted(z, np.append(touched, touched[-1:] + 1) * _SEGMENT) for z in (once, again))
+        for i, s in enumerate(touched.tolist()):
+            seen, twice = ((z[c[i] : c[i + 1]] - s * _SEGMENT).astype("<u2").tobytes() for z, c in ((once, cuts), (again, more)))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([seen], pa.binary()), pa.array([twice], pa.binary())], names=["segment", "once", "again"])
 
     return run
 
@@ -103,15 +122,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def repeat_filter(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = MIN_CHARS) -> np.ndarray:
-    """The filter of line hashes seen in two documents or more, packed (bits / 8 bytes, whatever the input)."""
+def filter_bits(docs: DataFrame, min_chars: int = MIN_CHARS) -> int:
+    """Bits of a filter for all lines that may be long enough: no more than the breaks of a text allow, nor its length."""
+    length = F.length("text")
+    most = F.least(length - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.floor((length + 1) / (min_chars + 1)))
+    lines = docs.agg(F.sum(most)).first()[0] or 0
+    return min(MOST_BITS, max(1 << 20, 1 << int(BITS_PER_LINE * lines).bit_length()))
+
+
+def repeat_filter(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> np.ndarray:
+    """The filter of line hashes seen in two documents or more, packed (bits / 8 bytes)."""
     width = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = docs.select("text").mapInArrow(_fill(bits, min_chars), "segment int, once binary, again binary")
     merged = parts.repartition(width, "segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, again binary")
-    out = np.zeros(bits, bool)
+    out, one = np.zeros((bits // _SEGMENT, _SEGMENT // 8), np.uint8), np.zeros(_SEGMENT, bool)
     for r in merged.toLocalIterator():
-        out[r["segment"] * _SEGMENT + np.frombuffer(r["again"], "<u2").astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+        one[:] = False
+        one[np.frombuffer(r["again"], "<u2")] = True
+        out[r["segment"]] = np.packbits(one, bitorder="little")
+    return out.ravel()
 
 
 def _suspects(shared, bits: int, min_chars: int):
@@ -119,8 +148,8 @@ def _suspects(shared, bits: int, min_chars: int):
         packed = shared.value
         for batch in steps(batches):
             k = Keys(*utf8(column(batch, "text")), min_chars)
-            at = (k.hash & np.uint64(bits - 1)).astype(np.int64)
-            hit = np.flatnonzero(packed[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            at = _positions(k.hash, bits)
+            hit = np.flatnonzero((packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0))
             line, row = k.long[hit], k.row[hit]
             raw = k.data.tobytes()
             keys = [raw[a:b] for a, b in zip(k.start[line].tolist(), k.end[line].tolist(), strict=True)]
@@ -132,9 +161,10 @@ def _suspects(shared, bits: int, min_chars: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
     """(doc_id, row_key, lines): the numbers of the lines to drop, from 0, for each text that loses some."""
     kept = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    bits = filter_bits(kept, min_chars) if bits is None else bits
     shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(kept, bits, min_chars))
     found = kept.mapInArrow(_suspects(shared, bits, min_chars), "doc_id long, row_key long, line int, key string")
     # A 128-bit name for the key is what is stored and joined; the text itself is not needed twice.
@@ -165,7 +195,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_lines", "n_dropped", "kept"])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped and ``kept``, the lines left joined by \\n.
 
     A key (the line trimmed and A-Z lower-cased) of at least ``min_chars`` code points in at least

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from parity import compare, duck
+from pyspark.sql import functions as F
 
 from roadlake.llm import components, contamination, line_dedup, queries, simhash, substrings, suffixes
 from roadlake.llm import words as W
@@ -275,6 +276,35 @@ def test_full_filters_change_nothing(documents):
     assert a == b
 
 
+def test_filters_grow_with_the_lines(spark, documents, nothing):
+    """Filters have bits for every line that may count, so that few lines are suspected at any size."""
+    assert line_dedup.filter_bits(nothing) == 1 << 20
+    rows = [(i, "\n".join(f"a line of its own with the number {i * 500 + j:09d} and so on" for j in range(500)), "en", "a", 0) for i in range(600)]
+    many = spark.createDataFrame(rows, nothing.schema).repartition(5)
+    bits = line_dedup.filter_bits(many)
+    assert 8 * 300_000 <= bits <= 32 * 300_000
+    packed = line_dedup.repeat_filter(many, bits)
+    shared = spark.sparkContext.broadcast(packed)
+    suspected = many.withColumn("row_key", F.xxhash64("text")).mapInArrow(line_dedup._suspects(shared, bits, 40), "doc_id long, row_key long, line int, key string").count()
+    assert suspected <= 0.05 * 300_000
+    assert line_dedup.repeated_lines(many).count() == 0
+
+
+def test_short_items_are_found_inside_documents(spark, awkward, nothing):
+    items = spark.createDataFrame([(1, "same same"), (2, "One, two THREE"), (3, "two"), (4, "ame same same"), (5, None), (None, "Straße école"), (2, "one two three")], "item_id long, text string")
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = set()
+    for d, t in rows_of(awkward):
+        for r in items.collect():
+            w = words(r["text"])
+            if 2 <= len(w) < 5 and f" {' '.join(w)} " in f" {' '.join(words(t))} ":
+                want.add((d, r["item_id"], 1, 1))
+    whole = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in contamination.find(awkward, items).collect()}
+    got = [(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in contamination.find(awkward, items, short=2).select("doc_id", "item_id", "n_shingles", "n_found").distinct().collect()]
+    assert len(want - whole) >= 2 and set(got) == want | whole and len(got) == len(set(got))
+    assert contamination.find(nothing, items, short=1).count() == 0 == contamination.find(awkward, items.limit(0), short=1).count()
+
+
 def test_contamination_matches_brute_force(spark, awkward, documents, nothing):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     long = awkward.filter("doc_id = 31").first()["text"]
