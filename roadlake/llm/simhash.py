@@ -191,8 +191,8 @@ NEAR_TILE = 32768
 def reach(similarity: float, spread: float = 3.3) -> tuple[int, int]:
     """How many of the first 64 and of all 128 bits may differ for sets of this Jaccard similarity.
 
-    A bit differs with probability angle / pi; ``spread`` standard deviations above the mean lose about one
-    in two thousand pairs of exactly this similarity, and fewer of a higher one.
+    A bit differs with probability angle / pi; at ``spread`` standard deviations above the mean up to
+    two in a thousand pairs of exactly this similarity are lost, and fewer of a higher one.
     """
     p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     half, full = (int(bits * p + spread * np.sqrt(bits * p * (1 - p))) for bits in (64, 128))
