@@ -295,12 +295,12 @@ def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, every: bo
         d = d[x, y].astype(np.int64)
         x, y = x + at, y + c0
         at = to
+        open_ = label[x] != label[y + off]  # first: in a group of copies this leaves next to nothing
+        x, y, d = x[open_], y[open_], d[open_]
         keep = d + np.bitwise_count(a["fp2"][x] ^ b["fp2"][y]) <= full
         m, n = a["n"][x], b["n"][y]
         keep &= (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & ((x < y) if same else True)
         x, y = x[keep], y[keep] + off
-        open_ = label[x] != label[y]
-        x, y = x[open_], y[open_]
         if every:
             if len(x):
                 yield both["node"][x], both["node"][y]
