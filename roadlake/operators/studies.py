@@ -30,15 +30,15 @@ def holdout_report(scored: DataFrame, by: str = "condition", ps: Sequence[float]
 
 
 def score_session(tel: DataFrame, sessions: DataFrame, session_id: str, model: fo.Forest, threshold: float, window_s: float = 60, resample: bool = False,
-                  now: dt.datetime | None = None) -> DataFrame:
+                  now: dt.datetime | None = None, peers: bool = False) -> DataFrame:
     """One stored session through features, optional 1 Hz, score and flag.
 
-    The session is one trip; its bounds reach the scan as literals.
+    The session is one trip; its bounds reach the scan as literals.  ``peers`` as in :func:`~roadlake.operators.features.rolling_median_dev`.
     """
     rows = iv.rows_of(tel, sessions, session_id, now).withColumn("trip", F.lit(0))
     car = "coolant_temp_c_dev" in model.features
     cols = ["coolant_temp_c", "rpm"] if car else ["rpm", "engine_load_pct"]
-    d = ft.rolling_median_dev(rows, cols, window_s, ["trip"])
+    d = ft.rolling_median_dev(rows, cols, window_s, ["trip"], peers=peers)
     d = ft.trim_cold_start(d, window_s)
     if resample:
         keep = [*model.features, *[c for c in ("rpm", "coolant_temp_c") if c not in model.features]]
@@ -62,7 +62,7 @@ def _volume_stages(pool: DataFrame, key: str, trip: str, time: str, window_s: fl
     of the held-out trips."""
     tk = [key, trip]
     roles = materialize(sp.hold_out_last(q.trip_bounds(pool, tk, time), key, trip), "roles")
-    fx = ft.population_features(pool, window_s, tk, time=time)
+    fx = ft.population_features(pool, window_s, tk, time=time, peers=True)
     fx = materialize(fx.join(roles.where("role <> 'rejected'").select(*tk, "role"), tk), "features")
     test = fx.where("role = 'test'").select(*tk, time, *row_key, *fa.POOL_FEATURES)
     wins = fa.dense_windows(test, fa.POOL_FEATURES, tk, time, max_per_trip).withColumn("window_id", F.xxhash64(trip, "chunk"))

@@ -64,7 +64,7 @@ def u():
 
 
 def pool(spark, d, w=30):
-    return materialize(ft.population_features(fx.solid_trips(spark, d), w).drop("rpm"), "features")
+    return materialize(ft.population_features(fx.solid_trips(spark, d), w, peers=True).drop("rpm"), "features")
 
 
 _RNG = "(PARTITION BY vehicle_id, trip ORDER BY time RANGE BETWEEN INTERVAL '{w}.999999' SECOND PRECEDING AND CURRENT ROW)"
@@ -79,7 +79,7 @@ def _pool_sql(w=30, seconds=120):
 
 def car(spark, d):
     t = fx.solid_trips(spark, d, 240)
-    f = ft.single_car_features(t, 60)[0]
+    f = ft.single_car_features(t, 60, peers=True)[0]
     return materialize(ft.resample_last(f, CAR, required=CAR), "features")
 
 
@@ -186,7 +186,7 @@ def sealed_windows(spark, d):
 
 def session(spark, d):
     m = fo.Forest(probe_nodes(POOL), POOL)
-    out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 30, now=fx.NOW)
+    out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 30, now=fx.NOW, peers=True)
     return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", "speed_kmh", F.round("score", 9).alias("score"), "is_anomalous"))
 
 
@@ -199,7 +199,7 @@ _SESS = (f"WITH {fx.JOINED}, s0 AS (SELECT *, rpm - MEDIAN(rpm) OVER {_RS} AS rp
 def session_car(spark, d):
     """The single-car model: 60 s windows, one row per second."""
     m = fo.Forest(probe_nodes(CAR), CAR)
-    out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 60, resample=True, now=fx.NOW)
+    out = st.score_session(fx.telemetry(spark, d), fx.sessions(spark, d), "s5", m, 0.0, 60, resample=True, now=fx.NOW, peers=True)
     return rounded(out.select("time", *CAR, F.round("score", 9).alias("score"), "is_anomalous"))
 
 
@@ -210,7 +210,7 @@ _SESS_CAR = (f"WITH {fx.JOINED}, s0 AS (SELECT *, coolant_temp_c - MEDIAN(coolan
 
 
 def populations(spark, d):
-    p = ft.population_features(fx.solid_trips(spark, d), 30)
+    p = ft.population_features(fx.solid_trips(spark, d), 30, peers=True)
     return rounded(st.compare_populations({"fleet": p.where("vehicle_id <> 3"), "own": p.where("vehicle_id = 3")}, "rpm_dev", -3000, 5000))
 
 

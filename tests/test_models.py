@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import shutil
 
 import numpy as np
 import pandas as pd
 import pytest
+from parity import compare
 from pyspark.sql import functions as F
 
 from roadlake.operators import faults as fa
@@ -15,6 +17,7 @@ from roadlake.operators import quality as q
 from roadlake.operators import splits as sp
 from roadlake.operators import studies as st
 from roadlake.operators import volume as vo
+from roadlake.queries import anomaly, features, streams
 
 T0 = 1_704_067_200_000_000
 
@@ -246,3 +249,41 @@ def test_bit_vectors_find_the_leaves_of_a_walk(n_trees, psi, feats):
     norm = float(fo.mean_path(np.array([psi])).mean()) or 1.0
     got = fo.Forest(nodes, [str(i) for i in range(feats)]).decide(x, rows=64)
     assert np.allclose(got, 0.5 - np.exp2(-want / n_trees / norm), atol=1e-12)
+
+
+@pytest.mark.parametrize("peers", [False, True])
+@pytest.mark.parametrize("segment_s", [None, 90, 60, 45, 7.3, 7.5])
+def test_rolling_median_of_dense_windows(spark, segment_s, peers):
+    """Segments shorter than the window, ties of time, nulls, a value that makes up a third, quiet stretches: equal to a plain walk."""
+    rng = random.Random(7)
+    rows, i = [], 0
+    for trip, n in ((0, 1500), (1, 40)):
+        us = T0 + 1_234_567
+        for _ in range(n):
+            us += rng.choice([0, 0, 100_000, 333_333]) if rng.random() < 0.99 else 50_000_000
+            v = None if rng.random() < 0.1 else 0.0 if rng.random() < 0.3 else rng.gauss(1000, 300)
+            rows.append((1, trip, i, us, v, None if trip else float(rng.randrange(5))))
+            i += 1
+    df = spark.createDataFrame(rows, "vehicle_id int, trip int, event_id long, us long, rpm double, load double").withColumn("time", F.timestamp_micros("us"))
+    got = ft.rolling_median_dev(df, ["rpm", "load"], 60, segment_s=segment_s, keep_median=True, peers=peers, group_rows=400).collect()
+    got = {r.event_id: (r.rpm_med, r.load_med) for r in got}
+    assert len(got) == len(rows)
+    for trip in (0, 1):
+        part = [r for r in rows if r[1] == trip]
+        for r in part:
+            seen = [x for x in part if r[3] - 60_000_000 < x[3] <= r[3] and (peers or (x[3], x[2]) <= (r[3], r[2]))]
+            want = tuple(float(np.median(v)) if (v := [x[c] for x in seen if x[c] is not None]) else None for c in (4, 5))
+            assert got[r[2]] == pytest.approx(want, abs=1e-9)
+
+
+def test_query_windows_hold_all_rows_of_a_time(spark, tmp_path):
+    """The registered queries follow the RANGE frame of their SQL where times repeat."""
+    n = np.arange(4000)
+    events = pd.DataFrame({"event_id": n, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(n % 700 * 3600, unit="s"), "user_id": n % 3, "event_type": np.where(n % 9 == 0, "error", "view"),
+                           "value": n * 7919 % 1009 / 7, "props": [f'{{"k": {i % 100}}}' for i in n]})
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    shutil.copy("/root/testdata/sf0.001/nation.parquet", tmp_path)
+    found = {**features.QUERIES, **anomaly.QUERIES, **streams.QUERIES}
+    names = ["rolling_median", "rolling_median_sql", "population_features_60s", "population_features_30s", "single_car_features", "score_session", "compare_populations", "score_stream"]
+    bad = [r for n in names if "ok" not in (r := compare(spark, n, *found[n], str(tmp_path)))]
+    assert not bad, bad
