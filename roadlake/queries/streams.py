@@ -158,7 +158,7 @@ def rollup_stream(spark, d):
 def score_stream(spark, d):
     schema, path, files = _telemetry_files(spark, d, close=True)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30)
+    f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30, peers=True)
     model = fo.Forest(an.probe_nodes(an.POOL), an.POOL)
     out = run.drain_to_parquet(scoring.score_stream(f, model, 0.0), "scored").where("vehicle_id >= 0")
     return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", F.round("score", 9).alias("score")))

@@ -30,8 +30,8 @@ class DeviationProcessor(StatefulProcessor):
     read when the watermark closes it and read when it leaves the window.
     """
 
-    def __init__(self, keys: Sequence[str], cols: Sequence[str], keep: Sequence[str], window_us: int, slot_us: int):
-        self.keys, self.cols, self.keep, self.window, self.slot = list(keys), list(cols), list(keep), window_us, slot_us
+    def __init__(self, keys: Sequence[str], cols: Sequence[str], keep: Sequence[str], window_us: int, slot_us: int, peers: bool = False):
+        self.keys, self.cols, self.keep, self.window, self.slot, self.peers = list(keys), list(cols), list(keep), window_us, slot_us, peers
         self.names = [n for n in dict.fromkeys([*cols, *keep]) if n != _TIE]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -91,7 +91,10 @@ class DeviationProcessor(StatefulProcessor):
             for c, v in enumerate(row):
                 if v == v:
                     ordered[c].insert(v)
-                medians[i, c] = ordered[c].median()
+            if not self.peers or i + 1 == len(ready.us) or ready.us[i + 1] != us:  # with peers, the last row of a time knows for all
+                medians[i] = [o.median() for o in ordered]
+        if self.peers:
+            medians = medians[np.searchsorted(ready.us, ready.us, side="right") - 1]
         for c, o in enumerate(ordered):
             for number in o.gone:
                 if any(number == d[2] for d in directories[c]):
@@ -121,14 +124,15 @@ class DeviationProcessor(StatefulProcessor):
         pass
 
 
-def deviation_stream(tel: DataFrame, keys: Sequence[str], cols: Sequence[str], keep: Sequence[str], window_s: float = 60, late_s: float = 2.0, time: str = "time", slot_s: float = 8.0) -> DataFrame:
-    """Rolling-median deviations of a stream, cold start trimmed."""
+def deviation_stream(tel: DataFrame, keys: Sequence[str], cols: Sequence[str], keep: Sequence[str], window_s: float = 60, late_s: float = 2.0, time: str = "time", slot_s: float = 8.0,
+                     peers: bool = False) -> DataFrame:
+    """Rolling-median deviations of a stream, cold start trimmed.  With ``peers`` a row sees all rows of its own time, not only earlier ones."""
     use_rocksdb(tel.sparkSession)
     names = list(dict.fromkeys([*cols, *keep]))
     us = F.unix_micros(time)
     src = tel.withWatermark(time, f"{int(late_s * 1000)} milliseconds").select(
         *keys, time, us.alias("us"), (F.col(_TIE).cast("long") if _TIE in names else us).alias("rid"), *[F.col(c).cast("double").alias(c) for c in names if c != _TIE])
-    p = DeviationProcessor(keys, cols, keep, int(window_s * 1e6), int(slot_s * 1e6))
+    p = DeviationProcessor(keys, cols, keep, int(window_s * 1e6), int(slot_s * 1e6), peers)
     out = T.StructType([src.schema[k] for k in keys] + [T.StructField("us", T.LongType())] + [T.StructField(c, T.LongType() if c == _TIE else T.DoubleType()) for c in keep]
                        + [T.StructField(f"{c}_dev", T.DoubleType()) for c in cols])
     d = src.groupBy(*keys).transformWithStateInPandas(p, out, "Append", "EventTime")
