@@ -93,7 +93,8 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], us: str, order: Sequence[st
         wrong = materialize(marks.mapInPandas(disagree, wrong_schema), "fold-wrong")
         if not wrong.take(1):
             return done.where(F.col("_out").isNull()).select(*names)
-        redo = pieces.join(wrong, [*keys, SEG])
+        # A state goes to its segment once, beside the rows and not on each of them.
+        redo = pieces.join(wrong.select(*keys, SEG), [*keys, SEG], "left_semi").groupBy(*keys, SEG).cogroup(wrong.groupBy(*keys, SEG))
         # Only the repaired segments are written; the others stay where they are.
-        again = materialize(redo.groupBy(*keys, SEG).applyInPandas(lambda pdf: run(pdf, pdf["_state"].iloc[0]), schema), "fold")
+        again = materialize(redo.applyInPandas(lambda pdf, told: run(pdf, told["_state"].iloc[0]), schema), "fold")
         done = done.join(wrong.select(*keys, SEG), [*keys, SEG], "left_anti").select(*schema.names).unionByName(again)

@@ -252,3 +252,19 @@ def test_trail_of_a_dense_key_in_short_segments(spark):
                 kept.append((us, e))
         want |= {(v, e) for _, e in kept[-7:]}
     assert got == want
+
+
+def test_chunked_fold_keeps_states_off_the_rows(spark):
+    """A state is as long as it likes: in a repair round it comes once for a segment, not with each of its rows."""
+    df = spark.createDataFrame([(1, i * 1_000_000) for i in range(40)], "k int, us long")
+    out = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("us", T.LongType()), T.StructField("total", T.LongType())])
+
+    def fold(pdf, state, start, end):
+        assert "_state" not in pdf.columns
+        own = pdf[(pdf["us"] >= start) & (pdf["us"] < end)]
+        before = len(state) if state is not None else 0
+        rows = own[["us"]].assign(total=before + np.arange(1, len(own) + 1))
+        return rows, "x" * before, "x" * (before + len(own))
+
+    got = chunked_fold(df, ["k"], "us", ["us"], fold, out, segment_s=10, warmup_s=3)
+    assert sorted((r.us // 1_000_000, r.total) for r in got.collect()) == [(i, i + 1) for i in range(40)]
