@@ -1,7 +1,8 @@
 """Pairing and streams: J4, S8, ST1-ST7, ST10, K1, K6, K7.
 
-Streaming queries write the driver's events as message or telemetry files, run
-to the end of what is there, and return the stored result.
+Streaming queries write the driver's events as message or telemetry files, slice
+by slice, run to the end of each slice before the next is written, and return the
+stored result.
 """
 
 from __future__ import annotations
@@ -77,12 +78,19 @@ def _slices(t, time="time"):
 
 
 def _message_files(spark, d, clean=True, late=None):
-    """Messages in folders of rising time, and how many files a trigger takes; rows that ``late`` selects come with the
-    last folder."""
+    """The path of messages in folders of rising time, and an iterator that writes one folder a step: a query that
+    takes all there is after each step has a folder in a trigger, however many files it is. Rows that ``late`` selects
+    come with the last folder."""
     path = workspace(spark, "messages")
-    if not clean:
-        envelopes(spark, d).select("topic", "key", "value").write.json(f"{path}/a")
-        return f"{path}/*", 1
+    return f"{path}/*", (_clean_messages(spark, d, path, late) if clean else _all_messages(spark, d, path))
+
+
+def _all_messages(spark, d, path):
+    envelopes(spark, d).select("topic", "key", "value").write.json(f"{path}/a")
+    yield
+
+
+def _clean_messages(spark, d, path, late):
     tel = fx.telemetry(spark, d)
     parts, files, end = _slices(tel)
     if late is not None:
@@ -90,19 +98,21 @@ def _message_files(spark, d, clean=True, late=None):
         parts = [p.where(~late) for p in early] + [parts[-2], reduce(DataFrame.unionByName, [p.where(late) for p in early], parts[-1])]
     for i, part in enumerate(parts):
         ms.to_messages(part, "event_id % 2 = 0", "event_id % 2 = 1", "vehicle_id").select("topic", "key", "value").repartition(files).write.json(f"{path}/{i}")
+        yield
     # a closing message moves the watermark past everything else
     last = spark.range(1).select(F.lit(-1).alias("vehicle_id"), F.timestamp_micros(F.lit(end + 3_600_000_000)).alias("time"), *[F.lit(None).cast("double").alias(c) for c in PIDS + ACCELS])
     ms.to_messages(last, "true", "false", "vehicle_id").select("topic", "key", "value").write.json(f"{path}/z")
-    return f"{path}/*", files
+    yield
 
 
 def merge_stream(spark, d, late=None):
     """The running ingest: messages arrive slice by slice, merged rows are appended by date."""
-    path, files = _message_files(spark, d, late=late)
-    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, files)))
+    path, arrivals = _message_files(spark, d, late=late)
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, None)))
     merged = pairing.stored(pairing.merge_stream(obd, imu))
-    path = workspace(spark, "merged")
-    run.drain(pairing.append_telemetry(merged, path, workspace(spark, "merged-ckpt"), "0 seconds"))
+    path, checkpoint = workspace(spark, "merged"), workspace(spark, "merged-ckpt")
+    for _ in arrivals:
+        run.drain(pairing.append_telemetry(merged, path, checkpoint, "0 seconds"))
     out = spark.read.schema(merged.schema).parquet(path)
     return out.where("node_id <> '-1'").select(F.col("node_id").cast("int").alias("vehicle_id"), "time", *PIDS, *ACCELS, "late")
 
@@ -114,53 +124,61 @@ def late_rows(spark, d):
 
 def late_metrics(spark, d):
     """The same ingest, as its metrics tell it: rows and late rows of all triggers together."""
-    path, files = _message_files(spark, d, late=F.col("event_id") % 30 < 2)
-    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, files)))
+    path, arrivals = _message_files(spark, d, late=F.col("event_id") % 30 < 2)
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, None)))
     merged = pairing.counted(pairing.merge_stream(obd, imu).where("node_id <> '-1'"))
-    q = pairing.append_telemetry(pairing.stored(merged), workspace(spark, "merged"), workspace(spark, "merged-ckpt"), "0 seconds")
-    run.drain(q)
-    seen = [p.observedMetrics["merge"] for p in q.recentProgress if "merge" in p.observedMetrics]
+    path, checkpoint, seen = workspace(spark, "merged"), workspace(spark, "merged-ckpt"), []
+    for _ in arrivals:
+        q = pairing.append_telemetry(pairing.stored(merged), path, checkpoint, "0 seconds")
+        run.drain(q)
+        seen += [p.observedMetrics["merge"] for p in q.recentProgress if "merge" in p.observedMetrics]
     return spark.createDataFrame([(sum(m["rows"] for m in seen), sum(m["late"] for m in seen))], "n_rows long, n_late long")
 
 
 def advanced_stream(spark, d):
-    out = run.drain_to_parquet(ms.advanced(ms.parse(ms.file_messages(spark, *_message_files(spark, d, False)))), "advanced")
+    path, arrivals = _message_files(spark, d, False)
+    out = run.drain_to_parquet(ms.advanced(ms.parse(ms.file_messages(spark, path, None))), "advanced", arrivals=arrivals)
     return out.select(F.col("node_id").cast("int").alias("vehicle_id"), "time", "pid", "value", "unit")
 
 
 def routed(spark, d):
-    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, *_message_files(spark, d, False))))
+    path, arrivals = _message_files(spark, d, False)
+    obd, imu, _ = ms.route(ms.parse(ms.file_messages(spark, path, None)))
     o = obd.select(F.lit("obd").alias("kind"), F.col("node_id").cast("int").alias("vehicle_id"), "time", F.col("rpm").alias("x"))
     i = imu.select(F.lit("imu").alias("kind"), F.col("node_id").cast("int").alias("vehicle_id"), "time", F.col("accel_x").alias("x"))
-    return run.drain_to_parquet(o.unionByName(i), "routed")
+    return run.drain_to_parquet(o.unionByName(i), "routed", arrivals=arrivals)
 
 
 def _telemetry_files(spark, d, close=False):
-    """Trips' telemetry in folders of rising time, and a closing row if asked; its schema, path and files a trigger."""
+    """A stream of trips' telemetry, and an iterator that writes it in folders of rising time, one a step, and a closing
+    row if asked."""
     path = workspace(spark, "telemetry")
     t = fx.trips(spark, d).select("vehicle_id", "trip", "event_id", "time", *PIDS, *ACCELS)
-    parts, files, _ = _slices(t)
-    for i, part in enumerate(parts):
-        part.repartition(files).write.parquet(f"{path}/{i}")
-    if close:
-        t.orderBy(F.desc("time")).limit(1).withColumn("time", F.col("time") + F.expr("INTERVAL 1 HOUR")).withColumn("vehicle_id", F.lit(-1)).write.parquet(f"{path}/z")
-    return t.schema, f"{path}/*", files
+
+    def arrivals():
+        parts, files, _ = _slices(t)
+        for i, part in enumerate(parts):
+            part.repartition(files).write.parquet(f"{path}/{i}")
+            yield
+        if close:
+            t.orderBy(F.desc("time")).limit(1).withColumn("time", F.col("time") + F.expr("INTERVAL 1 HOUR")).withColumn("vehicle_id", F.lit(-1)).write.parquet(f"{path}/z")
+            yield
+
+    return spark.readStream.schema(t.schema).parquet(f"{path}/*"), arrivals()
 
 
 def rollup_stream(spark, d):
-    schema, path, files = _telemetry_files(spark, d)
+    src, arrivals = _telemetry_files(spark, d)
     sink = workspace(spark, "rollup")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    run.drain_each(rollup.rollup_stream(src), rollup.bucket_writer(sink), "rollup", "update")
+    run.drain_each(rollup.rollup_stream(src), rollup.bucket_writer(sink), "rollup", "update", arrivals=arrivals)
     return rounded(rollup.current_rollup(spark, sink))
 
 
 def score_stream(spark, d):
-    schema, path, files = _telemetry_files(spark, d, close=True)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    src, arrivals = _telemetry_files(spark, d, close=True)
     f = scoring.deviation_stream(src, ["vehicle_id", "trip"], ["rpm", "engine_load_pct"], ["event_id", "speed_kmh"], 30, peers=True)
     model = fo.Forest(an.probe_nodes(an.POOL), an.POOL)
-    out = run.drain_to_parquet(scoring.score_stream(f, model, 0.0), "scored").where("vehicle_id >= 0")
+    out = run.drain_to_parquet(scoring.score_stream(f, model, 0.0), "scored", arrivals=arrivals).where("vehicle_id >= 0")
     return rounded(out.select("event_id", "rpm_dev", "engine_load_pct_dev", F.round("score", 9).alias("score")))
 
 
@@ -172,10 +190,10 @@ def live(spark, d):
 
 
 def live_stream(spark, d):
-    schema, path, files = _telemetry_files(spark, d)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    out = workspace(spark, "live")
-    run.drain(feed.publish(src.select("event_id", "speed_kmh", "rpm"), out, workspace(spark, "live-ckpt"), "0 seconds"))
+    src, arrivals = _telemetry_files(spark, d)
+    out, checkpoint = workspace(spark, "live"), workspace(spark, "live-ckpt")
+    for _ in arrivals:
+        run.drain(feed.publish(src.select("event_id", "speed_kmh", "rpm"), out, checkpoint, "0 seconds"))
     m = spark.read.text(out)
     return m.select(F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.data.event_id").cast("long").alias("event_id"),
                     F.get_json_object("value", "$.data.rpm").cast("double").alias("rpm"))
@@ -187,10 +205,9 @@ def replay(spark, d):
 
 
 def _per_trigger(spark, d, make, label):
-    schema, path, files = _telemetry_files(spark, d)
+    src, arrivals = _telemetry_files(spark, d)
     sink = workspace(spark, label)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    run.drain_each(src, make(sink), label)
+    run.drain_each(src, make(sink), label, arrivals=arrivals)
     return spark.read.parquet(sink).withColumn("trigger", F.col("trigger").cast("int"))
 
 

@@ -19,9 +19,10 @@ def kafka_messages(spark: SparkSession, servers: str, **options: str) -> DataFra
     return r.options(**options).load().select("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def file_messages(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The same envelope from JSON-lines files dropped in a folder."""
-    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def file_messages(spark: SparkSession, path: str, files_per_trigger: int | None = 1000) -> DataFrame:
+    """The same envelope from JSON-lines files dropped in a folder; without ``files_per_trigger`` a trigger takes all there are."""
+    r = spark.readStream.schema(ENVELOPE)
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(path)
 
 
 def parse(messages: DataFrame) -> DataFrame:

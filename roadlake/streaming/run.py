@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +23,20 @@ def drain(query) -> None:
         query.stop()
 
 
-def drain_to_parquet(stream: DataFrame, label: str, checkpoint: str | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
-    """Process what is available now into a Parquet table and read it back."""
+def drain_to_parquet(stream: DataFrame, label: str, checkpoint: str | None = None, partition: tuple[str, ...] = (), arrivals: Iterable = (None,)) -> DataFrame:
+    """Process what is available into a Parquet table and read it back; with ``arrivals`` anew after each of its steps."""
     spark = stream.sparkSession
-    path = workspace(spark, label)
-    w = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint or workspace(spark, label + "-ckpt"))
-    q = (w.partitionBy(*partition) if partition else w).outputMode("append").trigger(availableNow=True).start(path)
-    q.awaitTermination()
+    path, checkpoint = workspace(spark, label), checkpoint or workspace(spark, label + "-ckpt")
+    for _ in arrivals:
+        w = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        q = (w.partitionBy(*partition) if partition else w).outputMode("append").trigger(availableNow=True).start(path)
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_each(stream: DataFrame, fn: Callable[[DataFrame, int], None], label: str, mode: str = "append", checkpoint: str | None = None) -> None:
-    """Process what is available now, one call of ``fn`` per micro-batch."""
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint or workspace(stream.sparkSession, label + "-ckpt"))
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+def drain_each(stream: DataFrame, fn: Callable[[DataFrame, int], None], label: str, mode: str = "append", checkpoint: str | None = None, arrivals: Iterable = (None,)) -> None:
+    """Process what is available, one call of ``fn`` per micro-batch; with ``arrivals`` anew after each of its steps."""
+    checkpoint = checkpoint or workspace(stream.sparkSession, label + "-ckpt")
+    for _ in arrivals:
+        q = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
