@@ -40,9 +40,10 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def route(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(obd, imu, bad).  Advanced messages keep their core fields as OBD rows."""
-    good = parsed.where("reject IS NULL").withColumn("time", epoch_to_ts("m.ts"))
-    obd = good.where(F.col("topic") == TOPIC_OBD).select(F.col("key").alias("node_id"), "time", F.col("m.mode").alias("mode"), *[no_nan(f"m.{c}").alias(c) for c in PIDS])
-    imu = good.where(F.col("topic") == TOPIC_IMU).select(F.col("key").alias("node_id"), "time", *[no_nan(f"m.{c}").alias(c) for c in ACCELS])
+    # A message of a known topic is rejected just where ``m.ts`` is null; said so, its filter parses the payload once.
+    good = lambda topic: parsed.where((F.col("topic") == topic) & F.col("m.ts").isNotNull()).withColumn("time", epoch_to_ts("m.ts"))
+    obd = good(TOPIC_OBD).select(F.col("key").alias("node_id"), "time", F.col("m.mode").alias("mode"), *[no_nan(f"m.{c}").alias(c) for c in PIDS])
+    imu = good(TOPIC_IMU).select(F.col("key").alias("node_id"), "time", *[no_nan(f"m.{c}").alias(c) for c in ACCELS])
     return obd, imu, parsed.where("reject IS NOT NULL").select("topic", "key", "value", "reject")
 
 

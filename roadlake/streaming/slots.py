@@ -25,6 +25,11 @@ class Rows:
         words[:, 2:] = np.ascontiguousarray(pdf[list(columns)].to_numpy(np.float64)).view(np.int64)
         return Rows(columns, words)
 
+    @staticmethod
+    def packed(columns: Sequence[str], part: bytes) -> Rows:
+        """Packed rows as they stand."""
+        return Rows(columns, np.frombuffer(bytes(part), np.int64).reshape(-1, 2 + len(columns)))
+
     @staticmethod
     def unpack(columns: Sequence[str], parts: Sequence[bytes]) -> Rows:
         """Packed rows in the order of time and id."""
