@@ -352,8 +352,28 @@ def _sweep(nodes: DataFrame, similarity: float, every: bool, tile: int) -> DataF
     return materialize(found, "near-candidates")
 
 
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of a task's links (a, b) that join what its links before them leave apart."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        kept = []
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+            p, q = root(a), root(b)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                kept.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, keyed: DataFrame, spoken: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs whose shingle sets have the similarity; ``spoken`` names one row (doc_id, row_key) for each node."""
+    """A spanning forest, task by task, of the pairs whose shingle sets have the similarity: it joins what all of them
+    join. ``spoken`` names one row (doc_id, row_key) for each node."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(spoken, "node")
     asked = asked.select("row.*").alias("r")
     texts = keyed.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.row_key") == F.col("r.row_key")), "left_semi")
@@ -361,7 +381,8 @@ def _confirmed(pairs: DataFrame, keyed: DataFrame, spoken: DataFrame, similarity
     sets = materialize(sets, "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
-    return materialize(counted.filter(F.col("shared") >= (F.col("sum") - F.col("shared")) * similarity - 1e-9).select("a", "b"), "near-links")
+    alike = counted.filter(F.col("shared") >= (F.col("sum") - F.col("shared")) * similarity - 1e-9).select("a", "b")
+    return materialize(alike.mapInArrow(_spanning, "a long, b long"), "near-links")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = NEAR_TILE) -> DataFrame:
@@ -372,6 +393,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     all null and wordless texts. Tiles of 128-bit fingerprints give the candidates (see ``reach``), exact set
     intersections decide. A first sweep takes a spanning forest of the candidates, a second one every candidate
     that the confirmed links of the first do not join already: inside a group of copies no pairs are written.
+    Of the confirmed links each task keeps a spanning forest, so that their number follows the nodes'.
     ``component_id`` is the smallest doc_id of the group, null where none of its rows has one.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))

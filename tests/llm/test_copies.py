@@ -343,3 +343,19 @@ def test_digest_columns(spark):
     row = queries.op3_substring_dedup(spark, SMALL).orderBy("doc_id").first()
     text = spark.read.parquet(f"{SMALL}/documents.parquet").filter(f"doc_id = {row['doc_id']}").first()["text"]
     assert row["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_confirmed_links_follow_the_nodes(spark):
+    """Every pair of a group of near copies is a candidate: the links that are kept join it, but are no pairs of all with all."""
+    words = [f"w{i}" for i in range(100)]
+    df = spark.createDataFrame([(i, " ".join([*words, f"own{i}"])) for i in range(60)], "doc_id long, text string")
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    nodes = keyed.repartition(1).mapInArrow(simhash._wide_prints(5), "doc_id long, row_key long, node long, n long, fp long, fp2 long")
+    nodes = nodes.select("node", F.struct("doc_id", "row_key").alias("row")).cache()
+    names = sorted(r.node for r in nodes.collect())
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], "a long, b long").coalesce(1)
+    links = simhash._confirmed(pairs, keyed, nodes, 0.8, 5)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(names) - 1 <= links.count() <= min(tasks * (len(names) - 1), len(names) * (len(names) - 1) // 4)
+    groups = [tuple(r) for r in components.components(links).collect()]
+    assert sorted(g[0] for g in groups) == names and {g[1] for g in groups} == {names[0]}
