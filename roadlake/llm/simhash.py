@@ -6,8 +6,8 @@ tiles is compared by numpy exclusive-or and bit counts only where the counts dif
 most, and inside a pair only stretches whose half-word counts allow it. Each comparison returns a spanning forest of
 the links it finds, never all pairs; connected components join the forests.
 
-``near_copies`` runs the comparison at a radius wide enough for a similarity of word shingles and confirms
-its candidates exactly.
+``near_copies`` runs the comparison at a radius wide enough for a similarity of word shingles and decides
+exactly between the texts that its candidates join.
 """
 
 from __future__ import annotations
@@ -186,6 +186,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 _ENTRY = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8"), ("comp", "<i8"), ("n", "<i8")])
 #: Entries of one tile of near copies at most (1.3 MB).
 NEAR_TILE = 32768
+#: Shingles of one part of a circle (2 MB), and what a set counts besides its own, so that a part has 1,024 sets at most.
+PART, NODE_WEIGHT = 1 << 18, 1 << 8
 
 
 def reach(similarity: float, spread: float = 3.3) -> tuple[int, int]:
@@ -244,8 +246,9 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             codes, count, whole = _shingles(batch, shingle)
-            lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(count)), pa.array(codes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), lists.cast(pa.list_(pa.int64()))], names=["node", "codes"])
+            ends = np.cumsum(count)
+            held = [codes[b - n : b].tobytes() for b, n in zip(ends.tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(count), pa.array(held, pa.binary())], names=["node", "n", "codes"])
 
     return run
 
@@ -319,19 +322,19 @@ def candidates(a: np.ndarray, b: np.ndarray | None, similarity: float, every: bo
             x, y = x[open_], y[open_]
 
 
-def _candidates(similarity: float, every: bool):
+def _candidates(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, q in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True):
                 a, b = (None if z is None else np.frombuffer(z, _ENTRY) for z in (p, q))
-                for x, y in candidates(a, b, similarity, every):
+                for x, y in candidates(a, b, similarity, False):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def _sweep(nodes: DataFrame, similarity: float, every: bool, tile: int) -> DataFrame:
-    """Candidates (a, b) among nodes (node, comp, n, fp, fp2) of different components.
+def _sweep(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """A spanning forest, task by task, of the candidates (a, b) among nodes (node, comp, n, fp, fp2) of different components.
 
     Sets of a similarity have sizes of at least that ratio, so tiles are cut from size classes that grow by it,
     and a class meets itself and the next.
@@ -348,52 +351,142 @@ def _sweep(nodes: DataFrame, similarity: float, every: bool, tile: int) -> DataF
     met = met.join(packed.select(F.col("tile").alias("other"), "class"), "class").filter("tile <= other").select("tile", "other")
     paired = met.join(packed.select("tile", F.col("entries").alias("left")), "tile").join(packed.select(F.col("tile").alias("other"), F.col("entries").alias("right")), "other")
     paired = paired.select("tile", "other", "left", F.when(F.col("tile") != F.col("other"), F.col("right")).alias("right"))
-    found = paired.repartition(width, "tile", "other").select("left", "right").mapInArrow(_candidates(similarity, every), "a long, b long")
+    found = paired.repartition(width, "tile", "other").select("left", "right").mapInArrow(_candidates(similarity), "a long, b long")
     return materialize(found, "near-candidates")
 
 
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those of a task's links (a, b) that join what its links before them leave apart."""
-    up: dict[int, int] = {}
+def linked(sets: list[np.ndarray], comps: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as places, of the pairs of sets that have the similarity and are of different components.
 
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
+    A set is held against those of like size that are not joined to it yet, all at once, by marking its
+    codes: memory is that of the sets.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    size = size[order]
+    ids = np.unique(np.concatenate([sets[i] for i in order] or [np.zeros(0, np.int64)]), return_inverse=True)[1]
+    first = np.append(0, np.cumsum(size))
+    label = np.unique(comps[order], return_inverse=True)[1]
+    marked = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+    last = np.searchsorted(size, size / similarity + 1e-9, "right")
+    x, y = [], []
+    for i in range(len(order)):
+        near = i + 1 + np.flatnonzero(label[i + 1 : last[i]] != label[i])
+        if not len(near):
+            continue
+        if 2 * len(near) > near[-1] - near[0]:  # most of a stretch: all of it
+            near = np.arange(near[0], near[-1] + 1)
+            at = slice(first[near[0]], first[near[-1] + 1])
+        else:
+            at = ragged(first[near], size[near])
+        own = ids[first[i] : first[i + 1]]
+        marked[own] = True
+        begin = np.cumsum(size[near]) - size[near]
+        shared = np.add.reduceat(marked[ids[at]], begin, dtype=np.int64)
+        marked[own] = False
+        hit = near[(shared >= (size[i] + size[near] - shared) * similarity - 1e-9) & (label[near] != label[i])]
+        if len(hit):
+            roots, pick = np.unique(label[hit], return_index=True)
+            x += [i] * len(roots)
+            y += hit[pick].tolist()
+            label[np.isin(label, roots)] = label[i]
+    return order[x], order[y]
+
+
+def _meet(similarity: float):
+    """Rows sorted by (circle, i, j) to the links that each such meeting finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, nodes, comps = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            x, y = linked(sets, np.array(comps), similarity) if len(sets) > 1 else ((), ())
+            return [(min(nodes[p], nodes[q]), max(nodes[p], nodes[q])) for p, q in zip(x, y, strict=True)]
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            for *meeting, node, comp, codes in zip(*(column(batch, c).to_pylist() for c in ("circle", "i", "j", "node", "comp", "codes")), strict=True):
+                if meeting != at:
+                    found += links()
+                    at, sets, nodes, comps = meeting, [], [], []
+                sets.append(np.frombuffer(codes, np.int64))
+                nodes.append(node)
+                comps.append(comp)
+            yield batch_of(found)
+        yield batch_of(links())
+
+    return run
 
-    for batch in batches:
-        kept = []
-        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
-            p, q = root(a), root(b)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                kept.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def _confirmed(pairs: DataFrame, keyed: DataFrame, spoken: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """A spanning forest, task by task, of the pairs whose shingle sets have the similarity: it joins what all of them
-    join. ``spoken`` names one row (doc_id, row_key) for each node."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(spoken, "node")
-    asked = asked.select("row.*").alias("r")
-    texts = keyed.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.row_key") == F.col("r.row_key")), "left_semi")
-    sets = texts.dropDuplicates(["row_key"]).select("text").mapInArrow(_sets(shingle), "node long, codes array<long>")
-    sets = materialize(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
-    alike = counted.filter(F.col("shared") >= (F.col("sum") - F.col("shared")) * similarity - 1e-9).select("a", "b")
-    return materialize(alike.mapInArrow(_spanning, "a long, b long"), "near-links")
 
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that the meetings of ``rows`` (circle, meetings, node, comp, codes) find."""
+    width = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("meeting", F.explode("meetings")).select("circle", "meeting.*", "node", "comp", "codes")
+    rows = rows.repartition(width, "circle", "i", "j").sortWithinPartitions("circle", "i", "j")
+    return materialize(rows.mapInArrow(_meet(similarity), "a long, b long"), "near-links")
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = NEAR_TILE) -> DataFrame:
+
+def _parts(weight: F.Column, part: int) -> F.Column:
+    return F.ceil(F.coalesce(F.sum(weight), F.lit(0)) / part).cast("int")
+
+
+def _dealt(parts: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("node"), F.greatest(parts, F.lit(1))).cast("int")
+
+
+def _meetings(upto: F.Column, meeting) -> F.Column:
+    """One meeting (i, j) for each whole number below ``upto``."""
+    whole = F.when(upto > 0, F.sequence(F.lit(0), upto - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(whole, lambda k: F.struct(*(c.alias(n) for c, n in zip(meeting(k), "ij", strict=True))))
+
+
+def _confirmed(pairs: DataFrame, keyed: DataFrame, spoken: DataFrame, similarity: float, shingle: int, part: int = PART) -> DataFrame:
+    """Links that join all nodes of a circle whose shingle sets have the similarity; a circle is what ``pairs`` join.
+    ``spoken`` names one row (doc_id, row_key) for each node.
+
+    The sets of a circle meet in one task, and a spanning forest of their links comes out. A circle of more than
+    ``part`` is cut into parts, and each part meets the next. Where that are three parts or more, those outside the
+    circle's main component then meet each other and all of it, part by part; a large group of copies is one
+    component by then. No pairs are written, and a task holds two parts.
+    """
+    circles = materialize(components(pairs).select("node", F.col("component").alias("circle")), "near-circles")
+    asked = circles.select("node").join(spoken, "node").select("row.*").alias("r")
+    texts = keyed.alias("t").join(asked, F.col("t.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("t.row_key") == F.col("r.row_key")), "left_semi")
+    sets = texts.dropDuplicates(["row_key"]).select("text").mapInArrow(_sets(shingle), "node long, n long, codes binary")
+    sets = materialize(sets.join(circles, "node").withColumn("weight", F.col("n") + NODE_WEIGHT), "near-sets")
+    # Few rows: each stands for a whole part at least.
+    cut = materialize(sets.groupBy("circle").agg(_parts(F.col("weight"), part).alias("parts")).filter("parts > 1"), "near-parts")
+    dealt = sets.join(F.broadcast(cut), "circle", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", _dealt(F.col("parts")))
+    low, high = F.greatest(F.col("part") - 1, F.lit(0)), F.least("part", F.greatest(F.col("parts") - 2, F.lit(0)))
+    chain = _meetings(high - low + 1, lambda k: (low + k, low + k + 1))
+    links = _met(dealt.select("circle", chain.alias("meetings"), "node", F.col("node").alias("comp"), "codes"), similarity)
+    if cut.filter("parts > 2").isEmpty():
+        return links
+    joined = components(links).select("node", F.col("component").alias("comp"))
+    large = sets.join(F.broadcast(cut.filter("parts > 2").select("circle")), "circle").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    large = materialize(large, "near-large")
+    main = large.groupBy("circle", "comp").agg(F.sum("weight").alias("weight")).groupBy("circle").agg(F.max(F.struct("weight", "comp"))["comp"].alias("main"))
+    large = large.join(F.broadcast(materialize(main, "near-main")), "circle").withColumn("stray", F.col("comp") != F.col("main"))
+    sides = large.groupBy("circle").agg(*(_parts(F.when(F.col("stray") == s, F.col("weight")), part).alias(n) for s, n in ((True, "strays"), (False, "others"))))
+    large = large.join(F.broadcast(materialize(sides.filter("strays > 0"), "near-sides")), "circle")
+    own = _dealt(F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others")))
+    stray = _meetings(F.col("strays") + F.col("others"), lambda k: (F.least(own, k), F.greatest(own, k)))
+    other = _meetings(F.col("strays"), lambda k: (k, F.col("strays") + own))
+    return links.unionByName(_met(large.select("circle", F.when(F.col("stray"), stray).otherwise(other).alias("meetings"), "node", "comp", "codes"), similarity))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = NEAR_TILE, part: int = PART) -> DataFrame:
     """One row per input row: doc_id, row_key, node, component and component_id, the groups that links join.
 
     Texts are linked where the Jaccard similarity of their sets of word shingles (A-Z lower-cased) reaches
     ``similarity``; fewer than ``shingle`` words are one shingle. Texts of the same words are one node, and so are
-    all null and wordless texts. Tiles of 128-bit fingerprints give the candidates (see ``reach``), exact set
-    intersections decide. A first sweep takes a spanning forest of the candidates, a second one every candidate
-    that the confirmed links of the first do not join already: inside a group of copies no pairs are written.
-    Of the confirmed links each task keeps a spanning forest, so that their number follows the nodes'.
+    all null and wordless texts. Tiles of 128-bit fingerprints give the candidates (see ``reach``), of which
+    a spanning forest is kept. It joins the nodes to circles; within a circle exact set intersections decide, whether
+    or not two sets are candidates (see ``_confirmed``). The number of rows written follows the nodes'.
     ``component_id`` is the smallest doc_id of the group, null where none of its rows has one.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
@@ -401,12 +494,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
     nodes = materialize(nodes, "near-nodes")
     spoken = nodes.select("node", "row")
-    entries = nodes.select("node", "n", "fp", "fp2")
-    links = _confirmed(_sweep(entries.withColumn("comp", F.col("node")), similarity, False, tile).distinct(), keyed, spoken, similarity, shingle)
-    joined = components(links).select("node", F.col("component").alias("comp"))
-    rest = entries.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = _confirmed(_sweep(rest, similarity, True, tile), keyed, spoken, similarity, shingle)
-    groups = components(links.unionByName(more))
+    entries = nodes.select("node", F.col("node").alias("comp"), "n", "fp", "fp2")
+    groups = components(_confirmed(_sweep(entries, similarity, tile).distinct(), keyed, spoken, similarity, shingle, part))
     placed = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = placed.select("node", "component").join(least, "component")

@@ -359,3 +359,36 @@ def test_confirmed_links_follow_the_nodes(spark):
     assert len(names) - 1 <= links.count() <= min(tasks * (len(names) - 1), len(names) * (len(names) - 1) // 4)
     groups = [tuple(r) for r in components.components(links).collect()]
     assert sorted(g[0] for g in groups) == names and {g[1] for g in groups} == {names[0]}
+
+
+@pytest.mark.parametrize("cut", [{}, {"part": 5000}])
+def test_groups_about_the_limit_write_no_pairs(spark, monkeypatch, cut):
+    """Texts with one edit of their own are alike, those with three are not, and all are candidates: no table has a row for
+    every pair, and the groups are those of all pairs also where the texts are cut into many parts."""
+    rows = []
+    for i in range(150):
+        words = [f"w{j}" for j in range(120)]
+        for j in (7 + i % 50, 62 + i % 27, 95 + i % 19)[: 1 + 2 * (i % 2)]:
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    written = []
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), **cut).collect()}
+    place = jaccard_groups(rows)
+    assert len(set(place)) == 76 and {i: min(j for j in got if place[j] == place[i]) for i in got} == got
+    assert max(df.count() for df in written) <= 2 * len(rows)
+
+
+def test_links_within_a_meeting_are_those_of_all_pairs():
+    r = np.random.default_rng(3)
+    base = r.integers(-(2**63), 2**63 - 1, (5, 60))
+    sets = [np.unique(np.append(r.permutation(base[i % 5])[: r.integers(0, 61)], r.integers(0, 9, r.integers(0, 9)))) for i in range(200)]
+    sets = [s[:0] if i % 40 == 0 else s for i, s in enumerate(sets)]
+    comps = np.arange(200) // 2
+    alike = [(i, j) for i in range(200) for j in range(i) if len(a := np.intersect1d(sets[i], sets[j])) and len(a) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(a)) - 1e-9]
+    x, y = simhash.linked(sets, comps, 0.8)
+    held = {(2 * i, 2 * i + 1) for i in range(100)}
+    found = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert found <= set(alike) | {(j, i) for i, j in alike} and 10 < len(found) < 100
+    assert groups(range(200), found | held) == groups(range(200), set(alike) | held)
