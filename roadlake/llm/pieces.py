@@ -111,15 +111,19 @@ class Lexicon:
 
     def __init__(self, splitter: Splitter, most: int):
         self.splitter, self.most = splitter, most
-        self._number: dict[int, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """Hashes in ascending order and the number of each: 12 bytes a piece."""
+        self._keys, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def __len__(self) -> int:
-        return len(self._number)
+        return len(self._keys)
 
     def cut(self, column: pa.Array, forget, learn) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts of a column, and the first piece of each (with the end)."""
-        if len(self._number) > self.most:
-            self._number = {}
+        if len(self) > self.most:
+            self._empty()
             forget()
         data, off = utf8(column)
         odd = np.zeros(len(column), bool)
@@ -147,15 +151,19 @@ class Lexicon:
         return self._numbers(distinct, texts, learn)[back], np.append(0, np.cumsum([len(s) for s in split])).astype(np.int64)
 
     def _numbers(self, distinct: np.ndarray, texts, learn) -> np.ndarray:
-        known = self._number
-        keys = distinct.tolist()
-        out = np.array([known.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(out < 0)
+        """The numbers of ascending hashes; ``texts`` gives the pieces at some of them."""
+        at = np.searchsorted(self._keys, distinct)
+        known = at < len(self)
+        known[known] = self._keys[at[known]] == distinct[known]
+        out = np.zeros(len(distinct), np.int64)
+        out[known] = self._places[at[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            at = len(known)
+            begin = len(self)
             learn(texts(new))
-            known.update(zip((keys[i] for i in new), range(at, at + len(new)), strict=True))
-            out[new] = np.arange(at, at + len(new))
+            out[new] = np.arange(begin, begin + len(new))
+            self._keys = np.insert(self._keys, at[new], distinct[new])
+            self._places = np.insert(self._places, at[new], out[new].astype(np.int32))
         return out
 
 

@@ -22,8 +22,8 @@ from roadlake.llm.pieces import Growing, Lexicon, Splitter
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces whose ids a worker remembers (about 30 bytes each); beyond it the memory starts anew.
+REMEMBERED = 1_500_000
 SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, doc_at array<int>, doc_lengths array<int>, payload binary"
 
 

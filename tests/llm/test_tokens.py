@@ -248,3 +248,18 @@ def test_neighbours_of_every_length(spark):
         want = sorted((i for i in range(30) if i != q), key=lambda i: (-(few[i] * few[q]).sum(), i))[:20]
         assert [(rank, i) for id_, rank, i, _ in got if id_ == 2000 + q] == [(n + 1, 2000 + i) for n, i in enumerate(want)]
     assert {id_ for id_, *_ in got} == {*range(0, 600, 20), 2000, 2020}
+
+
+def test_pieces_are_encoded_once(monkeypatch):
+    """A worker that has met several hundred thousand pieces still knows them all."""
+    enc = token_files.Encoder(PATH)
+    learned, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces: learned.append(len(pieces)) or learn(pieces))
+    spell = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    texts = [" ".join(map(spell, range(at, at + 2000))) for at in range(0, 340_000, 2000)]
+    first = enc.encode(pa.array(texts))
+    again = enc.encode(pa.array(texts[::-1]))
+    assert learned == [340_000]
+    sizes = np.split(first[0], np.cumsum(first[1])[:-1])
+    assert again[0].tolist() == np.concatenate(sizes[::-1]).tolist() and again[1].tolist() == first[1][::-1].tolist()
+    assert sizes[7].tolist() == ids_of(texts[7])
