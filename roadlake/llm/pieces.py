@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 
 from roadlake.llm import words as W
-from roadlake.llm.base import utf8
+from roadlake.llm.base import ragged, utf8
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -103,10 +104,42 @@ class Splitter:
         return out
 
 
+class Pieces:
+    """Pieces as one stretch of UTF-8 bytes; as a sequence, their strings."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off = data, off
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def __iter__(self) -> Iterator[str]:
+        raw = self.data.tobytes()
+        return (raw[a:b].decode() for a, b in zip(self.off[:-1].tolist(), self.off[1:].tolist(), strict=True))
+
+    def take(self, at: np.ndarray) -> Pieces:
+        size = np.diff(self.off)[at]
+        return Pieces(self.data[ragged(self.off[at], size)], np.append(0, np.cumsum(size)))
+
+    def spaced_words(self) -> np.ndarray:
+        """Which pieces are one space and Latin letters: side by side in a text they are cut as they are alone."""
+        first, n = self.off[:-1], len(self.data)
+        wrong = self.data >= _LEAD_END
+        lead = np.flatnonzero((self.data >= 0xC0) & ~wrong)
+        code = self.data.astype(np.uint16)
+        code[lead] = (code[lead] & 0x1F) << 6 | (code[np.minimum(lead + 1, n - 1)] & 0x3F)
+        kind = _CLASS[np.minimum(code, LATIN_END - 1)]
+        kind[lead + 1] = kind[lead]
+        wrong |= kind != _LETTER
+        wrong[first] = self.data[first] != 32
+        return (np.add.reduceat(wrong, first, dtype=np.int64) == 0) & (np.diff(self.off) > 1)
+
+
 class Lexicon:
     """Numbers of distinct pieces, kept between batches; ``learn`` is told of the new ones.
 
-    Pieces are told apart by 64 bits of hash. Beyond ``most`` pieces the memory starts anew.
+    Pieces are told apart by 64 bits of hash, in a table with open places. Beyond ``most`` pieces the
+    memory starts anew.
     """
 
     def __init__(self, splitter: Splitter, most: int):
@@ -114,11 +147,12 @@ class Lexicon:
         self._empty()
 
     def _empty(self) -> None:
-        """Hashes in ascending order and the number of each: 12 bytes a piece."""
-        self._keys, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        """Hashes (0: an open place) and the number of each: 12 bytes a place, two to eight places a piece."""
+        self._size, self._bits = 0, 16
+        self._keys, self._places = np.zeros(1 << self._bits, np.uint64), np.zeros(1 << self._bits, np.int32)
 
     def __len__(self) -> int:
-        return len(self._keys)
+        return self._size
 
     def cut(self, column: pa.Array, forget, learn) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts of a column, and the first piece of each (with the end)."""
@@ -134,38 +168,61 @@ class Lexicon:
         if odd.any():
             return self._slowly(column, learn)
         starts = boundaries(data, off)
-        ends = np.append(starts[1:], len(data))
-        hashes = W.Sums(W._BYTE[data], 0).hash(starts, ends)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        texts = lambda new: [raw[starts[i] : ends[i]].decode() for i in where[new]]
-        return self._numbers(distinct, texts, learn)[back], np.searchsorted(starts, off)
+        return self._numbers(Pieces(data, np.append(starts, len(data))), learn), np.searchsorted(starts, off)
 
     def _slowly(self, column: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
         """Text by text, by the tokenizer's own splitter."""
         split = [self.splitter.pieces(t) if t else [] for t in column.to_pylist()]
         flat = [p.encode() for s in split for p in s]
         off = np.append(0, np.cumsum([len(p) for p in flat])).astype(np.int64)
-        hashes = W.Sums(W._BYTE[np.frombuffer(b"".join(flat), np.uint8)], 0).hash(off[:-1], off[1:])
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        texts = lambda new: [flat[i].decode() for i in where[new]]
-        return self._numbers(distinct, texts, learn)[back], np.append(0, np.cumsum([len(s) for s in split])).astype(np.int64)
-
-    def _numbers(self, distinct: np.ndarray, texts, learn) -> np.ndarray:
-        """The numbers of ascending hashes; ``texts`` gives the pieces at some of them."""
-        at = np.searchsorted(self._keys, distinct)
-        known = at < len(self)
-        known[known] = self._keys[at[known]] == distinct[known]
-        out = np.zeros(len(distinct), np.int64)
+        pieces = Pieces(np.frombuffer(b"".join(flat), np.uint8), off)
+        return self._numbers(pieces, learn), np.append(0, np.cumsum([len(s) for s in split])).astype(np.int64)
+
+    def _numbers(self, pieces: Pieces, learn) -> np.ndarray:
+        """The numbers of pieces, new ones among them learned."""
+        hashes = np.maximum(W.Sums(W._BYTE[pieces.data], 0).hash(pieces.off[:-1], pieces.off[1:]), np.uint64(1))
+        at, known = self._find(hashes)
+        if known.all():
+            return self._places[at]
+        out = np.zeros(len(hashes), np.int32)
         out[known] = self._places[at[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
-            begin = len(self)
-            learn(texts(new))
-            out[new] = np.arange(begin, begin + len(new))
-            self._keys = np.insert(self._keys, at[new], distinct[new])
-            self._places = np.insert(self._places, at[new], out[new].astype(np.int32))
+        unknown = np.flatnonzero(~known)
+        new, where, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+        learn(pieces.take(unknown[where]))
+        numbers = np.arange(self._size, self._size + len(new), dtype=np.int32)
+        out[unknown] = numbers[back]
+        self._size += len(new)
+        self._add(new, numbers)
         return out
 
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, or the open place where the search for it ends; and whether it is there."""
+        at = (hashes >> np.uint64(64 - self._bits)).view(np.int64)
+        found = self._keys.take(at)
+        known = found == hashes
+        going = np.flatnonzero(~known & (found != 0))
+        while len(going):
+            on = at[going] = (at[going] + 1) & (len(self._keys) - 1)
+            found = self._keys[on]
+            known[going] = same = found == hashes[going]
+            going = going[~same & (found != 0)]
+        return at, known
+
+    def _add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Puts distinct hashes that are not in the table into it."""
+        if 2 * self._size > len(self._keys):
+            old = np.flatnonzero(self._keys)
+            hashes, numbers = np.append(self._keys[old], hashes), np.append(self._places[old], numbers)
+            while 2 * self._size > 1 << self._bits:
+                self._bits += 2
+            self._keys, self._places = np.zeros(1 << self._bits, np.uint64), np.zeros(1 << self._bits, np.int32)
+        while len(hashes):
+            at, _ = self._find(hashes)
+            self._keys[at] = hashes  # of several that want a place the last one has it
+            won = self._keys[at] == hashes
+            self._places[at[won]] = numbers[won]
+            hashes, numbers = hashes[~won], numbers[~won]
+
 
 class Growing:
     """An array that is appended to in place."""

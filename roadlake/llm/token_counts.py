@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlake.llm.base import column, steps
-from roadlake.llm.pieces import Growing, Lexicon, Splitter
+from roadlake.llm.pieces import Growing, Lexicon, Pieces, Splitter
 
 LIMIT = 1024
 #: Pieces whose count, and pairs of tokens whose fit, a worker remembers; beyond it the memory starts anew.
@@ -56,7 +56,7 @@ class PrefixCounter:
     def _forget(self) -> None:
         self._counts = Growing(np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: Pieces) -> None:
         self._counts.extend(np.array([self.count_piece(p) for p in pieces], np.int64))
 
     def count_all(self, column: pa.Array) -> np.ndarray:

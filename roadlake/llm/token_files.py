@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from roadlake.llm import range_coder as R
 from roadlake.llm.base import column, materialize, ragged, steps
-from roadlake.llm.pieces import Growing, Lexicon, Splitter
+from roadlake.llm.pieces import Growing, Lexicon, Pieces, Splitter
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces whose ids a worker remembers (about 30 bytes each); beyond it the memory starts anew.
+#: Pieces whose ids a worker remembers (60 to 140 bytes each); beyond it the memory starts anew.
 REMEMBERED = 1_500_000
+#: Words of one text when new ones are encoded.
+JOINED = 1000
 SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<long>, doc_at array<int>, doc_lengths array<int>, payload binary"
 
 
@@ -38,16 +40,42 @@ class Encoder:
 
     def __init__(self, path: str):
         self._lexicon = Lexicon(Splitter(path), REMEMBERED)
+        vocabulary = self._lexicon.splitter.tokenizer.get_vocab()
+        self._n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a letter of a token stands for a byte
+        self._n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
         self._ids, self._ends = Growing(np.uint32), Growing(np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        coded = [c.ids for c in self._lexicon.splitter.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: Pieces) -> None:
+        """Spaced words are encoded many in one text, whose ids part at their ends; other pieces one by one."""
+        joined = pieces.spaced_words()
+        sizes = np.zeros(len(pieces), np.int64)
+        words, wi = self._learn_words(pieces.take(np.flatnonzero(joined)))
+        other = self._coded(list(pieces.take(np.flatnonzero(~joined))))
+        sizes[joined], sizes[~joined] = words, [len(c) for c in other]
+        ends = np.cumsum(sizes)
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        ids[ragged((ends - sizes)[joined], words)] = wi
+        ids[ragged((ends - sizes)[~joined], sizes[~joined])] = [i for c in other for i in c]
         begin = self._ids.size
-        self._ids.extend(np.array([i for c in coded for i in c], np.uint32))
-        self._ends.extend(begin + np.cumsum([len(c) for c in coded]))
+        self._ids.extend(ids)
+        self._ends.extend(begin + ends)
+
+    def _learn_words(self, words: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
+        raw, cuts = words.data.tobytes(), [*words.off[:-1:JOINED].tolist(), int(words.off[-1])]
+        coded = self._coded([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        ids = np.array([i for c in coded for i in c], np.uint32)
+        ends = np.append(0, np.cumsum(self._n_bytes[ids]))
+        at = np.searchsorted(ends, words.off)
+        if not np.array_equal(ends[at], words.off):
+            raise ValueError("a token runs over the end of a word")
+        return np.diff(at), ids
+
+    def _coded(self, texts: list[str]) -> list[list[int]]:
+        return [c.ids for c in self._lexicon.splitter.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column, one text after the other, and how many each has."""

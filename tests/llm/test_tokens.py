@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from roadlake.llm import language_crf as L
-from roadlake.llm import mixing, neighbours, range_coder, token_counts, token_files
+from roadlake.llm import mixing, neighbours, pieces, range_coder, token_counts, token_files
 
 PATH = P.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -263,3 +263,63 @@ def test_pieces_are_encoded_once(monkeypatch):
     sizes = np.split(first[0], np.cumsum(first[1])[:-1])
     assert again[0].tolist() == np.concatenate(sizes[::-1]).tolist() and again[1].tolist() == first[1][::-1].tolist()
     assert sizes[7].tolist() == ids_of(texts[7])
+
+
+def test_new_words_are_encoded_many_in_one_text():
+    """The tokenizer is called for a thousand new words at once, not for each."""
+    enc, calls = token_files.Encoder(PATH), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            calls.append(len(texts))
+            return self.tokenizer.encode_batch_fast(texts, **kwargs)
+
+    enc._lexicon.splitter.tokenizer = Counted(enc._lexicon.splitter.tokenizer)
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) + "\u00e9\u0180"[: n % 3] for n in range(20_000)]
+    odd = ["don't", "we'll go", "a\u00a0b", "x\u00d7y z\u00aa", "  two", "tab\there", "12 34a", " <|endoftext|> a", "\u4e2d \u6587 abcq", " ", "", "\n\n end"]
+    texts = [*(" ".join(words[i : i + 100]) for i in range(0, 20_000, 100)), *odd]
+    for part in (texts[:150], texts[150:], texts):
+        ids, sizes = enc.encode(pa.array(part))
+        assert [a.tolist() for a in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(t) for t in part]
+    assert sum(calls) < 600
+
+
+def test_lexicon_tells_pieces_apart_in_a_crowded_table(monkeypatch):
+    """Hashes that all want one place of the table still have a number each."""
+    spelled = []
+    whole = pieces.W.Sums.hash
+    monkeypatch.setattr(pieces.W.Sums, "hash", lambda *a: whole(*a) & np.uint64((1 << 40) - 1))
+    lexicon = pieces.Lexicon(pieces.Splitter(PATH), 10**6)
+    text = " ".join("".join(chr(97 + n // 26**k % 26) for k in range(3)) for n in range(300))
+    for t in (text[:500], text, text):
+        numbers, first = lexicon.cut(pa.array([t, t]), spelled.clear, spelled.extend)
+        assert [spelled[i] for i in numbers] == 2 * lexicon.splitter.pieces(t) and first.tolist() == [0, len(numbers) // 2, len(numbers)]
+    assert len(spelled) == len(set(spelled)) == len(lexicon)
+
+
+def test_trails_are_those_of_the_step_by_step_model():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 4, (5, 300)).astype(np.int32)
+    x[1, :100] = 0
+    context = r.integers(0, 9, x.shape).astype(np.uint32)
+    context[1] = 0
+    got = range_coder._trails(context, x)
+    for lane in range(5):
+        known = {}
+        for t in range(300):
+            guess, run = known.get(context[lane, t], (0, 0))
+            now = x[lane, t]
+            assert got[lane, t] == run | (guess == now) << 4 | (guess < now) << 5
+            known[context[lane, t]] = (now, min(run + 1, 15) if guess == now else 0)
+
+
+def test_alphabets_are_packed_whole():
+    for ids in ([0], [254], [255], [0, 1, 256, 511, 766, 2**32 - 1], [7, 8, 2**31]):
+        a = np.array(ids, np.uint32)
+        assert range_coder._unpack(range_coder._pack(a), len(a)).tolist() == ids
