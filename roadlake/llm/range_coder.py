@@ -131,12 +131,12 @@ class _Range:
 
         A short range that straddles a word boundary is cut at it, which costs a bit or two now and then.
         """
-        self.low += start.astype(np.uint64) * unit
-        self.span = width.astype(np.uint64) * unit
-        go = np.flatnonzero(self.span < _LEAST)
-        low, span = self.low[go], self.span[go]
-        cut = ((low + span) ^ low) >= _LEAST
-        if cut.any():
+        self.low += start.astype(np.uint64, copy=False) * unit
+        self.span = width.astype(np.uint64, copy=False) * unit
+        go = (self.span < _LEAST).nonzero()[0]
+        low, span = self.low.take(go), self.span.take(go)
+        cut = (((low + span) ^ low) >= _LEAST).nonzero()[0]
+        if len(cut):
             span[cut] = (np.uint64(0) - low[cut]) & _MASK
         self.span[go] = span << _WORD
         self.low[go] = low << _WORD
@@ -246,7 +246,7 @@ def _encode_lanes(ranks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     rate_at = np.arange(2 * n, dtype=np.int64) * _RUNS
     coder = _Range(n)
     lows, n_words, tallied = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0
-    gone: list[np.ndarray] = []  # lanes that put out a word, step by step, and the words
+    gone: list[np.ndarray] = []  # lanes that put out a word, in order of steps, and the words
     words: list[np.ndarray] = []
     ending = {int(t): np.flatnonzero(lengths == t) for t in np.unique(lengths)}
     for begin in range(0, steps, _CHUNK):
@@ -270,17 +270,23 @@ def _encode_lanes(ranks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         low += m1 * (known[:, :n] >> 5) + m2 * (known[:, n:] >> 5)
         size += m1 * (known[:, :n] >> 4 & 1) + m2 * (known[:, n:] >> 4 & 1)
         low, size = low.astype(np.uint64), size.astype(np.uint64)
+        lanes, puts = [], []
         for t in range(end - begin):
             go, out = coder.narrow(low[t], size[t], coder.span >> np.uint64(_BITS))
-            gone.append(go)
-            words.append(out)
+            lanes.append(go)
+            puts.append(out)
             if (done := ending.get(begin + t + 1)) is not None:
-                n_words += np.bincount(np.concatenate(gone[tallied:]), minlength=n)
-                tallied = len(gone)
+                n_words += np.bincount(np.concatenate([*gone[tallied:], *lanes]), minlength=n)
+                gone.append(np.concatenate(lanes).astype(np.uint16))
+                words.append(np.concatenate(puts).astype(np.uint32))
+                tallied, lanes, puts = len(gone), [], []
                 lows[done], lengths[done] = coder.low[done], n_words[done]
+        if lanes:
+            gone.append(np.concatenate(lanes).astype(np.uint16))
+            words.append(np.concatenate(puts).astype(np.uint32))
     order = np.concatenate(gone)
     first = np.append(0, np.cumsum(np.bincount(order, minlength=n)))
-    flat = np.concatenate(words)[np.argsort(order.astype(np.uint16), kind="stable")].astype(">u4")
+    flat = np.concatenate(words)[np.argsort(order, kind="stable")].astype(">u4")
     last = lows.astype(">u8")
     return [flat[first[i] : first[i] + lengths[i]].tobytes() + last[i : i + 1].tobytes() for i in range(n)]
 
@@ -346,6 +352,7 @@ def _decode_lanes(codes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         size += m1 * hit[0] + m2 * hit[1]
         model.learn(x, hit.ravel())
         go, _ = coder.narrow(low, size, unit)
-        code[go] = code[go] << _WORD | words[at[go]]
-        at[go] += 1
+        place = at.take(go)
+        code[go] = code.take(go) << _WORD | words.take(place)
+        at[go] = place + 1
     return out
